@@ -22,6 +22,7 @@ DEFAULT_CONF = {
     # Long code texts: keep Arrow batches modest so one UDF batch stays small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
