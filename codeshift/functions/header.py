@@ -28,13 +28,22 @@ def _after_marker(line: Column) -> Column:
     return F.substr(line, F.lit(4))
 
 
-def header_fields(block) -> dict[str, Column]:
-    lines = lines_of(col_(block))
-    path = _after_marker(F.get(lines, 1))
-    span = F.split(_after_marker(F.get(lines, 2)), "/", -1)
-    url = _after_marker(F.get(lines, 3))
-    lang = _after_marker(F.get(lines, 4))
-    code = F.array_join(F.slice(lines, 6, F.greatest(F.size(lines), F.lit(1))), "\n")
+def header_parts(block) -> Column:
+    """The five header lines and the rest of the block, from one split:
+    ``split(block, '\\n', 6)`` leaves the code (everything after the fifth
+    newline) whole in the sixth piece, so the code is never cut into lines."""
+    return F.split(col_(block), "\n", 6)
+
+
+def header_fields(block=None, parts: Column | None = None) -> dict[str, Column]:
+    """D7-D10 fields.  Pass ``parts`` (a column holding ``header_parts``)
+    to reuse one split for every field."""
+    hp = parts if parts is not None else header_parts(block)
+    path = _after_marker(F.get(hp, 1))
+    span = F.split(_after_marker(F.get(hp, 2)), "/", -1)
+    url = _after_marker(F.get(hp, 3))
+    lang = _after_marker(F.get(hp, 4))
+    code = F.coalesce(F.get(hp, 5), F.lit(""))
     language = py_strip(lang)
     return {
         "repo_url": F.concat(py_strip(url), F.lit(".git")),
@@ -56,7 +65,7 @@ def parse_snippet_header(block) -> Column:
 
 def snippet_func_name(code) -> Column:
     """First line of the code, stripped."""
-    return py_strip(F.get(lines_of(col_(code)), 0))
+    return py_strip(F.substring_index(col_(code), "\n", 1))
 
 
 def repo_identity(url) -> Column:

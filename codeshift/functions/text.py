@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 # regex class (``str.strip`` and ``re``'s ``\s`` use the same set).
 PY_WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+# The same characters as a literal set, for the (regex-free) trim functions.
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                       + "".join(chr(c) for c in range(0x2000, 0x200B))
+                       + "\u2028\u2029\u202f\u205f\u3000")
+
 FENCE = "```"
 
 
@@ -17,16 +22,16 @@ def col_(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()`` with Python's whitespace set."""
-    return F.regexp_replace(col_(c), f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+\\z", "")
+    """``str.strip()`` with Python's whitespace set (character-set trim, no regex)."""
+    return F.btrim(col_(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def py_rstrip(c) -> Column:
-    return F.regexp_replace(col_(c), f"{PY_WHITESPACE}+\\z", "")
+    return F.rtrim(col_(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def py_lstrip(c) -> Column:
-    return F.regexp_replace(col_(c), f"^{PY_WHITESPACE}+", "")
+    return F.ltrim(col_(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def escape_whitespace(c) -> Column:

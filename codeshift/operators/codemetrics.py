@@ -61,13 +61,15 @@ def pair_metrics(pairs: DataFrame, original: str = "original_block", updated: st
         d = ndiff_distance(original, updated)
     else:
         d = edit_distance(original, updated, fold=fold)
-    with_d = pairs.withColumn("_distance", d.cast("long"))
+    # Distance and both profiles are computed once each, as their own columns.
+    with_d = pairs.select("*", d.cast("long").alias("_distance"),
+                          line_profile(original).alias("_po"), line_profile(updated).alias("_pu"))
     a, b = F.col(original), F.col(updated)
     sim = _similarity(F.col("_distance"), a, b)
     cols = [*pairs.columns]
-    cols += _profile_cols(original, "original")
+    cols += [F.col(f"_po.{f}").alias(f"original_{f}") for f in PROFILE_FIELDS]
     cols += [F.col("_distance").alias("original_levenshtein_distance"), sim.alias("original_syntactic_similarity")]
-    cols += _profile_cols(updated, "updated")
+    cols += [F.col(f"_pu.{f}").alias(f"updated_{f}") for f in PROFILE_FIELDS]
     cols += [F.col("_distance").alias("updated_levenshtein_distance"), sim.alias("updated_syntactic_similarity")]
     return with_d.select(*cols)
 
@@ -109,10 +111,13 @@ def assemble_records(pairs: DataFrame, include_header: bool = True, distance: st
     comment lines and the blank fence line included), as the published
     numbers were made; ``False`` measures the stripped ``original_code``.
     """
-    hdr = header_fields("original_block")
-    base = pairs.select("session_id", "idx", "prompt", "original_block", "updated_code",
-                        *[hdr[c].alias(c) for c in HEADER_COLUMNS],
-                        hdr["original_code"].alias("original_code"))
+    from ..functions.header import header_parts
+    split_once = pairs.select("session_id", "idx", "prompt", "original_block", "updated_code",
+                              header_parts("original_block").alias("_hp"))
+    hdr = header_fields(parts=F.col("_hp"))
+    base = split_once.select("session_id", "idx", "prompt", "original_block", "updated_code",
+                             *[hdr[c].alias(c) for c in HEADER_COLUMNS],
+                             hdr["original_code"].alias("original_code"))
     measured = "original_block" if include_header else "original_code"
     m = pair_metrics(base, original=measured, updated="updated_code", distance=distance, fold=fold)
     m = combine_metrics(m, cyclomatic_complexity(F.col(measured)),

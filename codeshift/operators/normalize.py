@@ -36,28 +36,26 @@ def _normalize(df: DataFrame, method: str, exclude, partition_by, truncate: bool
             aggs += [F.min(x).alias(f"_a{i}"), F.max(x).alias(f"_b{i}")]
     stats = (df.groupBy(*partition_by) if partition_by else df).agg(*aggs)
     j = _attach(df, stats, partition_by)
-    normed = {}
+    # Each normalised value is computed once, as its own column; the row
+    # guard and the outputs refer to those columns (no repeated expressions).
+    normed = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        if method == "zscore":
-            v = F.try_divide(x - a, b)
-        else:
-            v = F.try_divide(x - a, b - a)
-        v = F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
-        normed[c] = v
-    out = {c: (F.bround(v, 1).cast("long").cast("double") if truncate else v) for c, v in normed.items()}
+        v = F.try_divide(x - a, b) if method == "zscore" else F.try_divide(x - a, b - a)
+        normed.append(F.nanvl(v, F.lit(None).cast("double")).alias(f"_n{i}"))
+    j = j.select(*df.columns, *normed)
+    outs = {c: (F.bround(F.col(f"_n{i}"), 1).cast("long").cast("double") if truncate else F.col(f"_n{i}"))
+            for i, c in enumerate(cols)}
     if parity:
-        row_ok = None
-        for v in normed.values():
-            cond = v.isNotNull()
-            row_ok = cond if row_ok is None else (row_ok & cond)
-        final = {c: F.when(row_ok, out[c]).otherwise(F.col(c).cast("double")) for c in cols}
+        ok = F.lit(True)
+        for i in range(len(cols)):
+            ok = ok & F.col(f"_n{i}").isNotNull()
+        j = j.withColumn("_ok", ok)
+        final = {c: F.when(F.col("_ok"), outs[c]).otherwise(F.col(c).cast("double")) for c in cols}
     else:
-        final = out
-    stat_cols = [f"_a{i}" for i in range(len(cols))] + [f"_b{i}" for i in range(len(cols))]
-    return j.select(*[final[c].alias(c) if c in final else F.col(c) for c in df.columns]) \
-        if stat_cols else j
+        final = outs
+    return j.select(*[final[c].alias(c) if c in final else F.col(c) for c in df.columns])
 
 
 def zscore_normalize(df: DataFrame, exclude=("pass_rate",), partition_by=None,

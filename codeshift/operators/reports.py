@@ -311,24 +311,28 @@ def summary_table(df: DataFrame, kind: str = "abs", partition_by: str = "repo_na
     return base.unionByName(rows)
 
 
-def prompt_table_abs(df: DataFrame, partition_by="repo_name", group_by="prompt_id") -> DataFrame:
+def prompt_table_abs(df: DataFrame, partition_by="repo_name", group_by="prompt_id",
+                     baseline_digits=None) -> DataFrame:
     """I10."""
-    return summary_table(df, "abs", partition_by, group_by)
+    return summary_table(df, "abs", partition_by, group_by, baseline_digits=baseline_digits)
 
 
-def prompt_table_pct(df: DataFrame, partition_by="repo_name", group_by="prompt_id") -> DataFrame:
+def prompt_table_pct(df: DataFrame, partition_by="repo_name", group_by="prompt_id",
+                     baseline_digits=None) -> DataFrame:
     """I11."""
-    return summary_table(df, "percentage", partition_by, group_by)
+    return summary_table(df, "percentage", partition_by, group_by, baseline_digits=baseline_digits)
 
 
-def prompt_table_factor(df: DataFrame, partition_by="repo_name", group_by="prompt_id") -> DataFrame:
+def prompt_table_factor(df: DataFrame, partition_by="repo_name", group_by="prompt_id",
+                        baseline_digits=None) -> DataFrame:
     """I12."""
-    return summary_table(df, "factor", partition_by, group_by)
+    return summary_table(df, "factor", partition_by, group_by, baseline_digits=baseline_digits)
 
 
-def prompt_table_normalized(df: DataFrame, partition_by="repo_name", group_by="prompt_id") -> DataFrame:
+def prompt_table_normalized(df: DataFrame, partition_by="repo_name", group_by="prompt_id",
+                            baseline_digits=None) -> DataFrame:
     """I13."""
-    return summary_table(df, "normalized", partition_by, group_by)
+    return summary_table(df, "normalized", partition_by, group_by, baseline_digits=baseline_digits)
 
 
 def element_summary(df: DataFrame, element: str = "language", kind: str = "abs") -> DataFrame:

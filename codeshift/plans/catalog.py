@@ -752,9 +752,9 @@ def _b9_ctes(src: str, part: str, digits=None) -> list[str]:
             + [f"b9 AS (SELECT {part}, {avgs} FROM dcp GROUP BY {part})"])
 
 
-@register("baseline_from_distinct", W(SCORED + _b9_ctes("scored", "repo_name"), "SELECT * FROM b9"))
+@register("baseline_from_distinct", W(SCORED + _b9_ctes("scored", "repo_name", digits=6), "SELECT * FROM b9"))
 def q_baseline_from_distinct(spark, sf):
-    return rp.baseline_from_distinct(P.scored(spark, sf), "repo_name")
+    return rp.baseline_from_distinct(P.scored(spark, sf), "repo_name", digits=6)
 
 
 def _table_sql(kind: str) -> str:
@@ -765,9 +765,9 @@ def _table_sql(kind: str) -> str:
     ctes += [c.replace("FROM scored", "FROM sc") for c in [
         "f AS (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY session_id, idx) AS rn FROM scored WHERE pass_rate = 100)"]]
     ctes += ["b8 AS (SELECT repo_name, " + ", ".join(
-        (f"CAST(NULL AS DOUBLE) AS {m}" if m in rp.NULL_IN_BASELINE else f"CAST(original_{m} AS DOUBLE) AS {m}") for m in BASE_COLS)
-        + " FROM f WHERE rn = 1)"]
-    ctes += _b9_ctes("sc", "repo_name")
+        (f"CAST(NULL AS DOUBLE) AS {m}" if m in rp.NULL_IN_BASELINE else f"round_even(CAST(original_{m} AS DOUBLE), 6) AS {m}")
+        for m in BASE_COLS) + " FROM f WHERE rn = 1)"]
+    ctes += _b9_ctes("sc", "repo_name", digits=6)
     ctes += ["base AS (SELECT b9.repo_name, " + ", ".join(
         f"CASE WHEN b8.repo_name IS NOT NULL THEN b8.{m} ELSE b9.{m} END AS {m}" for m in BASE_COLS)
         + " FROM b9 LEFT JOIN b8 USING (repo_name))"]
@@ -790,22 +790,22 @@ def _table_sql(kind: str) -> str:
 
 @register("prompt_table_abs", _table_sql("abs"))
 def q_prompt_table_abs(spark, sf):
-    return rp.prompt_table_abs(P.scored(spark, sf))
+    return rp.prompt_table_abs(P.scored(spark, sf), baseline_digits=6)
 
 
 @register("prompt_table_pct", _table_sql("percentage"))
 def q_prompt_table_pct(spark, sf):
-    return rp.prompt_table_pct(P.scored(spark, sf))
+    return rp.prompt_table_pct(P.scored(spark, sf), baseline_digits=6)
 
 
 @register("prompt_table_factor", _table_sql("factor"))
 def q_prompt_table_factor(spark, sf):
-    return rp.prompt_table_factor(P.scored(spark, sf))
+    return rp.prompt_table_factor(P.scored(spark, sf), baseline_digits=6)
 
 
 @register("prompt_table_normalized", _table_sql("abs"))
 def q_prompt_table_normalized(spark, sf):
-    return rp.prompt_table_normalized(P.scored(spark, sf))
+    return rp.prompt_table_normalized(P.scored(spark, sf), baseline_digits=6)
 
 
 def _element_sql(kind: str) -> str:

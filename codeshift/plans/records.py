@@ -14,6 +14,7 @@ from ..operators.codemetrics import assemble_records
 from ..operators.extract import clean_prompts, extract_pairs
 from ..operators.reports import score_records
 from ..operators.sessions import cross_prompts, render_turn
+from ..session import materialize
 from ..sources.tables import code_documents, load_table, session_messages
 
 
@@ -36,8 +37,13 @@ def records(spark: SparkSession, sf_dir: str, distance: str = "levenshtein", fol
 def scored(spark: SparkSession, sf_dir: str, stats_digits: int | None = 6) -> DataFrame:
     """Stage 3 input: cleaned prompts, prompt ids and labels, pass rate per
     (repo, prompt) with the snippet count = the largest such group, and the
-    per-repo min/max/mean columns."""
-    return score_records(records(spark, sf_dir), stats_digits=stats_digits)
+    per-repo min/max/mean columns.
+
+    ``records`` is written once (the stage-2 output, as the original tool
+    wrote its JSON file) and so is the scored table, because every report
+    reads it several times (baseline, groups, statistics)."""
+    rec = materialize(records(spark, sf_dir), "records")
+    return materialize(score_records(rec, stats_digits=stats_digits), "scored")
 
 
 def design_size(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,9 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Only applied when this module starts the JVM (local runs: tests, bench).
+LOCAL_DRIVER_MEMORY = "16g"
+
 
 def build_session(master: str | None = None, app_name: str = "codeshift",
                   shuffle_partitions: int | None = None,
@@ -39,6 +42,8 @@ def build_session(master: str | None = None, app_name: str = "codeshift",
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", LOCAL_DRIVER_MEMORY)
     conf.update(extra_conf or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -97,6 +102,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/codeshift-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str):
+    """Write ``df`` as parquet below the shared checkpoint folder and read it
+    back: a stage boundary that cuts the lineage (a lost executor does not
+    recompute the stage) and lets later jobs prune columns."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def local_path(p: str) -> str:
     """Strip a ``file:`` scheme for the few local-only helpers (tests)."""
     if p.startswith("file:"):
