@@ -21,9 +21,15 @@ def _acc(inc, loc, cmt, blank, chars, tokens) -> Column:
                     blank.alias("blank"), chars.alias("chars"), tokens.alias("tokens"))
 
 
-def token_count(stripped_line) -> Column:
-    """Number of ``\\S+`` runs in an already stripped, non-empty line."""
-    return F.size(F.split(stripped_line, PY_WHITESPACE + "+"))
+# Non-whitespace runs, with Python's whitespace set.
+NON_WS_RUN = "[^" + PY_WHITESPACE[1:-1] + "]+"
+
+
+def token_count(line) -> Column:
+    """Number of ``\\S+`` runs in a line.  ``regexp_count`` keeps its literal
+    pattern compiled across rows (``split`` by a regex class would compile it
+    again for every line)."""
+    return F.regexp_count(line, F.lit(NON_WS_RUN))
 
 
 def comment_ratio(comment, loc) -> Column:

@@ -58,6 +58,11 @@ def pair_metrics(pairs: DataFrame, original: str = "original_block", updated: st
     (E6/E7, the run-based parity distance, Arrow UDF on whole texts).
     """
     if distance == "ndiff":
+        # The Python diff costs about length^2 per pair: spread the pairs
+        # evenly over all tasks (hash of the pair key) before the UDF runs.
+        n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        key = [c for c in ("session_id", "idx") if c in pairs.columns]
+        pairs = pairs.repartition(n, *key) if key else pairs.repartition(n)
         d = ndiff_distance(original, updated)
     else:
         d = edit_distance(original, updated, fold=fold)

@@ -524,7 +524,8 @@ def q_python_raw_profile(spark, sf):
 
 @register("python_complexity", f"SELECT doc_id, 1 + {O.decision_points('text', 'python')} AS complexity FROM documents")
 def q_python_complexity(spark, sf):
-    d = load_table(spark, sf, "documents")
+    from ..sources.tables import spread
+    d = spread(load_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return d.select("doc_id", python_complexity("text", require_function=False).alias("complexity"))
 
 

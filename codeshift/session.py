@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # Per-pair work (distances, line profiles) is CPU-heavy and small in
+    # bytes: do not let AQE coalesce a small shuffle into one or two tasks.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Long code texts: keep Arrow batches modest so one UDF batch stays small.

@@ -23,6 +23,17 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition by ``keys`` when the input has fewer partitions than
+    the cluster has task slots, so that CPU-heavy per-row work (regexes and
+    array functions over long texts) uses every core.  A large input already
+    arrives in many splits and is left as it is (no extra shuffle)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
 NL = "\n"
 
 # The literal replacements that make prose look like C-family
@@ -80,7 +91,8 @@ def session_messages(conversations: DataFrame) -> DataFrame:
 
 def code_documents(documents: DataFrame) -> DataFrame:
     """``documents`` with its text rewritten as code: ``(doc_id, source, lang, code)``."""
-    return documents.select("doc_id", "source", "lang", as_code("text").alias("code"))
+    return spread(documents.select("doc_id", "source", "lang", "text"), "doc_id").select(
+        "doc_id", "source", "lang", as_code("text").alias("code"))
 
 
 def messages_from(spark: SparkSession, sf_dir: str) -> DataFrame:
