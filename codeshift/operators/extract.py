@@ -70,7 +70,14 @@ def extract_pairs(messages: DataFrame, strip_tokens=DEFAULT_STRIP_TOKENS,
 
     Columns: ``session_id, idx, prompt, original_block, updated_code, n_user_blocks``.
     """
-    turns = filter_answered(pair_turns(messages))
+    return turns_to_pairs(pair_turns(messages), strip_tokens, answer_mode)
+
+
+def turns_to_pairs(turns: DataFrame, strip_tokens=DEFAULT_STRIP_TOKENS,
+                   answer_mode: str = "parity") -> DataFrame:
+    """D2-D4 on ``(session_id, idx, prompt, user_content, answer_content)``
+    rows, however they were paired (join, or inside a transcript array)."""
+    turns = filter_answered(turns)
     blocks = user_blocks("user_content")
     return (turns.select(
         "session_id", "idx", "prompt",

@@ -63,6 +63,19 @@ def q_records(spark, sf):
     return P.records(spark, sf)
 
 
+@register("records_stream", W(REC, f"SELECT {REC_COLS} FROM records"))
+def q_records_stream(spark, sf):
+    """Transcripts written as files (B2), then stage 2 as a Structured
+    Streaming query (available-now trigger) into parquet, read back."""
+    from ..streaming.transcripts import start_records_stream
+    src_dir, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    sinks.write_chat_json(P.messages(spark, sf), src_dir, model="codellama-7b-it", run_ts="2024-06-03_17-28")
+    q = start_records_stream(spark, src_dir, out, fold=True)
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    return r.withColumn("session_id", F.col("session_id").cast("long")).select(*cm.RECORD_COLUMNS)
+
+
 @register("records_parity")
 def q_records_parity(spark, sf):
     """Published-number mode: run-based distance (E6/E7), header included."""
