@@ -171,7 +171,7 @@ def q_write_chat_json(spark, sf):
 def q_scan_records(spark, sf):
     """Write records as JSON lines (B3), read them back (A5)."""
     out = scratch_path(spark, "records_json")
-    sinks.write_records(P.records(spark, sf), out, fmt="json")
+    sinks.write_records(P.records_table(spark, sf), out, fmt="json")
     return src.scan_records(spark, out, layout="lines").select(*cm.RECORD_COLUMNS)
 
 
@@ -227,7 +227,7 @@ def q_write_session_markdown(spark, sf):
 @register("write_records", W(REC, f"SELECT {REC_COLS} FROM records"))
 def q_write_records(spark, sf):
     out = scratch_path(spark, "records_parquet")
-    sinks.write_records(P.records(spark, sf), out, fmt="parquet")
+    sinks.write_records(P.records_table(spark, sf), out, fmt="parquet")
     return spark.read.parquet(out).select(*cm.RECORD_COLUMNS)
 
 
@@ -237,7 +237,7 @@ DICT_SQL = W(SCORED, "SELECT prompt, prompt_ord FROM dict")
 @register("write_prompt_mapping", DICT_SQL)
 def q_write_prompt_mapping(spark, sf):
     out = scratch_path(spark, "mapping")
-    d = cols.prompt_dictionary(ex.clean_prompts(P.records(spark, sf)))
+    d = cols.prompt_dictionary(ex.clean_prompts(P.records_table(spark, sf)))
     sinks.write_prompt_mapping(d, out)
     back = spark.read.text(out, wholetext=True)
     m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.IntegerType()))
@@ -511,13 +511,13 @@ def q_pair_metrics(spark, sf):
     f"SELECT session_id, idx, '{m}' AS metric, CAST(original_{m} AS DOUBLE) AS original, CAST(updated_{m} AS DOUBLE) AS updated "
     f"FROM records WHERE original_{m} IS DISTINCT FROM updated_{m}" for m in cm.PROFILE_FIELDS)))
 def q_metrics_diff(spark, sf):
-    return cm.metrics_diff(P.records(spark, sf))
+    return cm.metrics_diff(P.records_table(spark, sf))
 
 
 @register("combine_metrics", W(REC, "SELECT session_id, idx, original_cyclomatic_complexity, updated_cyclomatic_complexity, "
                                     "original_comment_per_LOC, updated_comment_per_LOC FROM records"))
 def q_combine_metrics(spark, sf):
-    return P.records(spark, sf).select("session_id", "idx", "original_cyclomatic_complexity", "updated_cyclomatic_complexity",
+    return P.records_table(spark, sf).select("session_id", "idx", "original_cyclomatic_complexity", "updated_cyclomatic_complexity",
                                        "original_comment_per_LOC", "updated_comment_per_LOC")
 
 
@@ -558,7 +558,7 @@ def q_splice_lines(spark, sf):
     from ..sources.tables import as_code
     files = docs.select(F.concat(F.lit("src/file"), F.col("doc_id").cast("string"), F.lit(".cs")).alias("path"),
                         as_code("text").alias("text"))
-    return oc.splice_lines(files, P.records(spark, sf))
+    return oc.splice_lines(files, P.records_table(spark, sf))
 
 
 OUTCOME_SQL = ("outc AS (SELECT doc_id AS session_id, CAST(CASE WHEN coalesce(toxic, 0) <> 0 THEN 0 "
@@ -574,7 +574,7 @@ def q_classify_build_log(spark, sf):
                                                          "FROM records r LEFT JOIN outc o USING (session_id)"))
 def q_attach_build_outcome(spark, sf):
     o = oc.classify_build_log(build_logs(load_table(spark, sf, "labels")))
-    return oc.attach_build_outcome(P.records(spark, sf), o).select("session_id", "idx", "repo_name", "build_success", "test_success")
+    return oc.attach_build_outcome(P.records_table(spark, sf), o).select("session_id", "idx", "repo_name", "build_success", "test_success")
 
 
 @register("build_summary", W(REC + [OUTCOME_SQL], "SELECT r.language, CAST(count_if(o.build_success = 1) AS BIGINT) AS builds_succeeded, "
@@ -583,35 +583,35 @@ def q_attach_build_outcome(spark, sf):
                                                   "FROM records r LEFT JOIN outc o USING (session_id) GROUP BY r.language"))
 def q_build_summary(spark, sf):
     o = oc.classify_build_log(build_logs(load_table(spark, sf, "labels")))
-    return oc.build_summary(oc.attach_build_outcome(P.records(spark, sf), o), by="language")
+    return oc.build_summary(oc.attach_build_outcome(P.records_table(spark, sf), o), by="language")
 
 
 # ================================================================ G: columns
 
 @register("encode_prompts", DICT_SQL)
 def q_encode_prompts(spark, sf):
-    return cols.prompt_dictionary(ex.clean_prompts(P.records(spark, sf)))
+    return cols.prompt_dictionary(ex.clean_prompts(P.records_table(spark, sf)))
 
 
 @register("label_prompts", W(SCORED, "SELECT session_id, idx, prompt_ord, prompt_id FROM lab"))
 def q_label_prompts(spark, sf):
-    r = ex.clean_prompts(P.records(spark, sf))
+    r = ex.clean_prompts(P.records_table(spark, sf))
     return cols.label_prompts(cols.encode_prompts(r)).select("session_id", "idx", "prompt_ord", "prompt_id")
 
 
 @register("drop_columns_with", W(REC, "SELECT COLUMNS(lambda c: NOT (c LIKE '%code%' OR c LIKE '%distance%')) FROM records"))
 def q_drop_columns_with(spark, sf):
-    return cols.drop_columns_with(P.records(spark, sf), ["code", "distance"])
+    return cols.drop_columns_with(P.records_table(spark, sf), ["code", "distance"])
 
 
 @register("keep_columns_with", W(REC, "SELECT COLUMNS(lambda c: c LIKE '%LOC%' OR c LIKE '%comment%' OR c IN ('session_id', 'idx')) FROM records"))
 def q_keep_columns_with(spark, sf):
-    return cols.keep_columns_with(P.records(spark, sf), ["LOC", "comment", "session_id", "idx"])
+    return cols.keep_columns_with(P.records_table(spark, sf), ["LOC", "comment", "session_id", "idx"])
 
 
 @register("pair_columns", W(REC, f"SELECT {REC_COLS} FROM records"))
 def q_pair_columns(spark, sf):
-    return cols.pair_columns(P.records(spark, sf))
+    return cols.pair_columns(P.records_table(spark, sf))
 
 
 def _describe_name(c: str) -> str:
@@ -624,13 +624,13 @@ SHORT_COLS = [c for c in cm.metric_columns() if c not in ("updated_levenshtein_d
 
 @register("shorten_names", W(REC, "SELECT session_id, idx, " + ", ".join(f"{c} AS {_describe_name(c)}" for c in SHORT_COLS) + " FROM records"))
 def q_shorten_names(spark, sf):
-    r = P.records(spark, sf).select("session_id", "idx", *cm.metric_columns())
+    r = P.records_table(spark, sf).select("session_id", "idx", *cm.metric_columns())
     return cols.shorten_names(r, style="describe")
 
 
 @register("numeric_columns", W(REC, "SELECT session_id, idx, " + ", ".join(cm.metric_columns()) + " FROM records"))
 def q_numeric_columns(spark, sf):
-    r = P.records(spark, sf)
+    r = P.records_table(spark, sf)
     return r.select("session_id", "idx", *cols.numeric_columns(r))
 
 
@@ -706,7 +706,7 @@ def _describe_sql() -> str:
 
 @register("describe", _describe_sql())
 def q_describe(spark, sf):
-    return rp.describe(P.records(spark, sf))
+    return rp.describe(P.records_table(spark, sf))
 
 
 for _key, _suffix in (("prompt_id", "prompt"), ("language", "language"), ("repo_name", "repo")):
