@@ -15,11 +15,12 @@ from ..operators.extract import clean_prompts, extract_pairs
 from ..operators.reports import score_records
 from ..operators.sessions import cross_prompts, render_turn
 from ..session import materialize
-from ..sources.tables import code_documents, load_table, session_messages
+from ..sources.tables import code_documents, load_table, session_messages, spread
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session_messages(load_table(spark, sf_dir, "conversations"))
+    conv = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return session_messages(spread(conv, "conv_id"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

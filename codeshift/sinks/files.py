@@ -27,21 +27,25 @@ def write_session_markdown(turns: DataFrame, path: str, session_col: str = "sess
      .write.mode("overwrite").partitionBy(session_col).text(path))
 
 
-def transcript_json(messages: DataFrame, session_col: str = "session_id") -> DataFrame:
-    """Per session: the JSON array of its messages in ``idx`` order."""
-    msg = F.struct("idx", "role", "content", "prompt")
-    arr = F.transform(F.array_sort(F.collect_list(msg)),
-                      lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"),
-                                         m["prompt"].alias("prompt")))
-    return messages.groupBy(session_col).agg(F.to_json(arr).alias("value"))
-
-
 def write_chat_json(messages: DataFrame, path: str, model: str, run_ts: str,
                     session_col: str = "session_id") -> None:
     """B2: one transcript file (a JSON array) per session.  The name parts
-    of ``<session>_<date>_<time>_<model>.json`` are partition columns."""
-    (transcript_json(messages, session_col)
-     .withColumn("model", F.lit(model)).withColumn("run_ts", F.lit(run_ts))
+    of ``<session>_<date>_<time>_<model>.json`` are partition columns.
+
+    Each message is written as its own row, framed ``[`` / ``,`` / ``]`` by
+    the session's first and last index (from a grouped aggregate joined
+    back), so a session is streamed through its writer task row by row and
+    never gathered into one value.  The rows form a valid JSON array because
+    newlines between elements are whitespace.
+    """
+    bounds = messages.groupBy(session_col).agg(F.min("idx").alias("_lo"), F.max("idx").alias("_hi"))
+    elem = F.to_json(F.struct("role", "content", "prompt"))
+    line = F.concat(F.when(F.col("idx") == F.col("_lo"), F.lit("[")).otherwise(F.lit(",")), elem,
+                    F.when(F.col("idx") == F.col("_hi"), F.lit("]")).otherwise(F.lit("")))
+    (messages.join(bounds, session_col)
+     .select(session_col, "idx", F.lit(model).alias("model"), F.lit(run_ts).alias("run_ts"), line.alias("value"))
+     .repartition(session_col).sortWithinPartitions(session_col, "model", "run_ts", "idx")
+     .select(session_col, "model", "run_ts", "value")
      .write.mode("overwrite").partitionBy(session_col, "model", "run_ts").text(path))
 
 
