@@ -20,8 +20,14 @@ def _attach(df: DataFrame, stats: DataFrame, partition_by) -> DataFrame:
     return df.crossJoin(F.broadcast(stats))
 
 
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
 def _normalize(df: DataFrame, method: str, exclude, partition_by, truncate: bool,
                parity: bool, columns=None) -> DataFrame:
+    # Expressions are SQL strings: one JVM call per column instead of one per
+    # function node, which dominates planning time on wide tables.
     partition_by = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
     cols = columns or [c for c in numeric_columns(df, exclude=tuple(ID_COLUMNS) + tuple(exclude))
                        if c not in partition_by]
@@ -29,33 +35,33 @@ def _normalize(df: DataFrame, method: str, exclude, partition_by, truncate: bool
         return df
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = f"CAST({_q(c)} AS DOUBLE)"
         if method == "zscore":
-            aggs += [F.avg(x).alias(f"_a{i}"), F.stddev_samp(x).alias(f"_b{i}")]
+            aggs += [f"avg({x}) AS _a{i}", f"stddev_samp({x}) AS _b{i}"]
         else:
-            aggs += [F.min(x).alias(f"_a{i}"), F.max(x).alias(f"_b{i}")]
-    stats = (df.groupBy(*partition_by) if partition_by else df).agg(*aggs)
+            aggs += [f"min({x}) AS _a{i}", f"max({x}) AS _b{i}"]
+    if partition_by:
+        stats = df.groupBy(*partition_by).agg(*[F.expr(a) for a in aggs])
+    else:
+        stats = df.selectExpr(*aggs)
     j = _attach(df, stats, partition_by)
     # Each normalised value is computed once, as its own column; the row
     # guard and the outputs refer to those columns (no repeated expressions).
     normed = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        v = F.try_divide(x - a, b) if method == "zscore" else F.try_divide(x - a, b - a)
-        normed.append(F.nanvl(v, F.lit(None).cast("double")).alias(f"_n{i}"))
-    j = j.select(*df.columns, *normed)
-    outs = {c: (F.bround(F.col(f"_n{i}"), 1).cast("long").cast("double") if truncate else F.col(f"_n{i}"))
+        x = f"CAST({_q(c)} AS DOUBLE)"
+        d = f"_b{i}" if method == "zscore" else f"_b{i} - _a{i}"
+        normed.append(f"nanvl(try_divide({x} - _a{i}, {d}), CAST(NULL AS DOUBLE)) AS _n{i}")
+    j = j.selectExpr(*[_q(c) for c in df.columns], *normed)
+    outs = {c: (f"CAST(CAST(bround(_n{i}, 1) AS BIGINT) AS DOUBLE)" if truncate else f"_n{i}")
             for i, c in enumerate(cols)}
     if parity:
-        ok = F.lit(True)
-        for i in range(len(cols)):
-            ok = ok & F.col(f"_n{i}").isNotNull()
-        j = j.withColumn("_ok", ok)
-        final = {c: F.when(F.col("_ok"), outs[c]).otherwise(F.col(c).cast("double")) for c in cols}
+        ok = " AND ".join(f"_n{i} IS NOT NULL" for i in range(len(cols)))
+        j = j.selectExpr("*", f"({ok}) AS _ok")
+        final = {c: f"CASE WHEN _ok THEN {outs[c]} ELSE CAST({_q(c)} AS DOUBLE) END" for c in cols}
     else:
         final = outs
-    return j.select(*[final[c].alias(c) if c in final else F.col(c) for c in df.columns])
+    return j.selectExpr(*[f"{final[c]} AS {_q(c)}" if c in final else _q(c) for c in df.columns])
 
 
 def zscore_normalize(df: DataFrame, exclude=("pass_rate",), partition_by=None,

@@ -56,12 +56,14 @@ def add_group_stats(df: DataFrame, key: str = "repo_name", columns=None,
     """``<col>_min/_max/_mean`` of every numeric column per ``key``,
     attached to each row (grouped aggregate joined back on the key)."""
     cols = columns or [c for c in numeric_columns(df) if c not in ("pass_rate",)]
-    fns = {"min": F.min, "max": F.max, "mean": F.avg}
+    fns = {"min": "min({})", "max": "max({})", "mean": "avg({})"}
     aggs = []
     for c in cols:
         for s in stats:
-            v = fns[s](F.col(c))
-            aggs.append((_round(v, digits) if s == "mean" else v).alias(f"{c}_{s}"))
+            v = fns[s].format(f"`{c}`")
+            if s == "mean" and digits is not None:
+                v = f"bround({v}, {digits})"
+            aggs.append(F.expr(f"{v} AS `{c}_{s}`"))
     g = df.groupBy(key).agg(*aggs)
     return df.join(g, key, "left")
 
@@ -114,27 +116,22 @@ def describe(records: DataFrame, columns=None) -> DataFrame:
     its state is a value->count map, bounded by the distinct rounded values.
     """
     cols = columns or [f"{s}_{m}" for m in PAIR_METRICS for s in ("original", "updated")]
-    base = pair_columns(records.select(*[F.bround(F.col(c).cast("double"), 1).alias(c) for c in cols]))
+    base = pair_columns(records.selectExpr(*[f"bround(CAST(`{c}` AS DOUBLE), 1) AS `{c}`" for c in cols]))
     base = shorten_names(base, style="describe")
     names = base.columns
     aggs = []
     for i, c in enumerate(names):
-        x = F.col(f"`{c}`")
-        aggs += [F.count(x).cast("double").alias(f"_c{i}"), F.avg(x).alias(f"_m{i}"),
-                 F.stddev_samp(x).alias(f"_s{i}"), F.min(x).alias(f"_lo{i}"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q{i}"),
-                 F.max(x).alias(f"_hi{i}")]
-    one = base.agg(*aggs)
-
-    def stat(s: str, i: int) -> Column:
-        return {"count": F.col(f"_c{i}"), "mean": F.col(f"_m{i}"), "std": F.col(f"_s{i}"),
-                "min": F.col(f"_lo{i}"), "25%": F.col(f"_q{i}")[0], "50%": F.col(f"_q{i}")[1],
-                "75%": F.col(f"_q{i}")[2], "max": F.col(f"_hi{i}")}[s]
-
-    rows = F.array(*[F.struct(F.lit(s).alias("statistic"),
-                              *[F.bround(stat(s, i), 1).alias(c) for i, c in enumerate(names)])
-                     for s in DESCRIBE_STATS])
-    return one.select(F.explode(rows).alias("_r")).select("_r.*")
+        x = f"`{c}`"
+        aggs += [f"CAST(count({x}) AS DOUBLE) AS _c{i}", f"avg({x}) AS _m{i}", f"stddev_samp({x}) AS _s{i}",
+                 f"min({x}) AS _lo{i}", f"percentile({x}, array(0.25, 0.5, 0.75)) AS _q{i}", f"max({x}) AS _hi{i}"]
+    one = base.selectExpr(*aggs)
+    stat = {"count": "_c{i}", "mean": "_m{i}", "std": "_s{i}", "min": "_lo{i}", "25%": "_q{i}[0]",
+            "50%": "_q{i}[1]", "75%": "_q{i}[2]", "max": "_hi{i}"}
+    rows = ", ".join(
+        "named_struct('statistic', '" + s + "', "
+        + ", ".join(f"'{c}', bround({stat[s].format(i=i)}, 1)" for i, c in enumerate(names)) + ")"
+        for s in DESCRIBE_STATS)
+    return one.selectExpr(f"explode(array({rows})) AS _r").select("_r.*")
 
 
 # ---------------------------------------------------------------- I5 / I6 / I7

@@ -60,7 +60,8 @@ M = list(cm.PAIR_METRICS)
 
 @register("records", W(REC, f"SELECT {REC_COLS} FROM records"))
 def q_records(spark, sf):
-    return P.records(spark, sf)
+    """Stage 2: transcripts -> pairs -> metrics, written once as the records table."""
+    return P.records_table(spark, sf)
 
 
 @register("records_stream", W(REC, f"SELECT {REC_COLS} FROM records"))

@@ -26,6 +26,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Python call-site capture on every DataFrame API call (for error
+    # messages) costs more than the JVM round trip itself on wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 # Only applied when this module starts the JVM (local runs: tests, bench).
