@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_, fenced_blocks, has_fence, unescape_whitespace
-from .ordinals import running_total
+from .ordinals import running_totals
 
 # The sentence that replaces a fence inside a prompt, and the
 # language tag removed from answer blocks.
@@ -93,14 +93,21 @@ def zip_pairs(messages: DataFrame, strip_tokens=DEFAULT_STRIP_TOKENS) -> DataFra
 
     An extra block in one user message shifts every later pair of that
     session, as in the original tool.  Ordinals come from two-level running
-    totals, so a huge session is not ranked in one task.
+    totals, so a huge session is not ranked in one task.  Runs a job: the
+    answered turns are written to the checkpoint folder first.
     """
-    turns = filter_answered(pair_turns(messages)).select(
+    from ..session import materialize
+    # The answered turns are read three times below (ordinals, blocks,
+    # answers): write them once so the pairing join runs once.
+    turns = materialize(filter_answered(pair_turns(messages)).select(
         "session_id", "idx", "prompt", user_blocks("user_content").alias("_blocks"),
-        merge_answer_blocks("answer_content", strip_tokens).alias("updated_code"))
-    turns = turns.withColumn("_nb", F.size("_blocks")).withColumn("_one", F.lit(1))
-    turns = running_total(turns, ["session_id"], "idx", "_nb", "_block_base")
-    turns = running_total(turns, ["session_id"], "idx", "_one", "_answer_ord")
+        merge_answer_blocks("answer_content", strip_tokens).alias("updated_code")), "zip-turns")
+    # Ordinals come from a narrow (session_id, idx, counts) projection and
+    # are joined back once; the wide texts are not carried through the
+    # running totals.
+    narrow = turns.select("session_id", "idx", F.size("_blocks").alias("_nb"), F.lit(1).alias("_one"))
+    ords = running_totals(narrow, ["session_id"], "idx", {"_nb": "_block_base", "_one": "_answer_ord"})
+    turns = turns.join(ords.select("session_id", "idx", "_block_base", "_answer_ord"), ["session_id", "idx"])
     originals = turns.select("session_id", F.posexplode("_blocks").alias("_pos", "original_block"),
                              "_block_base").select(
         "session_id", (F.col("_block_base") + F.col("_pos")).alias("_ord"), "original_block")

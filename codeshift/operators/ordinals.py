@@ -12,31 +12,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, part_cols: list[str], order_col: str, value_col: str,
-                  out_col: str, chunk: int = 4096, inclusive: bool = False) -> DataFrame:
-    """Add ``out_col`` = sum of ``value_col`` over earlier rows of the same group.
+def running_totals(df: DataFrame, part_cols: list[str], order_col: str, values: dict[str, str],
+                   chunk: int = 4096, inclusive: bool = False) -> DataFrame:
+    """Add, for each ``value_col -> out_col`` of ``values``, the sum of
+    ``value_col`` over earlier rows of the same group (by ``order_col``).
 
     Two levels, so that no task sees more than ``chunk`` consecutive order
     values of one group: rows are cut into chunks of ``order_col div chunk``;
     chunk totals (one row per chunk, partial aggregation before the shuffle)
     get an exclusive prefix sum per group; rows get a prefix sum inside their
-    chunk.  ``order_col`` must be an integer column (a message index).
+    chunk.  ``order_col`` must be an integer column (a message index).  Pass
+    a narrow frame: it is read twice (chunk totals and row sums).
     """
-    ck = F.floor(F.col(order_col) / F.lit(chunk)).alias("_chunk")
-    keyed = df.withColumn("_chunk", ck)
-    totals = keyed.groupBy(*part_cols, "_chunk").agg(F.sum(value_col).alias("_chunk_total"))
+    keyed = df.withColumn("_chunk", F.floor(F.col(order_col) / F.lit(chunk)))
+    totals = keyed.groupBy(*part_cols, "_chunk").agg(
+        *[F.sum(v).alias(f"_t_{o}") for v, o in values.items()])
     w_chunks = (Window.partitionBy(*part_cols).orderBy("_chunk")
                 .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*part_cols, "_chunk",
-                            F.coalesce(F.sum("_chunk_total").over(w_chunks), F.lit(0)).alias("_offset"))
+    offsets = totals.select(*part_cols, "_chunk", *[
+        F.coalesce(F.sum(f"_t_{o}").over(w_chunks), F.lit(0)).alias(f"_off_{o}") for o in values.values()])
     hi = 0 if inclusive else -1
     w_rows = (Window.partitionBy(*part_cols, "_chunk").orderBy(order_col)
               .rowsBetween(Window.unboundedPreceding, hi))
-    inner = F.coalesce(F.sum(value_col).over(w_rows), F.lit(0))
-    return (keyed.withColumn("_inner", inner)
-            .join(offsets, [*part_cols, "_chunk"], "left")
-            .withColumn(out_col, (F.col("_offset") + F.col("_inner")).cast("long"))
-            .drop("_chunk", "_inner", "_offset"))
+    inner = keyed.select("*", *[F.coalesce(F.sum(v).over(w_rows), F.lit(0)).alias(f"_in_{o}")
+                                for v, o in values.items()])
+    j = inner.join(offsets, [*part_cols, "_chunk"], "left")
+    return j.select(*df.columns, *[(F.col(f"_off_{o}") + F.col(f"_in_{o}")).cast("long").alias(o)
+                                   for o in values.values()])
+
+
+def running_total(df: DataFrame, part_cols: list[str], order_col: str, value_col: str,
+                  out_col: str, chunk: int = 4096, inclusive: bool = False) -> DataFrame:
+    """One running total; see ``running_totals``."""
+    return running_totals(df, part_cols, order_col, {value_col: out_col}, chunk, inclusive)
 
 
 def first_appearance_index(df: DataFrame, key: str, order_cols: list[str],
