@@ -64,6 +64,12 @@ def q_records(spark, sf):
     return P.records_table(spark, sf)
 
 
+@register("assemble_records", W(REC, f"SELECT {REC_COLS} FROM records"))
+def q_assemble_records(spark, sf):
+    """D11 computed lazily from the pairs (no stage table)."""
+    return cm.assemble_records(P.pairs(spark, sf), include_header=True, distance="levenshtein", fold=True)
+
+
 @register("records_stream", W(REC, f"SELECT {REC_COLS} FROM records"))
 def q_records_stream(spark, sf):
     """Transcripts written as files (B2), then stage 2 as a Structured
@@ -716,6 +722,12 @@ for _key, _suffix in (("prompt_id", "prompt"), ("language", "language"), ("repo_
     register(f"category_table_{_suffix}", _category_sql(_key))(_mk_cat(_key))
 
 
+@register("category_table", _category_sql("prompt_id"))
+def q_category_table(spark, sf):
+    """I5 under its inventory name: the per-prompt table (the reference's first category)."""
+    return rp.category_table(P.scored(spark, sf), "prompt_id", P.design_size(spark, sf))
+
+
 @register("category_counts", W(SCORED, "SELECT language, CAST(count(*) AS BIGINT) AS num_elements, false AS is_total FROM scored "
                                        "WHERE language IS NOT NULL GROUP BY language UNION ALL "
                                        "SELECT NULL, CAST(count(*) AS BIGINT), true FROM scored WHERE language IS NOT NULL"))
@@ -742,6 +754,12 @@ for _key, _suffix in (("prompt_id", "prompt"), ("language", "language"), ("repo_
     register(f"category_pct_change_{_suffix}", _pct_sql(_key))(_mk_pct(_key))
 
 
+@register("category_pct_change", _pct_sql("prompt_id"))
+def q_category_pct_change(spark, sf):
+    """I7 under its inventory name: per prompt."""
+    return rp.category_pct_change(P.scored(spark, sf), "prompt_id", P.design_size(spark, sf))
+
+
 BASE_COLS = ["pass_rate"] + M
 B8_SQL = W(SCORED + [
     "f AS (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY session_id, idx) AS rn FROM scored WHERE pass_rate = 100)"],
@@ -872,11 +890,13 @@ def q_change_matrix(spark, sf):
     return rp.change_matrix(P.scored(spark, sf), digits=6)
 
 
-def _feature_sql() -> str:
+def _feature_sql(order_only: bool = False) -> str:
     feats = cols.feature_order(["pass_rate"] + cm.metric_columns())
     sel = " UNION ALL ".join(
         f"SELECT repo_name, prompt_id, '{f}' AS feature, {i} AS ord, round_even(avg(CAST({f} AS DOUBLE)), 6) AS value FROM r "
         "GROUP BY repo_name, prompt_id" for i, f in enumerate(feats))
+    if order_only:
+        sel = f"SELECT DISTINCT feature, ord FROM ({sel})"
     return W(SCORED + ["r AS (SELECT * REPLACE (pass_rate * (SELECT count(DISTINCT prompt_id) FROM scored) / 100 AS pass_rate) "
                        "FROM scored WHERE prompt_id IS NOT NULL)"], sel)
 
@@ -887,6 +907,15 @@ def q_feature_distribution(spark, sf):
         "session_id", "idx", "repo_name", "prompt_id", "pass_rate", *cm.metric_columns()), digits=6)
 
 
+@register("feature_order", _feature_sql(order_only=True))
+def q_feature_order(spark, sf):
+    """The paired feature order (last ``_`` part, then name; pass rate
+    last) of the features present in the I16 output."""
+    fd = rp.feature_distribution(P.scored(spark, sf).select(
+        "session_id", "idx", "repo_name", "prompt_id", "pass_rate", *cm.metric_columns()), digits=6)
+    return fd.select("feature", "ord").distinct()
+
+
 @register("distinct_keys", W(SCORED, "SELECT DISTINCT repo_name, language FROM scored"))
 def q_distinct_keys(spark, sf):
     return rp.distinct_keys(P.scored(spark, sf), ["repo_name", "language"])
