@@ -679,6 +679,21 @@ def q_minmax(spark, sf):
     return nz.minmax_normalize(_lineitem(spark, sf), columns=LI_COLS)
 
 
+def _keyed_minmax_sql() -> str:
+    stats = ", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in LI_COLS)
+    expr = {c: f"({c} - a_{c}) / nullif(b_{c} - a_{c}, 0)" for c in LI_COLS}
+    ok = " AND ".join(f"({expr[c]}) IS NOT NULL AND NOT isnan({expr[c]})" for c in LI_COLS)
+    sel = ", ".join(f"CASE WHEN {ok} THEN {expr[c]} ELSE CAST({c} AS DOUBLE) END AS {c}" for c in LI_COLS)
+    return W([f"s AS (SELECT l_returnflag, {stats} FROM lineitem GROUP BY l_returnflag)"],
+             f"SELECT l_orderkey, l_linenumber, l_returnflag, {sel} FROM lineitem JOIN s USING (l_returnflag)")
+
+
+@register("minmax_normalize_by_key", _keyed_minmax_sql())
+def q_minmax_by_key(spark, sf):
+    """H2 per key (the per-repository form used by I13), untruncated."""
+    return nz.minmax_normalize(_lineitem(spark, sf), columns=LI_COLS, partition_by="l_returnflag", truncate=False)
+
+
 # ================================================================ I: reports
 
 STAT_COLS = [f"{c}_{s}" for c in cm.metric_columns() for s in ("min", "max", "mean")]

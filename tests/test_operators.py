@@ -201,3 +201,24 @@ def test_prompts_parse(spark):
     text = "Prompts to test:\n\n- first  \n\n-----\n\n- second\n"
     got = src.parse_prompts(spark.createDataFrame([("f", text)], "f string, text string")).collect()
     assert [(r["prompt_ord"], r["prompt"]) for r in got] == [(0, "first"), (1, "second")]
+
+
+def test_chat_json_round_trip_edges(spark, tmp_path):
+    from codeshift.sinks.files import write_chat_json
+    rows = [(1, 0, "user", "only", "p"), (2, 0, "system", 's"q', ""), (2, 1, "user", "a\nb\t[c]", "p"),
+            (2, 2, "assistant", "x,]", "")]
+    out = str(tmp_path / "chats")
+    write_chat_json(_messages(spark, rows), out, model="m", run_ts="2024-01-01_10-00")
+    back = src.scan_chat_json(spark, out).select(F.col("session_id").cast("long"), F.col("idx").cast("long"),
+                                                 "role", "content", "prompt")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+
+
+def test_transcript_turns_in_array(spark):
+    from codeshift.streaming.transcripts import records_from_files
+    js = ('[{"role":"system","content":"s"},{"role":"user","content":"```\\n // a.cs\\n // 1/2\\n // u/r\\n // c#\\nx;\\n```","prompt":"p"},'
+          '{"role":"assistant","content":"```y;```"},{"role":"user","content":"```z```","prompt":"q"}]')
+    files = spark.createDataFrame([(js, "/d/session_id=7/f.txt")], "value string, file_path string")
+    r = records_from_files(files, F.lit("7")).collect()
+    assert len(r) == 1
+    assert (r[0]["idx"], r[0]["repo_name"], r[0]["updated_code"], r[0]["original_code"]) == (1, "r", "y;", "x;")
