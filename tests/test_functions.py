@@ -125,3 +125,15 @@ def test_complexity(spark):
 def test_python_raw_profile(spark):
     r = one(spark, [("# c\n\nx = 1\n  # d",)], "c string", python_raw_profile("c").alias("p"))[0]["p"]
     assert (r["loc"], r["sloc"], r["comments"], r["blank"]) == (4, 1, 2, 1)
+
+
+def test_run_distance_equals_ndiff_walk():
+    from codeshift.functions.distance import run_distance_ndiff
+    rnd = random.Random(11)
+    for _ in range(600):
+        alpha = rnd.choice(["ab", "abc \n", "abcdefg \t", "xyz", "aaaab "])
+        a = "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, rnd.choice([10, 60, 300]))))
+        b = "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, rnd.choice([10, 60, 300]))))
+        if rnd.random() < 0.3 and a:
+            b = a[: rnd.randint(0, len(a))] + b + a[rnd.randint(0, len(a)):]
+        assert run_distance(a, b) == run_distance_ndiff(a, b), (a, b)
