@@ -48,21 +48,24 @@ def running_total(df: DataFrame, part_cols: list[str], order_col: str, value_col
 
 
 def first_appearance_index(df: DataFrame, key: str, order_cols: list[str],
-                           out_col: str, local_limit: int = 1_000_000) -> DataFrame:
+                           out_col: str, local_limit: int = 1_000_000, with_size: bool = False):
     """Dictionary ``(key, out_col)``: 0-based rank of each distinct ``key`` by
     the smallest ``order_cols`` tuple it appears with.
 
     The distinct keys are found with a partial aggregate.  When there are at
     most ``local_limit`` of them (checked with a count) one task ranks them;
     beyond that the ranking is range-partitioned and per-partition offsets
-    are added, so no single task sorts the whole dictionary.
+    are added, so no single task sorts the whole dictionary.  ``with_size``
+    also returns the checked number of keys.
     """
     first = df.groupBy(key).agg(F.min(F.struct(*order_cols)).alias("_first"))
     n = first.count()
     if n <= local_limit:
         w = Window.orderBy("_first", key)
-        return first.select(key, (F.row_number().over(w) - 1).cast("int").alias(out_col))
-    return global_rank(first, ["_first", key], out_col).select(key, out_col)
+        out = first.select(key, (F.row_number().over(w) - 1).cast("int").alias(out_col))
+    else:
+        out = global_rank(first, ["_first", key], out_col).select(key, out_col)
+    return (out, n) if with_size else out
 
 
 def global_rank(df: DataFrame, order_cols: list[str], out_col: str,

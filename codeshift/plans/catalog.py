@@ -606,6 +606,18 @@ def q_label_prompts(spark, sf):
     return cols.label_prompts(cols.encode_prompts(r)).select("session_id", "idx", "prompt_ord", "prompt_id")
 
 
+PARTIAL_LABELS = {k: v for k, v in cols.PROMPT_LABELS.items() if k != 7}
+
+
+@register("label_prompts_partial", W(SCORED, "SELECT session_id, idx, prompt_ord, CASE prompt_ord " + " ".join(
+    f"WHEN {k} THEN {O.lit(v)}" for k, v in PARTIAL_LABELS.items()) + " END AS prompt_id FROM lab"))
+def q_label_prompts_partial(spark, sf):
+    """G2 with id 7 left out of the label map (FIXTURES): ids without a label give NULL."""
+    r = ex.clean_prompts(P.records_table(spark, sf))
+    return cols.label_prompts(cols.encode_prompts(r), labels=PARTIAL_LABELS).select(
+        "session_id", "idx", "prompt_ord", "prompt_id")
+
+
 @register("drop_columns_with", W(REC, "SELECT COLUMNS(lambda c: NOT (c LIKE '%code%' OR c LIKE '%distance%')) FROM records"))
 def q_drop_columns_with(spark, sf):
     return cols.drop_columns_with(P.records_table(spark, sf), ["code", "distance"])
