@@ -803,7 +803,7 @@ def q_baseline_row(spark, sf):
 def _b9_ctes(src: str, part: str, digits=None) -> list[str]:
     rd = (lambda x: f"round_even({x}, {digits})") if digits is not None else (lambda x: x)
     avgs = ", ".join((f"CAST(NULL AS DOUBLE) AS {m}" if m in rp.NULL_IN_BASELINE else
-                      ("-1.0 AS cyclomatic_complexity" if m == "cyclomatic_complexity" else
+                      ("CAST(-1 AS DOUBLE) AS cyclomatic_complexity" if m == "cyclomatic_complexity" else
                        (rd(f"avg(CASE WHEN LOC = 0 THEN -1.0 ELSE comment / LOC END)") + " AS comment_per_LOC"
                         if m == "comment_per_LOC" else rd(f"avg(CAST({m} AS DOUBLE))") + f" AS {m}")))
                      for m in BASE_COLS)
