@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_, lines_of, py_rstrip, py_strip
+from .text import col_, py_rstrip, py_strip
 
 # Language -> build command.
 RUN_COMMANDS = {"c#": "dotnet build", "c++": "make"}

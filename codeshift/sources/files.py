@@ -26,7 +26,6 @@ MESSAGE_SCHEMA = T.ArrayType(T.StructType([
 ]))
 
 _METRIC_NAMES = ("LOC", "comment", "blank", "chars", "tokens")
-_TAIL = ("levenshtein_distance", "syntactic_similarity", "cyclomatic_complexity")
 
 
 def _record_json_fields() -> list[T.StructField]:

@@ -5,7 +5,6 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from codeshift.functions import (cyclomatic_complexity, decision_points, edit_distance,
                                  edit_similarity, escape_whitespace, fenced_blocks, line_profile,

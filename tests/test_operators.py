@@ -3,7 +3,6 @@
 import random
 
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from codeshift.operators import extract as ex
