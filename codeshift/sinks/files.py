@@ -36,7 +36,8 @@ def write_chat_json(messages: DataFrame, path: str, model: str, run_ts: str,
     the session's first and last index (from a grouped aggregate joined
     back), so a session is streamed through its writer task row by row and
     never gathered into one value.  The rows form a valid JSON array because
-    newlines between elements are whitespace.
+    newlines between elements are whitespace.  Earlier runs stay: only the
+    (session, model, run_ts) partitions being written are replaced.
     """
     bounds = messages.groupBy(session_col).agg(F.min("idx").alias("_lo"), F.max("idx").alias("_hi"))
     elem = F.to_json(F.struct("role", "content", "prompt"))
@@ -46,7 +47,8 @@ def write_chat_json(messages: DataFrame, path: str, model: str, run_ts: str,
      .select(session_col, "idx", F.lit(model).alias("model"), F.lit(run_ts).alias("run_ts"), line.alias("value"))
      .repartition(session_col).sortWithinPartitions(session_col, "model", "run_ts", "idx")
      .select(session_col, "model", "run_ts", "value")
-     .write.mode("overwrite").partitionBy(session_col, "model", "run_ts").text(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(session_col, "model", "run_ts").text(path))
 
 
 def write_records(records: DataFrame, path: str, fmt: str = "parquet",
