@@ -56,7 +56,10 @@ def _input_versions(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) ->
 def stage_output(spark: SparkSession, sf_dir: str, name: str, params: tuple, inputs: tuple[str, ...],
                  build) -> DataFrame:
     """Write ``build()`` once per application and input version; reuse it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name, params, _input_versions(spark, sf_dir, inputs))
+    try:
+        key = (spark.sparkContext.applicationId, sf_dir, name, params, _input_versions(spark, sf_dir, inputs))
+    except Exception:  # no JVM access (e.g. Spark Connect): no reuse, write each time
+        return materialize(build(), name)
     path = _STAGES.get(key)
     if path is not None:
         try:

@@ -59,23 +59,42 @@ def build_session(master: str | None = None, app_name: str = "codeshift",
     return spark
 
 
-def _configured_checkpoint_dir(spark: SparkSession) -> str | None:
-    sc = spark.sparkContext
+def _context(spark: SparkSession):
+    """The SparkContext, or None where the session has none (Spark Connect)."""
     try:
-        d = sc.getCheckpointDir()
-    except Exception:  # older API
-        d = None
-    if d:
-        return d
-    d = sc.getConf().get("spark.checkpoint.dir", None)
-    if d:
-        return d
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
+def _configured_checkpoint_dir(spark: SparkSession) -> str | None:
+    sc = _context(spark)
+    if sc is not None:
+        try:
+            d = sc.getCheckpointDir()
+        except Exception:  # older API
+            d = None
+        if d:
+            return d
+        d = sc.getConf().get("spark.checkpoint.dir", None)
+        if d:
+            return d
     try:
         return spark.conf.get("spark.checkpoint.dir")
     except Exception:
         return None
 
 
+def _master(spark: SparkSession) -> str:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.master or ""
+    try:
+        return spark.conf.get("spark.master")
+    except Exception:
+        return ""
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only when it is unset.
 
@@ -83,21 +102,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is.  Only a local-mode session (tests, the bench) without the setting gets
     a fresh folder under the system temp directory.
     """
+    sc = _context(spark)
     d = _configured_checkpoint_dir(spark)
     if d:
-        sc = spark.sparkContext
         try:
-            if not sc.getCheckpointDir():
+            if sc is not None and not sc.getCheckpointDir():
                 sc.setCheckpointDir(d)
         except Exception:
             pass
         return d
-    master = spark.sparkContext.master or ""
-    if not master.startswith("local"):
+    if not _master(spark).startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; configure a shared folder for the cluster")
     d = tempfile.mkdtemp(prefix="codeshift-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
+    if sc is not None:
+        sc.setCheckpointDir(d)
     spark.conf.set("spark.checkpoint.dir", d)
     return d
 

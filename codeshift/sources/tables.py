@@ -28,8 +28,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     the cluster has task slots, so that CPU-heavy per-row work (regexes and
     array functions over long texts) uses every core.  A large input already
     arrives in many splits and is left as it is (no extra shuffle)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD access (e.g. Spark Connect): leave the input as it is
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
