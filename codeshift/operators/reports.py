@@ -151,6 +151,12 @@ def category_table(df: DataFrame, key: str, design_size, keywords=CATEGORY_KEYWO
     d, per_key = _category_base(df, key, design_size)
     keep = [c for c in numeric_columns(d, exclude=tuple(ID_COLUMNS) + ("_nkeys", "_design"))
             if any(k in c for k in keywords) and c not in (key, "pass_rate")]
+    # Pairwise order (original next to updated), as the published tables.
+    def pair_key(c: str):
+        side, _, metric = c.partition("_")
+        rank = PAIR_METRICS.index(metric) if metric in PAIR_METRICS else len(PAIR_METRICS)
+        return (rank, side != "original", c)
+    keep = sorted(keep, key=pair_key)
     g = d.groupBy(key).agg(F.count(F.lit(1)).alias("num_elements"), F.max(per_key).alias("_per_key"),
                            *[F.avg(c).alias(c) for c in keep])
     return g.select(key, F.bround(F.col("num_elements") / F.col("_per_key"), digits).alias("pass_rate"),
