@@ -342,7 +342,7 @@ def q_unescape(spark, sf):
 
 
 @register("parse_completion", W(MSG, "SELECT session_id, idx, 'assistant' AS role, " + O.strip("content")
-                                     + " AS content FROM session_messages WHERE role = 'assistant' AND session_id % 11 <> 10"))
+                                     + " AS content FROM session_messages WHERE role = 'assistant' AND instr(content, '```') > 0"))
 def q_parse_completion(spark, sf):
     return ss.parse_completion(stored_responses(P.messages(spark, sf)))
 

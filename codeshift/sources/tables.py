@@ -105,15 +105,16 @@ def messages_from(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_responses(messages: DataFrame) -> DataFrame:
     """API responses as they would be stored: one per assistant turn.
 
-    ``status`` is 200 except for every eleventh session (500), ``body`` the
-    JSON text ``{"choices":[{"message":{"content": ...}}]}`` with the answer
-    padded by whitespace (the parser strips it).
+    ``status`` is 500 for answers without any code fence (the request failed
+    to produce code) and 200 otherwise; ``body`` is the JSON text
+    ``{"choices":[{"message":{"content": ...}}]}`` with the answer padded by
+    whitespace (the parser strips it).
     """
     a = messages.filter(F.col("role") == "assistant")
     body = F.to_json(F.struct(F.array(F.struct(F.struct(
         F.concat(F.lit("  "), F.col("content"), F.lit("\n")).alias("content")).alias("message"))
     ).alias("choices")))
-    status = F.when(F.col("session_id") % 11 == 10, F.lit(500)).otherwise(F.lit(200))
+    status = F.when(F.instr(F.col("content"), "```") > 0, F.lit(200)).otherwise(F.lit(500))
     return a.select("session_id", "idx", status.alias("status"), body.alias("body"))
 
 
