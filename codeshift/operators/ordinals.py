@@ -64,7 +64,7 @@ def first_appearance_index(df: DataFrame, key: str, order_cols: list[str],
         w = Window.orderBy("_first", key)
         out = first.select(key, (F.row_number().over(w) - 1).cast("int").alias(out_col))
     else:
-        out = global_rank(first, ["_first", key], out_col).select(key, out_col)
+        out = global_rank(first, ["_first", key], out_col).select(key, F.col(out_col).cast("int").alias(out_col))
     return (out, n) if with_size else out
 
 

@@ -221,3 +221,21 @@ def test_transcript_turns_in_array(spark):
     r = records_from_files(files, F.lit("7")).collect()
     assert len(r) == 1
     assert (r[0]["idx"], r[0]["repo_name"], r[0]["updated_code"], r[0]["original_code"]) == (1, "r", "y;", "x;")
+
+
+def test_dictionary_paths_agree(spark):
+    from codeshift.operators.columns import encode_prompts
+    from codeshift.operators.ordinals import first_appearance_index
+    rnd = random.Random(9)
+    rows = [(rnd.randint(0, 30), i, f"p{rnd.randint(0, 40)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "session_id long, idx long, prompt string")
+    small = {r["prompt"]: r["o"] for r in first_appearance_index(df, "prompt", ["session_id", "idx"], "o").collect()}
+    large = {r["prompt"]: r["o"] for r in first_appearance_index(df, "prompt", ["session_id", "idx"], "o",
+                                                                  local_limit=0).collect()}
+    first = {}
+    for s, i, p in sorted(rows):
+        first.setdefault(p, (s, i))
+    assert small == large == {p: k for k, p in enumerate(sorted(first, key=lambda p: (first[p], p)))}
+    a = {(r["session_id"], r["idx"]): r["prompt_ord"] for r in encode_prompts(df).collect()}
+    b = {(r["session_id"], r["idx"]): r["prompt_ord"] for r in encode_prompts(df, broadcast_limit=0).collect()}
+    assert a == b and len(a) == len(rows)
