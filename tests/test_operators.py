@@ -239,3 +239,52 @@ def test_dictionary_paths_agree(spark):
     a = {(r["session_id"], r["idx"]): r["prompt_ord"] for r in encode_prompts(df).collect()}
     b = {(r["session_id"], r["idx"]): r["prompt_ord"] for r in encode_prompts(df, broadcast_limit=0).collect()}
     assert a == b and len(a) == len(rows)
+
+
+def test_hot_session_brute_force(spark):
+    """One session holds about half of all messages; results must equal a
+    plain-Python positional pairing and zip."""
+    import re
+    from codeshift.operators import ordinals
+    rnd = random.Random(4)
+    rows = []
+    for sid, n in [(0, 1200)] + [(s, rnd.randint(2, 9)) for s in range(1, 150)]:
+        for i in range(n):
+            role = "user" if i % 2 == 0 else "assistant"
+            if role == "user":
+                k = rnd.choice([1, 1, 2])
+                content = " ".join(f"```u{sid}_{i}_{b}```" for b in range(k))
+            else:
+                content = rnd.choice([f"```a{sid}_{i}```", "no code", f"```x``` ```y{i}```"])
+            rows.append((sid, i, role, content, f"p{i % 3}"))
+    m = _messages(spark, rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    want_pairs, want_zip = set(), set()
+    for sid, msgs in by.items():
+        msgs.sort(key=lambda r: r[1])
+        ub, ans = [], []
+        for u, a in zip(msgs, msgs[1:]):
+            if u[2] == "user" and a[2] == "assistant" and "```" in a[3]:
+                blocks = re.findall(r"```(.*?)```", u[3], re.S)
+                merged = "\n".join(re.findall(r"```(.*?)```", a[3], re.S))
+                want_pairs.add((sid, u[1], blocks[0], merged))
+                ub += blocks
+                ans.append((u[1], merged))
+        for o, (idx, merged) in zip(ub, ans):
+            want_zip.add((sid, idx, o, merged))
+    got_pairs = {(r["session_id"], r["idx"], r["original_block"], r["updated_code"])
+                 for r in ex.extract_pairs(m).collect()}
+    assert got_pairs == want_pairs
+    orig = ordinals.running_totals
+    ordinals_chunk = lambda *a, **k: orig(*a, **{**k, "chunk": 64})
+    ex.running_totals = ordinals_chunk  # many chunks inside the hot session
+    try:
+        got_zip = {(r["session_id"], r["idx"], r["original_block"], r["updated_code"])
+                   for r in ex.zip_pairs(m).collect()}
+    finally:
+        ex.running_totals = orig
+    assert got_zip == want_zip
+    s = {r["session_id"]: r for r in ex.extraction_summary(m).collect()}
+    assert s[0]["n_answer_blocks"] == sum(1 for p in want_pairs if p[0] == 0)
