@@ -57,7 +57,7 @@ def sessions_stage(spark: SparkSession, snippets_path: str, prompts_path: str, o
 
 def latest_transcripts(spark: SparkSession, transcripts_path: str, model: str | None = None) -> DataFrame:
     """Messages of the latest run per (session, model) from the layout
-    ``session_id=<s>/model=<m>/run_ts=<yyyy-MM-dd_HH-mm>/`` that
+    ``model=<m>/run_ts=<yyyy-MM-dd_HH-mm>/session_id=<s>/`` that
     ``write_chat_json`` produces.  The latest run is a grouped ``max`` joined
     back (semi join); ``run_ts`` sorts as text because it is zero-padded."""
     files = src._whole_files(spark, transcripts_path)

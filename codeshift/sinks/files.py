@@ -27,28 +27,35 @@ def write_session_markdown(turns: DataFrame, path: str, session_col: str = "sess
      .write.mode("overwrite").partitionBy(session_col).text(path))
 
 
+def _partition_value(v: str) -> str:
+    """A partition folder value; Spark decodes ``%XX`` when it reads it back."""
+    from urllib.parse import quote
+    return quote(v, safe="-_.")
+
+
 def write_chat_json(messages: DataFrame, path: str, model: str, run_ts: str,
                     session_col: str = "session_id") -> None:
-    """B2: one transcript file (a JSON array) per session.  The name parts
-    of ``<session>_<date>_<time>_<model>.json`` are partition columns.
-
-    Each message is written as its own row, framed ``[`` / ``,`` / ``]`` by
-    the session's first and last index (from a grouped aggregate joined
-    back), so a session is streamed through its writer task row by row and
-    never gathered into one value.  The rows form a valid JSON array because
-    newlines between elements are whitespace.  Earlier runs stay: only the
-    (session, model, run_ts) partitions being written are replaced.
+    """B2: one transcript file (a JSON array) per session, in the layout
+    ``model=<m>/run_ts=<yyyy-MM-dd_HH-mm>/<session_col>=<s>/``: the name parts
+    of ``<session>_<date>_<time>_<model>.json`` are partition folders.
+
+    A run is written to its own folder, so writing it again replaces only
+    that run and earlier runs stay.  Each message is its own row, framed
+    ``[`` / ``,`` / ``]`` by the session's first and last index (a grouped
+    aggregate joined back), so a session streams through its writer task row
+    by row and is never gathered into one value; the rows form a valid JSON
+    array because newlines between elements are whitespace.
     """
     bounds = messages.groupBy(session_col).agg(F.min("idx").alias("_lo"), F.max("idx").alias("_hi"))
     elem = F.to_json(F.struct("role", "content", "prompt"))
     line = F.concat(F.when(F.col("idx") == F.col("_lo"), F.lit("[")).otherwise(F.lit(",")), elem,
                     F.when(F.col("idx") == F.col("_hi"), F.lit("]")).otherwise(F.lit("")))
+    run_dir = f"{path.rstrip('/')}/model={_partition_value(model)}/run_ts={_partition_value(run_ts)}"
     (messages.join(bounds, session_col)
-     .select(session_col, "idx", F.lit(model).alias("model"), F.lit(run_ts).alias("run_ts"), line.alias("value"))
-     .repartition(session_col).sortWithinPartitions(session_col, "model", "run_ts", "idx")
-     .select(session_col, "model", "run_ts", "value")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(session_col, "model", "run_ts").text(path))
+     .select(session_col, "idx", line.alias("value"))
+     .repartition(session_col).sortWithinPartitions(session_col, "idx")
+     .select(session_col, "value")
+     .write.mode("overwrite").partitionBy(session_col).text(run_dir))
 
 
 def write_records(records: DataFrame, path: str, fmt: str = "parquet",
