@@ -68,14 +68,37 @@ def latest_transcripts(spark: SparkSession, transcripts_path: str, model: str |
     return src.parse_chat_json(keep.select("session_id", "model", "run_ts", "text"))
 
 
+def latest_named_transcripts(spark: SparkSession, transcripts_path: str, model: str | None = None,
+                             exclude_test: bool = True) -> DataFrame:
+    """Messages of the latest run per (session, model) from a flat folder of
+    files named ``<session>_<yyyy-MM-dd>_<HH-mm>_<model>.json`` (the original
+    tool's naming, with ``-`` instead of ``:`` in the time: Hadoop paths
+    cannot hold a colon).  The latest file per (session, model) is A6, joined
+    back on the file name; ``session_id`` is the session name."""
+    files = src._whole_files(spark, transcripts_path)
+    latest = src.latest_runs(files.select("file_name"), exclude_test=exclude_test)
+    if model is not None:
+        latest = latest.filter(F.col("model").contains(model))
+    keep = files.join(latest.select("file_name", F.col("session").alias("session_id"), "model"), "file_name")
+    return src.parse_chat_json(keep.select("session_id", "model", "file_name", "text"))
+
+
 def metrics_stage(spark: SparkSession, transcripts_path: str, out_path: str, model: str | None = None,
-                  include_header: bool = True, distance: str = "levenshtein", fmt: str = "parquet") -> DataFrame:
+                  include_header: bool = True, distance: str = "levenshtein", fmt: str = "parquet",
+                  layout: str = "folders") -> DataFrame:
     """Transcripts -> pairs -> per-pair metrics -> records, written to
-    ``out_path``; returns the written table."""
+    ``out_path``; returns the written table.  ``layout='folders'`` reads
+    ``write_chat_json`` output, ``layout='names'`` a flat folder of
+    transcript files named as the original tool named them."""
     ensure_checkpoint_dir(spark)
-    msgs = latest_transcripts(spark, transcripts_path, model).select(
-        F.col("session_id").cast("long").alias("session_id"), F.col("idx").cast("long").alias("idx"),
-        "role", "content", F.coalesce(F.col("prompt"), F.lit("")).alias("prompt"))
+    if layout == "names":
+        raw = latest_named_transcripts(spark, transcripts_path, model)
+        sid = F.col("session_id")
+    else:
+        raw = latest_transcripts(spark, transcripts_path, model)
+        sid = F.col("session_id").cast("long")
+    msgs = raw.select(sid.alias("session_id"), F.col("idx").cast("long").alias("idx"),
+                      "role", "content", F.coalesce(F.col("prompt"), F.lit("")).alias("prompt"))
     records = assemble_records(extract_pairs(msgs), include_header=include_header, distance=distance)
     sinks.write_records(records, out_path, fmt=fmt)
     return spark.read.format(fmt).load(out_path) if fmt != "json" else src.scan_records(spark, out_path)
@@ -133,6 +156,7 @@ def main(argv=None) -> None:
     m.add_argument("out")
     m.add_argument("--model")
     m.add_argument("--distance", default="levenshtein", choices=["levenshtein", "ndiff"])
+    m.add_argument("--layout", default="folders", choices=["folders", "names"])
     r = sub.add_parser("reports")
     r.add_argument("records")
     r.add_argument("out")
@@ -143,7 +167,7 @@ def main(argv=None) -> None:
     if a.stage == "sessions":
         sessions_stage(spark, a.snippets, a.prompts, a.out, one_session=a.one_session)
     elif a.stage == "metrics":
-        metrics_stage(spark, a.transcripts, a.out, model=a.model, distance=a.distance)
+        metrics_stage(spark, a.transcripts, a.out, model=a.model, distance=a.distance, layout=a.layout)
     else:
         print(reports_stage(spark, spark.read.parquet(a.records), a.out, a.design_size, extended=a.extended))
     spark.stop()

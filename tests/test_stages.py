@@ -57,3 +57,22 @@ def test_metrics_and_reports_stage(spark, tmp_path):
     assert sorted(mapping.values()) == list(range(len(mapping)))
     for name in ("table_abs", "heatmap", "multibar"):
         assert spark.read.option("header", True).csv(written[name]).count() > 0
+
+
+def test_metrics_stage_named_files(spark, tmp_path):
+    d = tmp_path / "output"
+    d.mkdir()
+    block = "```\\n // src/a.cs\\n // 1/2\\n // https://x.org/o/rep\\n // c#\\nint x;\\n```"
+    def chat(answer):
+        return json.dumps([{"role": "system", "content": "s"},
+                           {"role": "user", "content": block.replace("\\\\n", "\\n"), "prompt": "Fix it.\\n"},
+                           {"role": "assistant", "content": answer}])
+    (d / "code_snippets_2024-06-03_17-28_codellama-7b-it.json").write_text(chat("```old```"))
+    (d / "code_snippets_2024-06-04_09-15_codellama-7b-it.json").write_text(chat("```new;```"))
+    (d / "code_snippets_2024-06-05_10-00_codellama-7b-it_test.json").write_text(chat("```test```"))
+    (d / "other_snippets_2024-06-01_08-00_codellama-7b-it.json").write_text(chat("```o```"))
+    got = stages.metrics_stage(spark, str(d), str(tmp_path / "rec"), layout="names").collect()
+    by = {r["session_id"]: r for r in got}
+    assert set(by) == {"code_snippets", "other_snippets"}
+    assert by["code_snippets"]["updated_code"] == "new;"
+    assert by["code_snippets"]["repo_name"] == "rep" and by["code_snippets"]["original_code"] == "int x;"
