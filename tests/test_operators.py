@@ -288,3 +288,29 @@ def test_hot_session_brute_force(spark):
     assert got_zip == want_zip
     s = {r["session_id"]: r for r in ex.extraction_summary(m).collect()}
     assert s[0]["n_answer_blocks"] == sum(1 for p in want_pairs if p[0] == 0)
+
+
+def test_pairing_spreads_a_hot_session(spark):
+    """Rows per task after the pairing join: a session with half of all
+    messages spreads over tasks; a lead window would put it in one task."""
+    from pyspark.sql import Window
+    rows = [(0, i, "user" if i % 2 == 0 else "assistant", "```c```", "p") for i in range(4000)]
+    rows += [(s, i, "user" if i % 2 == 0 else "assistant", "```c```", "p") for s in range(1, 1001) for i in range(4)]
+    m = _messages(spark, rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        def share(df, used):
+            # Count a computed column so the window / join is not pruned away.
+            c = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(used).alias("n")).collect()]
+            return max(c) / sum(c)
+        joined = ex.pair_turns(m)
+        w = Window.partitionBy("session_id").orderBy("idx")
+        windowed = m.withColumn("next", F.lead("content").over(w)).filter(F.col("role") == "user")
+        assert share(windowed, "next") >= 0.5          # the hot session lands in one task
+        assert share(joined, "answer_content") < 0.25  # the unique (session_id, idx) key spreads it
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
