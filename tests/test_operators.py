@@ -314,3 +314,23 @@ def test_pairing_spreads_a_hot_session(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
+
+
+def test_running_totals_spread_a_hot_session(spark):
+    from pyspark.sql import Window
+    from codeshift.operators.ordinals import running_totals
+    rows = [(0, i, 1) for i in range(4000)] + [(s, i, 1) for s in range(1, 1001) for i in range(4)]
+    df = spark.createDataFrame(rows, "g long, i long, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        def share(d, used):
+            c = [r["n"] for r in d.groupBy(F.spark_partition_id().alias("p")).agg(F.count(used).alias("n")).collect()]
+            return max(c) / sum(c)
+        plain = df.withColumn("acc", F.sum("v").over(Window.partitionBy("g").orderBy("i")))
+        chunked = running_totals(df, ["g"], "i", {"v": "acc"}, chunk=256)
+        assert share(plain, "acc") >= 0.5
+        assert share(chunked, "acc") < 0.3
+        got = {(r["g"], r["i"]): r["acc"] for r in chunked.filter(F.col("g") == 0).collect()}
+        assert all(got[(0, i)] == i for i in range(4000))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
