@@ -50,8 +50,8 @@ def run_distance(a: str, b: str) -> int:
     cutoff, so the refinement reduces to: sync on the first equal pair (outer
     loop over ``b``, inner over ``a``) and recurse on both sides, else emit
     the block as deletions and insertions.  That search is ``str.find`` here,
-    and the recursion uses an explicit stack.  ``run_distance_ndiff`` is the
-    direct walk over ``ndiff`` output; tests check that both agree.
+    and the recursion uses an explicit stack.  The tests compare it with a
+    direct reading of the ``ndiff`` output.
     """
     from difflib import SequenceMatcher
 
@@ -88,23 +88,6 @@ def run_distance(a: str, b: str) -> int:
     return total + (ins if ins > dels else dels)
 
 
-def run_distance_ndiff(a: str, b: str) -> int:
-    """The same distance by walking the ``ndiff`` output (slow on long texts)."""
-    from difflib import ndiff
-
-    total = ins = dels = 0
-    for item in ndiff(a, b):
-        tag = item[0]
-        if tag == " ":
-            total += ins if ins > dels else dels
-            ins = dels = 0
-        elif tag == "+":
-            ins += 1
-        elif tag == "-":
-            dels += 1
-    return total + (ins if ins > dels else dels)
-
-
 @F.pandas_udf(T.LongType())
 def _ndiff_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     out = [None if (x is None or y is None) else run_distance(x, y) for x, y in zip(a, b)]

@@ -13,7 +13,7 @@ from codeshift.functions import (cyclomatic_complexity, decision_points, edit_di
 from codeshift.functions.header import header_fields
 from codeshift.operators.extract import merge_answer_blocks
 
-from .reference_rules import levenshtein, profile
+from .reference_rules import levenshtein, ndiff_walk_distance, profile
 
 
 def one(spark, rows, schema, *cols):
@@ -127,7 +127,6 @@ def test_python_raw_profile(spark):
 
 
 def test_run_distance_equals_ndiff_walk():
-    from codeshift.functions.distance import run_distance_ndiff
     rnd = random.Random(11)
     for _ in range(600):
         alpha = rnd.choice(["ab", "abc \n", "abcdefg \t", "xyz", "aaaab "])
@@ -135,4 +134,4 @@ def test_run_distance_equals_ndiff_walk():
         b = "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, rnd.choice([10, 60, 300]))))
         if rnd.random() < 0.3 and a:
             b = a[: rnd.randint(0, len(a))] + b + a[rnd.randint(0, len(a)):]
-        assert run_distance(a, b) == run_distance_ndiff(a, b), (a, b)
+        assert run_distance(a, b) == ndiff_walk_distance(a, b), (a, b)
