@@ -943,6 +943,28 @@ def q_feature_order(spark, sf):
     return fd.select("feature", "ord").distinct()
 
 
+@register("describe_events", W([
+    "b AS (SELECT round_even(value, 1) AS value FROM events)"], " UNION ALL ".join(
+    f"SELECT '{name}' AS statistic, round_even({expr}, 1) AS value FROM b" for name, expr in [
+        ("count", "CAST(count(value) AS DOUBLE)"), ("mean", "avg(value)"), ("std", "stddev_samp(value)"),
+        ("min", "min(value)"), ("25%", "quantile_cont(value, 0.25)"), ("50%", "quantile_cont(value, 0.5)"),
+        ("75%", "quantile_cont(value, 0.75)"), ("max", "max(value)")])))
+def q_describe_events(spark, sf):
+    """I4 on a continuous column (``events.value``): exact quartiles."""
+    return rp.describe(load_table(spark, sf, "events"), columns=["value"])
+
+
+@register("add_group_stats_events", W([
+    "g AS (SELECT event_type, min(value) AS value_min, max(value) AS value_max, "
+    "round_even(avg(value), 6) AS value_mean FROM events GROUP BY event_type)"],
+    "SELECT e.event_id, e.event_type, e.value, g.value_min, g.value_max, g.value_mean "
+    "FROM events e LEFT JOIN g USING (event_type)"))
+def q_add_group_stats_events(spark, sf):
+    """I1 keyed by ``event_type`` on the events table."""
+    ev = load_table(spark, sf, "events").select("event_id", "event_type", "value")
+    return rp.add_group_stats(ev, key="event_type", columns=["value"], digits=6)
+
+
 @register("distinct_keys", W(SCORED, "SELECT DISTINCT repo_name, language FROM scored"))
 def q_distinct_keys(spark, sf):
     return rp.distinct_keys(P.scored(spark, sf), ["repo_name", "language"])

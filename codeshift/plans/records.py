@@ -117,3 +117,13 @@ def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage 1: every snippet x prompt combination rendered as a user turn."""
     c = cross_prompts(snippets(spark, sf_dir), prompt_list(spark, sf_dir))
     return c.select("snippet_ord", "prompt_ord", "ord", render_turn(F.col("snippet"), F.col("prompt")).alias("text"))
+
+
+def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Temporary views for SQL users: the transcript view, the pairs, and the
+    written stage tables ``records`` and ``scored``.  Returns the view names."""
+    views = {"session_messages": messages(spark, sf_dir), "pairs": pairs(spark, sf_dir),
+             "records": records_table(spark, sf_dir), "scored": scored(spark, sf_dir)}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return list(views)

@@ -69,3 +69,13 @@ def test_all_queries_against_oracle(spark):
         if sorted(df.columns) != sorted(dcols) or _rows(df.columns, srows) != _rows(dcols, drows):
             failures.append(name)
     assert not failures, failures
+
+
+@needs_data
+def test_sql_views(spark):
+    names = P.register_views(spark, SF001)
+    assert set(names) == {"session_messages", "pairs", "records", "scored"}
+    n = spark.sql("SELECT count(*) AS n FROM records WHERE original_LOC >= 0").first()["n"]
+    assert n == P.pairs(spark, SF001).count()
+    by = spark.sql("SELECT prompt_id, count(*) AS n FROM scored GROUP BY prompt_id").collect()
+    assert sum(r["n"] for r in by) == n
