@@ -107,23 +107,29 @@ def score_records(records: DataFrame, snippet_count=None, group_by: str = "promp
 
 # --------------------------------------------------------------------- I4
 
-def describe(records: DataFrame, columns=None) -> DataFrame:
+def describe(records: DataFrame, columns=None, quantiles: str = "exact",
+             accuracy: int = 100_000) -> DataFrame:
     """I4: count, mean, sample std, min, exact quartiles, max per metric.
 
     Inputs are rounded to one decimal first and every statistic again after.
     Long form: one row per statistic, one column per metric (short names).
-    Quartiles use the exact ``percentile`` aggregate (linear interpolation);
-    its state is a value->count map, bounded by the distinct rounded values.
+    Quartiles use the exact ``percentile`` aggregate (linear interpolation,
+    as pandas); its state is a value->count map, bounded by the distinct
+    rounded values (small for code metrics).  ``quantiles='approx'`` uses
+    ``percentile_approx`` with the given accuracy instead, whose state is a
+    fixed-size sketch, for high-cardinality columns at very large scale.
     """
     cols = columns or [f"{s}_{m}" for m in PAIR_METRICS for s in ("original", "updated")]
     base = pair_columns(records.selectExpr(*[f"bround(CAST(`{c}` AS DOUBLE), 1) AS `{c}`" for c in cols]))
     base = shorten_names(base, style="describe")
     names = base.columns
+    q_fn = ("percentile({x}, array(0.25, 0.5, 0.75))" if quantiles == "exact"
+            else "percentile_approx({x}, array(0.25, 0.5, 0.75), " + str(int(accuracy)) + ")")
     aggs = []
     for i, c in enumerate(names):
         x = f"`{c}`"
         aggs += [f"CAST(count({x}) AS DOUBLE) AS _c{i}", f"avg({x}) AS _m{i}", f"stddev_samp({x}) AS _s{i}",
-                 f"min({x}) AS _lo{i}", f"percentile({x}, array(0.25, 0.5, 0.75)) AS _q{i}", f"max({x}) AS _hi{i}"]
+                 f"min({x}) AS _lo{i}", f"{q_fn.format(x=x)} AS _q{i}", f"max({x}) AS _hi{i}"]
     one = base.selectExpr(*aggs)
     stat = {"count": "_c{i}", "mean": "_m{i}", "std": "_s{i}", "min": "_lo{i}", "25%": "_q{i}[0]",
             "50%": "_q{i}[1]", "75%": "_q{i}[2]", "max": "_hi{i}"}
