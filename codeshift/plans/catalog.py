@@ -76,7 +76,7 @@ def q_records_stream(spark, sf):
     Streaming query (available-now trigger) into parquet, read back."""
     from ..streaming.transcripts import start_records_stream
     src_dir, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
-    sinks.write_chat_json(P.messages(spark, sf), src_dir, model="codellama-7b-it", run_ts="2024-06-03_17-28")
+    sinks.write_chat_json(P.messages(spark, sf), src_dir, model="coder-7b-it", run_ts="2024-06-03_17-28")
     q = start_records_stream(spark, src_dir, out, fold=True)
     q.awaitTermination()
     r = spark.read.parquet(out)
@@ -156,17 +156,17 @@ TRANSCRIPT_SQL = W(MSG, "SELECT CAST(session_id AS BIGINT) AS session_id, CAST(i
 def q_scan_chat_json(spark, sf):
     """Write transcripts as JSON arrays (B2), read them back (A4)."""
     out = scratch_path(spark, "chats")
-    sinks.write_chat_json(P.messages(spark, sf), out, model="codellama-7b-it", run_ts="2024-06-03_17-28")
+    sinks.write_chat_json(P.messages(spark, sf), out, model="coder-7b-it", run_ts="2024-06-03_17-28")
     t = src.scan_chat_json(spark, out)
     return t.select(F.col("session_id").cast("long").alias("session_id"), F.col("idx").cast("long").alias("idx"),
                     "role", "content", "prompt")
 
 
-@register("write_chat_json", W(MSG, "SELECT CAST(session_id AS BIGINT) AS session_id, 'codellama-7b-it' AS model, "
+@register("write_chat_json", W(MSG, "SELECT CAST(session_id AS BIGINT) AS session_id, 'coder-7b-it' AS model, "
                               "'2024-06-03_17-28' AS run_ts, count(*) AS n_messages FROM session_messages GROUP BY session_id"))
 def q_write_chat_json(spark, sf):
     out = scratch_path(spark, "chats2")
-    sinks.write_chat_json(P.messages(spark, sf), out, model="codellama-7b-it", run_ts="2024-06-03_17-28")
+    sinks.write_chat_json(P.messages(spark, sf), out, model="coder-7b-it", run_ts="2024-06-03_17-28")
     parsed = src.scan_chat_json(spark, out)
     return (parsed.groupBy(F.col("session_id").cast("long").alias("session_id"),
                            F.col("model").cast("string").alias("model"),
@@ -184,7 +184,7 @@ def q_scan_records(spark, sf):
 
 RUN_NAME = ("'code_snippets' || CAST(conv_id % 7 AS VARCHAR) || '_2024-06-' || lpad(CAST(conv_id % 28 + 1 AS VARCHAR), 2, '0') "
             "|| '_' || lpad(CAST(conv_id % 24 AS VARCHAR), 2, '0') || '-' || lpad(CAST((conv_id * 7) % 60 AS VARCHAR), 2, '0') "
-            "|| '_' || CASE conv_id % 3 WHEN 0 THEN 'codellama-7b-it' WHEN 1 THEN 'codellama-13b-it' ELSE 'other' END || '.json'")
+            "|| '_' || CASE conv_id % 3 WHEN 0 THEN 'coder-7b-it' WHEN 1 THEN 'coder-13b-it' ELSE 'other' END || '.json'")
 
 LATEST_SQL = W([
     f"n AS (SELECT DISTINCT {RUN_NAME} AS file_name FROM conversations)",
@@ -199,7 +199,7 @@ def _run_names(spark, sf):
     c = load_table(spark, sf, "conversations").select("conv_id").distinct()
     cid = F.col("conv_id")
     pad = lambda x: F.lpad(x.cast("string"), 2, "0")
-    model = (F.when(cid % 3 == 0, F.lit("codellama-7b-it")).when(cid % 3 == 1, F.lit("codellama-13b-it"))
+    model = (F.when(cid % 3 == 0, F.lit("coder-7b-it")).when(cid % 3 == 1, F.lit("coder-13b-it"))
              .otherwise(F.lit("other")))
     name = F.concat(F.lit("code_snippets"), (cid % 7).cast("string"), F.lit("_2024-06-"), pad(cid % 28 + 1),
                     F.lit("_"), pad(cid % 24), F.lit("-"), pad((cid * 7) % 60), F.lit("_"), model, F.lit(".json"))

@@ -189,11 +189,11 @@ def test_parse_chat_json(spark):
 
 
 def test_latest_run(spark):
-    names = spark.createDataFrame([("code_snippets_2024-06-03_17-28_codellama-7b-it.json",),
-                                   ("code_snippets_2024-06-03_18-01_codellama-7b-it.json",),
+    names = spark.createDataFrame([("code_snippets_2024-06-03_17-28_coder-7b-it.json",),
+                                   ("code_snippets_2024-06-03_18-01_coder-7b-it.json",),
                                    ("other.json",)], "file_name string")
-    r = src.latest_run(names, "code_snippets", "codellama-7b-it").collect()
-    assert [x["file_name"] for x in r] == ["code_snippets_2024-06-03_18-01_codellama-7b-it.json"]
+    r = src.latest_run(names, "code_snippets", "coder-7b-it").collect()
+    assert [x["file_name"] for x in r] == ["code_snippets_2024-06-03_18-01_coder-7b-it.json"]
 
 
 def test_prompts_parse(spark):

@@ -36,8 +36,8 @@ def test_metrics_and_reports_stage(spark, tmp_path):
     msgs = P.messages(spark, SF)
     tdir = str(tmp_path / "transcripts")
     older = msgs.withColumn("content", F.upper("content"))
-    write_chat_json(older, tdir, model="codellama-7b-it", run_ts="2024-06-03_17-28")
-    write_chat_json(msgs, tdir, model="codellama-7b-it", run_ts="2024-06-04_09-05")
+    write_chat_json(older, tdir, model="coder-7b-it", run_ts="2024-06-03_17-28")
+    write_chat_json(msgs, tdir, model="coder-7b-it", run_ts="2024-06-04_09-05")
     rec_dir = str(tmp_path / "records")
     got = stages.metrics_stage(spark, tdir, rec_dir)
     want = assemble_records(extract_pairs(msgs))
@@ -67,10 +67,10 @@ def test_metrics_stage_named_files(spark, tmp_path):
         return json.dumps([{"role": "system", "content": "s"},
                            {"role": "user", "content": block.replace("\\\\n", "\\n"), "prompt": "Fix it.\\n"},
                            {"role": "assistant", "content": answer}])
-    (d / "code_snippets_2024-06-03_17-28_codellama-7b-it.json").write_text(chat("```old```"))
-    (d / "code_snippets_2024-06-04_09-15_codellama-7b-it.json").write_text(chat("```new;```"))
-    (d / "code_snippets_2024-06-05_10-00_codellama-7b-it_test.json").write_text(chat("```test```"))
-    (d / "other_snippets_2024-06-01_08-00_codellama-7b-it.json").write_text(chat("```o```"))
+    (d / "code_snippets_2024-06-03_17-28_coder-7b-it.json").write_text(chat("```old```"))
+    (d / "code_snippets_2024-06-04_09-15_coder-7b-it.json").write_text(chat("```new;```"))
+    (d / "code_snippets_2024-06-05_10-00_coder-7b-it_test.json").write_text(chat("```test```"))
+    (d / "other_snippets_2024-06-01_08-00_coder-7b-it.json").write_text(chat("```o```"))
     got = stages.metrics_stage(spark, str(d), str(tmp_path / "rec"), layout="names").collect()
     by = {r["session_id"]: r for r in got}
     assert set(by) == {"code_snippets", "other_snippets"}
