@@ -45,6 +45,12 @@ def _round(c: Column, digits) -> Column:
     return c if digits is None else F.bround(c, digits)
 
 
+def _mean(c: Column) -> Column:
+    """``avg``, except that a group whose values are all equal gets exactly
+    that value (a floating sum of equal values can drift in its last bit)."""
+    return F.when(F.min(c) == F.max(c), F.min(c).cast("double")).otherwise(F.avg(c))
+
+
 def _nunique(df: DataFrame, col: str, name: str) -> DataFrame:
     return F.broadcast(df.agg(F.count_distinct(col).cast("double").alias(name)))
 
@@ -303,8 +309,13 @@ def summary_table(df: DataFrame, kind: str = "abs", partition_by: str = "repo_na
         aggs += [F.bround(F.avg(F.col(f"updated_{m}").cast("double")), 1).alias(m) for m in PAIR_METRICS]
         rows = g.groupBy(*keys).agg(*aggs)
     else:
-        pr = F.bround(F.col("pass_rate"), 1) if round_pass_rate else F.col("pass_rate")
-        aggs = [F.avg(pr).alias("pass_rate")]
+        if round_pass_rate:
+            # Mean of one-decimal values: an exact integer sum of tenths, one division.
+            tenths = F.bround(F.bround(F.col("pass_rate"), 1) * 10, 0).cast("long")
+            pr_mean = F.try_divide(F.sum(tenths), F.count(tenths)) / 10
+        else:
+            pr_mean = _mean(F.col("pass_rate"))
+        aggs = [pr_mean.alias("pass_rate")]
         for m in PAIR_METRICS:
             aggs += [F.avg(F.col(f"updated_{m}").cast("double")).alias(f"_u_{m}"),
                      F.avg(F.col(f"original_{m}").cast("double")).alias(f"_o_{m}")]
@@ -375,7 +386,7 @@ def change_matrix(df: DataFrame, partition_by: str = "repo_name", group_by: str
     d = d.select(partition_by, group_by, "pass_rate", *rel)
     keys = [partition_by, group_by]
     return (d.filter(F.col(group_by).isNotNull()).groupBy(*keys)
-            .agg(*[_round(F.avg(c), digits).alias(c) for c in _report_numeric(d, keys)]))
+            .agg(*[_round(_mean(F.col(c)), digits).alias(c) for c in _report_numeric(d, keys)]))
 
 
 def feature_distribution(df: DataFrame, partition_by: str = "repo_name", group_by: str = "prompt_id",
@@ -389,7 +400,7 @@ def feature_distribution(df: DataFrame, partition_by: str = "repo_name", group_b
     keys = [partition_by, group_by]
     feats = feature_order(_report_numeric(d, keys))
     means = (d.filter(F.col(group_by).isNotNull()).groupBy(*keys)
-             .agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in feats]))
+             .agg(*[_mean(F.col(c).cast("double")).alias(c) for c in feats]))
     entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("ord"),
                                  _round(F.col(f), digits).alias("value"))
                         for i, f in enumerate(feats)])

@@ -841,7 +841,7 @@ def _table_sql(kind: str) -> str:
         else:
             f = lambda m: f"round_even(avg(CAST(updated_{m} AS DOUBLE)) / nullif(avg(CAST(original_{m} AS DOUBLE)), 0) * 100, 1)"
         grp = ", ".join(f"{f(m)} AS {m}" for m in M)
-        ctes += [f"g AS (SELECT repo_name, prompt_id, avg(pass_rate) AS pass_rate, {grp} FROM sc "
+        ctes += [f"g AS (SELECT repo_name, prompt_id, {O.mean('pass_rate')} AS pass_rate, {grp} FROM sc "
                  "WHERE prompt_id IS NOT NULL GROUP BY repo_name, prompt_id)"]
     colsql = ", ".join(BASE_COLS)
     return W(ctes, f"SELECT repo_name, 'Original' AS row_label, 0 AS row_kind, {colsql} FROM base UNION ALL "
@@ -888,7 +888,9 @@ def _element_sql(kind: str) -> str:
     else:
         grp = ", ".join(f"round_even((avg(CAST(updated_{m} AS DOUBLE)) - avg(CAST(original_{m} AS DOUBLE))) / "
                         f"nullif(avg(CAST(original_{m} AS DOUBLE)), 0) * 100, 1) AS {m}" for m in M)
-        ctes += [f"g AS (SELECT {key}, avg(round_even(pass_rate, 1)) AS pass_rate, {grp} FROM sc GROUP BY {key})"]
+        tenths = "CAST(round_even(round_even(pass_rate, 1) * 10, 0) AS BIGINT)"
+        ctes += [f"g AS (SELECT {key}, (sum({tenths}) / nullif(count({tenths}), 0)) / 10 AS pass_rate, {grp} "
+                 f"FROM sc GROUP BY {key})"]
     colsql = ", ".join(BASE_COLS)
     return W(ctes, f"SELECT {key}, 'Original' AS row_label, 0 AS row_kind, {colsql} FROM base UNION ALL "
                    f"SELECT {key}, {key}, 1, {colsql} FROM g")
@@ -907,7 +909,7 @@ def q_element_summary_pct(spark, sf):
 def _change_sql() -> str:
     nums = [c for c in cm.metric_columns()] + STAT_COLS
     rel = ", ".join(f"(updated_{m} - original_{m}) / nullif(CAST(original_{m} AS DOUBLE), 0) AS {m}" for m in M)
-    means = ", ".join(f"round_even(avg({m}), 6) AS {m}" for m in ["pass_rate"] + M)
+    means = ", ".join(f"round_even({O.mean(m)}, 6) AS {m}" for m in ["pass_rate"] + M)
     return W(SCORED + [f"r AS (SELECT repo_name, prompt_id, pass_rate / 100 AS pass_rate, {rel} FROM scored WHERE prompt_id IS NOT NULL)"],
              f"SELECT repo_name, prompt_id, {means} FROM r GROUP BY repo_name, prompt_id")
 
@@ -920,7 +922,7 @@ def q_change_matrix(spark, sf):
 def _feature_sql(order_only: bool = False) -> str:
     feats = cols.feature_order(["pass_rate"] + cm.metric_columns())
     sel = " UNION ALL ".join(
-        f"SELECT repo_name, prompt_id, '{f}' AS feature, {i} AS ord, round_even(avg(CAST({f} AS DOUBLE)), 6) AS value FROM r "
+        f"SELECT repo_name, prompt_id, '{f}' AS feature, {i} AS ord, round_even({O.mean(f'CAST({f} AS DOUBLE)')}, 6) AS value FROM r "
         "GROUP BY repo_name, prompt_id" for i, f in enumerate(feats))
     if order_only:
         sel = f"SELECT DISTINCT feature, ord FROM ({sel})"

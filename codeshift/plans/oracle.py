@@ -224,5 +224,10 @@ def design_cte() -> str:
     return "design AS (SELECT count(*) AS design_size FROM session_messages WHERE role = 'user')"
 
 
+def mean(x: str) -> str:
+    """Mean that returns the common value exactly when a group is constant."""
+    return f"CASE WHEN min({x}) = max({x}) THEN CAST(min({x}) AS DOUBLE) ELSE avg({x}) END"
+
+
 def with_(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
