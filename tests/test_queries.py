@@ -79,3 +79,15 @@ def test_sql_views(spark):
     assert n == P.pairs(spark, SF001).count()
     by = spark.sql("SELECT prompt_id, count(*) AS n FROM scored GROUP BY prompt_id").collect()
     assert sum(r["n"] for r in by) == n
+
+
+@needs_data
+def test_describe_approx_close_to_exact(spark):
+    from codeshift.operators import reports as rp
+    from codeshift.sources.tables import load_table
+    ev = load_table(spark, SF01, "events")
+    exact = {r["statistic"]: r["value"] for r in rp.describe(ev, ["value"]).collect()}
+    approx = {r["statistic"]: r["value"] for r in rp.describe(ev, ["value"], quantiles="approx").collect()}
+    assert set(exact) == set(approx) == {"count", "mean", "std", "min", "25%", "50%", "75%", "max"}
+    for k in exact:
+        assert abs(exact[k] - approx[k]) <= 0.2, (k, exact[k], approx[k])
