@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, simhash, suffix_dedup
+from . import bpe, exact_dedup, sharding, simhash, suffix_dedup
 from .common import documents, table
 
 
@@ -32,13 +33,18 @@ FROM n WINDOW w AS (PARTITION BY norm)
 """
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                             public_tokenizers.PATTERN)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sharding.assign_shards(documents(spark, sf_dir), "doc_id", "text", 24)
     return s.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_suffix_array_dedup, op4_exact_dedup, op8_sharding)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_suffix_array_dedup, op4_exact_dedup, op7_byte_bpe, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
