@@ -184,9 +184,7 @@ class Codec:
         return parts
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._parts(t) for t in texts]
-        self._table.add(p for s in split for p in s)
-        return [self._table.ids(s) for s in split]
+        return self._table.ids([self._parts(t) for t in texts])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self._bytes, self._at, self._len, ids).tobytes()

@@ -25,12 +25,15 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,26 +189,72 @@ def slots(types: Counter) -> np.ndarray:
 
 # --- tokens -----------------------------------------------------------------
 
+# The pre-tokenizer's pattern, read from the tokenizer's own description.
+def _pattern(tokenizer) -> str:
+    steps = json.loads(tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[1]["use_regex"]:
+        raise ValueError("another kind of tokenizer")
+    return steps[0]["pattern"]["Regex"]
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write bytes with: printable
+    Latin-1 bytes stand for themselves, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
 class Words:
     """Ids of whole texts from ids of their words, where the tokenizer treats
-    ASCII white space as a border that leaves no token."""
+    ASCII white space as a border that leaves no token.  New words of Latin
+    letters are normalised and split here and go to the library's model as
+    distinct pieces; all others go through the library as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._table = PieceTable(self._encode)
+        self._find = regex.compile(_pattern(self._tokenizer)).findall
+        self._normalise = self._tokenizer.normalizer.normalize_str
+        self._model = self._tokenizer.model.tokenize
+        self._letters = _byte_letters()
+        self._table = PieceTable(self._encode, 800_000)
+
+    def _piece(self, piece: str) -> list[int]:
+        if not piece.isascii() or not piece.isprintable():
+            piece = piece.encode("utf-8").decode("latin-1").translate(self._letters)
+        return [t.id for t in self._model(piece)]
+
+    def _split(self, word: str) -> list[str] | None:
+        if word.isascii():
+            return self._find(word.lower())
+        if max(word) <= "\u024f" and "\u0085" not in word and "\u00a0" not in word:
+            return self._find(self._normalise(word))
+        return None
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self._tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        known: dict[str, list[int]] = {}
+        found = []
+        for w in words:
+            w = w.decode("utf-8")
+            split = self._split(w)
+            if split is None:
+                found.append(self._tokenizer.encode(w, add_special_tokens=False).ids)
+                continue
+            ids = []
+            for p in split:
+                got = known.get(p)
+                if got is None:
+                    got = known[p] = self._piece(p)
+                ids += got
+            found.append(ids)
         lens = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((x for i in found for x in i), np.int64, int(lens.sum())), lens
+        return np.fromiter(chain.from_iterable(found), np.int64, int(lens.sum())), lens
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8").split() for t in texts]
-        self._table.add(w for s in split for w in s)
-        return [self._table.ids(s) for s in split]
+        return self._table.ids([t.encode("utf-8").split() for t in texts])
 
 
 _WORDS: dict[str, Words] = {}

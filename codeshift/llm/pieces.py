@@ -7,7 +7,8 @@ text is put together by gathering from them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -34,22 +35,25 @@ class PieceTable:
         self._at = np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)
 
-    def add(self, pieces: Iterable) -> None:
-        """Make every one of ``pieces`` known."""
-        wanted = list(dict.fromkeys(pieces))
-        new = [p for p in wanted if p not in self._row]
-        if not new:
-            return
-        if len(self._row) + len(new) > self._limit:
-            self._clear()
-            new = wanted
+    def _learn(self, new: list) -> None:
         flat, lens = self._encode(new)
         at = len(self._flat) + np.cumsum(lens) - lens
         self._row.update(zip(new, range(len(self._row), len(self._row) + len(new))))
         self._len, self._at = np.concatenate((self._len, lens)), np.concatenate((self._at, at))
         self._flat = np.concatenate((self._flat, flat.astype(np.uint32)))
 
-    def ids(self, pieces: list) -> np.ndarray:
-        """Ids of known pieces, one after the other."""
-        rows = np.fromiter(map(self._row.__getitem__, pieces), np.int64, len(pieces))
-        return gather(self._flat, self._at, self._len, rows)
+    def ids(self, texts: list[list]) -> list[np.ndarray]:
+        """Ids of each text, given as its list of pieces."""
+        rows = [list(map(self._row.get, t)) for t in texts]
+        new = dict.fromkeys(p for t, r in zip(texts, rows) if None in r for p, x in zip(t, r) if x is None)
+        if new and len(self._row) + len(new) > self._limit:
+            self._clear()
+            rows = [[None] * len(t) for t in texts]
+            new = dict.fromkeys(chain.from_iterable(texts))
+        if new:
+            self._learn(list(new))
+            row = self._row
+            for t, r in zip(texts, rows):
+                if None in r:
+                    r[:] = [row[p] if x is None else x for p, x in zip(t, r)]
+        return [gather(self._flat, self._at, self._len, np.fromiter(r, np.int64, len(r))) for r in rows]

@@ -67,9 +67,7 @@ def test_table_starts_anew_when_full():
     calls = []
     t = PieceTable(lambda ps: calls.append(len(ps)) or (np.repeat([len(p) for p in ps], [len(p) for p in ps]),
                                                                  np.array([len(p) for p in ps])), limit=3)
-    t.add(["a", "bb", "a"])
-    assert t.ids(["bb", "a", "bb"]).tolist() == [2, 2, 1, 2, 2]
-    t.add(["ccc", "dddd"])
-    assert t.ids(["dddd"]).tolist() == [4] * 4 and calls == [2, 2]
-    t.add(p for p in ["a", "dddd"])
-    assert t.ids(["a"]).tolist() == [1] and t.ids([]).tolist() == []
+    flat = lambda texts: [i.tolist() for i in t.ids(texts)]
+    assert flat([["a", "bb", "a"], ["bb"], []]) == [[1, 2, 2, 1], [2, 2], []]
+    assert flat([["ccc", "dddd", "a"]]) == [[3] * 3 + [4] * 4 + [1]] and calls == [2, 3]
+    assert flat([["a", "e"]]) == [[1, 1]] and calls == [2, 3, 2]
