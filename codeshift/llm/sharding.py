@@ -13,11 +13,12 @@ columns are ignored by ``assign_shards`` and carried by ``write_shards``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shuffle_partitions, whole_text
+from .common import materialize, shuffle_partitions, small_batches, whole_text
 
 _STEP = np.uint64(2862933555777941757)  # fixed value of the published algorithm
 
@@ -40,12 +41,19 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    """Column form; ``key`` is a 64-bit integer."""
-    @F.pandas_udf("int")
-    def of(keys: pd.Series) -> pd.Series:
-        return pd.Series(jump_hash(keys.to_numpy().view(np.uint64), shards).astype(np.int32))
-    return of(key)
+def with_shards(df: DataFrame, key_col: str, counts: dict[str, int]) -> DataFrame:
+    """``df`` and, per entry of ``counts``, the shard of the 64-bit ``key_col``
+    among that many.  All counts are worked out in one pass of one worker."""
+    out = T.StructType([*df.schema.fields, *(T.StructField(n, T.IntegerType()) for n in counts)])
+    at = df.columns.index(key_col)
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(at).to_numpy().view(np.uint64)
+            shards = [pa.array(jump_hash(keys, n).astype(np.int32)) for n in counts.values()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *shards], names=out.names)
+
+    return df.mapInArrow(run, out)
 
 
 def assign_shards(df: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
@@ -61,8 +69,7 @@ def assign_shards(df: DataFrame, id_col: str, text_col: str, shards: int) -> Dat
     key = F.xxhash64(F.col(id_col))
     rows = df.select(F.col(id_col), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
                      F.crc32(text).cast("long").alias("text_crc32"), key.alias("_key"))
-    rows = rows.withColumns({"shard": shard_of(F.col("_key"), shards),
-                             "grown_shard": shard_of(F.col("_key"), shards + 1)})
+    rows = materialize(with_shards(rows, "_key", {"shard": shards, "grown_shard": shards + 1}), "shards")
     blocks = max(8, shuffle_partitions(spark))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key", "size", "text_crc32"), F.lit(blocks)).cast("int"))
     counts = rows.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
@@ -78,5 +85,6 @@ def assign_shards(df: DataFrame, id_col: str, text_col: str, shards: int) -> Dat
 def write_shards(df: DataFrame, id_col: str, shards: int, path: str) -> None:
     """All columns of ``df``, one folder ``shard=<n>`` per shard.  Each task
     writes its own file in each folder: no shard passes through one task."""
-    df.withColumn("shard", shard_of(F.xxhash64(F.col(id_col)), shards)) \
+    small_batches(df.sparkSession)
+    with_shards(df.withColumn("_key", F.xxhash64(F.col(id_col))), "_key", {"shard": shards}).drop("_key") \
         .write.mode("overwrite").partitionBy("shard").parquet(path)
