@@ -18,8 +18,11 @@ levels are tables:
    all windows they own.  Classes with two members are settled: all their
    windows repeat.
 3. *windows*.  What is left (a bucket with several classes) is refined to
-   single windows: one representative of each class lists its windows and
-   equal windows of different classes find each other.
+   single windows.  A window is its q-gram with bytes to the left and right of
+   it, so one representative of each class brings these bytes to its bucket;
+   how far two classes agree to either side gives the windows they share.
+   Buckets of over ``FEW`` classes are not compared: their representatives list
+   every window they own and equal windows find each other by grouping.
 
 Each level groups on hashes with counts folded before the shuffle; a large
 group is one row there, and the joins back are split by Spark.  Repeats inside
@@ -39,10 +42,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checked_broadcast, materialize, row_stamp, small_batches, whole_text
+from .common import materialize, row_stamp, small_batches, whole_text
 
 LENGTH = 400
+FEW = 48                         # classes of a bucket that are compared side by side
 _PLACE = 20                      # low bits of a sort key that hold the place
 _SEGMENT = 1 << 18               # windows handled at once
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -120,40 +125,40 @@ _SPANS = "array<struct<lo:int,hi:int>>"
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """id, stamp, gram, context, lo, hi: one row per class of anchors in a
-    document, owning the windows that start in lo..hi-length.  Rows with a
+    """id, stamp, gram, context, lo, hi, place: one row per class of anchors in
+    a document, owning the windows that start in lo..hi-length.  Rows with a
     null gram are spans already known to repeat inside the document."""
     out = T.StructType([docs.schema[0], docs.schema[1], *(T.StructField(n, T.LongType()) for n in ("gram", "context")),
-                        *(T.StructField(n, T.IntegerType()) for n in ("lo", "hi"))])
+                        *(T.StructField(n, T.IntegerType()) for n in ("lo", "hi", "place"))])
 
     def run(batches):
         hasher = _Hasher(length)
         for b in batches:
-            at, gram, context, lo, hi = [], [], [], [], []
+            at, gram, context, lo, hi, place = [], [], [], [], [], []
             for row, text in enumerate(b.column(2).to_pylist()):
                 raw = text.encode("utf-8")
                 if len(raw) < length:
                     continue
                 view, seen, twice = memoryview(raw), {}, []
-                for first, last, place, h in hasher.anchors(raw):
-                    for i, j, p, g in zip(first.tolist(), last.tolist(), place.tolist(), h.view(np.int64).tolist()):
+                for first, last, anchor, h in hasher.anchors(raw):
+                    for i, j, p, g in zip(first.tolist(), last.tolist(), anchor.tolist(), h.view(np.int64).tolist()):
                         k = (g, _long(xxhash.xxh3_64_intdigest(view[i:j + length], p - i)))
-                        if (old := seen.setdefault(k, (i, j + length))) != (i, j + length):
-                            twice += [old, (i, j + length)]
-                for (g, c), (i, j) in seen.items():
-                    at.append(row), gram.append(g), context.append(c), lo.append(i), hi.append(j)
+                        if (old := seen.setdefault(k, (i, j + length, p)))[0] != i:
+                            twice += [old[:2], (i, j + length)]
+                for (g, c), (i, j, p) in seen.items():
+                    at.append(row), gram.append(g), context.append(c), lo.append(i), hi.append(j), place.append(p)
                 for i, j in _merge(twice):
-                    at.append(row), gram.append(None), context.append(None), lo.append(i), hi.append(j)
+                    at.append(row), gram.append(None), context.append(None), lo.append(i), hi.append(j), place.append(None)
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(at), b.column(1).take(at), pa.array(gram, pa.int64()), pa.array(context, pa.int64()),
-                 pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=out.names)
+                 *(pa.array(x, pa.int32()) for x in (lo, hi, place))], names=out.names)
 
     return docs.mapInArrow(run, out)
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """id, stamp, w1, w2, at: the distinct windows, in each document, of the
+    """id, stamp, w1, w2, lo, hi: the distinct windows, in each document, of the
     spans listed for it; with null hashes, spans known to repeat inside it."""
     out = T.StructType([texts.schema[0], texts.schema[1], *(T.StructField(n, T.LongType()) for n in ("w1", "w2")),
                         *(T.StructField(n, T.IntegerType()) for n in ("lo", "hi"))])
@@ -179,85 +184,187 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, out)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def _sides(texts: DataFrame, length: int) -> DataFrame:
+    """gram, id, stamp, lo, hi, place, core, left, right: for each span listed,
+    the hash of its anchor's q-gram and the bytes on either side of it."""
+    q = length // 2
+    out = T.StructType([T.StructField("gram", T.LongType()), texts.schema[0], texts.schema[1],
+                        *(T.StructField(n, T.IntegerType()) for n in ("lo", "hi", "place")),
+                        T.StructField("core", T.LongType()), T.StructField("left", T.BinaryType()),
+                        T.StructField("right", T.BinaryType())])
+
+    def run(batches):
+        for b in batches:
+            got = []
+            for row, (text, spans) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                raw = text.encode("utf-8")
+                for s in spans:
+                    p = s["place"]
+                    got.append((row, s["gram"], s["lo"], s["hi"], p, _long(xxhash.xxh3_64_intdigest(raw[p:p + q])),
+                                raw[s["lo"]:p], raw[p + q:s["hi"]]))
+            row, gram, lo, hi, place, core, left, right = zip(*got) if got else ((),) * 8
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram, pa.int64()), b.column(0).take(at), b.column(1).take(at),
+                 *(pa.array(x, pa.int32()) for x in (lo, hi, place)), pa.array(core, pa.int64()),
+                 pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=out.names)
+
+    return texts.mapInArrow(run, out)
+
+
+def _agreement(strings: list[bytes]) -> np.ndarray:
+    """How many first bytes each two of the strings have in common."""
+    n, width = len(strings), max(map(len, strings)) + 1
+    m = np.full((n, width), -1, np.int16)
+    for k, s in enumerate(strings):
+        m[k, :len(s)] = np.frombuffer(s, np.uint8)
+    lens = np.fromiter(map(len, strings), np.int64, n)
+    out = np.empty((n, n), np.int64)
+    for k in range(n):
+        out[k] = np.minimum((m != m[k]).argmax(axis=1), np.minimum(lens, lens[k]))
+        same = (m == m[k]).all(axis=1)
+        out[k][same] = lens[k]
+    return out
+
+
+def _shared(buckets: DataFrame, length: int) -> DataFrame:
+    """id, stamp, lo, hi: spans of windows that two classes of a bucket share.
+    ``buckets``: one row per bucket, its classes in ``all``."""
+    one = buckets.schema["all"].dataType.elementType
+    out = T.StructType([one["id"], one["stamp"], T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
+    q = length // 2
+
+    def run(batches):
+        for b in batches:
+            got = []
+            for classes in b.column(0).to_pylist():
+                left = _agreement([c["left"][::-1] for c in classes])
+                right = _agreement([c["right"] for c in classes])
+                core = np.array([c["core"] for c in classes])
+                for k, c in enumerate(classes):
+                    # A window that starts o bytes before the anchor needs o equal bytes to
+                    # the left of the q-gram and length - q - o to the right of it.
+                    low = np.maximum(length - q - right[k], c["place"] - (c["hi"] - length))
+                    high = np.minimum(left[k], c["place"] - c["lo"])
+                    ok = (low <= high) & (core == core[k])
+                    ok[k] = False
+                    spans = [(c["place"] - y, c["place"] - x + length) for x, y in zip(low[ok].tolist(), high[ok].tolist())]
+                    got += [(c["id"], c["stamp"], *s) for s in _merge(spans)]
+            cols = list(zip(*got)) if got else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cols, to_arrow_schema(out))], names=out.names)
+
+    return buckets.mapInArrow(run, out)
+
+
+def _prune_by_bloom_filter(spark) -> None:
+    """Let Spark drop, by a Bloom filter made from the smaller side, the texts
+    that a join will not need before it shuffles them, from any size on."""
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", str(1 << 40))
+
+
+def _texts_of(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """id, stamp, text, spans of the documents in ``listed(id, stamp, spans)``.
+    Always a shuffled join: texts move once, those not listed stay."""
+    r, k = rows.alias("r"), listed.where(F.size("spans") > 0).hint("merge").alias("k")
+    return r.join(k, (F.xxhash64("r.text") == F.col("k.stamp")) & F.col("r.id").eqNullSafe(F.col("k.id"))) \
+        .select("r.id", "r.stamp", "r.text", "k.spans")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   few: int = FEW) -> DataFrame:
     """id, stamp, spans: byte spans to remove, for each document that has any
     (rows that repeat have one entry).  Spans may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
+    _prune_by_bloom_filter(spark)
     rows = docs.select(F.col(id_col).alias("id"), row_stamp(text_col).alias("stamp"), whole_text(text_col).alias("text"))
-    keys = ["id", "stamp"]
+    keys, place = ["id", "stamp"], ["lo", "hi", "place"]
     anchors = materialize(_anchors(rows, length), "anchors")
     inside = anchors.where(F.col("gram").isNull()).select(*keys, "lo", "hi")
 
-    # Level 1 and 2: buckets with company, and whether all contexts in them are equal.
+    # Level 1: buckets with company, and whether all contexts in them are equal.
     buckets = (anchors.where(F.col("gram").isNotNull()).groupBy("gram")
                .agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"))
                .where("n > 1").select("gram", (F.col("c0") == F.col("c1")).alias("settled")))
-    company = materialize(anchors.join(checked_broadcast(materialize(buckets, "buckets")), "gram"), "company")
+    company = materialize(anchors.join(buckets.hint("merge"), "gram"), "company")
     settled = company.where("settled").select(*keys, "lo", "hi")
 
     # Level 2 in mixed buckets: classes with two members, and a representative of each class.
     mixed = company.where("not settled").drop("settled")
     classes = materialize(mixed.groupBy("gram", "context").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys, "lo", "hi")).alias("one")), "classes")
-    members = mixed.join(checked_broadcast(classes.where("n > 1").select("gram", "context")), ["gram", "context"]) \
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys, *place)).alias("one")), "classes")
+    members = mixed.join(classes.where("n > 1").select("gram", "context").hint("merge"), ["gram", "context"]) \
         .select(*keys, "lo", "hi")
+    crowd = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
+    one = materialize(classes.select("gram", "one.*").join(crowd.hint("merge"), "gram"), "representatives")
+
+    # Level 3: what the representatives of a bucket share.
+    def listed(which, *what):
+        return materialize(one.where(which).groupBy(*keys).agg(F.collect_list(F.struct(*what)).alias("spans")), "listed")
 
-    # Level 3: windows of the representatives.
-    asked = materialize(classes.select("one.*").groupBy(*keys).agg(
-        F.collect_list(F.struct("lo", "hi")).cast(_SPANS).alias("spans")), "asked")
-    texts = rows.alias("r").join(checked_broadcast(asked).alias("k"),
-                                 F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.stamp") == F.col("k.stamp")))
-    texts = texts.select("r.id", "r.stamp", "r.text", "k.spans")
-    windows = materialize(_windows(texts, length), "windows")
+    sides = _sides(_texts_of(rows, listed(F.col("classes") <= few, "gram", *place)), length)
+    shared = _shared(sides.groupBy("gram").agg(F.collect_list(F.struct(*sides.columns)).alias("all")).select("all"), length)
+    windows = materialize(_windows(_texts_of(rows, listed(F.col("classes") > few, "lo", "hi")), length), "windows")
     inside_too = windows.where(F.col("w1").isNull()).select(*keys, "lo", "hi")
     again = windows.where(F.col("w1").isNotNull()).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")) \
         .where("n > 1").select("w1", "w2")
-    found = windows.join(checked_broadcast(materialize(again, "again")), ["w1", "w2"]).select(*keys, "lo", "hi")
+    found = windows.join(again.hint("merge"), ["w1", "w2"]).select(*keys, "lo", "hi")
 
-    spans = inside.unionByName(settled).unionByName(members).unionByName(inside_too).unionByName(found)
+    spans = inside.unionByName(settled).unionByName(members).unionByName(shared).unionByName(inside_too).unionByName(found)
     return materialize(spans.groupBy(*keys).agg(
-        F.collect_set(F.struct("lo", "hi")).cast(_SPANS).alias("spans")), "spans")
-
-
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """The columns of ``docs`` and ``_cut``: struct(kept binary, n_bytes,
-    n_removed, n_spans)."""
-    spans = repeated_spans(docs, id_col, text_col, length)
-    spans = checked_broadcast(spans.select(F.col("id").alias("_id"), F.col("stamp").alias("_stamp"), F.col("spans").alias("_spans")))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (row_stamp(docs[text_col]) == F.col("_stamp"))
-    joined = docs.join(spans, same, "left").drop("_id", "_stamp")
-    out = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in (
-        ("_kept", T.BinaryType()), ("_bytes", T.LongType()), ("_removed", T.LongType()), ("_runs", T.LongType())))])
+        F.collect_list(F.struct("lo", "hi")).cast(_SPANS).alias("spans")), "spans")
+
+
+def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left") -> DataFrame:
+    """The columns of ``docs`` and _kept (the bytes that stay), _removed,
+    _runs; ``how="inner"`` gives only documents that lose something."""
+    spans = spans.where(F.size("spans") > 0) \
+        .select(F.col("id").alias("_id"), F.col("stamp").alias("_stamp"), F.col("spans").alias("_spans"))
+    same = (row_stamp(docs[text_col]) == F.col("_stamp")) & docs[id_col].eqNullSafe(F.col("_id"))
+    joined = docs.join(spans.hint("merge"), same, how).drop("_id", "_stamp")
+    out = T.StructType([*docs.schema.fields, T.StructField("_kept", T.BinaryType()),
+                        T.StructField("_removed", T.LongType()), T.StructField("_runs", T.LongType())])
     text_at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            kept, size, gone, runs = [], [], [], []
+            kept, gone, runs = [], [], []
             for text, listed in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 raw = (text or "").encode("utf-8")
                 merged = _merge([(s["lo"], s["hi"]) for s in listed or ()])
                 edges = [0, *(x for s in merged for x in s), len(raw)]
                 kept.append(b"".join(raw[edges[i]:edges[i + 1]] for i in range(0, len(edges), 2)))
-                size.append(len(raw)), gone.append(len(raw) - len(kept[-1])), runs.append(len(merged))
+                gone.append(len(raw) - len(kept[-1])), runs.append(len(merged))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (size, gone, runs))],
+                [*b.columns[:-1], pa.array(kept, pa.binary()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())],
                 names=out.names)
 
     return joined.mapInArrow(run, out)
 
 
-def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256; one row per document."""
-    c = cut(docs.select(id_col, text_col), id_col, text_col, length)
-    return c.select(id_col, F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"),
-                    F.col("_runs").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   few: int = FEW) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256; one row per document.
+    Documents that lose nothing are settled where they are read."""
+    spans = repeated_spans(docs, id_col, text_col, length, few)
+    stamp = row_stamp(text_col).alias("_stamp")
+    whole = docs.select(F.col(id_col).alias("id"), stamp, F.octet_length(whole_text(text_col)).cast("long").alias("n_bytes"),
+                        F.sha2(whole_text(text_col), 256).alias("sha"))
+    less = cut(docs.select(id_col, text_col), spans, id_col, text_col, "inner") \
+        .select(F.col(id_col).alias("_id"), stamp, "_removed", "_runs", F.sha2("_kept", 256).alias("_sha")).distinct()
+    less = less.withColumnRenamed("_stamp", "_stamp2")
+    both = whole.join(less.hint("merge"), (F.col("_stamp") == F.col("_stamp2")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    zero = F.lit(0).cast("long")
+    return both.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("_removed", zero).alias("n_removed"),
+                       F.coalesce("_runs", zero).alias("n_spans"), F.coalesce("_sha", "sha").alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the text that is left; a character that a removal cuts in
     two goes with it.  Documents stay, even when nothing is left of them."""
-    c = cut(docs, id_col, text_col, length)
+    c = cut(docs, repeated_spans(docs, id_col, text_col, length), id_col, text_col)
 
     @F.pandas_udf("string")
     def decode(raw):
