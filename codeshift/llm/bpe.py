@@ -16,6 +16,7 @@ by row; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable
 from heapq import heappop, heappush
 from itertools import chain
@@ -245,7 +246,23 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: encode, then decode the ids."""
-    back = decode(encode(docs, path, pattern, id_col, text_col), path, pattern, id_col)
-    return back.select(id_col, F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    """id, n_tokens, ids_sha256, decoded_sha256: every text is encoded and its
+    ids decoded, in one pass of one worker; only digests leave it."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches):
+        c = codec(path, pattern)
+        for b in batches:
+            n, ids_sha, raw_sha = [], [], []
+            for ids in (i for g in groups_of(b.column(1).to_pylist()) for i in c.encode_batch(g)):
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                raw_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=names)
+
+    out = T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()),
+                        T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)

@@ -59,6 +59,9 @@ def test_query_rows(frame, texts):
         ids = np.array(LIBRARY.encode_ordinary(t or ""), "<u4")
         want.append((i, len(ids), sha(ids.tobytes()), sha((t or "").encode())))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    both = bpe.decode(bpe.encode(frame(rows), PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.bytes)) for r in both) == sorted(
+        (str(i), np.array(LIBRARY.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows)
     assert bpe.token_digests(frame([]), PATH, public_tokenizers.PATTERN).collect() == []
 
 
