@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network.
 
 A word enters as the sum of two vectors: its own (for the words of a
-vocabulary) and the mean over its character trigrams (for every word).  Two
+vocabulary) and that of its character grams (for every word).  Two
 gated recurrent layers read a window in either direction, attention pools
 their states, and a logistic unit scores the window.  A document is cut into
 overlapping windows that cover all its words; its score is the calibrated
@@ -42,9 +42,12 @@ from .common import small_batches, whole_text
 ROWS, ROW_BYTES = 1200, 32768       # of the training sample
 WINDOW, STRIDE = 32, 26             # words
 DIM, HIDDEN, ATTENTION = 16, 8, 8
-VOCABULARY, TRIGRAMS = 8192, 8192
+VOCABULARY, GRAMS = 8192, 16384
+SIZES = (3, 5)                      # of character grams
 BATCH, DRAWN, STEPS = 32, 40, 250     # texts a step, windows of a text, steps
 
+_TAIL = b"\x03" * (max(SIZES) - 2)
+
 # ASCII letters and digits, and all other characters, make words.
 _BORDERS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -63,17 +66,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character trigrams of all words, and where each word's begin.
-    A mark at both ends gives every word at least one."""
-    raw = np.frombuffer(b"".join([b"\x02" + w + b"\x03" for w in words]), np.uint8).astype(np.uint32)
-    lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
+def grams(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each gram size: the hashed character grams of all words, and where
+    each word's begin.  Marks at both ends give every word at least one."""
+    raw = np.frombuffer(b"".join([b"\x02" + w + _TAIL for w in words]), np.uint8).astype(np.uint64)
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 1 + len(_TAIL)
     ends = np.cumsum(lens)
-    code = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
-    code = (code * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAMS.bit_length() + 1)
-    inside = np.ones(len(raw), bool)
-    inside[ends - 1] = inside[ends - 2] = False
-    return code[inside[:-2]].astype(np.int64), np.cumsum(lens - 2) - (lens - 2)
+    out = []
+    for size in SIZES:
+        code = raw[:len(raw) - size + 1].copy()
+        for k in range(1, size):
+            code = (code << np.uint64(8)) | raw[k:len(raw) - size + 1 + k]
+        code = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAMS.bit_length() + 1)
+        inside = np.ones(len(raw), bool)
+        for k in range(1, size):
+            inside[ends - k] = False
+        n = lens - size + 1
+        out.append((code[inside[:len(code)]].astype(np.int64), np.cumsum(n) - n))
+    return out
 
 
 @dataclass
@@ -91,7 +101,7 @@ class Network:
         h = 2 * HIDDEN
         u = draw(h, 3 * h, by=HIDDEN ** -0.5)
         return cls(vocabulary, {
-            "word": draw(len(vocabulary) + 1, DIM, by=0.05), "chars": draw(TRIGRAMS, DIM, by=0.05),
+            "word": draw(len(vocabulary) + 1, DIM, by=0.05), "chars": draw(GRAMS, DIM, by=0.05),
             "w": draw(DIM, 3 * h, by=DIM ** -0.5), "b": np.zeros(3 * h, np.float32), "u": u * _BLOCKS,
             "aw": draw(h, ATTENTION, by=h ** -0.5), "ab": np.zeros(ATTENTION, np.float32), "av": draw(ATTENTION),
             "o": draw(h), "ob": np.array([-1.0], np.float32)})
@@ -101,9 +111,9 @@ class Network:
         out = np.zeros((len(words) + 1, DIM), np.float32)
         for s in range(0, len(words), step):
             part = words[s:s + step]
-            codes, at = trigrams(part)
-            n = np.diff(np.append(at, len(codes)))
-            out[s:s + len(part)] = np.add.reduceat(self.weights["chars"][codes], at, axis=0) / n[:, None]
+            for codes, at in grams(part):
+                n = np.diff(np.append(at, len(codes)))
+                out[s:s + len(part)] += np.add.reduceat(self.weights["chars"][codes], at, axis=0) / np.sqrt(n)[:, None]
             out[s:s + len(part)] += self.weights["word"][[self.vocabulary.get(w, 0) for w in part]]
         return out
 
@@ -249,8 +259,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0, steps: int = STEPS
     words = list(rows)
     begin = np.cumsum(per_text) - per_text
     vocab_row = np.array([net.vocabulary.get(w, 0) for w in words] + [0])
-    codes, at = trigrams(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    counts = np.diff(np.append(at, len(codes)))
+    listed = [(codes, at, np.diff(np.append(at, len(codes)))) for codes, at in grams(words)] if words else []
     adam = _Adam(rate)
     net.weights["word"][0] = 0                     # words outside the vocabulary have no vector of their own
     kinds = [np.flatnonzero(y == c) for c in (1, 0)]
@@ -280,9 +289,10 @@ def train(texts: list[str], labels: list[int], seed: int = 0, steps: int = STEPS
         g["word"], g["chars"] = np.zeros_like(net.weights["word"]), np.zeros_like(net.weights["chars"])
         np.add.at(g["word"], vocab_row[mine], dx)
         g["word"][0] = 0
-        n = counts[mine]
-        listed = codes[np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        np.add.at(g["chars"], listed, np.repeat(dx / n[:, None], n, axis=0))
+        for codes, at, counts in listed:
+            n = counts[mine]
+            own = codes[np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            np.add.at(g["chars"], own, np.repeat((dx / np.sqrt(n)[:, None]).astype(np.float32), n, axis=0))
         adam.rate = rate * (1 - 0.9 * step / steps)
         adam.step(net.weights, g)
         for k in ("word", "chars"):
