@@ -51,7 +51,8 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     up = up.withColumn("at", F.floor(F.col("cell") / F.pow(F.lit(2), F.lit(MAX_DEPTH) - F.col("depth"))).cast("long"))
     load = up.groupBy("depth", "at").agg(F.sum("n").alias("load"))
     fits = (F.col("load") <= capacity) | (F.col("depth") == MAX_DEPTH)
-    return (up.join(load.where(fits), ["depth", "at"])
+    # ``load`` has under 2^(MAX_DEPTH + 1) rows: a bounded broadcast.
+    return (up.join(F.broadcast(load.where(fits)), ["depth", "at"])
             .groupBy("cell").agg(F.min(F.struct("depth", "at")).alias("leaf"))
             .select("cell", F.col("leaf.depth").alias("depth"),
                     (F.col("leaf.at") + F.pow(F.lit(2), F.col("leaf.depth")).cast("long")).alias("bucket")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, exact_dedup, packing, quality, sharding, simhash, suffix_dedup, toxicity
 from .common import documents, table
 
 
@@ -17,6 +17,52 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("failed_rules")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+        FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+rep AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win),
+cov AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM rep WHERE c > 1) GROUP BY rid),
+f AS (SELECT w.rid, doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+             coalesce(cov.n, 0) AS n_repeat_words, len(l) AS n_lines,
+             length(regexp_replace(t, '[^!?|#*$%&<>{}\[\]=_~^\\]+', '', 'g')) AS n_marks,
+             length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper
+      FROM w LEFT JOIN cov USING (rid)),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END AS r1,
+             CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS r2,
+             CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS r3,
+             CASE WHEN n_words > 0 THEN n_marks::DOUBLE / n_words ELSE 0 END AS r4,
+             CASE WHEN word_chars > 0 THEN n_upper::DOUBLE / word_chars ELSE 0 END AS r5,
+             CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS r6 FROM f),
+rules AS (SELECT rule, unnest(cs) AS c, len(cs) AS m FROM (VALUES
+             (1, [0.005, 0.01, 0.02, 0.03, 0.05, 0.1, 0.2]::DOUBLE[]), (2, [0.02, 0.05, 0.1, 0.2, 0.3, 0.5]::DOUBLE[]),
+             (3, [0.02, 0.05, 0.1, 0.2, 0.3, 0.4]::DOUBLE[]), (4, [0.05, 0.1, 0.2, 0.3, 0.5]::DOUBLE[]),
+             (5, [0.1, 0.2, 0.3, 0.5]::DOUBLE[]), (6, [8.0, 9.0, 10.0, 12.0, 15.0]::DOUBLE[])) AS v(rule, cs)),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+hold AS (SELECT r.* FROM r SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+long AS (SELECT rid, lang, unnest([1, 2, 3, 4, 5, 6]) AS rule, unnest([r1, r2, r3, r4, r5, r6]) AS x FROM hold),
+counts AS (SELECT lang, rule, c, count(*) AS n, sum((x > c)::INT) AS k FROM long JOIN rules USING (rule) GROUP BY lang, rule, c),
+level AS (SELECT 0.05 / ((SELECT count(*) FROM rules) * count(DISTINCT coalesce(lang, chr(0)))) AS v, 0.01 / 6 AS p FROM hold),
+cut AS (SELECT lang, rule, min(c) AS c FROM counts, level WHERE k <= n * p AND list_sum(list_transform(range(0, k::BIGINT + 1),
+            lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)))) <= v
+        GROUP BY lang, rule),
+bad AS (SELECT DISTINCT a.rid FROM (SELECT rid, lang, unnest([1, 2, 3, 4, 5, 6]) AS rule,
+                                           unnest([r1, r2, r3, r4, r5, r6]) AS x FROM r) AS a
+        JOIN cut ON a.lang IS NOT DISTINCT FROM cut.lang AND a.rule = cut.rule AND a.x > cut.c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept
+FROM r
+"""
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(documents(spark, sf_dir))
 
@@ -52,9 +98,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_suffix_array_dedup, op4_exact_dedup, op7_byte_bpe, op8_sharding,
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_suffix_array_dedup, op4_exact_dedup, op7_byte_bpe, op8_sharding,
                                     op9_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_exact_dedup": OP4_SQL}
