@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, exact_dedup, licenses, packing, quality, sharding, simhash, suffix_dedup, toxicity
 from .common import documents, table
 
 
@@ -79,6 +79,10 @@ FROM n WINDOW w AS (PARTITION BY norm)
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                              public_tokenizers.PATTERN)
@@ -98,7 +102,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_suffix_array_dedup, op4_exact_dedup, op7_byte_bpe, op8_sharding,
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_suffix_array_dedup, op4_exact_dedup, op5_license_scan, op7_byte_bpe, op8_sharding,
                                     op9_toxicity, op10_best_fit_packing)}
 
 
