@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, exact_dedup, licenses, packing, quality, sharding, simhash, suffix_dedup, toxicity, warc
 from .common import documents, table
 
 
@@ -83,6 +83,22 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_report(spark, table(spark, sf_dir, "pages"))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+           FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS keep FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM keep AND keep IS NOT NULL THEN 'revisit' ELSE 'response' END
+           AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM f
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                              public_tokenizers.PATTERN)
@@ -102,9 +118,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_suffix_array_dedup, op4_exact_dedup, op5_license_scan, op7_byte_bpe, op8_sharding,
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_suffix_array_dedup, op4_exact_dedup, op5_license_scan, op6_warc, op7_byte_bpe, op8_sharding,
                                     op9_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL}
