@@ -26,6 +26,7 @@ empty result; further columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -205,11 +206,23 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(rest)}
 
 
+# Of a text of ASCII and plain Latin letters, each byte as: letter or digit
+# (a), blank, comma or full stop (,), any other sign (p), byte of another script (x).
+_KIND = bytes(ord("a" if chr(c).isalnum() else " " if c in b" \t\n\x0b\f\r" else "," if c in b",." else "p") if c < 128
+              else ord("a" if c < 0xC0 or 0xC3 <= c <= 0xC8 else "x") for c in range(256))
+_ODD = [c.encode() for c in "×÷İ"]  # signs among the letters; a capital that becomes two characters
+_SIGNS = re.compile(rb"[,p],|,p|x").search
+
+
 class Words:
     """Ids of whole texts from ids of their words, where the tokenizer treats
-    ASCII white space as a border that leaves no token.  New words of Latin
-    letters are normalised and split here and go to the library's model as
-    distinct pieces; all others go through the library as a whole."""
+    ASCII white space as a border that leaves no token.
+
+    In a text of Latin letters where no comma or full stop stands beside
+    another sign, these are words of their own and capitals are lowered first,
+    so fewer different words remain.  New words of Latin letters are normalised
+    and split here and go to the library's model as distinct pieces; all others
+    go through the library as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -220,18 +233,20 @@ class Words:
         self._normalise = self._tokenizer.normalizer.normalize_str
         self._model = self._tokenizer.model.tokenize
         self._letters = _byte_letters()
-        self._table = PieceTable(self._encode, 800_000)
+        self._table = PieceTable(self._encode)
 
     def _piece(self, piece: str) -> list[int]:
         if not piece.isascii() or not piece.isprintable():
             piece = piece.encode("utf-8").decode("latin-1").translate(self._letters)
         return [t.id for t in self._model(piece)]
 
-    def _split(self, word: str) -> list[str] | None:
+    def _pieces(self, word: str) -> list[str] | None:
         if word.isascii():
-            return self._find(word.lower())
+            word = word.lower()
+            return [word] if word.isalpha() else self._find(word)
         if max(word) <= "\u024f" and "\u0085" not in word and "\u00a0" not in word:
-            return self._find(self._normalise(word))
+            word = self._normalise(word)
+            return [word] if word.isalpha() else self._find(word)
         return None
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +254,7 @@ class Words:
         found = []
         for w in words:
             w = w.decode("utf-8")
-            split = self._split(w)
+            split = self._pieces(w)
             if split is None:
                 found.append(self._tokenizer.encode(w, add_special_tokens=False).ids)
                 continue
@@ -253,8 +268,16 @@ class Words:
         lens = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int64, int(lens.sum())), lens
 
+    @staticmethod
+    def _split(text: str) -> list[bytes]:
+        raw = text.encode("utf-8")
+        if _SIGNS(raw.translate(_KIND)) or any(c in raw for c in _ODD):
+            return raw.split()
+        low = raw.lower() if text.isascii() else text.lower().encode("utf-8")
+        return low.replace(b",", b" , ").replace(b".", b" . ").split()
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        return self._table.ids([t.encode("utf-8").split() for t in texts])
+        return self._table.ids([self._split(t) for t in texts])
 
 
 _WORDS: dict[str, Words] = {}

@@ -8,7 +8,6 @@ text is put together by gathering from them.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 
@@ -21,39 +20,43 @@ def gather(flat: np.ndarray, at: np.ndarray, lens: np.ndarray, rows: np.ndarray)
     return flat[np.repeat(at[rows] - (ends - n), n) + np.arange(total)]
 
 
+class _Rows(dict):
+    """Piece -> row; a piece not met before gets the next row and is noted."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, piece):
+        row = self[piece] = len(self)
+        self.new.append(piece)
+        return row
+
+
 class PieceTable:
     """``encode(list of pieces) -> (ids one after the other, ids per piece)``
-    fills the table; when it holds over ``limit`` pieces it starts anew (memory stays bounded)."""
+    fills the table; when it holds over ``limit`` pieces it starts anew
+    (memory stays bounded)."""
 
     def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
         self._encode, self._limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
-        self._row: dict = {}
+        self._row = _Rows()
         self._len = np.zeros(0, np.int64)
         self._at = np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)
 
-    def _learn(self, new: list) -> None:
-        flat, lens = self._encode(new)
-        at = len(self._flat) + np.cumsum(lens) - lens
-        self._row.update(zip(new, range(len(self._row), len(self._row) + len(new))))
-        self._len, self._at = np.concatenate((self._len, lens)), np.concatenate((self._at, at))
-        self._flat = np.concatenate((self._flat, flat.astype(np.uint32)))
-
     def ids(self, texts: list[list]) -> list[np.ndarray]:
         """Ids of each text, given as its list of pieces."""
-        rows = [list(map(self._row.get, t)) for t in texts]
-        new = dict.fromkeys(p for t, r in zip(texts, rows) if None in r for p, x in zip(t, r) if x is None)
-        if new and len(self._row) + len(new) > self._limit:
+        if len(self._row) > self._limit:
             self._clear()
-            rows = [[None] * len(t) for t in texts]
-            new = dict.fromkeys(chain.from_iterable(texts))
-        if new:
-            self._learn(list(new))
-            row = self._row
-            for t, r in zip(texts, rows):
-                if None in r:
-                    r[:] = [row[p] if x is None else x for p, x in zip(t, r)]
-        return [gather(self._flat, self._at, self._len, np.fromiter(r, np.int64, len(r))) for r in rows]
+        row = self._row.__getitem__
+        rows = [np.fromiter(map(row, t), np.int64, len(t)) for t in texts]
+        if self._row.new:
+            flat, lens = self._encode(self._row.new)
+            at = len(self._flat) + np.cumsum(lens) - lens
+            self._len, self._at = np.concatenate((self._len, lens)), np.concatenate((self._at, at))
+            self._flat = np.concatenate((self._flat, flat.astype(np.uint32)))
+            self._row.new = []
+        return [gather(self._flat, self._at, self._len, r) for r in rows]

@@ -13,7 +13,8 @@ LIBRARY = Tokenizer.from_file(PATH)
 LIBRARY.encode_special_tokens = True
 
 EDGES = ["", " \n ", "Don't STOP 'Re", "É é  x y", "<|endoftext|> a<|startoftext|>b", "a\x1cb\x1f c", "日本 語", "Σας ΣΑΣ", "x" * 3000,
-         "word " * 5000, "́ accent first", "İstanbul", "🎉 ok\x0bz", "a\u0085b", "a\u00a0B", "ÀÉÎ ñandú ǅ Ǆx ŉ ß ẞ", "e\u0301 É", "'RE don't ''s", "\x7f\x80 \xad x\xady", "\x01", "mark \x01 x\x01y"]
+         "word " * 5000, "́ accent first", "İstanbul", "🎉 ok\x0bz", "a\u0085b", "a\u00a0B", "ÀÉÎ ñandú ǅ Ǆx ŉ ß ẞ", "e\u0301 É", "One, two. THREE,four.five", "end,. x", "wait..", "a 3.5, b", "'S, 't. it's, (x), y.", "ÉTÉ, Ñu. İ, ß.",
+         "a\u2026, b", "3×4, 5÷6.", "dz\u01c5, x", "\u0149, x", "a,\u0301 b", "x\xb2, y", "ª, º.", "Σ, Σ.", "'RE don't ''s", "\x7f\x80 \xad x\xady", "\x01", "mark \x01 x\x01y"]
 
 
 def ids_of(text):
