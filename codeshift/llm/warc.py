@@ -194,7 +194,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     found = materialize(candidates(spark, path), "candidates")
     parts = found.groupBy("file", "block").agg(F.sum("size").alias("size"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    parts = materialize(parts.select("file", "block", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "parts")
+    parts = parts.select("file", "block", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     most = parts.groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     links = found.where("ends IS NOT NULL").join(parts, ["file", "block"]) \
         .select("file", (F.col("base") + F.col("rel")).alias("pos"), (F.col("base") + F.col("leaves")).alias("to"))
@@ -207,7 +207,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # A last record that runs over several parts ends where the file's chain ends.
     last = reached.groupBy("file").agg(F.max("pos").alias("end"))
     entries = entries.join(last, "file").withColumn("next_entry", F.coalesce(F.first("entry", ignorenulls=True).over(after), F.col("end")))
-    entries = materialize(entries.drop("end"), "entries")
+    entries = entries.drop("end")
 
     out = found.drop("rel", "ends", "leaves", "size").schema
     out = T.StructType([*out.fields, *(T.StructField(n, T.LongType()) for n in ("pos", "key", "rel"))])
@@ -279,7 +279,7 @@ def page_report(spark: SparkSession, pages: DataFrame, path: str | None = None,
     payload_bytes, payload_digest, record_type, refers_to."""
     path = path or scratch_path(spark, "warc")
     write(pages, path, least=least)
-    records = materialize(read(spark, path), "records")
+    records = read(spark, path)
     whole = records.where("type = 'response'")
     firsts = whole.where(F.col("length") >= least).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("length").alias("_length")).distinct()
     again = records.where("type = 'revisit'").alias("r").join(
