@@ -10,16 +10,23 @@ from pyspark.sql import types as T
 from .text import col_, fold_non_ascii
 
 
+# Accented letters of the texts, and control characters that
+# stand for them where an engine counts bytes.
+LETTERS = "äöüßÄÖÜéèêàçîôûùëñáíóúÉÈÊÀÇÑ"
+STAND_INS = "".join(chr(c) for c in [*range(1, 9), 11, 12, *range(14, 32)])
+
+
 def edit_distance(a, b, threshold: int | None = None, fold: bool = False) -> Column:
     """Character Levenshtein distance (JVM-side).
 
     ``threshold`` gives -1 for pairs further apart than it (cheaper on long
-    texts).  ``fold`` replaces non-ASCII characters by ``?`` first; use it only
-    when the result must agree with an engine that counts bytes.
+    texts).  ``fold`` maps accented letters one to one to control characters
+    first, which leaves the distance as it is; use it only when the result must
+    agree with an engine that counts bytes.
     """
     a, b = col_(a), col_(b)
     if fold:
-        a, b = fold_non_ascii(a), fold_non_ascii(b)
+        a, b = (fold_non_ascii(F.translate(x, LETTERS, STAND_INS)) for x in (a, b))
     if threshold is None:
         return F.levenshtein(a, b)
     return F.levenshtein(a, b, threshold)

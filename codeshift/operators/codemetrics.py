@@ -109,22 +109,23 @@ RECORD_COLUMNS = (list(HEADER_COLUMNS) + metric_columns()
 
 
 def assemble_records(pairs: DataFrame, include_header: bool = True, distance: str = "levenshtein",
-                     fold: bool = False, unknown_complexity: int | None = -1) -> DataFrame:
+                     fold: bool = False, unknown_complexity: int | None = -1, keep=()) -> DataFrame:
     """D7-D11 + E9/E11: one record per pair.
 
     ``include_header=True`` measures the original as the raw block (header
     comment lines and the blank fence line included), as the published
     numbers were made; ``False`` measures the stripped ``original_code``.
+    ``keep``: further columns of ``pairs`` to carry along.
     """
     from ..functions.header import header_parts
-    split_once = pairs.select("session_id", "idx", "prompt", "original_block", "updated_code",
+    split_once = pairs.select("session_id", "idx", "prompt", "original_block", "updated_code", *keep,
                               header_parts("original_block").alias("_hp"))
     hdr = header_fields(parts=F.col("_hp"))
-    base = split_once.select("session_id", "idx", "prompt", "original_block", "updated_code",
+    base = split_once.select("session_id", "idx", "prompt", "original_block", "updated_code", *keep,
                              *[hdr[c].alias(c) for c in HEADER_COLUMNS],
                              hdr["original_code"].alias("original_code"))
     measured = "original_block" if include_header else "original_code"
     m = pair_metrics(base, original=measured, updated="updated_code", distance=distance, fold=fold)
     m = combine_metrics(m, cyclomatic_complexity(F.col(measured)),
                         cyclomatic_complexity(F.col("updated_code")), unknown=unknown_complexity)
-    return m.select(*RECORD_COLUMNS)
+    return m.select(*RECORD_COLUMNS, *keep)

@@ -30,7 +30,8 @@ DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 def _scalar(x, name: str) -> DataFrame | None:
     """An int / float parameter or a one-row DataFrame holding it."""
     if isinstance(x, DataFrame):
-        return F.broadcast(x.select(F.col(x.columns[0]).cast("double").alias(name)))
+        # One row whatever is handed in: a second row would double the report.
+        return F.broadcast(x.agg(F.max(x.columns[0]).cast("double").alias(name)))
     return None
 
 
@@ -95,13 +96,17 @@ def rescale_pass_rate(df: DataFrame, group_col: str | None = None, col: str = "p
 
 def max_group_count(df: DataFrame, keys=("repo_name", "prompt_id"), name: str = "snippet_count") -> DataFrame:
     """Largest number of rows in one key group, as a one-row DataFrame."""
-    return df.groupBy(*keys).count().agg(F.max("count").alias(name))
+    return df.dropna(subset=list(keys)).groupBy(*keys).count().agg(F.max("count").alias(name))
 
 
 def score_records(records: DataFrame, snippet_count=None, group_by: str = "prompt_id",
-                  with_group_stats: bool = True, stats_digits=None) -> DataFrame:
-    """The report input: D12 -> G1 -> G2 -> I2 (-> I1), in that order."""
-    df = label_prompts(encode_prompts(clean_prompts(records)))
+                  with_group_stats: bool = True, stats_digits=None, labels: dict | None = None) -> DataFrame:
+    """The report input: D12 -> G1 -> G2 -> I2 (-> I1), in that order.
+
+    ``labels`` maps prompt ids to labels (default: the published ones); a
+    prompt without a label is its own label, so no record leaves the reports.
+    """
+    df = label_prompts(encode_prompts(clean_prompts(records)), labels=labels, fallback_col="prompt")
     if snippet_count is None:
         snippet_count = max_group_count(df, ("repo_name", group_by))
     df = add_pass_rate(df, snippet_count, keys=("repo_name", group_by))

@@ -13,25 +13,17 @@ CUMULATIVE_MAX_MESSAGES = 5
 REQUEST_COLUMNS = ["session_id", "request_idx", "pos", "role", "content"]
 
 
-def cross_prompts(snippets: DataFrame, prompts: DataFrame, max_prompts: int = 100_000) -> DataFrame:
+def cross_prompts(snippets: DataFrame, prompts: DataFrame) -> DataFrame:
     """Every snippet with every prompt; snippet is the outer loop.
 
     ``snippets(snippet_ord, snippet)``, ``prompts(prompt_ord, prompt)`` with
-    0-based dense ordinals.  The prompt list is gathered into one array row
-    (its size is checked first) and exploded next to each snippet, so no
-    join is planned; ``ord = snippet_ord * n_prompts + prompt_ord``.
+    0-based dense ordinals; ``ord = snippet_ord * n_prompts + prompt_ord``.
+    The product is the definition; Spark plans it by the size of the sides.
     """
-    n = prompts.count()
-    if n > max_prompts:
-        raise ValueError(f"{n} prompts exceed max_prompts={max_prompts}")
-    plist = F.broadcast(prompts.agg(
-        F.array_sort(F.collect_list(F.struct("prompt_ord", "prompt"))).alias("_prompts"),
-        F.count(F.lit(1)).alias("_np")))
-    j = snippets.crossJoin(plist)  # one row on the right: a scalar attach
-    e = j.select("snippet_ord", "snippet", "_np", F.explode("_prompts").alias("_p"))
-    return e.select("snippet_ord", "snippet", F.col("_p.prompt_ord").alias("prompt_ord"),
-                    F.col("_p.prompt").alias("prompt"),
-                    (F.col("snippet_ord") * F.col("_np") + F.col("_p.prompt_ord")).cast("long").alias("ord"))
+    counted = prompts.crossJoin(F.broadcast(prompts.agg(F.count(F.lit(1)).alias("_np"))))  # one row on the right
+    return snippets.crossJoin(counted).select(
+        "snippet_ord", "snippet", "prompt_ord", "prompt",
+        (F.col("snippet_ord") * F.col("_np") + F.col("prompt_ord")).cast("long").alias("ord"))
 
 
 def render_turn(snippet, prompt):
@@ -60,14 +52,12 @@ def _instruction_counts(messages: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_instructions")))
 
 
-def context_cumulative(messages: DataFrame, max_messages: int | None = CUMULATIVE_MAX_MESSAGES) -> DataFrame:
+def context_cumulative(messages: DataFrame, max_messages: int | None = None) -> DataFrame:
     """C4: for each user turn, the history up to and including it.
 
-    Long form ``(session_id, request_idx, pos, role, content)``.  Applied to
-    sessions with at most ``max_messages`` instructions (the others are
-    replayed independently, C5/C6); so each session contributes at most
-    ``max_messages``^2 rows and the self-join key never grows hot.
-    ``max_messages=None`` applies it to every session.
+    Long form ``(session_id, request_idx, pos, role, content)``, of every
+    session; ``max_messages`` restricts it to sessions with at most that many
+    instructions (the C6 split: the others are replayed independently).
     """
     m = messages
     if max_messages is not None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.complexity import cyclomatic_complexity, decision_points, python_complexity
+from ..functions.complexity import complexity_profile, python_complexity
 from ..functions.distance import edit_distance, edit_similarity, ndiff_distance, syntactic_similarity
 from ..functions.header import header_fields
 from ..functions.lines import comment_ratio, line_profile, python_raw_profile
@@ -179,7 +179,8 @@ def q_scan_records(spark, sf):
     """Write records as JSON lines (B3), read them back (A5)."""
     out = scratch_path(spark, "records_json")
     sinks.write_records(P.records_table(spark, sf), out, fmt="json")
-    return src.scan_records(spark, out, layout="lines").select(*cm.RECORD_COLUMNS)
+    r = src.scan_records(spark, out, layout="lines").select(*cm.RECORD_COLUMNS)
+    return r.withColumn("session_id", F.col("session_id").cast("long"))
 
 
 RUN_NAME = ("'code_snippets' || CAST(conv_id % 7 AS VARCHAR) || '_2024-06-' || lpad(CAST(conv_id % 28 + 1 AS VARCHAR), 2, '0') "
@@ -308,14 +309,14 @@ def q_design_size(spark, sf):
 INSTR = "ic AS (SELECT session_id, count(*) AS n FROM session_messages WHERE role <> 'assistant' GROUP BY session_id)"
 CUMUL_SQL = ("SELECT u.session_id, u.idx AS request_idx, h.idx AS pos, h.role, h.content FROM session_messages u "
              "JOIN ic USING (session_id) JOIN session_messages h ON h.session_id = u.session_id AND h.idx <= u.idx "
-             "WHERE u.role = 'user' AND ic.n <= 5")
+             "WHERE u.role = 'user' AND ic.n <= {hi}")
 INDEP_SQL = ("SELECT u.session_id, u.idx AS request_idx, u.idx AS pos, u.role, u.content FROM session_messages u "
              "JOIN ic USING (session_id) WHERE u.role = 'user' AND ic.n > {lo} UNION ALL "
              "SELECT u.session_id, u.idx, s.idx, s.role, s.content FROM session_messages u JOIN ic USING (session_id) "
              "JOIN session_messages s ON s.session_id = u.session_id AND s.role = 'system' WHERE u.role = 'user' AND ic.n > {lo}")
 
 
-@register("context_cumulative", W(MSG + [INSTR], CUMUL_SQL))
+@register("context_cumulative", W(MSG + [INSTR], CUMUL_SQL.format(hi=1000000)))
 def q_context_cumulative(spark, sf):
     return ss.context_cumulative(P.messages(spark, sf))
 
@@ -325,7 +326,7 @@ def q_context_independent(spark, sf):
     return ss.context_independent(P.messages(spark, sf))
 
 
-@register("build_requests", W(MSG + [INSTR], f"SELECT *, 'cumulative' AS mode FROM ({CUMUL_SQL}) "
+@register("build_requests", W(MSG + [INSTR], f"SELECT *, 'cumulative' AS mode FROM ({CUMUL_SQL.format(hi=5)}) "
                                               f"UNION ALL SELECT *, 'independent' FROM ({INDEP_SQL.format(lo=5)})"))
 def q_build_requests(spark, sf):
     return ss.build_requests(P.messages(spark, sf))
@@ -467,7 +468,7 @@ def q_comment_ratio(spark, sf):
     return P.pairs(spark, sf).select("session_id", "idx", comment_ratio(p["comment"], p["LOC"]).alias("comment_per_LOC"))
 
 
-DIST = f"CAST(levenshtein({O.fold('original_block')}, {O.fold('updated_code')}) AS BIGINT)"
+DIST = f"CAST(levenshtein({O.one_byte('original_block')}, {O.one_byte('updated_code')}) AS BIGINT)"
 
 
 @register("edit_distance", W(PAIRS, f"SELECT session_id, idx, {DIST} AS distance FROM pairs"))
@@ -497,11 +498,24 @@ def q_syntactic_similarity(spark, sf):
                                                               distance=F.col("_d")).alias("similarity"))
 
 
+@register("ndiff_properties", W(PAIRS, "SELECT session_id, idx, true AS at_least_edit_distance, true AS zero_when_equal_only, "
+                                       "true AS at_most_both_lengths, true AS similarity_follows FROM pairs"))
+def q_ndiff_properties(spark, sf):
+    """What holds for E6/E7 of every pair (their values are beyond SQL)."""
+    a, b = F.col("original_block"), F.col("updated_code")
+    p = P.pairs(spark, sf).select("session_id", "idx", a, b, ndiff_distance(a, b).alias("d"), edit_distance(a, b).alias("e"))
+    longest = F.greatest(F.length(a), F.length(b))
+    s = syntactic_similarity("original_block", "updated_code", distance=F.col("d"))
+    return p.select("session_id", "idx", (F.col("d") >= F.col("e")).alias("at_least_edit_distance"),
+                    ((F.col("d") == 0) == (a == b)).alias("zero_when_equal_only"),
+                    (F.col("d") <= F.length(a) + F.length(b)).alias("at_most_both_lengths"),
+                    s.eqNullSafe(F.lit(1.0) - F.try_divide(F.col("d").cast("double"), longest.cast("double"))).alias("similarity_follows"))
+
+
 @register("cyclomatic_complexity", W(DOCS, f"SELECT doc_id, {O.decision_points('code')} AS decision_points, "
                                            f"{O.complexity('code')} AS complexity FROM docs"))
 def q_cyclomatic_complexity(spark, sf):
-    return P.documents_code(spark, sf).select("doc_id", decision_points("code").alias("decision_points"),
-                                              cyclomatic_complexity("code").alias("complexity"))
+    return P.documents_code(spark, sf).select("doc_id", complexity_profile("code").alias("_p")).select("doc_id", "_p.*")
 
 
 PAIR_METRIC_COLS = [f"{s}_{m}" for s in ("original", "updated") for m in
@@ -542,55 +556,77 @@ def q_python_raw_profile(spark, sf):
     return d.select("doc_id", *[p[f].alias(f) for f in ("loc", "sloc", "comments", "blank")])
 
 
-@register("python_complexity", f"SELECT doc_id, 1 + {O.decision_points('text', 'python')} AS complexity FROM documents")
+@register("python_complexity", f"SELECT doc_id, {O.complexity('code', 'python')} AS complexity "
+                               f"FROM (SELECT doc_id, {O.as_python('text')} AS code FROM documents)")
 def q_python_complexity(spark, sf):
-    from ..sources.tables import spread
+    from ..sources.tables import as_python, spread
     d = spread(load_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return d.select("doc_id", python_complexity("text", require_function=False).alias("complexity"))
+    return d.select("doc_id", python_complexity(as_python("text")).alias("complexity"))
 
 
 # ================================================================ F: outcomes
 
-FILES_SQL = [f"files AS (SELECT 'src/file' || CAST(doc_id AS VARCHAR) || '.cs' AS path, {O.as_code('text')} AS text FROM documents)"]
+# Every file is there in two repositories, under one path and with two texts.
+FILES_SQL = [f"files AS (SELECT 'repo' || CAST(doc_id % 6 AS VARCHAR) AS repo_name, 'src/file' || CAST(doc_id AS VARCHAR) || '.cs' AS path, "
+             f"{O.as_code('text')} AS text FROM documents UNION ALL SELECT 'repo' || CAST((doc_id + 1) % 6 AS VARCHAR), "
+             "'src/file' || CAST(doc_id AS VARCHAR) || '.cs', text FROM documents)"]
 
 
 @register("splice_lines", W(REC + FILES_SQL + [
-    "j AS (SELECT r.session_id, r.idx, f.path, string_split(f.text, chr(10)) AS L, string_split(r.updated_code, chr(10)) AS U, "
+    "j AS (SELECT r.session_id, r.idx, f.repo_name, f.path, string_split(f.text, chr(10)) AS L, "
+    "CASE WHEN r.updated_code = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(regexp_replace(regexp_replace(r.updated_code, "
+    "'\\r\\n|[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g'), '\\n\\z', ''), chr(10)) END AS U, "
     "greatest(r.snippet_line_start, 0) AS st, r.snippet_line_end AS en, r.snippet_line_start IS NOT NULL AND r.snippet_line_end IS NOT NULL AS ok, f.text "
-    "FROM records r JOIN files f ON f.path = r.path_to_snippet)"],
-    "SELECT session_id, idx, path, CASE WHEN ok THEN array_to_string(list_concat(list_concat(L[1:st], U), "
+    "FROM records r JOIN files f ON f.path = r.path_to_snippet AND f.repo_name = r.repo_name)"],
+    "SELECT session_id, idx, repo_name, path, CASE WHEN ok THEN array_to_string(list_concat(list_concat(L[1:st], U), "
     "L[greatest(st, en + 1) + 1:]), chr(10)) ELSE text END AS spliced_text FROM j"))
 def q_splice_lines(spark, sf):
-    docs = load_table(spark, sf, "documents")
     from ..sources.tables import as_code
-    files = docs.select(F.concat(F.lit("src/file"), F.col("doc_id").cast("string"), F.lit(".cs")).alias("path"),
-                        as_code("text").alias("text"))
+    docs = load_table(spark, sf, "documents")
+    path = F.concat(F.lit("src/file"), F.col("doc_id").cast("string"), F.lit(".cs")).alias("path")
+    repo = lambda shift: F.concat(F.lit("repo"), ((F.col("doc_id") + shift) % 6).cast("string")).alias("repo_name")
+    files = docs.select(repo(0), path, as_code("text").alias("text")).unionByName(docs.select(repo(1), path, "text"))
     return oc.splice_lines(files, P.records_table(spark, sf))
 
 
-OUTCOME_SQL = ("outc AS (SELECT doc_id AS session_id, CAST(CASE WHEN coalesce(toxic, 0) <> 0 THEN 0 "
-               "WHEN quality = 1 THEN 1 END AS INTEGER) AS build_success, CAST(NULL AS VARCHAR) AS test_success FROM labels)")
+OUTCOME_SQL = MSG + [
+    "outc AS (SELECT u.session_id, u.idx, CAST(CASE WHEN (coalesce(l.toxic, 0) + u.idx) % 3 = 0 THEN 0 "
+    "WHEN l.quality = 1 THEN 1 END AS INTEGER) AS build_success, '' AS test_success "
+    "FROM session_messages u JOIN labels l ON l.doc_id = u.session_id WHERE u.role = 'user')"]
+OUTCOME_ONLY = OUTCOME_SQL[-1:]
 
 
-@register("classify_build_log", W([OUTCOME_SQL], "SELECT * FROM outc"))
+def _outcomes(spark, sf):
+    return oc.classify_build_log(build_logs(load_table(spark, sf, "labels"), P.messages(spark, sf)))
+
+
+@register("classify_build_log", W(OUTCOME_SQL, "SELECT * FROM outc"))
 def q_classify_build_log(spark, sf):
-    return oc.classify_build_log(build_logs(load_table(spark, sf, "labels")))
+    return _outcomes(spark, sf)
 
 
-@register("attach_build_outcome", W(REC + [OUTCOME_SQL], "SELECT r.session_id, r.idx, r.repo_name, o.build_success, o.test_success "
-                                                         "FROM records r LEFT JOIN outc o USING (session_id)"))
+@register("attach_build_outcome", W(REC + OUTCOME_ONLY, "SELECT r.session_id, r.idx, r.repo_name, o.build_success, o.test_success "
+                                                        "FROM records r LEFT JOIN outc o USING (session_id, idx)"))
 def q_attach_build_outcome(spark, sf):
-    o = oc.classify_build_log(build_logs(load_table(spark, sf, "labels")))
-    return oc.attach_build_outcome(P.records_table(spark, sf), o).select("session_id", "idx", "repo_name", "build_success", "test_success")
+    return oc.attach_build_outcome(P.records_table(spark, sf), _outcomes(spark, sf)).select(
+        "session_id", "idx", "repo_name", "build_success", "test_success")
 
 
-@register("build_summary", W(REC + [OUTCOME_SQL], "SELECT r.language, CAST(count_if(o.build_success = 1) AS BIGINT) AS builds_succeeded, "
-                                                  "CAST(count_if(o.build_success = 0) AS BIGINT) AS builds_failed, "
-                                                  "CAST(count_if(o.build_success IS NULL) AS BIGINT) AS builds_unknown "
-                                                  "FROM records r LEFT JOIN outc o USING (session_id) GROUP BY r.language"))
+@register("build_summary", W(REC + OUTCOME_ONLY, "SELECT r.language, CAST(count_if(o.build_success = 1) AS BIGINT) AS builds_succeeded, "
+                                                 "CAST(count_if(o.build_success = 0) AS BIGINT) AS builds_failed, "
+                                                 "CAST(count_if(o.build_success IS NULL) AS BIGINT) AS builds_unknown "
+                                                 "FROM records r LEFT JOIN outc o USING (session_id, idx) GROUP BY r.language"))
 def q_build_summary(spark, sf):
-    o = oc.classify_build_log(build_logs(load_table(spark, sf, "labels")))
-    return oc.build_summary(oc.attach_build_outcome(P.records_table(spark, sf), o), by="language")
+    return oc.build_summary(oc.attach_build_outcome(P.records_table(spark, sf), _outcomes(spark, sf)), by="language")
+
+
+@register("build_stage", W(REC + OUTCOME_ONLY, "SELECT r.session_id, r.idx, r.repo_name, r.updated_LOC, o.build_success, o.test_success "
+                                               "FROM records r LEFT JOIN outc o USING (session_id, idx)"))
+def q_build_stage(spark, sf):
+    """Outcomes attached to the records, written as JSON lines and read back."""
+    from .stages import build_stage
+    got = build_stage(spark, P.records_table(spark, sf), _outcomes(spark, sf), scratch_path(spark, "records_built"), fmt="json")
+    return got.select(F.col("session_id").cast("long").alias("session_id"), "idx", "repo_name", "updated_LOC", "build_success", "test_success")
 
 
 # ================================================================ G: columns
@@ -817,11 +853,15 @@ def q_baseline_from_distinct(spark, sf):
     return rp.baseline_from_distinct(P.scored(spark, sf), "repo_name", digits=6)
 
 
+H2_COLS = list(cm.metric_columns()) + STAT_COLS
+
+
 def _table_sql(kind: str) -> str:
-    """I10/I11/I12 per repo (I13 equals I10 here: a constant column makes the
-    parity normalisation a no-op)."""
+    """I10/I11/I12 per repo; I13 normalises per repo first.  (The statistics
+    columns are constant within a repo, so the row guard keeps raw values.)"""
     ctes = SCORED + [
-        "sc AS (SELECT * REPLACE (pass_rate * (SELECT count(DISTINCT prompt_id) FROM scored) AS pass_rate) FROM scored WHERE repo_name IS NOT NULL)"]
+        "sr AS (SELECT * REPLACE (pass_rate * (SELECT count(DISTINCT prompt_id) FROM scored) AS pass_rate) FROM scored WHERE repo_name IS NOT NULL)"]
+    ctes += O.minmax_ctes("sr", "sc", H2_COLS, "repo_name") if kind == "normalized" else ["sc AS (SELECT * FROM sr)"]
     ctes += [c.replace("FROM scored", "FROM sc") for c in [
         "f AS (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY session_id, idx) AS rn FROM scored WHERE pass_rate = 100)"]]
     ctes += ["b8 AS (SELECT repo_name, " + ", ".join(
@@ -831,7 +871,7 @@ def _table_sql(kind: str) -> str:
     ctes += ["base AS (SELECT b9.repo_name, " + ", ".join(
         f"CASE WHEN b8.repo_name IS NOT NULL THEN b8.{m} ELSE b9.{m} END AS {m}" for m in BASE_COLS)
         + " FROM b9 LEFT JOIN b8 USING (repo_name))"]
-    if kind == "abs":
+    if kind in ("abs", "normalized"):
         grp = ", ".join(f"round_even(avg(CAST(updated_{m} AS DOUBLE)), 1) AS {m}" for m in M)
         ctes += [f"g AS (SELECT repo_name, prompt_id, round_even(avg(pass_rate), 1) AS pass_rate, {grp} FROM sc "
                  "WHERE prompt_id IS NOT NULL GROUP BY repo_name, prompt_id)"]
@@ -863,17 +903,20 @@ def q_prompt_table_factor(spark, sf):
     return rp.prompt_table_factor(P.scored(spark, sf), baseline_digits=6)
 
 
-@register("prompt_table_normalized", _table_sql("abs"))
+@register("prompt_table_normalized", _table_sql("normalized"))
 def q_prompt_table_normalized(spark, sf):
     return rp.prompt_table_normalized(P.scored(spark, sf), baseline_digits=6)
 
 
-def _element_sql(kind: str) -> str:
-    """I14 per language (normalisation is a no-op: complexity is constant)."""
-    key = "language"
+def _element_sql(kind: str, key: str = "language") -> str:
+    """Rescale, normalise over all rows (guard columns included), then
+    skip; ``normalized`` normalises once more per element."""
     ctes = SCORED + [
-        f"sc AS (SELECT * REPLACE (pass_rate * (SELECT count(DISTINCT {key}) FROM scored) AS pass_rate) FROM scored "
-        f"WHERE {key} IS NOT NULL AND NOT contains({key}, '// c++'))",
+        f"sr AS (SELECT * REPLACE (pass_rate * (SELECT count(DISTINCT {key}) FROM scored) AS pass_rate) FROM scored "
+        f"WHERE {key} IS NOT NULL)", *O.minmax_ctes("sr", "sn", H2_COLS),
+        f"sk AS (SELECT * FROM sn WHERE NOT contains({key}, '// c++'))"]
+    ctes += O.minmax_ctes("sk", "sc", H2_COLS, key) if kind == "normalized" else ["sc AS (SELECT * FROM sk)"]
+    ctes += [
         f"f AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY session_id, idx) AS rn FROM sc WHERE pass_rate = 100)",
         f"b8 AS (SELECT {key}, " + ", ".join(
             (f"CAST(NULL AS DOUBLE) AS {m}" if m in rp.NULL_IN_BASELINE else f"round_even(CAST(original_{m} AS DOUBLE), 1) AS {m}")
@@ -882,12 +925,14 @@ def _element_sql(kind: str) -> str:
     ctes += [f"base AS (SELECT b9.{key}, " + ", ".join(
         f"CASE WHEN b8.{key} IS NOT NULL THEN b8.{m} ELSE b9.{m} END AS {m}" for m in BASE_COLS)
         + f" FROM b9 LEFT JOIN b8 USING ({key}))"]
-    if kind == "abs":
+    if kind in ("abs", "normalized"):
         grp = ", ".join(f"round_even(avg(CAST(updated_{m} AS DOUBLE)), 1) AS {m}" for m in M)
         ctes += [f"g AS (SELECT {key}, round_even(avg(pass_rate), 1) AS pass_rate, {grp} FROM sc GROUP BY {key})"]
     else:
-        grp = ", ".join(f"round_even((avg(CAST(updated_{m} AS DOUBLE)) - avg(CAST(original_{m} AS DOUBLE))) / "
-                        f"nullif(avg(CAST(original_{m} AS DOUBLE)), 0) * 100, 1) AS {m}" for m in M)
+        up = {m: f"avg(CAST(updated_{m} AS DOUBLE))" for m in M}
+        og = {m: f"avg(CAST(original_{m} AS DOUBLE))" for m in M}
+        grp = ", ".join(f"round_even(({up[m]}{f' - {og[m]}' if kind == 'percentage' else ''}) / nullif({og[m]}, 0) * 100, 1) AS {m}"
+                        for m in M)
         tenths = "CAST(round_even(round_even(pass_rate, 1) * 10, 0) AS BIGINT)"
         ctes += [f"g AS (SELECT {key}, (sum({tenths}) / nullif(count({tenths}), 0)) / 10 AS pass_rate, {grp} "
                  f"FROM sc GROUP BY {key})"]
@@ -906,11 +951,26 @@ def q_element_summary_pct(spark, sf):
     return rp.element_summary(P.scored(spark, sf), "language", "percentage")
 
 
+@register("element_summary_prompt", _element_sql("abs", "prompt_id"))
+def q_element_summary_prompt(spark, sf):
+    return rp.element_summary(P.scored(spark, sf), "prompt_id", "abs")
+
+
+@register("element_summary_normalized", _element_sql("normalized"))
+def q_element_summary_normalized(spark, sf):
+    return rp.element_summary(P.scored(spark, sf), "language", "normalized")
+
+
+@register("element_summary_factor", _element_sql("factor", "prompt_id"))
+def q_element_summary_factor(spark, sf):
+    return rp.element_summary(P.scored(spark, sf), "prompt_id", "factor")
+
+
 def _change_sql() -> str:
-    nums = [c for c in cm.metric_columns()] + STAT_COLS
     rel = ", ".join(f"(updated_{m} - original_{m}) / nullif(CAST(original_{m} AS DOUBLE), 0) AS {m}" for m in M)
     means = ", ".join(f"round_even({O.mean(m)}, 6) AS {m}" for m in ["pass_rate"] + M)
-    return W(SCORED + [f"r AS (SELECT repo_name, prompt_id, pass_rate / 100 AS pass_rate, {rel} FROM scored WHERE prompt_id IS NOT NULL)"],
+    return W(SCORED + O.minmax_ctes("scored", "sn", H2_COLS) + [
+        f"r AS (SELECT repo_name, prompt_id, pass_rate / 100 AS pass_rate, {rel} FROM sn WHERE prompt_id IS NOT NULL)"],
              f"SELECT repo_name, prompt_id, {means} FROM r GROUP BY repo_name, prompt_id")
 
 
@@ -926,22 +986,21 @@ def _feature_sql(order_only: bool = False) -> str:
         "GROUP BY repo_name, prompt_id" for i, f in enumerate(feats))
     if order_only:
         sel = f"SELECT DISTINCT feature, ord FROM ({sel})"
-    return W(SCORED + ["r AS (SELECT * REPLACE (pass_rate * (SELECT count(DISTINCT prompt_id) FROM scored) / 100 AS pass_rate) "
-                       "FROM scored WHERE prompt_id IS NOT NULL)"], sel)
+    return W(SCORED + O.minmax_ctes("scored", "sn", H2_COLS) + [
+        "r AS (SELECT * REPLACE (pass_rate * (SELECT count(DISTINCT prompt_id) FROM scored) / 100 AS pass_rate) "
+        "FROM sn WHERE prompt_id IS NOT NULL)"], sel)
 
 
 @register("feature_distribution", _feature_sql())
 def q_feature_distribution(spark, sf):
-    return rp.feature_distribution(P.scored(spark, sf).select(
-        "session_id", "idx", "repo_name", "prompt_id", "pass_rate", *cm.metric_columns()), digits=6)
+    return rp.feature_distribution(P.scored(spark, sf), digits=6)
 
 
 @register("feature_order", _feature_sql(order_only=True))
 def q_feature_order(spark, sf):
     """The paired feature order (last ``_`` part, then name; pass rate
     last) of the features present in the I16 output."""
-    fd = rp.feature_distribution(P.scored(spark, sf).select(
-        "session_id", "idx", "repo_name", "prompt_id", "pass_rate", *cm.metric_columns()), digits=6)
+    fd = rp.feature_distribution(P.scored(spark, sf), digits=6)
     return fd.select("feature", "ord").distinct()
 
 

@@ -10,11 +10,11 @@ side's in-row ``aggregate``.
 
 from __future__ import annotations
 
-from ..functions.complexity import C_DECISIONS, C_FUNCTION, C_NOISE, PY_DECISIONS, PY_NOISE
+from ..functions.distance import LETTERS, STAND_INS
 from ..operators.codemetrics import PAIR_METRICS
 from ..operators.columns import PROMPT_LABELS
 from ..operators.extract import BUG_FIX_SENTENCE
-from ..sources.tables import CODE_REWRITES
+from ..sources.tables import CODE_REWRITES, FUNCTION_HEAD, LEAD_LINES, NEXT_FUNCTION, PYTHON_HEAD
 
 # Python's whitespace set in RE2 syntax (same characters as text.PY_WHITESPACE).
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -42,26 +42,52 @@ def fold(x: str, repl: str = "?") -> str:
     return f"regexp_replace({x}, '[^\\x00-\\x7F]', '{repl}', 'g')"
 
 
+def one_byte(x: str) -> str:
+    """Accented letters as control characters: DuckDB's distance counts bytes."""
+    stand_ins = " || ".join(f"chr({ord(c)})" for c in STAND_INS)
+    return fold(f"translate({x}, '{LETTERS}', {stand_ins})")
+
+
 def as_code(x: str) -> str:
     out = x
-    for a, b in CODE_REWRITES:
+    for a, b in [*CODE_REWRITES, NEXT_FUNCTION]:
         out = f"replace({out}, {lit(a)}, {lit(b)})"
-    return out
+    return f"CASE WHEN length({x}) % 5 = 0 THEN {out} ELSE {lit(FUNCTION_HEAD)} || {out} END"
+
+
+def as_python(x: str) -> str:
+    return f"CASE WHEN length({x}) % 5 = 0 THEN {x} ELSE {lit(PYTHON_HEAD)} || {x} END"
+
 
+# The complexity rules again, in the plain form that RE2 knows (no possessive
+# runs, no lookahead).
+SQL_NOISE = {"c": r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)'""",
+             "python": r"""#[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""}
+SQL_DECISIONS = {"c": r"\b(?:if|for|foreach|while|case|catch)\b|&&|\|\||\?",
+                 "python": r"\b(?:if|elif|for|while|except|and|or|assert)\b"}
+SQL_FUNCTION = {"c": r"\b[A-Za-z_][A-Za-z0-9_]*\s*\([^()]*\)\s*(?:\{|=>)", "python": r"\bdef\s+[A-Za-z_][A-Za-z0-9_]*\s*\("}
+SQL_HEADS = r"\b(if|for|foreach|while|switch|catch|using|lock|fixed)\s*\("
 
-def cleaned(x: str, noise: str) -> str:
-    return f"regexp_replace({fold(x, '#')}, {lit(noise)}, ' ', 'g')"
+
+def cleaned(x: str, style: str) -> str:
+    return f"regexp_replace({fold(x, '#')}, {lit(SQL_NOISE[style])}, ' ', 'g')"
+
+
+def decisions(x: str, style: str) -> str:
+    return f"CAST(len(regexp_extract_all({x}, {lit(SQL_DECISIONS[style])})) AS INTEGER)"
 
 
 def decision_points(x: str, style: str = "c") -> str:
-    pat, noise = (C_DECISIONS, C_NOISE) if style == "c" else (PY_DECISIONS, PY_NOISE)
-    return f"CAST(len(regexp_extract_all({cleaned(x, noise)}, {lit(pat)})) AS INTEGER)"
+    return decisions(cleaned(x, style), style)
 
 
-def complexity(x: str) -> str:
-    c = cleaned(x, C_NOISE)
-    return (f"CASE WHEN regexp_matches({c}, {lit(C_FUNCTION)}) "
-            f"THEN 1 + CAST(len(regexp_extract_all({c}, {lit(C_DECISIONS)})) AS INTEGER) END")
+def complexity(x: str, style: str = "c") -> str:
+    """1 + decision points between the first function and the next; NULL without one."""
+    c = cleaned(x, style)
+    if style == "c":
+        c = f"regexp_replace({c}, {lit(SQL_HEADS)}, '\\1 [', 'g')"
+    body = f"regexp_split_to_array({c}, {lit(SQL_FUNCTION[style])})[2]"
+    return f"1 + {decisions(body, style)}"
 
 
 def fenced(x: str) -> str:
@@ -88,16 +114,18 @@ def clean_prompt(x: str) -> str:
 # ------------------------------------------------------------------ CTEs
 
 def messages_ctes() -> list[str]:
+    lead = " || ".join(f"repeat({lit(x)}, CAST(conv_id % 6 AS INTEGER))" for x in LEAD_LINES)
+    lead += f" || CASE WHEN conv_id % 6 >= 2 THEN {lit(FUNCTION_HEAD)} ELSE '' END"
     user = (f"'```' || {NL} || ' // src/file' || CAST(conv_id AS VARCHAR) || '.cs' || {NL} || ' // ' "
             f"|| CAST(turn*10 AS VARCHAR) || '/' || CAST(turn*10+5 AS VARCHAR) || {NL} "
             f"|| ' // https://example.com/org/repo' || CAST(conv_id % 6 AS VARCHAR) || {NL} || ' // ' "
             f"|| CASE conv_id % 3 WHEN 0 THEN 'c#' WHEN 1 THEN 'c++' ELSE 'python' END || {NL} "
             f"|| code || {NL} || ' ```' || {NL} || 'prompt ' || CAST((conv_id + turn) % 8 AS VARCHAR)")
-    assistant = (f"CASE (conv_id + turn) % 7 WHEN 0 THEN code WHEN 1 THEN '```' || code "
-                 f"WHEN 2 THEN '```csharp' || {NL} || code || {NL} || '```' || {NL} || 'and' || {NL} || '```' || code || '```' "
+    assistant = (f"CASE WHEN (conv_id + turn) % 7 = 0 THEN code WHEN (conv_id + turn) % 7 = 1 AND conv_id % 6 < 3 THEN '```' || code "
+                 f"WHEN (conv_id + turn) % 7 = 2 THEN '```csharp' || {NL} || code || {NL} || '```' || {NL} || 'and' || {NL} || '```' || code || '```' "
                  f"ELSE 'Here:' || {NL} || '```csharp' || {NL} || code || {NL} || '```' END")
     return [
-        f"sm_c AS (SELECT conv_id, turn, role, text, {as_code('text')} AS code FROM conversations)",
+        f"sm_c AS (SELECT conv_id, turn, role, text, {lead} || ({as_code('text')}) AS code FROM conversations)",
         ("session_messages AS (SELECT conv_id AS session_id, turn AS idx, role, "
          f"CASE WHEN role = 'user' THEN {user} WHEN role = 'assistant' THEN {assistant} ELSE text END AS content, "
          f"CASE WHEN role = 'user' THEN 'prompt ' || CAST((conv_id + turn) % 8 AS VARCHAR) ELSE '' END AS prompt "
@@ -179,7 +207,7 @@ def records_ctes(measure_block: bool = True) -> list[str]:
     ctes += profile_ctes("prof_o", "hdr", ["session_id", "idx"], measured)
     ctes += profile_ctes("prof_u", "hdr", ["session_id", "idx"], "updated_code")
     ctes.append(
-        "hdr_d AS (SELECT *, CAST(levenshtein(" + fold(measured) + ", " + fold("updated_code") + ") AS BIGINT) AS dist, "
+        "hdr_d AS (SELECT *, CAST(levenshtein(" + one_byte(measured) + ", " + one_byte("updated_code") + ") AS BIGINT) AS dist, "
         + complexity(measured) + " AS cco, " + complexity("updated_code") + " AS ccu FROM hdr)")
     cols = ["h.repo_url", "h.repo_name", "h.path_to_snippet", "h.snippet_func_name", "h.snippet_line_start",
             "h.snippet_line_end", "h.language", "h.run_command"]
@@ -224,6 +252,19 @@ def design_cte() -> str:
     return "design AS (SELECT count(*) AS design_size FROM session_messages WHERE role = 'user')"
 
 
+def minmax_ctes(src: str, out: str, cols: list[str], key: str | None = None) -> list[str]:
+    """H2 with its row guard: a row where any column is undefined (null, or
+    constant in the table or group) keeps all raw values; else one decimal
+    half-even, then the integer part."""
+    over = f"OVER (PARTITION BY {key})" if key else "OVER ()"
+    low = ", ".join(f"CAST(min({c}) {over} AS DOUBLE) AS lo_{i}, CAST(max({c}) {over} AS DOUBLE) AS hi_{i}" for i, c in enumerate(cols))
+    n = [f"(CAST({c} AS DOUBLE) - lo_{i}) / nullif(hi_{i} - lo_{i}, 0)" for i, c in enumerate(cols)]
+    ok = " AND ".join(f"({x}) IS NOT NULL" for x in n)
+    put = ", ".join(f"CASE WHEN ok THEN trunc(round_even({x}, 1)) ELSE CAST({c} AS DOUBLE) END AS {c}" for c, x in zip(cols, n))
+    return [f"{out}_a AS (SELECT *, {low} FROM {src})", f"{out}_b AS (SELECT *, {ok} AS ok FROM {out}_a)",
+            f"{out} AS (SELECT * REPLACE ({put}) FROM {out}_b)"]
+
+
 def mean(x: str) -> str:
     """Mean that returns the common value exactly when a group is constant."""
     return f"CASE WHEN min({x}) = max({x}) THEN CAST(min({x}) AS DOUBLE) ELSE avg({x}) END"

@@ -3,6 +3,7 @@
 * ``sessions_stage``: snippet files x prompt list -> session markdown files.
 * ``metrics_stage``:  transcript files (latest run per session and model) ->
   the records table (parquet or JSON lines).
+* ``build_stage``:    records + build outcomes -> records with their outcome.
 * ``reports_stage``:  records -> the report tables (CSV) and the prompt
   dictionary (JSON), named as the original tool named them.
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from ..operators import reports as rp
 from ..operators.codemetrics import assemble_records
 from ..operators.columns import prompt_dictionary
-from ..operators.extract import clean_prompts, extract_pairs
+from ..operators.extract import clean_prompts, extract_pairs, zip_pairs
 from ..operators.ordinals import first_appearance_index
+from ..operators.outcomes import attach_build_outcome, classify_build_log
 from ..operators.sessions import cross_prompts, render_turn
 from ..session import ensure_checkpoint_dir, materialize
 from ..sinks import files as sinks
@@ -69,7 +71,7 @@ def latest_transcripts(spark: SparkSession, transcripts_path: str, model: str |
 
 
 def latest_named_transcripts(spark: SparkSession, transcripts_path: str, model: str | None = None,
-                             exclude_test: bool = True) -> DataFrame:
+                             exclude_test: bool = False) -> DataFrame:
     """Messages of the latest run per (session, model) from a flat folder of
     files named ``<session>_<yyyy-MM-dd>_<HH-mm>_<model>.json`` (the original
     tool's naming, with ``-`` instead of ``:`` in the time: Hadoop paths
@@ -85,25 +87,42 @@ def latest_named_transcripts(spark: SparkSession, transcripts_path: str, model:
 
 def metrics_stage(spark: SparkSession, transcripts_path: str, out_path: str, model: str | None = None,
                   include_header: bool = True, distance: str = "levenshtein", fmt: str = "parquet",
-                  layout: str = "folders") -> DataFrame:
+                  layout: str = "folders", pairing: str = "row") -> DataFrame:
     """Transcripts -> pairs -> per-pair metrics -> records, written to
     ``out_path``; returns the written table.  ``layout='folders'`` reads
     ``write_chat_json`` output, ``layout='names'`` a flat folder of
-    transcript files named as the original tool named them."""
+    transcript files named as the original tool named them.  Session ids are
+    text.  ``pairing='row'`` takes the first block of a user turn and keeps the
+    number of its blocks as ``n_user_blocks``; ``'zip'`` pairs all blocks of a
+    session by position, as the published numbers were made."""
     ensure_checkpoint_dir(spark)
     if layout == "names":
         raw = latest_named_transcripts(spark, transcripts_path, model)
-        sid = F.col("session_id")
     else:
         raw = latest_transcripts(spark, transcripts_path, model)
-        sid = F.col("session_id").cast("long")
-    msgs = raw.select(sid.alias("session_id"), F.col("idx").cast("long").alias("idx"),
+    msgs = raw.select(F.col("session_id").cast("string").alias("session_id"), F.col("idx").cast("long").alias("idx"),
                       "role", "content", F.coalesce(F.col("prompt"), F.lit("")).alias("prompt"))
-    records = assemble_records(extract_pairs(msgs), include_header=include_header, distance=distance)
+    if pairing == "zip":
+        records = assemble_records(zip_pairs(msgs), include_header=include_header, distance=distance)
+    else:
+        pairs = extract_pairs(msgs)
+        records = assemble_records(pairs, include_header=include_header, distance=distance, keep=("n_user_blocks",))
     sinks.write_records(records, out_path, fmt=fmt)
     return spark.read.format(fmt).load(out_path) if fmt != "json" else src.scan_records(spark, out_path)
 
 
+def build_stage(spark: SparkSession, records: DataFrame, outcomes: DataFrame, out_path: str,
+                fmt: str = "parquet") -> DataFrame:
+    """Records with their build outcome (F2/F3), written to ``out_path``;
+    returns the written table.  ``outcomes``: one row per (session_id, idx) with
+    ``build_success`` and ``test_success``, or ``exit_code`` and ``log``."""
+    ensure_checkpoint_dir(spark)
+    if "exit_code" in outcomes.columns:
+        outcomes = classify_build_log(outcomes)
+    sinks.write_records(attach_build_outcome(records, outcomes), out_path, fmt=fmt)
+    return spark.read.format(fmt).load(out_path) if fmt != "json" else src.scan_records(spark, out_path)
+
+
 def _csv_names(df: DataFrame) -> DataFrame:
     """Report column names as the original CSV files have them."""
     def name(c: str) -> str:
@@ -112,15 +131,19 @@ def _csv_names(df: DataFrame) -> DataFrame:
 
 
 def reports_stage(spark: SparkSession, records: DataFrame, out_dir: str, design_size,
-                  snippet_count=None, extended: bool = False) -> dict[str, str]:
+                  snippet_count=None, extended: bool = False, labels: dict | None = None) -> dict[str, str]:
     """Records -> report files.  ``design_size``: number of designed snippet
-    x prompt combinations (int or one-row DataFrame).  ``extended`` also
+    x prompt combinations (int or one-row DataFrame).  ``snippet_count``: number
+    of snippets, the base of the pass rate (default: the largest group).
+    ``labels``: prompt id -> label; others keep their text.  ``extended`` also
     writes the per-repository tables (I10-I13), heat-map numbers (I15) and
     multi-bar numbers (I16).  Returns {report: path}."""
     ensure_checkpoint_dir(spark)
     out = out_dir.rstrip("/")
     written: dict[str, str] = {}
-    scored = materialize(rp.score_records(records), "report-input")
+    if "session_id" not in records.columns:   # records read from JSON arrays are known by file and position
+        records = records.withColumnsRenamed({"file_name": "session_id", "pos": "idx"})
+    scored = materialize(rp.score_records(records, snippet_count, labels=labels), "report-input")
 
     def put(name: str, df: DataFrame, rel: str, order) -> None:
         sinks.write_report_csv(_csv_names(df), f"{out}/{rel}", order_by=order)
@@ -136,6 +159,10 @@ def reports_stage(spark: SparkSession, records: DataFrame, out_dir: str, design_
         for kind in ("abs", "normalized", "percentage", "factor"):
             put(f"table_{kind}", rp.summary_table(scored, kind), f"table/TABLE_{kind}.csv",
                 ["repo_name", "row_kind", "row_label"])
+        for element in ("language", "prompt_id"):
+            for kind in ("abs", "normalized", "percentage", "factor"):
+                put(f"element_{element}_{kind}", rp.element_summary(scored, element, kind),
+                    f"table/TABLE_{element}_{kind}.csv", [element, "row_kind", "row_label"])
         put("heatmap", rp.change_matrix(scored), "heatmap/HEATMAP.csv", ["repo_name", "prompt_id"])
         put("multibar", rp.feature_distribution(scored), "multibar/MULTIBAR.csv", ["repo_name", "prompt_id", "ord"])
     return written
@@ -157,19 +184,23 @@ def main(argv=None) -> None:
     m.add_argument("--model")
     m.add_argument("--distance", default="levenshtein", choices=["levenshtein", "ndiff"])
     m.add_argument("--layout", default="folders", choices=["folders", "names"])
+    m.add_argument("--pairing", default="row", choices=["row", "zip"])
     r = sub.add_parser("reports")
     r.add_argument("records")
     r.add_argument("out")
     r.add_argument("--design-size", type=int, required=True)
+    r.add_argument("--snippet-count", type=int)
+    r.add_argument("--layout", default="parquet", choices=["parquet", "lines", "array"])
     r.add_argument("--extended", action="store_true")
     a = ap.parse_args(argv)
     spark = build_session()
     if a.stage == "sessions":
         sessions_stage(spark, a.snippets, a.prompts, a.out, one_session=a.one_session)
     elif a.stage == "metrics":
-        metrics_stage(spark, a.transcripts, a.out, model=a.model, distance=a.distance, layout=a.layout)
+        metrics_stage(spark, a.transcripts, a.out, model=a.model, distance=a.distance, layout=a.layout, pairing=a.pairing)
     else:
-        print(reports_stage(spark, spark.read.parquet(a.records), a.out, a.design_size, extended=a.extended))
+        records = spark.read.parquet(a.records) if a.layout == "parquet" else src.scan_records(spark, a.records, layout=a.layout)
+        print(reports_stage(spark, records, a.out, a.design_size, snippet_count=a.snippet_count, extended=a.extended))
     spark.stop()
 
 

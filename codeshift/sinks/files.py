@@ -1,7 +1,7 @@
 """File sinks.
 
-Writers keep the rows distributed.  Only outputs whose size is checked to be
-small (a dictionary, a report table) are written as a single file.
+Writers keep the rows distributed.  A dictionary or a report table is written
+as a single file, streamed row by row.
 """
 
 from __future__ import annotations
@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SINGLE_FILE_MAX_ROWS = 1_000_000
-
-
 def write_session_markdown(turns: DataFrame, path: str, session_col: str = "session",
-                           order_col: str = "ord", text_col: str = "text") -> None:
+                           order_col: str = "ord", text_col: str = "text", mode: str = "overwrite") -> None:
     """B1: one markdown file per session, turns in ``order_col`` order.
+    ``mode="append"`` adds a file to the session's folder, so the turns written
+    before stay.
 
     One row per turn is written (the text writer ends every row with a
     newline, so each turn's own final newline is dropped first); rows are
@@ -24,7 +23,7 @@ def write_session_markdown(turns: DataFrame, path: str, session_col: str = "sess
     (turns.select(session_col, order_col, body.alias("value"))
      .repartition(session_col).sortWithinPartitions(session_col, order_col)
      .select(session_col, "value")
-     .write.mode("overwrite").partitionBy(session_col).text(path))
+     .write.mode(mode).partitionBy(session_col).text(path))
 
 
 def _partition_value(v: str) -> str:
@@ -68,27 +67,22 @@ def write_records(records: DataFrame, path: str, fmt: str = "parquet",
 
 
 def write_prompt_mapping(dictionary: DataFrame, path: str, key_col: str = "prompt",
-                         id_col: str = "prompt_ord", max_entries: int = SINGLE_FILE_MAX_ROWS) -> None:
-    """The ``{prompt: id}`` dictionary as one JSON object (ids in order);
-    beyond ``max_entries`` entries it is written as JSON lines instead."""
-    n = dictionary.count()
-    if n > max_entries:
-        dictionary.select(key_col, id_col).write.mode("overwrite").json(path)
-        return
-    mapping_json(dictionary, key_col, id_col).coalesce(1).write.mode("overwrite").text(path)
-
-
-def mapping_json(dictionary: DataFrame, key_col: str = "prompt", id_col: str = "prompt_ord") -> DataFrame:
-    entries = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("k"), F.col(key_col).alias("v"))))
-    m = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["v"], e["k"])))
-    return dictionary.agg(F.to_json(m).alias("value"))
-
-
-def write_report_csv(report: DataFrame, path: str, max_rows: int = SINGLE_FILE_MAX_ROWS,
-                     order_by=None) -> None:
-    """A report as CSV with a header; one file when its checked size is
-    small (reports have one row per key), distributed otherwise."""
+                         id_col: str = "prompt_ord") -> None:
+    """The ``{prompt: id}`` dictionary as one JSON object, ids in order.
+
+    One entry a row, framed ``{`` / ``,`` / ``}``: the writer task streams the
+    sorted rows into a single file and never holds the object."""
+    bounds = F.broadcast(dictionary.agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi")))  # one row
+    entry = F.to_json(F.create_map(F.col(key_col), F.col(id_col)))
+    line = F.concat(F.when(F.col(id_col) == F.col("_lo"), F.lit("{")).otherwise(F.lit(",")),
+                    F.substring(entry, F.lit(2), F.length(entry) - 2),
+                    F.when(F.col(id_col) == F.col("_hi"), F.lit("}")).otherwise(F.lit("")))
+    (dictionary.crossJoin(bounds).select(id_col, line.alias("value")).coalesce(1).sortWithinPartitions(id_col)
+     .select("value").write.mode("overwrite").text(path))
+
+
+def write_report_csv(report: DataFrame, path: str, order_by=None, single_file: bool = True) -> None:
+    """A report as CSV with a header, in one file (reports have one row per
+    key) or, with ``single_file=False``, in one file per task."""
     df = report.orderBy(*order_by) if order_by else report
-    if report.count() <= max_rows:
-        df = df.coalesce(1)
-    df.write.mode("overwrite").option("header", True).csv(path)
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)

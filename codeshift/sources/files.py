@@ -164,10 +164,10 @@ def _lines_schema() -> T.StructType:
     from ..operators.codemetrics import RECORD_COLUMNS  # local import: avoid a cycle
     ints = {f"{s}_{m}" for s in ("original", "updated") for m in _METRIC_NAMES + ("cyclomatic_complexity",)}
     fields = []
-    for c in RECORD_COLUMNS:
-        if c in ints or c in ("snippet_line_start", "snippet_line_end"):
+    for c in [*RECORD_COLUMNS, "build_success", "test_success"]:
+        if c in ints or c == "build_success" or c in ("snippet_line_start", "snippet_line_end"):
             t = T.IntegerType()
-        elif c.endswith("levenshtein_distance") or c in ("session_id", "idx"):
+        elif c.endswith("levenshtein_distance") or c == "idx":
             t = T.LongType()
         elif c.endswith(("comment_per_LOC", "syntactic_similarity")):
             t = T.DoubleType()
@@ -189,20 +189,25 @@ def parse_run_names(names: DataFrame, name_col: str = "file_name") -> DataFrame:
                         F.try_to_timestamp(ts_text, F.lit("yyyy-MM-dd HH:mm")).alias("run_ts"))
 
 
+def _is_test(name_col: str):
+    """A whole part of the name (between ``_``, ``-`` and ``.``) is ``test`` or ``example``."""
+    return F.col(name_col).rlike(r"(?:^|[_.-])(?:tests?|examples?)(?:[_.-]|$)")
+
+
 def latest_run(names: DataFrame, session_name: str, model: str, exclude_test: bool = False,
                name_col: str = "file_name") -> DataFrame:
     """The latest run file of one session and model.
 
     A name matches when its first part, or its first two parts joined by
     ``_``, equal ``session_name`` and its fifth part contains ``model``;
-    ``exclude_test`` also skips names containing ``test`` or ``example``.
+    ``exclude_test`` also skips names with a part ``test`` or ``example``.
     Ties on the timestamp go to the smallest file name.
     """
     p = parse_run_names(names, name_col)
     match = (((F.col("_p0") == session_name) | (F.concat_ws("_", "_p0", "_p1") == session_name))
              & F.coalesce(F.col("_p4").contains(model), F.lit(False)) & F.col("run_ts").isNotNull())
     if exclude_test:
-        match = match & ~F.col(name_col).contains("test") & ~F.col(name_col).contains("example")
+        match = match & ~_is_test(name_col)
     return (p.filter(match)
             .agg(F.min_by(F.struct(F.col(name_col).alias("file_name"), F.col("run_ts")),
                           F.struct(-F.unix_timestamp("run_ts"), F.col(name_col))).alias("_w"))
@@ -217,7 +222,7 @@ def latest_runs(names: DataFrame, exclude_test: bool = False, name_col: str = "f
         "model", F.regexp_replace(F.col("_p4"), r"\.json\z", ""))
     p = p.filter(F.col("run_ts").isNotNull() & F.col("model").isNotNull())
     if exclude_test:
-        p = p.filter(~F.col(name_col).contains("test") & ~F.col(name_col).contains("example"))
+        p = p.filter(~_is_test(name_col))
     return (p.groupBy("session", "model")
             .agg(F.min_by(F.struct(F.col(name_col).alias("file_name"), F.col("run_ts")),
                           F.struct(-F.unix_timestamp("run_ts"), F.col(name_col))).alias("_w"))

@@ -57,10 +57,28 @@ CODE_REWRITES = [
 ]
 
 
+# Function heads of the code view, and the break where another one starts.
+FUNCTION_HEAD = "int run(int a) {" + NL
+PYTHON_HEAD = "def run(a):" + NL
+NEXT_FUNCTION = (";" + NL + "I", ";" + NL + "}" + NL + "int next(int b) {" + NL + "I")
+
+
 def as_code(text) -> Column:
-    """Prose -> code-like text by the literal rewrites above, in order."""
+    """Prose -> code-like text by the literal rewrites above, in order; four
+    texts of five (by length) start with a function head."""
+    c = F.col(text) if isinstance(text, str) else text
+    code = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), [*CODE_REWRITES, NEXT_FUNCTION], c)
+    return F.when(F.length(c) % 5 == 0, code).otherwise(F.concat(F.lit(FUNCTION_HEAD), code))
+
+
+# Lines that lead the code of a session.
+LEAD_LINES = ("// note" + NL, NL, "x = x;" + NL)
+
+
+def as_python(text) -> Column:
+    """Prose with a function head in four texts of five (by length)."""
     c = F.col(text) if isinstance(text, str) else text
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), CODE_REWRITES, c)
+    return F.when(F.length(c) % 5 == 0, c).otherwise(F.concat(F.lit(PYTHON_HEAD), c))
 
 
 def _s(c: Column) -> Column:
@@ -69,7 +87,13 @@ def _s(c: Column) -> Column:
 
 def session_messages(conversations: DataFrame) -> DataFrame:
     """Transcript rows ``(session_id, idx, role, content, prompt)``."""
-    c = conversations.select("conv_id", "turn", "role", "text", as_code("text").alias("code"))
+    # As many comment, blank and statement lines ahead as the repository's number,
+    # and a function in all code of four repositories: the least value of every
+    # metric differs between repositories.
+    repo = F.col("conv_id") % 6
+    lead = F.concat(*[F.repeat(F.lit(x), repo.cast("int")) for x in LEAD_LINES],
+                    F.when(repo >= 2, F.lit(FUNCTION_HEAD)).otherwise(F.lit("")))
+    c = conversations.select("conv_id", "turn", "role", "text", F.concat(lead, as_code("text")).alias("code"))
     conv, turn, code = F.col("conv_id"), F.col("turn"), F.col("code")
     prompt = F.concat(F.lit("prompt "), _s((conv + turn) % 8))
     language = (F.when(conv % 3 == 0, F.lit("c#")).when(conv % 3 == 1, F.lit("c++"))
@@ -81,7 +105,7 @@ def session_messages(conversations: DataFrame) -> DataFrame:
     kind = (conv + turn) % 7
     assistant = (
         F.when(kind == 0, code)
-        .when(kind == 1, F.concat(F.lit("```"), code))
+        .when((kind == 1) & (conv % 6 < 3), F.concat(F.lit("```"), code))
         .when(kind == 2, F.concat(F.lit("```csharp\n"), code, F.lit("\n```\nand\n```"), code, F.lit("```")))
         .otherwise(F.concat(F.lit("Here:\n```csharp\n"), code, F.lit("\n```"))))
     role = F.col("role")
@@ -118,14 +142,17 @@ def stored_responses(messages: DataFrame) -> DataFrame:
     return a.select("session_id", "idx", status.alias("status"), body.alias("body"))
 
 
-def build_logs(labels: DataFrame) -> DataFrame:
-    """Build outcomes standing in for compiler runs, from ``labels``.
+def build_logs(labels: DataFrame, messages: DataFrame) -> DataFrame:
+    """Build outcomes standing in for compiler runs: one per user turn whose
+    session has a row in ``labels``.
 
-    ``exit_code`` = ``toxic``; the log says ``Build succeeded.`` when
-    ``quality`` is 1, ``Build FAILED.`` when 0 and nothing when it is missing.
-    Keyed by ``session_id`` (= ``doc_id``).
+    The command fails (``exit_code`` 1) when label and turn say so; the log says
+    ``Build succeeded.`` when ``quality`` is 1, ``Build FAILED.`` when 0 and
+    nothing when it is missing.  Keyed by ``session_id`` (= ``doc_id``) and ``idx``.
     """
     log = (F.when(F.col("quality") == 1, F.lit("Build succeeded."))
            .when(F.col("quality") == 0, F.lit("Build FAILED.")).otherwise(F.lit("")))
-    return labels.select(F.col("doc_id").alias("session_id"),
-                         F.coalesce(F.col("toxic"), F.lit(0)).alias("exit_code"), log.alias("log"))
+    turns = messages.where(F.col("role") == "user").select("session_id", "idx")
+    named = labels.select(F.col("doc_id").alias("session_id"), F.coalesce("toxic", F.lit(0)).alias("_toxic"), log.alias("log"))
+    return turns.join(named, "session_id").select(
+        "session_id", "idx", F.when((F.col("_toxic") + F.col("idx")) % 3 == 0, 1).otherwise(0).alias("exit_code"), "log")

@@ -1,19 +1,22 @@
 """Column functions on hand rows (FIXTURES §3) and properties."""
 
 import random
+import time
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from codeshift.functions import (cyclomatic_complexity, decision_points, edit_distance,
+
+
+from codeshift.operators.codemetrics import classify_lines
+from codeshift.functions import (complexity_profile, cyclomatic_complexity, decision_points, edit_distance,
                                  edit_similarity, escape_whitespace, fenced_blocks, line_profile,
                                  ndiff_distance, py_strip, python_raw_profile, run_command,
                                  run_distance, syntactic_similarity, unescape_whitespace)
 from codeshift.functions.header import header_fields
 from codeshift.operators.extract import merge_answer_blocks
 
-from .reference_rules import levenshtein, ndiff_walk_distance, profile
+from .rules import levenshtein
 
 
 def one(spark, rows, schema, *cols):
@@ -33,14 +36,17 @@ def test_line_profile_hand_rows(spark, code, expected):
         assert r[k] == v, (k, r)
 
 
-ALPHABET = st.sampled_from(list("ab /*\t\n") + ["//", "/*", "*/", "  ", "\r", "é"])
-
-
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(ALPHABET, max_size=12).map("".join), max_size=12).map("\n".join))
-def test_line_profile_matches_rules(spark, code):
-    r = one(spark, [(code,)], "code string", line_profile("code").alias("p"))[0]["p"].asDict()
-    assert r == profile(code)
+def test_line_profile_is_the_classes_counted(spark):
+    """In-row fold against line classes from a window over the exploded lines."""
+    rnd = random.Random(5)
+    parts = ["ab", " ", "/", "*", "\t", "//", "/*", "*/", "  ", "\r", "é", "\n", "\n"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, code string")
+    counted = classify_lines(df, ["id"], "code").groupBy("id").agg(
+        *[F.count_if(F.col("line_class") == c).cast("int").alias(n) for c, n in (("loc", "LOC"), ("comment", "comment"), ("blank", "blank"))],
+        F.sum("chars").cast("int").alias("chars"))
+    profiled = df.select("id", line_profile("code").alias("p")).select("id", "p.LOC", "p.comment", "p.blank", "p.chars")
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, profiled.collect()))
 
 
 def test_strip_is_python_strip(spark):
@@ -126,12 +132,48 @@ def test_python_raw_profile(spark):
     assert (r["loc"], r["sloc"], r["comments"], r["blank"]) == (4, 1, 2, 1)
 
 
-def test_run_distance_equals_ndiff_walk():
+@pytest.mark.parametrize("a, b, d", [
+    ("", "", 0), ("same", "same", 0), ("", "abc", 3), ("abc", "", 3),
+    ("abc", "xyz", 3),               # one stretch: three out, three in
+    ("abcd", "abXcd", 1),            # one in
+    ("abcd", "ad", 2),               # two out
+    ("abcd", "aXYd", 2),             # two out, two in, one stretch
+    ("abcd", "aXcY", 2),             # two stretches of one out, one in
+    ("aaXbb", "aabb", 1), ("ab\ncd", "ab cd", 1),
+])
+def test_run_distance_by_hand(a, b, d):
+    assert run_distance(a, b) == d
+
+
+def test_run_distance_properties():
     rnd = random.Random(11)
-    for _ in range(600):
+    for _ in range(400):
         alpha = rnd.choice(["ab", "abc \n", "abcdefg \t", "xyz", "aaaab "])
         a = "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, rnd.choice([10, 60, 300]))))
         b = "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, rnd.choice([10, 60, 300]))))
-        if rnd.random() < 0.3 and a:
-            b = a[: rnd.randint(0, len(a))] + b + a[rnd.randint(0, len(a)):]
-        assert run_distance(a, b) == ndiff_walk_distance(a, b), (a, b)
+        d = run_distance(a, b)
+        assert max(abs(len(a) - len(b)), levenshtein(a, b)) <= d <= len(a) + len(b)
+        assert (d == 0) == (a == b)
+        disjoint = b.translate({ord(c): ord(c) + 1000 for c in b})
+        assert run_distance(a, disjoint) == max(len(a), len(b))
+
+
+@pytest.mark.parametrize("text", ['int f(int a) {"' + "a" * 1_000_000 + '"; if (x) }', 'int f(int a) {"' + "\\n" * 500_000 + '"; if (x) }',
+                                  "a" * 1_000_000, "a(" * 300_000, "/*" * 300_000, '"' * 1_000_001, "int f() {" + "if (a) " * 100_000])
+def test_complexity_of_long_texts(spark, text):
+    """No recursion and no backtracking on megabyte literals, names and comments."""
+    start = time.time()
+    p = one(spark, [(text,)], "c string", complexity_profile("c").alias("p"))[0]["p"]
+    assert time.time() - start < 20
+    if text.startswith('int f(int a) {"'):
+        assert p["complexity"] == 2
+
+
+@pytest.mark.parametrize("code, want", [
+    ("if (a) { b(); }", None),                                     # a statement head is no function
+    ("int f(int a) { if (a && b) {} }", 3),
+    ("x = 1; int f() { while (a) {} } int g() { if (b || c) {} }", 2),   # the first function only
+    ("f(a) => a ? 1 : 2", 2), ("int f() { /* if (a) }", 1), ('int f() { s = "if"; // if\n case 1: }', 2), ("", None), (None, None),
+])
+def test_complexity_of_the_first_function(spark, code, want):
+    assert one(spark, [(code,)], "c string", cyclomatic_complexity("c").alias("v"))[0]["v"] == want

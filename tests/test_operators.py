@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from codeshift.operators import extract as ex
@@ -15,7 +16,7 @@ from codeshift.operators.columns import feature_order, label_prompts
 from codeshift.operators.ordinals import global_rank, running_total
 from codeshift.sources import files as src
 
-from .reference_rules import profile, splice
+from codeshift.functions import line_profile
 
 
 def test_classify_lines_matches_profile(spark):
@@ -23,13 +24,14 @@ def test_classify_lines_matches_profile(spark):
     parts = ["a b", "// x", "/* y", "z */", "/* w */", "", "  ", "q */", "// k */"]
     texts = ["\n".join(rnd.choice(parts) for _ in range(rnd.randint(1, 15))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, code string")
+    profiles = {r["id"]: r["p"] for r in df.select("id", line_profile("code").alias("p")).collect()}
     got = (classify_lines(df, ["id"], "code").groupBy("id")
            .agg(F.count_if(F.col("line_class") == "loc").alias("LOC"),
                 F.count_if(F.col("line_class") == "comment").alias("comment"),
                 F.count_if(F.col("line_class") == "blank").alias("blank"),
                 F.sum("chars").alias("chars")).collect())
     for r in got:
-        p = profile(texts[r["id"]])
+        p = profiles[r["id"]]
         assert (r["LOC"], r["comment"], r["blank"], r["chars"]) == (p["LOC"], p["comment"], p["blank"], p["chars"])
 
 
@@ -83,23 +85,54 @@ def test_global_rank(spark):
 
 
 def test_splice_lines(spark):
-    files = spark.createDataFrame([("f", "a\nb\nc\nd")], "path string, text string")
-    recs = spark.createDataFrame([(1, 0, "f", 1, 2, "X\nY"), (1, 1, "f", None, 2, "Z"), (1, 2, "f", 9, 12, "Q")],
-                                 "session_id long, idx long, path_to_snippet string, snippet_line_start int, "
+    """By repository and path; lines of the update as ``splitlines`` gives them."""
+    files = spark.createDataFrame([("r", "f", "a\nb\nc\nd"), ("other", "f", "1\n2\n3\n4")], "repo_name string, path string, text string")
+    cases = [("r", 1, 2, "X\nY", "a\nX\nY\nd"), ("r", None, 2, "Z", "a\nb\nc\nd"), ("r", 9, 12, "Q", "a\nb\nc\nd\nQ"),
+             ("r", 1, 2, "", "a\nd"), ("r", 1, 2, "X\nY\n", "a\nX\nY\nd"), ("r", 1, 2, "\n", "a\n\nd"), ("r", 1, 1, "X\r\nY\r\n", "a\nX\nY\nc\nd"),
+             ("other", 0, 0, "X", "X\n2\n3\n4"), ("none", 0, 0, "X", None)]
+    recs = spark.createDataFrame([(1, i, repo, "f", lo, hi, code) for i, (repo, lo, hi, code, _) in enumerate(cases)],
+                                 "session_id long, idx long, repo_name string, path_to_snippet string, snippet_line_start int, "
                                  "snippet_line_end int, updated_code string")
     got = {r["idx"]: r["spliced_text"] for r in oc.splice_lines(files, recs).collect()}
-    assert got[0] == "a\nX\nY\nd" == "\n".join(splice(list("abcd"), 1, 2, ["X", "Y"]))
-    assert got[1] == "a\nb\nc\nd"
-    assert got[2] == "\n".join(splice(list("abcd"), 9, 12, ["Q"]))
+    assert got == {i: c[-1] for i, c in enumerate(cases) if c[-1] is not None}
 
 
-def test_classify_build_log(spark):
-    o = spark.createDataFrame([(1, 1, "Build succeeded"), (2, 0, "Build succeeded"), (3, 0, "ok")],
-                              "session_id long, exit_code int, log string")
-    got = {r["session_id"]: r["build_success"] for r in oc.classify_build_log(o).collect()}
-    assert got == {1: 0, 2: 1, 3: None}
-    s = oc.build_summary(oc.classify_build_log(o)).collect()[0]
+def test_build_outcomes(spark):
+    o = spark.createDataFrame([(1, 1, 1, "Build succeeded"), (1, 3, 0, "Build succeeded"), (3, 1, 0, "ok")],
+                              "session_id long, idx long, exit_code int, log string")
+    classified = oc.classify_build_log(o)
+    got = {(r["session_id"], r["idx"]): (r["build_success"], r["test_success"]) for r in classified.collect()}
+    assert got == {(1, 1): (0, ""), (1, 3): (1, ""), (3, 1): (None, "")}
+    s = oc.build_summary(classified).collect()[0]
     assert (s["builds_succeeded"], s["builds_failed"], s["builds_unknown"]) == (1, 1, 1)
+    records = spark.createDataFrame([(1, 1), (1, 3), (1, 5), (3, 1)], "session_id long, idx long")
+    attached = {(r["session_id"], r["idx"]): r["build_success"] for r in oc.attach_build_outcome(records, classified).collect()}
+    assert attached == {(1, 1): 0, (1, 3): 1, (1, 5): None, (3, 1): None}
+    with pytest.raises(Exception, match="more than one build outcome"):
+        oc.attach_build_outcome(records, classified.unionByName(classified)).collect()
+
+
+def test_every_prompt_stays_in_the_reports(spark):
+    """More prompts than published labels: the others are their own label."""
+    from codeshift.operators.reports import score_records
+    df = spark.createDataFrame([(k, 0, f"prompt {k % 12:02d}", "r", 1.0) for k in range(48)],
+                               "session_id long, idx long, prompt string, repo_name string, x double")
+    got = score_records(df, with_group_stats=False).collect()
+    assert len({r["prompt_id"] for r in got}) == 12 and all(r["pass_rate"] == 100 for r in got)
+    assert {r["prompt_id"] for r in got if r["prompt_ord"] > 7} == {f"prompt {k:02d}" for k in range(8, 12)}
+    own = score_records(df, with_group_stats=False, labels={11: "eleven"}).collect()
+    assert {r["prompt_id"] for r in own if r["prompt_ord"] == 11} == {"eleven"}
+
+
+def test_mapping_is_one_json_object(spark, tmp_path):
+    import json
+
+    from codeshift.sinks.files import write_prompt_mapping
+    words = {f'say "{k}"\\ é\n{k}': k for k in range(50)}
+    d = spark.createDataFrame([(p, k) for p, k in words.items()], "prompt string, prompt_ord int").repartition(7)
+    write_prompt_mapping(d, str(tmp_path / "m"))
+    files = [p for p in (tmp_path / "m").iterdir() if p.suffix == ".txt"]
+    assert len(files) == 1 and json.loads(files[0].read_text()) == words
 
 
 def test_minmax_rules(spark):

@@ -42,6 +42,8 @@ def test_metrics_and_reports_stage(spark, tmp_path):
     got = stages.metrics_stage(spark, tdir, rec_dir)
     want = assemble_records(extract_pairs(msgs))
     cols = want.columns
+    want = want.withColumn("session_id", F.col("session_id").cast("string"))
+    assert got.schema["session_id"].dataType.simpleString() == "string" and "n_user_blocks" in got.columns
     assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == \
         sorted(map(tuple, want.select(*cols).collect()), key=repr)
 
@@ -74,5 +76,11 @@ def test_metrics_stage_named_files(spark, tmp_path):
     got = stages.metrics_stage(spark, str(d), str(tmp_path / "rec"), layout="names").collect()
     by = {r["session_id"]: r for r in got}
     assert set(by) == {"code_snippets", "other_snippets"}
-    assert by["code_snippets"]["updated_code"] == "new;"
+    # The latest run counts, whatever its name says; leaving test runs out is on demand.
+    assert by["code_snippets"]["updated_code"] == "test"
+    kept = stages.latest_named_transcripts(spark, str(d), exclude_test=True)
+    assert {r["content"] for r in kept.collect() if r["session_id"] == "code_snippets" and r["role"] == "assistant"} == {"```new;```"}
+    (d / "code_snippets_2024-06-07_10-00_coder-latest.json").write_text(chat("```l```"))
+    kept = stages.latest_named_transcripts(spark, str(d), exclude_test=True)
+    assert "coder-latest" in {r["model"] for r in kept.collect()}
     assert by["code_snippets"]["repo_name"] == "rep" and by["code_snippets"]["original_code"] == "int x;"
