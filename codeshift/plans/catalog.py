@@ -70,7 +70,7 @@ def q_assemble_records(spark, sf):
     return cm.assemble_records(P.pairs(spark, sf), include_header=True, distance="levenshtein", fold=True)
 
 
-@register("records_stream", W(REC, f"SELECT {REC_COLS} FROM records"))
+@register("records_stream", W(O.numbered(REC), f"SELECT {REC_COLS} FROM records"))
 def q_records_stream(spark, sf):
     """Transcripts written as files (B2), then stage 2 as a Structured
     Streaming query (available-now trigger) into parquet, read back."""
@@ -149,7 +149,7 @@ def q_parse_session_markdown(spark, sf):
                          "role", "content", "prompt")
 
 
-TRANSCRIPT_SQL = W(MSG, "SELECT CAST(session_id AS BIGINT) AS session_id, CAST(idx AS BIGINT) AS idx, role, content, prompt FROM session_messages")
+TRANSCRIPT_SQL = W(O.numbered(MSG), "SELECT CAST(session_id AS BIGINT) AS session_id, CAST(idx AS BIGINT) AS idx, role, content, prompt FROM session_messages")
 
 
 @register("scan_chat_json", TRANSCRIPT_SQL)

@@ -14,12 +14,13 @@ from ..functions.distance import LETTERS, STAND_INS
 from ..operators.codemetrics import PAIR_METRICS
 from ..operators.columns import PROMPT_LABELS
 from ..operators.extract import BUG_FIX_SENTENCE
-from ..sources.tables import CODE_REWRITES, FUNCTION_HEAD, LEAD_LINES, NEXT_FUNCTION, PYTHON_HEAD
+from ..sources.tables import CODE_REWRITES, FUNCTION_HEAD, LEAD_LINES, NEXT_FUNCTION, PYTHON_HEAD, SECOND_BLOCK
 
 # Python's whitespace set in RE2 syntax (same characters as text.PY_WHITESPACE).
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NL = "chr(10)"
 METRICS = list(PAIR_METRICS)
+TURN_TYPE = "BIGINT"
 PROFILE = ["LOC", "comment", "blank", "chars", "tokens"]
 
 
@@ -120,19 +121,35 @@ def messages_ctes() -> list[str]:
             f"|| CAST(turn*10 AS VARCHAR) || '/' || CAST(turn*10+5 AS VARCHAR) || {NL} "
             f"|| ' // https://example.com/org/repo' || CAST(conv_id % 6 AS VARCHAR) || {NL} || ' // ' "
             f"|| CASE conv_id % 3 WHEN 0 THEN 'c#' WHEN 1 THEN 'c++' ELSE 'python' END || {NL} "
-            f"|| code || {NL} || ' ```' || {NL} || 'prompt ' || CAST((conv_id + turn) % 8 AS VARCHAR)")
+            f"|| code || {NL} || ' ```' || {NL} || 'prompt ' || CAST((conv_id + turn) % 8 AS VARCHAR) "
+            f"|| CASE WHEN (conv_id + turn) % 11 = 3 THEN {lit(SECOND_BLOCK)} ELSE '' END")
     assistant = (f"CASE WHEN (conv_id + turn) % 7 = 0 THEN code WHEN (conv_id + turn) % 7 = 1 AND conv_id % 6 < 3 THEN '```' || code "
                  f"WHEN (conv_id + turn) % 7 = 2 THEN '```csharp' || {NL} || code || {NL} || '```' || {NL} || 'and' || {NL} || '```' || code || '```' "
                  f"ELSE 'Here:' || {NL} || '```csharp' || {NL} || code || {NL} || '```' END")
     return [
         f"sm_c AS (SELECT conv_id, turn, role, text, {lead} || ({as_code('text')}) AS code FROM conversations)",
-        ("session_messages AS (SELECT conv_id AS session_id, turn AS idx, role, "
+        ("session_messages AS (SELECT CASE WHEN conv_id % 20 >= 15 THEN conv_id - (conv_id % 20 - 15) ELSE conv_id END AS session_id, "
+         f"CAST(CASE WHEN conv_id % 20 >= 15 THEN (conv_id % 20 - 15) * 100 + turn ELSE turn END AS {TURN_TYPE}) AS idx, role, "
          f"CASE WHEN role = 'user' THEN {user} WHEN role = 'assistant' THEN {assistant} ELSE text END AS content, "
          f"CASE WHEN role = 'user' THEN 'prompt ' || CAST((conv_id + turn) % 8 AS VARCHAR) ELSE '' END AS prompt "
          "FROM sm_c)"),
     ]
 
 
+def numbered(ctes: list[str]) -> list[str]:
+    """``ctes`` over messages numbered by their place: a written transcript is
+    an array, which has no gaps."""
+    out = []
+    for c in ctes:
+        if c.startswith("session_messages AS ("):
+            out += ["session_raw AS (" + c.removeprefix("session_messages AS ("),
+                    f"session_messages AS (SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS {TURN_TYPE}) "
+                    "AS idx) FROM session_raw)"]
+        else:
+            out.append(c)
+    return out
+
+
 def turns_cte() -> str:
     return ("turns AS (SELECT u.session_id, u.idx, u.prompt, u.content AS user_content, a.content AS answer_content "
             "FROM session_messages u JOIN session_messages a ON a.session_id = u.session_id AND a.idx = u.idx + 1 "

@@ -75,6 +75,10 @@ def as_code(text) -> Column:
 LEAD_LINES = ("// note" + NL, NL, "x = x;" + NL)
 
 
+# A second block of a user turn.
+SECOND_BLOCK = NL + "see also" + NL + "```" + NL + "int other;" + NL + "```"
+
+
 def as_python(text) -> Column:
     """Prose with a function head in four texts of five (by length)."""
     c = F.col(text) if isinstance(text, str) else text
@@ -108,9 +112,14 @@ def session_messages(conversations: DataFrame) -> DataFrame:
         .when((kind == 1) & (conv % 6 < 3), F.concat(F.lit("```"), code))
         .when(kind == 2, F.concat(F.lit("```csharp\n"), code, F.lit("\n```\nand\n```"), code, F.lit("```")))
         .otherwise(F.concat(F.lit("Here:\n```csharp\n"), code, F.lit("\n```"))))
+    user = F.when((conv + turn) % 11 == 3, F.concat(user, F.lit(SECOND_BLOCK))).otherwise(user)
     role = F.col("role")
+    # A quarter of the conversations are parts of long sessions, with gaps in their index.
+    part = conv % 20 - 15
+    session = F.when(part >= 0, conv - part).otherwise(conv)
+    idx = F.when(part >= 0, part * 100 + turn).otherwise(turn).cast(conversations.schema["turn"].dataType)
     return c.select(
-        conv.alias("session_id"), turn.alias("idx"), role,
+        session.alias("session_id"), idx.alias("idx"), role,
         F.when(role == "user", user).when(role == "assistant", assistant)
         .otherwise(F.col("text")).alias("content"),
         F.when(role == "user", prompt).otherwise(F.lit("")).alias("prompt"))

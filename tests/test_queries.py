@@ -30,6 +30,20 @@ def test_golden_totals_sf001(spark):
     assert tuple(t) == (2480, 2294, 1614, 108879, 19908, 1344, 1556, 1068, 36897, 7730)
 
 
+@needs_data
+def test_fixture_has_its_cases(spark):
+    """Two user blocks, long sessions and varying metrics occur in the tables."""
+    from codeshift.operators.normalize import minmax_normalize
+    qs = entry.queries()
+    assert {r["mode"] for r in qs["build_requests"](spark, SF01).select("mode").distinct().collect()} == {"cumulative", "independent"}
+    z = qs["zip_pairs"](spark, SF01).select("session_id", "idx", F.col("original_block").alias("zipped"))
+    assert P.pairs(spark, SF01).join(z, ["session_id", "idx"]).where("zipped <> original_block").count() > 10
+    scored = P.scored(spark, SF01)
+    assert scored.where("original_cyclomatic_complexity > 0").count() > scored.count() / 2
+    n = minmax_normalize(scored).select("session_id", "idx", F.col("original_chars").alias("n"))
+    assert scored.join(n, ["session_id", "idx"]).where("n <> original_chars").count() > 0
+
+
 @needs_data
 def test_entry(spark):
     df = entry.entry(spark)
