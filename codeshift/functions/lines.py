@@ -75,16 +75,22 @@ def line_profile(code) -> Column:
     return F.aggregate(lines, init, step, finish)
 
 
+# String literals of one line (possessive: linear, no stack).
+PY_STRINGS = r""""[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
+
+
 def python_raw_profile(code) -> Column:
     """Raw counts for ``#``-commented code.
 
-    ``loc`` is the number of lines, ``comments`` lines whose stripped form
-    starts with ``#``, ``blank`` empty stripped lines, ``sloc`` the rest.
+    ``loc`` is the number of lines, ``comments`` those with a comment, also
+    behind code (a ``#`` outside string literals of one line), ``blank`` empty
+    stripped lines, ``sloc`` lines that are neither blank nor comment only.
     Logical lines (a tokenizer notion) are not computed.
     """
     lines = F.transform(lines_of(code), lambda l: py_strip(l))
     loc = F.size(lines)
     blank = F.size(F.filter(lines, lambda s: s == ""))
-    comments = F.size(F.filter(lines, lambda s: s.startswith("#")))
-    return F.struct(loc.alias("loc"), (loc - blank - comments).alias("sloc"),
+    only = F.size(F.filter(lines, lambda s: s.startswith("#")))
+    comments = F.size(F.filter(lines, lambda s: F.regexp_replace(s, PY_STRINGS, "").contains("#")))
+    return F.struct(loc.alias("loc"), (loc - blank - only).alias("sloc"),
                     comments.alias("comments"), blank.alias("blank"))

@@ -194,8 +194,7 @@ def category_pct_change(df: DataFrame, key: str, design_size, digits: int = 1) -
     * 100 per key, plus the pass rate in percent.  Mean of ratios: compare
     I11, which is the ratio of means."""
     d, per_key = _category_base(df, key, design_size)
-    counts = d.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(counts, key, "left").withColumn("pass_rate", F.col("_n") / per_key * 100)
+    d = d.withColumn("_per_key", per_key)
     for old, new in CATEGORY_RENAMES.items():
         if old in d.columns:
             d = d.withColumnRenamed(old, new)
@@ -208,9 +207,12 @@ def category_pct_change(df: DataFrame, key: str, design_size, digits: int = 1) -
                 name = c[len("original_"):]
                 pct.append(F.try_divide(F.col(u) - F.col(c), F.col(c).cast("double")) * 100)
                 pct[-1] = pct[-1].alias(name)
-    rowwise = d.select(key, "pass_rate", *pct)
-    metric_names = [c for c in rowwise.columns if c != key]
-    return rowwise.groupBy(key).agg(*[F.bround(F.avg(c), digits).alias(c) for c in metric_names])
+    rowwise = d.select(key, "_per_key", *pct)
+    metric_names = [c for c in rowwise.columns if c not in (key, "_per_key")]
+    # The pass rate is one value per key: it comes from the same aggregate.
+    rate = F.count(F.lit(1)) / F.max("_per_key") * 100
+    return rowwise.groupBy(key).agg(F.bround(rate, digits).alias("pass_rate"),
+                                    *[F.bround(F.avg(c), digits).alias(c) for c in metric_names])
 
 
 # ---------------------------------------------------------------- I8 / I9

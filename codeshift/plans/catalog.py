@@ -548,7 +548,7 @@ PY_DOCS = [f"pd AS (SELECT doc_id, replace({O.as_code('text')}, '//', '#') AS co
 
 @register("python_raw_profile", W(PY_DOCS, "SELECT doc_id, CAST(count(*) AS INTEGER) AS loc, "
                                            "CAST(count(*) - count_if(s = '') - count_if(starts_with(s, '#')) AS INTEGER) AS sloc, "
-                                           "CAST(count_if(starts_with(s, '#')) AS INTEGER) AS comments, CAST(count_if(s = '') AS INTEGER) AS blank "
+                                           f"CAST(count_if(contains(regexp_replace(s, {O.lit(O.SQL_STRINGS)}, '', 'g'), '#')) AS INTEGER) AS comments, CAST(count_if(s = '') AS INTEGER) AS blank "
                                            "FROM pl GROUP BY doc_id"))
 def q_python_raw_profile(spark, sf):
     d = P.documents_code(spark, sf).select("doc_id", F.replace(F.col("code"), F.lit("//"), F.lit("#")).alias("code"))

@@ -67,6 +67,7 @@ SQL_NOISE = {"c": r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\
 SQL_DECISIONS = {"c": r"\b(?:if|for|foreach|while|case|catch)\b|&&|\|\||\?",
                  "python": r"\b(?:if|elif|for|while|except|and|or|assert)\b"}
 SQL_FUNCTION = {"c": r"\b[A-Za-z_][A-Za-z0-9_]*\s*\([^()]*\)\s*(?:\{|=>)", "python": r"\bdef\s+[A-Za-z_][A-Za-z0-9_]*\s*\("}
+SQL_STRINGS = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
 SQL_HEADS = r"\b(if|for|foreach|while|switch|catch|using|lock|fixed)\s*\("
 
 

@@ -128,6 +128,9 @@ def test_complexity(spark):
 
 
 def test_python_raw_profile(spark):
+    trailing = "x = 1  # why\ny = '#'\nz = \"a \\\" # b\"  # c"
+    r = one(spark, [(trailing,)], "c string", python_raw_profile("c").alias("p"))[0]["p"]
+    assert (r["loc"], r["sloc"], r["comments"], r["blank"]) == (3, 3, 2, 0)
     r = one(spark, [("# c\n\nx = 1\n  # d",)], "c string", python_raw_profile("c").alias("p"))[0]["p"]
     assert (r["loc"], r["sloc"], r["comments"], r["blank"]) == (4, 1, 2, 1)
 
