@@ -74,16 +74,17 @@ def extract_pairs(messages: DataFrame, strip_tokens=DEFAULT_STRIP_TOKENS,
 
 
 def turns_to_pairs(turns: DataFrame, strip_tokens=DEFAULT_STRIP_TOKENS,
-                   answer_mode: str = "parity") -> DataFrame:
+                   answer_mode: str = "parity", keep=()) -> DataFrame:
     """D2-D4 on ``(session_id, idx, prompt, user_content, answer_content)``
-    rows, however they were paired (join, or inside a transcript array)."""
+    rows, however they were paired (join, or inside a transcript array).
+    ``keep``: further columns of ``turns`` to carry along."""
     turns = filter_answered(turns)
     blocks = user_blocks("user_content")
     return (turns.select(
         "session_id", "idx", "prompt",
         F.get(blocks, 0).alias("original_block"),
         merge_answer_blocks("answer_content", strip_tokens, answer_mode).alias("updated_code"),
-        F.size(blocks).alias("n_user_blocks"))
+        F.size(blocks).alias("n_user_blocks"), *keep)
         .filter(F.col("original_block").isNotNull()))
 
 

@@ -21,6 +21,9 @@ from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources.files import MESSAGE_SCHEMA
 
 
+RUN_KEYS = ("model", "run_ts")
+
+
 def transcript_turns(text: Column) -> Column:
     """Array of ``struct(idx, prompt, user_content, answer_content)``: each
     user message followed by an assistant message, from one transcript."""
@@ -36,12 +39,14 @@ def transcript_turns(text: Column) -> Column:
 
 def records_from_files(files: DataFrame, session_col: Column, include_header: bool = True,
                        distance: str = "levenshtein", fold: bool = False) -> DataFrame:
-    """``files(value, file_path)`` (batch or streaming) -> records."""
-    turns = (files.select(session_col.alias("session_id"), F.explode(transcript_turns(F.col("value"))).alias("_t"))
-             .select("session_id", "_t.idx", F.coalesce("_t.prompt", F.lit("")).alias("prompt"),
+    """``files(value, file_path)`` (batch or streaming) -> records, with the
+    ``model`` and ``run_ts`` of the run's folder: a session has a record set per run."""
+    run = [F.regexp_extract("file_path", rf"/{k}=([^/]+)/", 1).alias(k) for k in RUN_KEYS]
+    turns = (files.select(session_col.alias("session_id"), *run, F.explode(transcript_turns(F.col("value"))).alias("_t"))
+             .select("session_id", *RUN_KEYS, "_t.idx", F.coalesce("_t.prompt", F.lit("")).alias("prompt"),
                      "_t.user_content", "_t.answer_content"))
-    return assemble_records(turns_to_pairs(turns), include_header=include_header,
-                            distance=distance, fold=fold)
+    return assemble_records(turns_to_pairs(turns, keep=RUN_KEYS), include_header=include_header,
+                            distance=distance, fold=fold, keep=RUN_KEYS)
 
 
 def session_from_path(path_col: str = "file_path") -> Column:
