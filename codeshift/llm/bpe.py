@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, whole_text
+from .common import freed, small_batches, whole_text
 from .pieces import PieceTable, gather
 
 
@@ -160,7 +160,7 @@ class Codec:
         self._find = regex.compile(pattern).findall
         self._run_on = regex.compile(r"\s ").search
         self._blank_cuts = blank_cuts
-        self._table = PieceTable(self._encode_parts)
+        self._table = PieceTable(self._encode_parts, 500_000)
         tokens = {r: t for t, r in ranks.items()}
         lens = np.zeros(max(tokens) + 1, np.int64)
         lens[list(tokens)] = [len(t) for t in tokens.values()]
@@ -201,15 +201,16 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-_GROUP = 1 << 23  # characters of text tokenised together
+_GROUP = 1 << 23  # characters replayed together
 
 
-def groups_of(texts: list[str]) -> Iterable[list[str]]:
+def groups_of(texts: list[str], most: int = _GROUP) -> Iterable[list[str]]:
+    """The texts in order, in groups of about ``most`` characters."""
     group, size = [], 0
     for t in texts:
         group.append(t)
         size += len(t)
-        if size >= _GROUP:
+        if size >= most:
             yield group
             group, size = [], 0
     if group:
@@ -227,7 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             ids = [i.astype("<u4").tobytes() for g in groups_of(b.column(1).to_pylist()) for i in c.encode_batch(g)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("ids", T.BinaryType())])) \
+    return rows.mapInArrow(freed(run), T.StructType([rows.schema["id"], T.StructField("ids", T.BinaryType())])) \
         .withColumnRenamed("id", id_col)
 
 
@@ -241,7 +242,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
             raw = [c.decode(np.frombuffer(i, "<u4")) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], names=["id", "ids", "bytes"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("bytes", T.BinaryType())])) \
+    return rows.mapInArrow(freed(run), T.StructType([*rows.schema.fields, T.StructField("bytes", T.BinaryType())])) \
         .withColumnRenamed("id", id_col)
 
 
@@ -265,4 +266,4 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     out = T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()),
                         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(freed(run), out).withColumnRenamed("id", id_col)

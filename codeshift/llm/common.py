@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeshift.session import ensure_checkpoint_dir, materialize, scratch_path
 
-__all__ = ["documents", "whole_text", "row_stamp", "checked_broadcast", "small_batches",
+__all__ = ["documents", "whole_text", "row_stamp", "checked_broadcast", "small_batches", "freed", "release_memory",
            "materialize", "scratch_path", "shuffle_partitions", "table"]
 
 # A side is broadcast only when its (written, hence exactly known) size is below this.
@@ -41,6 +44,25 @@ def small_batches(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def freed(run):
+    """``run`` (over Arrow batches) that hands memory it no longer uses back to
+    the system when its task ends: workers are kept for later tasks."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return task
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

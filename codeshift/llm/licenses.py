@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import small_batches, whole_text
+from .common import freed, small_batches, whole_text
 
 LEAST, COVER, GAP = 4, 0.8, 12
 
@@ -224,4 +224,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             cols = list(zip(*map(one, b.column(1).to_pylist()))) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], names=out.names)
 
-    return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(freed(run), out).withColumnRenamed("id", id_col)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import groups_of
-from .common import checked_broadcast, materialize, shuffle_partitions, small_batches, whole_text
+from .common import checked_broadcast, freed, materialize, shuffle_partitions, small_batches, whole_text
 from .pieces import PieceTable
 
 CAPACITY, END_ID = 2048, 0
@@ -280,6 +280,7 @@ class Words:
         return self._table.ids([self._split(t) for t in texts])
 
 
+_GROUP = 1 << 21  # characters tokenised together
 _WORDS: dict[str, Words] = {}
 
 
@@ -303,7 +304,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             row, got = [], []
             texts = b.column(1).to_pylist()
-            for k, ids in enumerate(i for g in groups_of(texts) for i in tokens.encode_batch(g)):
+            for k, ids in enumerate(i for g in groups_of(texts, _GROUP) for i in tokens.encode_batch(g)):
                 ids = np.append(ids, end_id).astype("<u4")
                 for piece, s in enumerate(range(0, len(ids), capacity)):
                     raw = ids[s:s + capacity].tobytes()
@@ -313,7 +314,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 zip(out.fields[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *cols], names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(freed(run), out)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, order_by: tuple[str, ...] = ()) -> DataFrame:
@@ -349,7 +350,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, order_by: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != rank_at),
                                               pa.array(sequence), pa.array(table[row, 3])], names=out.names)
 
-    return ranked.mapInArrow(place, out)
+    return ranked.mapInArrow(freed(place), out)
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",

@@ -37,7 +37,7 @@ class PieceTable:
     fills the table; when it holds over ``limit`` pieces it starts anew
     (memory stays bounded)."""
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
         self._encode, self._limit = encode, limit
         self._clear()
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, shuffle_partitions, small_batches, whole_text
+from .common import freed, materialize, shuffle_partitions, small_batches, whole_text
 
 _STEP = np.uint64(2862933555777941757)  # fixed value of the published algorithm
 
@@ -53,7 +53,7 @@ def with_shards(df: DataFrame, key_col: str, counts: dict[str, int]) -> DataFram
             shards = [pa.array(jump_hash(keys, n).astype(np.int32)) for n in counts.values()]
             yield pa.RecordBatch.from_arrays([*b.columns, *shards], names=out.names)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(freed(run), out)
 
 
 def assign_shards(df: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:

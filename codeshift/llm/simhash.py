@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checked_broadcast, materialize, row_stamp, small_batches, whole_text
+from .common import checked_broadcast, freed, materialize, row_stamp, small_batches, whole_text
 from .graph import components
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = pa.array([_signed(fingerprint(t, shingle, seed)) for t in b.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], names=["id", "stamp", "fp"])
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(freed(run), out)
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:

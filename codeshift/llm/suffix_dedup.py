@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize, row_stamp, small_batches, whole_text
+from .common import freed, materialize, row_stamp, small_batches, whole_text
 
 LENGTH = 400
 FEW = 48                         # classes of a bucket that are compared side by side
@@ -154,7 +154,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 [b.column(0).take(at), b.column(1).take(at), pa.array(gram, pa.int64()), pa.array(context, pa.int64()),
                  *(pa.array(x, pa.int32()) for x in (lo, hi, place))], names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(freed(run), out)
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
                      *(pa.concat_arrays([pa.array(hashes[:, k].copy()), pa.nulls(m, pa.int64())]) for k in (0, 1)),
                      pa.array(lo), pa.array(hi)], names=out.names)
 
-    return texts.mapInArrow(run, out)
+    return texts.mapInArrow(freed(run), out)
 
 
 def _sides(texts: DataFrame, length: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _sides(texts: DataFrame, length: int) -> DataFrame:
                  *(pa.array(x, pa.int32()) for x in (lo, hi, place)), pa.array(core, pa.int64()),
                  pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=out.names)
 
-    return texts.mapInArrow(run, out)
+    return texts.mapInArrow(freed(run), out)
 
 
 def _agreement(strings: list[bytes]) -> np.ndarray:
@@ -253,7 +253,7 @@ def _shared(buckets: DataFrame, length: int) -> DataFrame:
             cols = list(zip(*got)) if got else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cols, to_arrow_schema(out))], names=out.names)
 
-    return buckets.mapInArrow(run, out)
+    return buckets.mapInArrow(freed(run), out)
 
 
 def _prune_by_bloom_filter(spark) -> None:
@@ -317,15 +317,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.collect_list(F.struct("lo", "hi")).cast(_SPANS).alias("spans")), "spans")
 
 
-def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left") -> DataFrame:
+def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left",
+        in_place: bool = False) -> DataFrame:
     """The columns of ``docs`` and _kept (the bytes that stay), _removed,
-    _runs; ``how="inner"`` gives only documents that lose something."""
+    _runs; ``how="inner"`` gives only documents that lose something.  With
+    ``in_place``, the columns of ``docs`` alone, the text being what is left."""
     spans = spans.where(F.size("spans") > 0) \
         .select(F.col("id").alias("_id"), F.col("stamp").alias("_stamp"), F.col("spans").alias("_spans"))
     same = (row_stamp(docs[text_col]) == F.col("_stamp")) & docs[id_col].eqNullSafe(F.col("_id"))
     joined = docs.join(spans.hint("merge"), same, how).drop("_id", "_stamp")
-    out = T.StructType([*docs.schema.fields, T.StructField("_kept", T.BinaryType()),
-                        T.StructField("_removed", T.LongType()), T.StructField("_runs", T.LongType())])
+    out = docs.schema if in_place else T.StructType([
+        *docs.schema.fields, T.StructField("_kept", T.BinaryType()), T.StructField("_removed", T.LongType()),
+        T.StructField("_runs", T.LongType())])
     text_at = docs.columns.index(text_col)
 
     def run(batches):
@@ -337,11 +340,16 @@ def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str
                 edges = [0, *(x for s in merged for x in s), len(raw)]
                 kept.append(b"".join(raw[edges[i]:edges[i + 1]] for i in range(0, len(edges), 2)))
                 gone.append(len(raw) - len(kept[-1])), runs.append(len(merged))
+            if in_place:
+                columns = b.columns[:-1]
+                columns[text_at] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+                continue
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(kept, pa.binary()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())],
                 names=out.names)
 
-    return joined.mapInArrow(run, out)
+    return joined.mapInArrow(freed(run), out)
 
 
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -364,10 +372,4 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the text that is left; a character that a removal cuts in
     two goes with it.  Documents stay, even when nothing is left of them."""
-    c = cut(docs, repeated_spans(docs, id_col, text_col, length), id_col, text_col)
-
-    @F.pandas_udf("string")
-    def decode(raw):
-        return raw.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    return c.select(*(decode("_kept").alias(text_col) if n == text_col else F.col(n) for n in docs.columns))
+    return cut(docs, repeated_spans(docs, id_col, text_col, length), id_col, text_col, in_place=True)

@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, whole_text
+from .bpe import groups_of
+from .common import freed, release_memory, small_batches, whole_text
 
 ROWS, ROW_BYTES = 1200, 32768       # of the training sample
 WINDOW, STRIDE = 32, 26             # words
@@ -257,6 +258,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0, steps: int = STEPS
     net = Network.fresh({w: k + 1 for k, w in enumerate(common)}, seed)
     rows, windows, per_text = index_windows(split)
     words = list(rows)
+    del split, df, rows
     begin = np.cumsum(per_text) - per_text
     vocab_row = np.array([net.vocabulary.get(w, 0) for w in words] + [0])
     listed = [(codes, at, np.diff(np.append(at, len(codes)))) for codes, at in grams(words)] if words else []
@@ -297,15 +299,12 @@ def train(texts: list[str], labels: list[int], seed: int = 0, steps: int = STEPS
         adam.step(net.weights, g)
         for k in ("word", "chars"):
             net.weights[k] *= np.float32(1 - decay)
-    peak = np.array([m.max() for m in _by_text(net, split)], np.float64)
-    net.scale, net.shift = _calibrate(peak, y)
+    projected = net.projected(net.inputs(words))
+    logits = np.concatenate([net.logits(projected, windows[s:s + 2048]) for s in range(0, len(windows), 2048)])
+    net.scale, net.shift = _calibrate(np.maximum.reduceat(logits, begin).astype(np.float64), y)
     return net
 
 
-def _by_text(net: Network, split: list[list[bytes]]) -> list[np.ndarray]:
-    return list(net._window_logits(split))
-
-
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic regression on one value by Newton steps, a little damped."""
     a, b = 1.0, 0.0
@@ -345,10 +344,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> Network:
     rows = training_rows(docs, labels, id_col, text_col, **bounds)
-    return train([t for t, _ in rows], [c for _, c in rows])
+    net = train([t for t, _ in rows], [c for _, c in rows])
+    del rows
+    release_memory()
+    return net
 
 
-_GROUP = 1 << 21  # characters scored together
+_GROUP = 1 << 20  # characters scored together
 
 
 def with_scores(docs: DataFrame, net: Network, text_col: str = "text", name: str = "_score") -> DataFrame:
@@ -359,19 +361,13 @@ def with_scores(docs: DataFrame, net: Network, text_col: str = "text", name: str
 
     def run(batches):
         for b in batches:
-            texts, scores, group = [t or "" for t in b.column(at).to_pylist()], [], []
-            for t in texts:
-                group.append(t)
-                if sum(map(len, group[-1:])) >= _GROUP or len(group) >= 512:
-                    scores.append(sent.value.score(group))
-                    group = []
-            if group:
-                scores.append(sent.value.score(group))
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            scores = [sent.value.score(g) for g in groups_of(texts, _GROUP)]
             scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=out.names)
 
     out = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(freed(run), out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:

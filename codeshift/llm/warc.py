@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checked_broadcast, materialize, scratch_path, small_batches, whole_text
+from .common import checked_broadcast, freed, materialize, scratch_path, small_batches, whole_text
 
 REVISIT = 100                        # bytes from which equal payloads are written once
 MAGIC, CRLF = "WARC/1.1\r\n", "\r\n"
@@ -171,7 +171,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         if part:
             yield flush()
 
-    return _chunks(spark, path).mapInArrow(run, out)
+    return _chunks(spark, path).mapInArrow(freed(run), out)
 
 
 def _reach(links: DataFrame, rounds: int) -> DataFrame:
@@ -271,7 +271,7 @@ def _with_values(spark: SparkSession, path: str, pieces: DataFrame) -> DataFrame
                 rows, size = [], 0
         yield flush()
 
-    return _chunks(spark, path).mapInArrow(run, out).join(checked_broadcast(pieces), ["file", "block", "rel"])
+    return _chunks(spark, path).mapInArrow(freed(run), out).join(checked_broadcast(pieces), ["file", "block", "rel"])
 
 
 def page_report(spark: SparkSession, pages: DataFrame, path: str | None = None, least: int = REVISIT) -> DataFrame:
