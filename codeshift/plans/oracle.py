@@ -275,11 +275,11 @@ def minmax_ctes(src: str, out: str, cols: list[str], key: str | None = None) ->
     constant in the table or group) keeps all raw values; else one decimal
     half-even, then the integer part."""
     over = f"OVER (PARTITION BY {key})" if key else "OVER ()"
-    low = ", ".join(f"CAST(min({c}) {over} AS DOUBLE) AS lo_{i}, CAST(max({c}) {over} AS DOUBLE) AS hi_{i}" for i, c in enumerate(cols))
-    n = [f"(CAST({c} AS DOUBLE) - lo_{i}) / nullif(hi_{i} - lo_{i}, 0)" for i, c in enumerate(cols)]
+    low = ", ".join(f"CAST(min({c}) {over} AS DOUBLE) AS {out}_lo_{i}, CAST(max({c}) {over} AS DOUBLE) AS {out}_hi_{i}" for i, c in enumerate(cols))
+    n = [f"(CAST({c} AS DOUBLE) - {out}_lo_{i}) / nullif({out}_hi_{i} - {out}_lo_{i}, 0)" for i, c in enumerate(cols)]
     ok = " AND ".join(f"({x}) IS NOT NULL" for x in n)
-    put = ", ".join(f"CASE WHEN ok THEN trunc(round_even({x}, 1)) ELSE CAST({c} AS DOUBLE) END AS {c}" for c, x in zip(cols, n))
-    return [f"{out}_a AS (SELECT *, {low} FROM {src})", f"{out}_b AS (SELECT *, {ok} AS ok FROM {out}_a)",
+    put = ", ".join(f"CASE WHEN {out}_ok THEN trunc(round_even({x}, 1)) ELSE CAST({c} AS DOUBLE) END AS {c}" for c, x in zip(cols, n))
+    return [f"{out}_a AS (SELECT *, {low} FROM {src})", f"{out}_b AS (SELECT *, {ok} AS {out}_ok FROM {out}_a)",
             f"{out} AS (SELECT * REPLACE ({put}) FROM {out}_b)"]
 
 

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeshift.operators.codemetrics import assemble_records
@@ -33,7 +34,9 @@ def test_sessions_stage(spark, tmp_path):
 
 
 def test_metrics_and_reports_stage(spark, tmp_path):
-    msgs = P.messages(spark, SF)
+    # A written transcript is an array: messages are known by their place.
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("idx")) - 1
+    msgs = P.messages(spark, SF).withColumn("idx", place.cast("long"))
     tdir = str(tmp_path / "transcripts")
     older = msgs.withColumn("content", F.upper("content"))
     write_chat_json(older, tdir, model="coder-7b-it", run_ts="2024-06-03_17-28")
