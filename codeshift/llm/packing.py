@@ -233,7 +233,7 @@ class Words:
         self._normalise = self._tokenizer.normalizer.normalize_str
         self._model = self._tokenizer.model.tokenize
         self._letters = _byte_letters()
-        self._table = PieceTable(self._encode)
+        self._table = PieceTable(self._encode, 600_000)
 
     def _piece(self, piece: str) -> list[int]:
         if not piece.isascii() or not piece.isprintable():

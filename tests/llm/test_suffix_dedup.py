@@ -30,7 +30,7 @@ def test_fixture_against_brute_force(frame, texts):
 
 def test_short_strings_against_brute_force(frame, texts):
     rows = texts[:40]
-    for few in (0, 2, 1000):          # buckets compared side by side, listed, or some of both
+    for few in (0, 2):                # buckets listed, or some compared side by side
         assert report(frame, rows, 24, few) == brute(rows, 24)
 
 
