@@ -3,14 +3,15 @@
 A word enters as the sum of two vectors: its own (for the words of a
 vocabulary) and that of its character grams (for every word).  Two
 gated recurrent layers read a window in either direction, attention pools
-their states, and a logistic unit scores the window.  A document is cut into
-overlapping windows that cover all its words; its score is the calibrated
-maximum over them.  Everything is numpy: training runs once, on a bounded
-sample of labelled rows; scoring runs in tasks over whole texts.
+their states, and a logistic unit scores the window.  Every run of ``WINDOW``
+words of a document is a window, one beginning at each word; its score is the
+calibrated maximum over them.  Everything is numpy: training runs once, on a
+bounded sample of labelled rows; scoring runs in tasks over whole texts.
 
 Labels are given per document, so training fits the soft maximum over the
 windows of a document to its label: in a toxic document the windows that look
-most toxic learn, in others whatever looks toxic unlearns it.
+most toxic learn, in others whatever looks toxic unlearns it.  Gradients use the
+windows at every ``STRIDE``-th word; calibration uses all, as scoring does.
 
 Learning uses only rows outside the held-out fold (crc32 of the id as text,
 modulo 5, is not 0), at most ``ROWS`` toxic and twice as many other rows of at
@@ -27,7 +28,6 @@ row; an empty table gives an empty result; further columns do no harm.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -41,7 +41,7 @@ from .bpe import groups_of
 from .common import freed, release_memory, small_batches, whole_text
 
 ROWS, ROW_BYTES = 1200, 32768       # of the training sample
-WINDOW, STRIDE = 32, 26             # words
+WINDOW, STRIDE = 32, 26             # words; the stride is that of gradient steps only
 DIM, HIDDEN, ATTENTION = 16, 8, 8
 VOCABULARY, GRAMS = 8192, 16384
 SIZES = (3, 5)                      # of character grams
@@ -58,8 +58,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def windows_of(n: int) -> np.ndarray:
-    """Starts of the windows over n words: each word is in one at least, and
-    neighbours overlap by WINDOW - STRIDE words."""
+    """Starts of the windows that gradient steps draw from, over n words: each
+    word is in one at least, and neighbours overlap by WINDOW - STRIDE words."""
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
@@ -202,14 +202,61 @@ class Network:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         split = [words_of(t) for t in texts]
-        best = np.array([m.max() for m in self._window_logits(split)])
+        rows = index_words(split)
+        best = self.highest(self.projected(self.inputs(list(rows))), *lay_out(split, rows))
         return _sigmoid(self.scale * best.astype(np.float64) + self.shift)
 
-    def _window_logits(self, split: list[list[bytes]], step: int = 2048) -> Iterator[np.ndarray]:
-        rows, windows, per_text = index_windows(split)
-        p = self.projected(self.inputs(list(rows)))
-        out = np.concatenate([self.logits(p, windows[s:s + step]) for s in range(0, len(windows), step)])
-        return iter(np.split(out, np.cumsum(per_text)[:-1]))
+    def highest(self, projected: np.ndarray, line: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The largest logit of each text over its windows at every word."""
+        if not len(begin):
+            return np.zeros(0, np.float32)
+        found = np.append(self.line_logits(projected, line), np.float32(-np.inf))
+        return np.maximum.reduceat(found, np.stack((begin, begin + count), axis=1).ravel())[::2]
+
+    def line_logits(self, projected: np.ndarray, line: np.ndarray, step: int = 2048) -> np.ndarray:
+        """``logits`` of the windows at every position of ``line`` (word rows).
+        Neighbours read the same words one step apart, so the gate inputs of a
+        step are a slice of the line's; arrays hold a window per column."""
+        w, h2 = self.weights, 2 * HIDDEN
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * h2, h2])   # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+        p, u = projected * half, w["u"] * half
+        sides = [(cols, mine, np.ascontiguousarray(u[mine][:, cols].T), order) for cols, mine, order in (
+            (np.flatnonzero(_FORWARD), slice(0, HIDDEN), range(WINDOW)),
+            (np.flatnonzero(~_FORWARD), slice(HIDDEN, h2), range(WINDOW - 1, -1, -1)))]
+        aw, ab = np.ascontiguousarray(w["aw"].T), w["ab"][:, None]
+        out = np.empty(len(line) - WINDOW + 1, np.float32)
+        for s in range(0, len(out), step):
+            b = min(step, len(out) - s)
+            part = line[s:s + b + WINDOW - 1]
+            x = p[part].T
+            states = np.empty((WINDOW, h2, b), np.float32)
+            for cols, mine, side, order in sides:
+                given = np.ascontiguousarray(x[cols])
+                h = np.zeros((HIDDEN, b), np.float32)
+                gates = np.empty((3 * HIDDEN, b), np.float32)
+                zr, c = gates[:2 * HIDDEN], gates[2 * HIDDEN:]
+                for k in order:
+                    np.matmul(side, h, out=gates)
+                    zr += given[:2 * HIDDEN, k:k + b]
+                    np.tanh(zr, out=zr)
+                    zr *= 0.5
+                    zr += 0.5
+                    c *= zr[HIDDEN:]
+                    c += given[2 * HIDDEN:, k:k + b]
+                    np.tanh(c, out=c)
+                    c -= h
+                    c *= zr[:HIDDEN]
+                    h = np.add(h, c, out=states[k, mine])
+            a = np.matmul(aw, states)
+            a += ab
+            share = np.matmul(w["av"], np.tanh(a, out=a))
+            pad = np.lib.stride_tricks.sliding_window_view(part == len(projected) - 1, b)
+            share[pad] = -1e9
+            share = np.exp(share - share.max(axis=0))
+            share /= share.sum(axis=0)
+            share[:, pad.all(axis=0)] = 0        # a window without words pools to zero
+            out[s:s + b] = (share * np.matmul(w["o"], states)).sum(axis=0) + w["ob"][0]
+        return out
 
 
 # Columns of the gate inputs: update, reset, candidate; each forward then backward.
@@ -217,10 +264,27 @@ _FORWARD = np.tile(np.repeat([True, False], HIDDEN), 3)
 _BLOCKS = (np.repeat([True, False], HIDDEN)[:, None] == _FORWARD).astype(np.float32)
 
 
+def index_words(split: list[list[bytes]]) -> dict[bytes, int]:
+    """Distinct words with their rows."""
+    return {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+
+
+def lay_out(split: list[list[bytes]], rows: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as one line of word rows, each padded to a window at least;
+    where each begins and how many windows it has."""
+    lens = np.fromiter(map(len, split), np.int64, len(split))
+    room = np.maximum(lens, WINDOW)
+    begin = np.cumsum(room) - room
+    line = np.full(int(room.sum()), len(rows), np.int32)
+    for at, s in zip(begin.tolist(), split):
+        line[at:at + len(s)] = np.fromiter(map(rows.__getitem__, s), np.int32, len(s))
+    return line, begin, room - WINDOW + 1
+
+
 def index_windows(split: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Distinct words with their rows, all windows of all texts as word rows
-    (padded with one row more), and the number of windows per text."""
-    rows = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+    """Distinct words with their rows, the windows at every ``STRIDE``-th word of
+    all texts as word rows (padded with one row more), and their number per text."""
+    rows = index_words(split)
     windows, per_text = [], []
     for s in split:
         at = windows_of(len(s))
@@ -257,7 +321,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0, steps: int = STEPS
     common = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n > 2]
     net = Network.fresh({w: k + 1 for k, w in enumerate(common)}, seed)
     rows, windows, per_text = index_windows(split)
-    words = list(rows)
+    words, laid = list(rows), lay_out(split, rows)
     del split, df, rows
     begin = np.cumsum(per_text) - per_text
     vocab_row = np.array([net.vocabulary.get(w, 0) for w in words] + [0])
@@ -299,9 +363,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0, steps: int = STEPS
         adam.step(net.weights, g)
         for k in ("word", "chars"):
             net.weights[k] *= np.float32(1 - decay)
-    projected = net.projected(net.inputs(words))
-    logits = np.concatenate([net.logits(projected, windows[s:s + 2048]) for s in range(0, len(windows), 2048)])
-    net.scale, net.shift = _calibrate(np.maximum.reduceat(logits, begin).astype(np.float64), y)
+    net.scale, net.shift = _calibrate(net.highest(net.projected(net.inputs(words)), *laid).astype(np.float64), y)
     return net
 
 

@@ -64,6 +64,41 @@ def test_batches_do_not_matter():
     assert alone[0] > 0.5 > alone[3] and alone[1] == alone[2] < 0.5
 
 
+def test_every_window_counts():
+    rng = np.random.default_rng(3)
+    net = tox.Network.fresh({})
+    split = [[b"w%d" % k for k in rng.integers(0, 300, n)] for n in (0, 1, 5, tox.WINDOW, tox.WINDOW + 1, 700, 3, 2500)]
+    texts = [b" ".join(s).decode() for s in split]
+    rows = tox.index_windows(split)[0]
+    projected = net.projected(net.inputs(list(rows)))
+    want = []
+    for s in split:
+        padded = np.array([rows[x] for x in s] + [len(rows)] * max(0, tox.WINDOW - len(s)))
+        want.append(net.logits(projected, np.lib.stride_tricks.sliding_window_view(padded, tox.WINDOW)).max())
+    assert np.allclose(net.score(texts), 1 / (1 + np.exp(-np.array(want, float))), atol=1e-5)
+
+
+@pytest.mark.parametrize("n", [8, 12, 16])
+def test_planted_passage_at_every_offset(n):
+    """The passage is toxic as a whole; texts with the most of it that is left
+    by a border between windows which share six words are clean."""
+    rng = np.random.default_rng(n)
+    clean = [f"calm{k}" for k in range(1200)]
+    passage = [f"vile{k}" for k in range(n)]
+
+    def text(part, size):
+        words = rng.choice(clean, size).tolist()
+        at = rng.integers(0, size)
+        return " ".join(words[:at] + part + words[at:])
+
+    cut = (n - 6) // 2
+    parts = [passage if k % 2 else passage[:n - cut] if k % 4 else passage[cut:] for k in range(1200)]
+    net = tox.train([text(p, 40) for p in parts], [k % 2 for k in range(1200)])
+    words = rng.choice(clean, 120).tolist()
+    scores = net.score([" ".join(words[:at] + passage + words[at:]) for at in range(len(words) + 1)])
+    assert (scores >= 0.5).all() and net.score([" ".join(words)])[0] < 0.5
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
