@@ -9,11 +9,12 @@ filled that way.
 
 1. Best-fit decreasing over the histogram: longest length first, into the open
    bin type with the least room that still takes it; all equal bins at once.
-2. Local search over underfull bin types.  A move of one piece, an exchange of
-   one for one, or of two for one, is made when it raises the sum of squared
-   fills; it is made in as many pairs of bins as there are.  Raising squared
-   fill drains the emptier bin; a bin that gets empty is a sequence saved.  The
-   search ends when no step helps or the number of bins meets its lower bound.
+2. Local search over underfull bin types.  A move of one or two pieces, an
+   exchange of one for one, or of two for one, is made when it raises the sum
+   of squared fills; it is made in as many pairs of bins as there are.  Raising
+   squared fill drains the emptier bin; a bin that gets empty is a sequence
+   saved.  Every underfull type is tried against every other.  The search ends
+   when no step helps or the number of bins meets its lower bound, and only then.
 3. Every piece finds its sequence and offset from its rank among the pieces of
    its length.  Ranks are made of two levels (length and block, with a small
    table of block counts), so no task holds all pieces of a length.
@@ -28,8 +29,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -44,7 +46,6 @@ from .common import checked_broadcast, freed, materialize, shuffle_partitions, s
 from .pieces import PieceTable
 
 CAPACITY, END_ID = 2048, 0
-SEARCH_STEPS = 20_000  # local search steps; each is made in all equal bins at once
 
 Type = tuple[int, ...]  # lengths in a bin, longest first
 
@@ -96,80 +97,129 @@ def _swap(a: Type, b: Type, out: Type, back: Type) -> tuple[Type, Type]:
     return tuple(sorted(x.elements(), reverse=True)), tuple(sorted(y.elements(), reverse=True))
 
 
-def _best_step(a: Type, b: Type, capacity: int) -> tuple[int, Type, Type] | None:
-    """The exchange between two bins that raises their squared fill the most:
-    move, one for one, or two for one in either direction."""
-    fa, fb = sum(a), sum(b)
-    before, best = fa * fa + fb * fb, None
-    ones_a, ones_b = sorted(set(a)), sorted(set(b))
-
-    def pairs(t: Type) -> list[tuple[int, Type]]:
-        c = Counter(t)
-        u = sorted(c)
-        return sorted((x + y, (x, y)) for i, x in enumerate(u) for y in u[i:] if x != y or c[x] > 1)
-
-    def consider(out: Type, back: Type) -> None:
-        nonlocal best
-        shift = sum(out) - sum(back)
-        na, nb = fa - shift, fb + shift
-        if 0 <= na <= capacity and 0 <= nb <= capacity and (gain := na * na + nb * nb - before) > 0 \
-                and (best is None or gain > best[0]):
-            best = (gain, out, back)
-
-    for x in ones_a:
-        consider((x,), ())
-    for y in ones_b:
-        consider((), (y,))
-    # The largest gain has one bin as full as can be: look up the partner that does it.
-    for small, large, order in ((ones_a, [(y, (y,)) for y in ones_b], 1), (ones_a, pairs(b), 1), (ones_b, pairs(a), -1)):
-        if not large:
-            continue
-        sums = [s for s, _ in large]
-        for x in small:
-            mine, other = (fa, fb) if order == 1 else (fb, fa)
-            # ``mine`` loses x and gets s: s may be at most x + room of mine; at least x - room of other.
-            hi = bisect_left(sums, x + capacity - mine + 1) - 1
-            lo = bisect_left(sums, x - (capacity - other))
-            for k in (hi, lo):
-                if 0 <= k < len(large):
-                    out, back = ((x,), large[k][1]) if order == 1 else (large[k][1], (x,))
-                    consider(out, back)
-    return best
-
-
-def search(types: Counter, capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> Counter:
-    """Local search between underfull bin types, emptiest against fullest first."""
+def _parts(t: Type) -> tuple[list[Type], list[Type]]:
+    """What a bin can give: nothing or one piece; two pieces."""
+    c = Counter(t)
+    u = sorted(c)
+    return [(), *((x,) for x in u)], [(x, y) for i, x in enumerate(u) for y in u[i:] if x != y or c[x] > 1]
+
+
+class _Offers:
+    """What the bins of a set of types can give, as arrays over all of them."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.gone = capacity, 4 * capacity      # a fill that takes part in no step
+        self.blocks: dict[Type, tuple[int, int]] = {}
+        self.n = self.dead = 0
+        self.sums, self.fills = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.starts: list[int] = []
+        self.owners: list[Type] = []
+
+    def add(self, t: Type, parts: list[Type]) -> None:
+        end = self.n + len(parts)
+        if end > len(self.sums):
+            self.sums, self.fills = (np.concatenate((x, np.zeros(end, np.int64))) for x in (self.sums, self.fills))
+        self.sums[self.n:end] = [sum(x) for x in parts]
+        self.fills[self.n:end] = sum(t)
+        if parts:
+            self.blocks[t] = self.n, end
+            self.starts.append(self.n)
+            self.owners.append(t)
+        self.n = end
+
+    def mark(self, t: Type, fill: int) -> None:
+        if t in self.blocks:
+            i, j = self.blocks[t]
+            self.fills[i:j] = fill
+
+    def drop(self, t: Type) -> None:
+        if t not in self.blocks:
+            return
+        self.mark(t, self.gone)
+        i, j = self.blocks.pop(t)
+        self.dead += j - i
+        if self.dead > 4096 and 2 * self.dead > self.n:         # close the gaps
+            live = self.fills[:self.n] < self.gone
+            self.sums, self.fills = self.sums[:self.n][live], self.fills[:self.n][live]
+            self.n, self.dead, self.starts, self.owners, old = len(self.sums), 0, [], [], self.blocks
+            self.blocks, at = {}, 0
+            for u, (i, j) in sorted(old.items(), key=lambda x: x[1]):
+                self.blocks[u] = at, at + j - i
+                self.starts.append(at)
+                self.owners.append(u)
+                at += j - i
+
+    def best(self, fill: int, outs: np.ndarray, cells: int = 1 << 20) -> tuple[int, Type, int, int] | None:
+        """For a bin filled to ``fill`` that gives one of ``outs``: gain,
+        partner, place in ``outs``, place among the partner's parts."""
+        if not len(outs):
+            return None
+        width = max(1, cells // len(outs))
+        for s in range(0, self.n, width):
+            sums, fills = self.sums[s:min(s + width, self.n)], self.fills[s:min(s + width, self.n)]
+            shift = outs[:, None] - sums
+            gain = shift * (shift + (fills - fill))
+            gain[(shift > self.capacity - fills) | (shift < fill - self.capacity)] = 0
+            at = int(gain.argmax())
+            k, col = divmod(at, len(sums))
+            if gain[k, col] > 0:
+                owner = bisect_right(self.starts, s + col) - 1
+                return int(gain[k, col]), self.owners[owner], k, s + col - self.starts[owner]
+        return None
+
+
+def search(types: Counter, capacity: int = CAPACITY) -> Counter:
+    """Local search between underfull bin types, the emptiest first.  A type
+    that helps no other, and is helped by none, is looked at again only as the
+    partner of a type that came up later: every pair is settled at the end."""
     types = Counter({t: n for t, n in types.items() if n and t})
-    total = sum(sum(t) * n for t, n in types.items())
-    bound = -(-total // capacity)
-    dead: set[tuple[Type, Type]] = set()
-    while steps > 0 and sum(types.values()) > bound:
-        open_types = sorted((t for t in types if sum(t) < capacity), key=lambda t: (sum(t), t))
-        step = None
-        for i, a in enumerate(open_types[:32]):          # the bins to be drained
-            for b in reversed(open_types[i:] if types[a] > 1 else open_types[i + 1:]):
-                if (a, b) in dead:
-                    continue
-                steps -= 1
-                if found := _best_step(a, b, capacity):
-                    step = (a, b, found)
-                    break
-                dead.add((a, b))
-                if steps <= 0:
-                    break
-            if step or steps <= 0:
-                break
-        if not step:
-            break
-        a, b, (_, out, back) = step
+    left = sum(types.values())
+    bound = -(-sum(sum(t) * n for t, n in types.items()) // capacity)
+    few, two = _Offers(capacity), _Offers(capacity)
+    heap: list[tuple[int, Type]] = []
+
+    def enter(t: Type) -> None:
+        one, pair = _parts(t)
+        few.add(t, one)
+        two.add(t, pair)
+        heappush(heap, (sum(t), t))
+
+    for t in sorted((t for t in types if sum(t) < capacity), key=lambda t: (-sum(t), t)):
+        enter(t)
+    while heap and left > bound:
+        fill, a = heap[0]
+        if a not in few.blocks:
+            heappop(heap)
+            continue
+        one, pair = _parts(a)
+        ones, pairs = (np.array([sum(x) for x in p], np.int64) for p in (one, pair))
+        if types[a] == 1:                        # no partner of its own kind
+            few.mark(a, few.gone), two.mark(a, two.gone)
+        found = [(f, p, o) for f, p, o in ((few.best(fill, ones), one, 0), (two.best(fill, ones), one, 1),
+                                           (few.best(fill, pairs), pair, 0)) if f]
+        few.mark(a, fill), two.mark(a, fill)
+        if not found:
+            heappop(heap)
+            continue
+        (_, b, k, j), mine, kind = max(found, key=lambda x: x[0][0])
         n = types[a] // 2 if a == b else min(types[a], types[b])
+        new = _swap(a, b, mine[k], _parts(b)[kind][j])
         for t in (a, b):
             types[t] -= n
-        for t in _swap(a, b, out, back):
-            if t:
-                types[t] += n
-        types = Counter({t: k for t, k in types.items() if k})
-    return types
+        for t in new:
+            if not t:
+                left -= n
+                continue
+            types[t] += n
+            if sum(t) < capacity:
+                if t not in few.blocks:
+                    enter(t)
+                elif types[t] <= 2 * n:          # may have been single: it can now meet its own kind
+                    heappush(heap, (sum(t), t))
+        for t in {a, b}:
+            if not types[t]:
+                few.drop(t), two.drop(t)
+    return Counter({t: n for t, n in types.items() if n})
 
 
 def slots(types: Counter) -> np.ndarray:

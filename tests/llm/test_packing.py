@@ -110,3 +110,25 @@ def test_large_histogram_meets_the_bound():
     assert sum(types.values()) <= -(-total // 2048) * 1.001 + 1
     table = packing.slots(types)
     assert len(table) < 60000
+
+
+def improves(a, b, capacity):
+    """Whether a piece moved, or one exchanged for one or two, raises the squared fills."""
+    fa, fb = sum(a), sum(b)
+    give = lambda t: {0, *t}, lambda t: {x + y for i, x in enumerate(t) for y in t[i + 1:]}
+    return any(fa - d <= capacity and fb + d <= capacity and (fa - d) ** 2 + (fb + d) ** 2 > fa * fa + fb * fb
+               for i, j in ((0, 0), (0, 1), (1, 0)) for x in give[i](a) for y in give[j](b) for d in (x - y,))
+
+
+def test_search_ends_where_no_step_helps():
+    rng = random.Random(7)
+    lengths = Counter(rng.randint(600, 1100) for _ in range(2000))   # hundreds of underfull types
+    first = packing.best_fit_types(lengths)
+    types = packing.search(first)
+    assert Counter(x for u, n in types.items() for x in u for _ in range(n)) == lengths
+    assert sum(types.values()) < sum(first.values())
+    underfull = sorted(t for t in types if sum(t) < 2048)
+    assert len(underfull) > 100 and all(sum(t) <= 2048 for t in types)
+    for i, a in enumerate(underfull):
+        for b in underfull[i if types[a] > 1 else i + 1:]:
+            assert not improves(a, b, 2048), (a, b)
