@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeshift.session import ensure_checkpoint_dir, materialize, scratch_path
 
 __all__ = ["documents", "whole_text", "row_stamp", "checked_broadcast", "small_batches", "freed", "release_memory",
-           "materialize", "scratch_path", "shuffle_partitions", "table"]
+           "keep_one", "materialize", "scratch_path", "shuffle_partitions", "table"]
 
 # A side is broadcast only when its (written, hence exactly known) size is below this.
 BROADCAST_LIMIT = 16 << 20
@@ -73,3 +73,29 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     on tables just written, whose size is exact."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= limit else df
+
+
+def keep_one(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` with exactly one row per group of ``members(id, stamp, group,
+    kept)``, which has one row per document.  Of the rows marked ``kept`` the
+    least stamp stays; of rows equal in id and stamp, the one whose other
+    columns come first as JSON.  Copies fold by aggregation before any shuffle,
+    and texts of repeated rows only are folded, so no task holds a group."""
+    keys = materialize(members.groupBy("id", "stamp", "group", "kept").agg(F.count(F.lit(1)).alias("n")), f"{name}-keys")
+    kept = keys.where("kept")
+    several = materialize(kept.groupBy("group").agg(F.min("stamp").alias("first"), F.count(F.lit(1)).alias("keys"))
+                          .where("keys > 1").select("group", "first"), f"{name}-first")
+    named = lambda df: df.select(F.col("id").alias("_id"), F.col("stamp").alias("_stamp"))
+    gone = named(keys.where(~F.col("kept"))).unionByName(
+        named(kept.join(checked_broadcast(several), "group").where(F.col("stamp") != F.col("first"))))
+    # The dropped keys are written first: their size decides how they are joined.
+    gone, again = materialize(gone, name), materialize(named(kept.where("n > 1")), f"{name}-repeated")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (row_stamp(text_col) == F.col("_stamp"))
+    left = docs.join(checked_broadcast(gone), same, "left_anti")
+    if again.isEmpty():
+        return left
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in (id_col, text_col)]))
+    folded = (left.join(checked_broadcast(again), same, "left_semi")
+              .groupBy(F.col(id_col).alias("_id"), row_stamp(text_col).alias("_stamp"))
+              .agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNull(), others)).alias("_row")).select("_row.*"))
+    return left.join(checked_broadcast(again), same, "left_anti").unionByName(folded)

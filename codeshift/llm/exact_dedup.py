@@ -16,9 +16,10 @@ by one space.  The index is built from DataFrame operations only:
    keys and digests, never texts; a large group is split by the join.
 
 Defined cases: null text counts as empty; null ids never win over a known id
-(a group with no known id has a null ``keep_id``, and its rows stay); rows that
-repeat the smallest id of their group are the same document and all stay; an
-empty table gives an empty result; further columns are ignored.
+(a group with no known id has a null ``keep_id``, and its rows are marked kept);
+rows that repeat the smallest id of their group are all marked kept.
+``drop_copies`` leaves one row of each group, of these cases too; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize, row_stamp, whole_text
+from .common import checked_broadcast, keep_one, materialize, row_stamp, whole_text
 
 CAPACITY = 200_000
 MAX_DEPTH = 14
@@ -88,9 +89,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that an equal text with a smaller id replaces.
-    The dropped rows are written first: their size decides how they are joined."""
-    gone = materialize(exact_groups(docs, id_col, text_col).where(~F.col("kept"))
-                       .select(F.col(id_col).alias("_id"), F.col("stamp").alias("_stamp")).distinct(), "copies")
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (row_stamp(docs[text_col]) == F.col("_stamp"))
-    return docs.join(checked_broadcast(gone), same, "left_anti")
+    """``docs`` with one row of each group of equal texts: one with the smallest id."""
+    members = exact_groups(docs, id_col, text_col)
+    return keep_one(docs, members.select(F.col(id_col).alias("id"), "stamp", F.col("text_sha256").alias("group"), "kept"),
+                    id_col, text_col, "copies")

@@ -21,7 +21,9 @@ costs a fixed number of rows per fingerprint and loses no link.
 
 Defined cases: null text counts as empty; rows with null ids are fingerprinted
 and belong to the component of their fingerprint; ids that repeat are separate
-rows; an empty table gives an empty result; further columns are ignored.
+rows; ``drop_near_copies`` leaves one row of each component, of repeated rows
+and null ids too; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checked_broadcast, freed, materialize, row_stamp, small_batches, whole_text
+from .common import checked_broadcast, freed, keep_one, materialize, row_stamp, small_batches, whole_text
 from .graph import components
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
@@ -116,16 +118,17 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                 radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """id, stamp, fp, component_id: one row per document; ``component_id`` is
-    the smallest id reachable over links, the document's own included."""
+    """id, stamp, fp, component_id, root: one row per document; ``component_id``
+    is the smallest id reachable over links, the document's own included, and
+    ``root`` the smallest fingerprint."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     roots = components(links(fps.select("fp"), radius, bucket))
     placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = materialize(placed.join(smallest, "root").select("fp", "component_id"), "components")
-    return rows.join(checked_broadcast(member), "fp").select(F.col("id").alias(id_col), "stamp", "fp", "component_id")
+    member = materialize(placed.join(smallest, "root").select("fp", "component_id", "root"), "components")
+    return rows.join(checked_broadcast(member), "fp").select(F.col("id").alias(id_col), "stamp", "fp", "component_id", "root")
 
 
 def hex16(fp: Column) -> Column:
@@ -133,8 +136,8 @@ def hex16(fp: Column) -> Column:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id."""
-    gone = materialize(near_groups(docs, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-                       .select(F.col(id_col).alias("_id"), F.col("stamp").alias("_stamp")).distinct(), "near-copies")
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (row_stamp(docs[text_col]) == F.col("_stamp"))
-    return docs.join(checked_broadcast(gone), same, "left_anti")
+    """``docs`` with one row of each group: one with the smallest id."""
+    near = near_groups(docs, id_col, text_col)
+    return keep_one(docs, near.select(F.col(id_col).alias("id"), "stamp", F.col("root").alias("group"),
+                                      F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept")),
+                    id_col, text_col, "near-copies")

@@ -49,3 +49,11 @@ def test_drop_copies_and_empty(frame):
     assert left.columns == f.columns
     assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, "same  text"), (2, "third"), (3, "other")]
     assert exact_dedup.exact_groups(frame([])).collect() == []
+
+
+def test_drop_copies_leaves_one_row_a_group(spark):
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (1, "a b", "w"), (2, "a b", "z"), (None, "n  n", "p"), (None, "n n", "q"),
+            (None, "n n", "q"), (3, None, "r"), (3, "", "s"), (4, "alone", "t"), (1, "other", "u")]
+    left = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(tuple(r) in rows for r in left)
+    assert sorted((r.doc_id or 0, " ".join((r.text or "").split())) for r in left) == [(0, "n n"), (1, "a b"), (1, "other"), (3, ""), (4, "alone")]

@@ -57,3 +57,13 @@ def test_run_and_registration(spark, monkeypatch):
     packed = corpus_pipeline.run(spark, SF)
     kept = {r[0] for r in exact(rows(documents(spark, SF))) if r[3]}
     assert {r.doc_id for r in packed.select("doc_id").collect()} == kept
+
+
+def test_repeated_rows_reach_packing_once(spark, frame):
+    text = {k: " ".join(f"{k}{i * i}" for i in range(300)) for k in "abc"}
+    docs = frame([(1, text["a"])] * 3 + [(None, text["b"])] * 2 + [(2, text["c"]), (3, text["c"])])
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), "test")
+    assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == [(0, text["b"]), (1, text["a"]), (2, text["c"])]
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    check_packing([(None, text["b"]), (1, text["a"]), (2, text["c"])], got)

@@ -91,3 +91,10 @@ def test_drop_near_copies_and_empty(frame):
     assert left.columns == f.columns
     assert sorted(r.doc_id for r in left.collect()) == [1, 2]
     assert near(frame, []) == []
+
+
+def test_drop_near_copies_leaves_one_row_a_group(frame):
+    one, two = (" ".join(f"{c}{i}" for i in range(400)) for c in "vw")
+    rows = [(3, one), (3, one), (3, one.upper()), (5, one), (None, two), (None, two), (None, two.upper()), (3, "third text here")]
+    left = simhash.drop_near_copies(frame(rows)).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in left) == [(0, two), (3, "third text here"), (3, one)]
