@@ -14,9 +14,11 @@ most toxic learn, in others whatever looks toxic unlearns it.  Gradients use the
 windows at every ``STRIDE``-th word; calibration uses all, as scoring does.
 
 Learning uses only rows outside the held-out fold (crc32 of the id as text,
-modulo 5, is not 0), at most ``ROWS`` toxic and twice as many other rows of at
-most ``ROW_BYTES`` bytes, picked by a hash of the id.  Inputs are the words of
-the text and nothing else.
+modulo 5, is not 0), at most ``ROWS`` toxic and twice as many other ids with a
+text of at most ``ROW_BYTES`` bytes, picked by a hash of the id among the
+labelled ids that have one, so the sample is filled whenever enough exist.  A
+class that has only longer texts is not in the sample; the network then is as
+without labels of that kind.  Inputs are the words of the text and nothing else.
 
 Defined cases: null text counts as empty; a text without words gets the score
 of a window without evidence; several labels of one id count as the highest;
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import groups_of
-from .common import freed, release_memory, small_batches, whole_text
+from .common import freed, materialize, release_memory, small_batches, whole_text
 
 ROWS, ROW_BYTES = 1200, 32768       # of the training sample
 WINDOW, STRIDE = 32, 26             # words; the stride is that of gradient steps only
@@ -396,10 +398,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """The bounded sample: text and label."""
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic")).where(~held_out("_id")))
+    text = whole_text(docs[text_col])
+    short = docs.where(F.octet_length(text) <= row_bytes)
+    known = materialize(known.join(short.select(F.col(id_col).alias("_id")), "_id", "left_semi"), "labelled")
     picked = [known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(n) for c, n in ((1, rows), (0, 2 * rows))]
     picked = F.broadcast(picked[0].unionByName(picked[1]))           # at most 3 * rows ids
-    text = whole_text(docs[text_col])
-    found = (docs.join(picked, docs[id_col] == F.col("_id")).where(F.octet_length(text) <= row_bytes)
+    found = (short.join(picked, docs[id_col] == F.col("_id"))
              .select("_id", "_toxic", text.alias("_text")).distinct().orderBy(F.xxhash64("_id"), "_id", "_text").limit(4 * rows))
     return [(r["_text"], r["_toxic"]) for r in found.collect()]
 

@@ -129,3 +129,14 @@ def test_edges(spark, frame):
     assert tox.toxicity(frame([]), labels).collect() == []
     one_kind = labels.where("toxic = 0")
     assert {r.score for r in tox.toxicity(frame(rows[:5]), one_kind).collect()} == {0.0}
+
+
+def test_sample_is_filled_from_short_texts(spark, frame):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(2000)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"text {i}" if i % 10 < 2 else "long " * 100) for i in range(400)]   # most are too long, most ids unknown
+    got = tox.training_rows(frame(rows), labels, rows=20, row_bytes=100)
+    others = [i for i, t in rows if len(t) <= 100 and i % 2 == 0 and zlib.crc32(str(i).encode()) % 5]
+    assert sorted(c for _, c in got) == [0] * min(40, len(others)) + [1] * 20
+    assert all(len(t) <= 100 and c == int(t.split()[1]) % 2 for t, c in got)
+    only_long = [(i, t if i % 2 == 0 else "long " * 100) for i, t in rows]
+    assert {r.score for r in tox.toxicity(frame(only_long), labels, row_bytes=100).collect()} == {0.0}
