@@ -1,13 +1,14 @@
 """The pipeline against brute force: each stage on what its predecessor kept."""
 
 import corpus_pipeline
+import numpy as np
 
 from codeshift.llm import toxicity
 from codeshift.llm.common import documents, table
 
 from .conftest import SF
 from .test_exact_dedup import brute as exact
-from .test_packing import check as check_packing
+from .test_packing import check as check_packing, ids_of
 from .test_simhash import brute as near
 from .test_suffix_dedup import brute as suffix
 
@@ -67,3 +68,11 @@ def test_repeated_rows_reach_packing_once(spark, frame):
     assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == [(0, text["b"]), (1, text["a"]), (2, text["c"])]
     got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     check_packing([(None, text["b"]), (1, text["a"]), (2, text["c"])], got)
+
+
+def test_packing_stage_carries_token_ids(spark, frame):
+    text = "some words to train on " * 900
+    got = corpus_pipeline.STAGES[-1][1](spark, frame([(1, text), (2, None)]), SF).collect()
+    for i, t in ((1, text), (2, None)):
+        parts = sorted((r.start, bytes(r.ids)) for r in got if r.doc_id == i)
+        assert np.frombuffer(b"".join(p for _, p in parts), "<u4").tolist() == ids_of(t)
