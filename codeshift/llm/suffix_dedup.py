@@ -1,13 +1,12 @@
-r"""Suffix-array dedup by bucket-pointer refinement.
+r"""Dedup of repeated strings, as of a suffix array, by anchor grouping.
 
 Every byte covered by a ``length``-byte string that also starts anywhere else
 is removed; strings are judged on the input and never cross documents.
 
 A suffix array groups the positions by their first ``length`` bytes.  Bucket-
-pointer refinement gets there in levels: buckets of equal q-grams first, then
-only buckets with company are refined, by the buckets found further along the
-string; a position alone in its bucket is settled and drops out.  Here the
-levels are tables:
+pointer refinement would sort positions and refine buckets recursively by the
+buckets found further along the string.  That is not done here: anchors are
+grouped in three levels, each a table, and one alone in its bucket drops out:
 
 1. *q-gram buckets* (q = length / 2).  A window of ``length`` bytes is
    represented by one of its q-grams, the leftmost with the least rolling
