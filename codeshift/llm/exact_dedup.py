@@ -61,7 +61,8 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY) -> DataFrame:
     """The index, read back from its files: bucket, key, digest, keep_id,
-    group_size; ``chain`` is the number of texts under the key."""
+    group_size.  The grouping by key and text settles the groups; the directory
+    deals the entries to files and decides no result."""
     norm = normalised(text_col)
     entries = (docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
                .select("id", "norm", F.xxhash64("norm").alias("key"))
