@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, infill, licenses, packing, quality, sharding, simhash, suffix_dedup, toxicity, warc
+from . import bpe, exact_dedup, importance, infill, licenses, packing, quality, sharding, simhash, suffix_dedup, toxicity, warc
 from .common import documents, table
 
 
@@ -142,11 +142,46 @@ FROM p
 """
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT rid, unnest(w) AS w FROM d), bw AS (SELECT unnest(w) AS w FROM b),
+eight AS (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+          FROM (SELECT unnest(range(0, 256)) AS i)),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM eight),
+v AS (SELECT w, xor(4294967295, list_reduce(list_transform(range(1, len(hex(w)), 2), lambda k: ('0x' || hex(w)[k:k + 1])::BIGINT),
+                 lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1]), 4294967295)) % 10000 AS bucket
+      FROM (SELECT w FROM dw UNION SELECT w FROM bw), tab),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN v USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN v USING (w) GROUP BY bucket),
+g AS (SELECT r.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE
+                  / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM (SELECT unnest(range(0, 10000)) AS bucket) AS r LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+x AS (SELECT rid, sum(gain)::BIGINT AS total FROM dw JOIN v USING (w) JOIN g USING (bucket) GROUP BY rid),
+q AS (SELECT doc_id, len(w) AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE floor(total::DOUBLE / len(w))::BIGINT END AS weight,
+             ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+      FROM d LEFT JOIN x USING (rid)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM q),
+r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place
+      FROM z)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM z WHERE n_features >= 20) THEN place END AS rank
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_suffix_array_dedup, op4_exact_dedup, op5_license_scan, op6_warc, op7_byte_bpe, op8_sharding,
-                                    op9_toxicity, op10_best_fit_packing, op11_fill_in_middle)}
+                                    op9_toxicity, op10_best_fit_packing, op11_fill_in_middle, op12_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_quality_rules": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL,
-            "op11_fill_in_middle": OP11_SQL}
+            "op11_fill_in_middle": OP11_SQL, "op12_importance_resampling": OP12_SQL}
