@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeshift.session import ensure_checkpoint_dir, materialize, scratch_path
 
 __all__ = ["documents", "whole_text", "row_stamp", "checked_broadcast", "small_batches", "freed", "release_memory",
-           "keep_one", "materialize", "scratch_path", "shuffle_partitions", "table"]
+           "keep_one", "prune_by_bloom_filter", "materialize", "scratch_path", "shuffle_partitions", "table"]
 
 # A side is broadcast only when its (written, hence exactly known) size is below this.
 BROADCAST_LIMIT = 16 << 20
@@ -75,6 +75,14 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def prune_by_bloom_filter(spark: SparkSession) -> None:
+    """Let Spark drop, by a Bloom filter made from the smaller side, the texts
+    that a join will not need before it shuffles them, from any size on."""
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", str(1 << 40))
+
+
 def keep_one(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """``docs`` with exactly one row per group of ``members(id, stamp, group,
     kept)``, which has one row per document.  Of the rows marked ``kept`` the

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, importance, infill, licenses, packing, quality, sharding, simhash, suffix_dedup, toxicity, warc
+from . import bpe, exact_dedup, importance, infill, licenses, packing, quality, sharding, simhash, suffix_dedup, toxicity, warc, \
+    window_dedup
 from .common import documents, table
 
 
@@ -177,11 +178,30 @@ FROM r
 """
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.removal_report(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS g
+        FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) > 19)),
+late AS (SELECT rid, i, rank() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) AS r FROM win),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 20)) AS k FROM late WHERE r > 1),
+words AS (SELECT rid, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY k) AS t, count(*) AS n FROM words ANTI JOIN gone USING (rid, k) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op3_suffix_array_dedup, op4_exact_dedup, op5_license_scan, op6_warc, op7_byte_bpe, op8_sharding,
-                                    op9_toxicity, op10_best_fit_packing, op11_fill_in_middle, op12_importance_resampling)}
+                                    op9_toxicity, op10_best_fit_packing, op11_fill_in_middle, op12_importance_resampling,
+                                    op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_quality_rules": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op6_warc": OP6_SQL,
-            "op11_fill_in_middle": OP11_SQL, "op12_importance_resampling": OP12_SQL}
+            "op11_fill_in_middle": OP11_SQL, "op12_importance_resampling": OP12_SQL,
+            "op13_substring_dedup": OP13_SQL}
