@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeshift.session import ensure_checkpoint_dir, materialize, scratch_path
 
 __all__ = ["documents", "whole_text", "row_stamp", "checked_broadcast", "small_batches", "freed", "release_memory",
-           "keep_one", "prune_by_bloom_filter", "materialize", "scratch_path", "shuffle_partitions", "table"]
+           "keep_one", "prune_by_bloom_filter", "unused", "materialize", "scratch_path", "shuffle_partitions", "table"]
 
 # A side is broadcast only when its (written, hence exactly known) size is below this.
 BROADCAST_LIMIT = 16 << 20
@@ -32,6 +32,19 @@ def whole_text(text: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores put before them until ``df`` has no such
+    column: further columns of a table never clash with those of an operator."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def row_stamp(text: str | Column) -> Column:
     """64-bit content stamp.  (id, stamp) names a row through re-scans: rows
     equal in both are copies with the same text and get the same result."""
@@ -93,17 +106,18 @@ def keep_one(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, na
     kept = keys.where("kept")
     several = materialize(kept.groupBy("group").agg(F.min("stamp").alias("first"), F.count(F.lit(1)).alias("keys"))
                           .where("keys > 1").select("group", "first"), f"{name}-first")
-    named = lambda df: df.select(F.col("id").alias("_id"), F.col("stamp").alias("_stamp"))
+    i, s, none, row = unused(docs, "id", "stamp", "none", "row")
+    named = lambda df: df.select(F.col("id").alias(i), F.col("stamp").alias(s))
     gone = named(keys.where(~F.col("kept"))).unionByName(
         named(kept.join(checked_broadcast(several), "group").where(F.col("stamp") != F.col("first"))))
     # The dropped keys are written first: their size decides how they are joined.
     gone, again = materialize(gone, name), materialize(named(kept.where("n > 1")), f"{name}-repeated")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (row_stamp(text_col) == F.col("_stamp"))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (row_stamp(text_col) == F.col(s))
     left = docs.join(checked_broadcast(gone), same, "left_anti")
     if again.isEmpty():
         return left
-    others = F.to_json(F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in (id_col, text_col)]))
+    others = F.to_json(F.struct(F.lit(0).alias(none), *[c for c in docs.columns if c not in (id_col, text_col)]))
     folded = (left.join(checked_broadcast(again), same, "left_semi")
-              .groupBy(F.col(id_col).alias("_id"), row_stamp(text_col).alias("_stamp"))
-              .agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNull(), others)).alias("_row")).select("_row.*"))
+              .groupBy(F.col(id_col).alias(i), row_stamp(text_col).alias(s))
+              .agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNull(), others)).alias(row)).select(f"{row}.*"))
     return left.join(checked_broadcast(again), same, "left_anti").unionByName(folded)

@@ -17,14 +17,16 @@ on the input.
 3. *Exact pass.*  A chunk meets its answers.  A window is estimated repeated when its
    cells count two or more in every row.  Estimates are never too low, so no
    repeat is lost; about one window in 70 that does not repeat passes too (two rows
-   of eight cells per window).  Only these windows get a 128-bit digest of their
-   words.  Those that start earlier in the same chunk settle there; of each sequence
-   the first place goes on, and Spark groups by digest and compares each place with
-   the first one.
+   of eight cells per window).  Only these windows are grouped, in two steps.  First
+   as stretches: neighbouring windows with the same leftmost least hash of half a
+   window are one row, with a 128-bit digest of all their words.  Equal windows have equal
+   least hashes, so what repeats meets in the bucket of that hash; equal stretches
+   are settled against the first of them.  Where a bucket holds stretches that
+   differ, the first of each kind is grouped window by window, by 128-bit digests.
 
 A very common window counts once per chunk, not once per document, in the
-messages and in the grouping; joins are split by Spark where a sequence is still
-frequent.  Chunks are bounded, so no task holds a group or the sketch.
+messages and in the grouping (what starts earlier in the same chunk settles there);
+joins are split by Spark where a sequence is still frequent.  Chunks are bounded, so no task holds a group or the sketch.
 
 Defined cases: null text counts as empty; documents of fewer words than a window
 keep all; rows with equal ids count as places of one document (of two equal starts
@@ -42,14 +44,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import freed, materialize, prune_by_bloom_filter, small_batches, whole_text
+from .common import checked_broadcast, freed, materialize, prune_by_bloom_filter, scratch_path, small_batches, whole_text
 
 WINDOW = 20
 ROWS, CELLS = 2, 8           # rows of the sketch, counters per window in each
 BITS = 22                    # a block has two to this power counters
 _WORDS = 500_000             # words known at once
-_DIGESTS = 1 << 16           # windows digested at once
 _RNG = np.random.Generator(np.random.PCG64(13))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = _RNG.integers(1, 1 << 63, ROWS, np.uint64)
@@ -82,27 +84,43 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(words)), count)
         self.start = np.arange(len(self.doc)) - np.repeat(np.cumsum(count) - count, count)
         at = self.first_word[self.doc] + self.start
-        total = np.zeros(max(len(flat) - window + 1, 0), np.uint64)
-        for k, m in enumerate(_multipliers(window)):
-            total += flat[k:k + len(total)] * m
-        self.hashes = total[at]
-        self._words, self._texts, self._window = words, texts, window
-
-    def digests(self, which: np.ndarray) -> np.ndarray:
-        """128-bit digests, as two numbers, of the word sequences of windows (sorted)."""
-        out, doc = [], -1
-        for s in range(0, len(which), _DIGESTS):
-            got = []
-            for d, a in zip(self.doc[which[s:s + _DIGESTS]].tolist(), self.start[which[s:s + _DIGESTS]].tolist()):
-                if d != doc:
-                    doc, view = d, memoryview(self._texts[d])
-                    after = np.cumsum(np.fromiter(map(len, self._words[d]), np.int64, len(self._words[d])) + 1)
-                    first = np.concatenate(([0], after[:-1]))
-                    edges = list(zip(first[:len(first) - self._window + 1].tolist(), (after[self._window - 1:] - 1).tolist()))
-                x, y = edges[a]
-                got.append(xxhash.xxh3_128_digest(view[x:y]))
-            out.append(np.frombuffer(b"".join(got), ">i8").astype(np.int64).reshape(-1, 2))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        self.hashes = _sums(flat, window)[at]
+        self._flat, self._at, self._words, self._texts, self._window = flat, at, words, texts, window
+
+    def least(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of some windows, the least hash of its runs of half as many
+        words, and where the leftmost such run stands."""
+        half = max(1, self._window // 2)
+        h = _sums(self._flat, half) * _MIX
+        h ^= h >> np.uint64(31)
+        h *= _MIX
+        place, have, wide = np.arange(len(h)), 1, self._window - half + 1
+        while have < wide and len(h):
+            step = min(have, wide - have)
+            later = h[step:] < h[:-step]
+            place = np.where(later, place[step:], place[:-step])
+            h = np.where(later, h[step:], h[:-step])
+            have += step
+        return h[self._at[which]].view(np.int64), place[self._at[which]]
+
+    def digests(self, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """128-bit digests, as two numbers, of words lo to hi of documents (in order)."""
+        got, now = [], -1
+        for d, x, y in zip(doc.tolist(), lo.tolist(), hi.tolist()):
+            if d != now:
+                now, view = d, memoryview(self._texts[d])
+                edge = np.cumsum(np.fromiter(map(len, self._words[d]), np.int64, len(self._words[d])) + 1).tolist()
+                edge.append(0)                                   # edge[-1]: where the text begins
+            got.append(xxhash.xxh3_128_digest(view[edge[x - 1]:edge[y - 1] - 1]))
+        return np.frombuffer(b"".join(got), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _sums(flat: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words from the hashes of the words."""
+    total = np.zeros(max(len(flat) - size + 1, 0), np.uint64)
+    for k, m in enumerate(_multipliers(size)):
+        total += flat[k:k + len(total)] * m
+    return total
 
 
 def cells_of(hashes: np.ndarray, row: int, blocks: int, bits: int = BITS) -> np.ndarray:
@@ -116,14 +134,16 @@ def cells_of(hashes: np.ndarray, row: int, blocks: int, bits: int = BITS) -> np.
 
 
 def pack(cells: np.ndarray) -> bytes:
-    """Rising numbers as differences, of two bytes each where they fit."""
+    """Rising numbers as compressed differences, of two bytes each where they fit."""
     gaps = np.diff(cells.astype(np.int64), prepend=0)
     small = not len(gaps) or int(gaps.max()) < 1 << 16
-    return (b"s" if small else b"l") + gaps.astype(np.uint16 if small else np.uint32).tobytes()
+    raw = gaps.astype(np.uint16 if small else np.uint32).tobytes()
+    return (b"s" if small else b"l") + len(raw).to_bytes(4, "big") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint16 if data[:1] == b"s" else np.uint32, offset=1).astype(np.int64))
+    raw = pa.decompress(data[5:], int.from_bytes(data[1:5], "big"), "zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(raw, np.uint16 if data[:1] == b"s" else np.uint32).astype(np.int64))
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -142,7 +162,9 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [pa.array((chunk << 20) + np.arange(n)), pa.array(np.full(n, chunk)), b.column(0),
                  pa.array(map(len, words), pa.int64()), pa.array(map(b" ".join, words), pa.binary()).cast(pa.string())], names=out.names)
 
-    return materialize(rows.mapInArrow(freed(run), out), "chunks")
+    path = scratch_path(docs.sparkSession, "chunks")
+    rows.mapInArrow(freed(run), out).write.option("compression", "zstd").parquet(path)   # whole texts: as small as can be
+    return docs.sparkSession.read.parquet(path)
 
 
 def partition_sketches(table: DataFrame, window: int, blocks: int, bits: int = BITS) -> DataFrame:
@@ -192,12 +214,25 @@ def merged(sketches: DataFrame, bits: int = BITS) -> DataFrame:
     return sketches.groupBy("block").applyInArrow(add, "chunk long, block long, cells binary")
 
 
+def _first(rank: np.ndarray, start: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts rows equal in ``same`` side by side, earlier places first,
+    and which rows (in that order) are at the first place of their kind."""
+    by = np.lexsort((start, rank, *same))
+    new = np.ones(len(by), bool)
+    new[1:] = np.any([k[by][1:] != k[by][:-1] for k in same], axis=0)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    return by, (rank[by] == rank[by][head]) & (start[by] == start[by][head])
+
+
+_STRETCH = ("lo", "hi", "least", "w1", "w2")
+
+
 def candidates(table: DataFrame, repeated: DataFrame, window: int, blocks: int, bits: int = BITS) -> DataFrame:
-    """row, id, lo, hi, w1, w2: the windows (words lo to hi) estimated repeated, the
-    first place of each sequence in a chunk.  Rows with null w1 are runs of words
-    that an earlier place in the chunk settles."""
-    out = T.StructType([T.StructField("row", T.LongType()), table.schema["id"], *(T.StructField(n, T.LongType()) for n in ("lo", "hi", "w1", "w2"))])
-    id_type = pa.schema([(f.name, f.type) for f in _arrow(out)]).field("id").type
+    """row, id, lo, hi, least, w1, w2: stretches of windows estimated repeated (words lo
+    to hi), the first place of each in a chunk.  Rows with null w1 are words that an
+    earlier place in the chunk settles."""
+    out = T.StructType([T.StructField("row", T.LongType()), table.schema["id"], *(T.StructField(n, T.LongType()) for n in _STRETCH)])
+    id_type = to_arrow_schema(out).field("id").type
 
     def judge(docs: pa.Table, answers: pa.Table) -> pa.Table:
         ids = docs.column("id").to_pylist()
@@ -206,53 +241,66 @@ def candidates(table: DataFrame, repeated: DataFrame, window: int, blocks: int,
         ids = [ids[k] for k in order]
         rank = np.cumsum([0, *(a != b for a, b in zip(ids, ids[1:]))]) if ids else np.zeros(0, np.int64)
         chunk = Chunk(docs.column("words").cast(pa.binary()).to_pylist(), window, _WordHash())
-        likely = np.ones(len(chunk.hashes), bool)
         told = [[np.zeros(0, np.int64)] for _ in range(ROWS)]
         for block, cells in zip(answers.column("block").to_pylist(), answers.column("cells").to_pylist()):
             told[block // blocks].append((block % blocks << bits) + unpack(cells))
+        which = np.arange(len(chunk.hashes))
         for row in range(ROWS):
             known = np.unique(np.concatenate(told[row]))
-            cells = cells_of(chunk.hashes, row, blocks, bits).astype(np.int64)
+            cells = cells_of(chunk.hashes[which], row, blocks, bits).astype(np.int64)
             place = np.minimum(np.searchsorted(known, cells), max(len(known) - 1, 0))
-            likely &= known[place] == cells if len(known) else False
-        which = np.flatnonzero(likely)
-        digest = chunk.digests(which)
-        doc, start = chunk.doc[which], chunk.start[which]
-        # Places of one sequence side by side, in order of id and start.
-        by = np.lexsort((start, rank[doc], digest[:, 1], digest[:, 0]))
-        doc, start, digest = doc[by], start[by], digest[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (digest[1:] != digest[:-1]).any(axis=1)
-        head = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
-        first = (rank[doc] == rank[doc[head]]) & (start == start[head])
+            which = which[known[place] == cells] if len(known) else which[:0]
+        least, at = chunk.least(which)
+        edge = np.ones(len(which), bool)                         # where a stretch begins
+        edge[1:] = (which[1:] != which[:-1] + 1) | (at[1:] != at[:-1]) | (chunk.doc[which[1:]] != chunk.doc[which[:-1]])
+        s = np.flatnonzero(edge)
+        e = np.append(s[1:], len(which))[:len(s)] - 1
+        doc, least, lo, hi = chunk.doc[which[s]], least[s], chunk.start[which[s]], chunk.start[which[e]] + window
+        digest = chunk.digests(doc, lo, hi)
+        by, first = _first(rank[doc], lo, digest[:, 1], digest[:, 0], least)
+        doc, least, lo, hi, digest = doc[by], least[by], lo[by], hi[by], digest[by]
         rows = docs.column("row").to_numpy()
-        lo, hi, at = runs(doc[~first], start[~first], window)
-        n = len(lo)
+        x, y, at = runs(doc[~first], lo[~first], hi[~first])
+        none = pa.nulls(len(x), pa.int64())
         return pa.table({
             "row": pa.array(np.concatenate((rows[doc[first]], rows[at]))),
             "id": pa.array([ids[k] for k in doc[first].tolist()] + [ids[k] for k in at.tolist()], id_type),
-            "lo": pa.array(np.concatenate((start[first], lo))),
-            "hi": pa.array(np.concatenate((start[first] + window, hi))),
-            "w1": pa.concat_arrays([pa.array(digest[first, 0]), pa.nulls(n, pa.int64())]),
-            "w2": pa.concat_arrays([pa.array(digest[first, 1]), pa.nulls(n, pa.int64())])})
+            "lo": pa.array(np.concatenate((lo[first], x))), "hi": pa.array(np.concatenate((hi[first], y))),
+            **{n: pa.concat_arrays([pa.array(v[first]), none]) for n, v in (("least", least), ("w1", digest[:, 0]), ("w2", digest[:, 1]))}})
 
     return table.select("chunk", "row", "id", "words").groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(judge, out)
 
 
-def _arrow(schema: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(schema)
-
-
-def runs(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of words covered by windows: first word, word after the last, document."""
-    by = np.lexsort((start, doc))
-    doc, start = doc[by], start[by]
+def runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of words put together: first word, word after the last, document."""
+    by = np.lexsort((lo, doc))
+    doc, lo, hi = doc[by], lo[by], hi[by]
+    base = int(hi.max(initial=0)) + 1
+    far = np.maximum.accumulate(doc * base + hi)                 # how far the ones before reach
     edge = np.ones(len(doc), bool)
-    edge[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + window)
+    edge[1:] = doc[1:] * base + lo[1:] > far[:-1]
     s = np.flatnonzero(edge)
     last = np.append(s[1:], len(doc))[:len(s)] - 1
-    return start[s], start[last] + window, doc[s]
+    return lo[s], far[last] - doc[s] * base, doc[s]
+
+
+def _windows(texts: DataFrame, window: int) -> DataFrame:
+    """row, id, lo, w1, w2: the distinct windows of the spans listed."""
+    out = T.StructType([T.StructField("row", T.LongType()), texts.schema["id"], *(T.StructField(n, T.LongType()) for n in ("lo", "w1", "w2"))])
+
+    def run(batches):
+        for b in batches:
+            known, spans = _WordHash(), b.column(3)
+            for k, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):     # one text at a time
+                listed = spans[k].values
+                lo = np.unique(np.concatenate([np.arange(x, y - window + 1) for x, y in
+                                               zip(listed.field("lo").to_pylist(), listed.field("hi").to_pylist())]))
+                digest = Chunk([text], window, known).digests(np.zeros(len(lo), np.int64), lo, lo + window)
+                at = pa.array(np.full(len(lo), k))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *map(pa.array, (
+                    lo, np.ascontiguousarray(digest[:, 0]), np.ascontiguousarray(digest[:, 1])))], names=out.names)
+
+    return texts.mapInArrow(freed(run), out)
 
 
 def repeated_spans(table: DataFrame, window: int = WINDOW, bits: int = BITS) -> DataFrame:
@@ -262,13 +310,30 @@ def repeated_spans(table: DataFrame, window: int = WINDOW, bits: int = BITS) ->
     blocks = max(1, -(-total * CELLS >> bits))
     repeated = merged(partition_sketches(table, window, blocks, bits), bits)
     found = materialize(candidates(table, repeated, window, blocks, bits), "candidates")
+    settled = found.where(F.col("w1").isNull()).select("row", "lo", "hi")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("lo").alias("lo"))
-    windows = found.where(F.col("w1").isNotNull())
-    first = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")) \
+    kind = ["least", "w1", "w2"]
+
+    # Equal stretches against the first of them; which buckets hold several kinds.
+    kinds = materialize(found.where(F.col("w1").isNotNull()).groupBy(*kind)
+                        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "stretches")
+    several = materialize(kinds.groupBy("least").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("least"), "several")
+    kinds = kinds.join(checked_broadcast(several.withColumn("mixed", F.lit(True))), "least", "left").where("n > 1 OR mixed")
+    judged = materialize(found.join(kinds.select(*kind, "first", "mixed").hint("merge"), kind)
+                         .select("row", "id", "lo", "hi", (place > F.col("first")).alias("late"), "mixed"), "judged")
+    late = judged.where("late").select("row", "lo", "hi")
+
+    # The first of each kind of a mixed bucket, window by window.
+    listed = judged.where("NOT late AND mixed").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")) \
+        .where(F.size("spans") > 0)
+    texts = table.select("row", "id", "words").join(listed.hint("merge"), "row")
+    windows = materialize(_windows(texts, window), "windows")
+    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")) \
         .where("n > 1").select("w1", "w2", "first")
-    later = windows.join(first.hint("merge"), ["w1", "w2"]).where(place > F.col("first")).select("row", "lo", "hi")
-    settled = found.where(F.col("w1").isNull()).select("row", "lo", "hi")
-    return materialize(later.unionByName(settled).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "word-spans")
+    later = windows.join(again.hint("merge"), ["w1", "w2"]).where(place > F.col("first")) \
+        .select("row", "lo", (F.col("lo") + window).alias("hi"))
+    return materialize(settled.unionByName(late).unionByName(later).groupBy("row")
+                       .agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "word-spans")
 
 
 def cut(table: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:
