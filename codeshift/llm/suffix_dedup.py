@@ -1,36 +1,45 @@
-r"""Dedup of repeated strings, as of a suffix array, by anchor grouping.
+r"""Dedup of repeated strings by bucket refinement over sampled suffixes.
 
 Every byte covered by a ``length``-byte string that also starts anywhere else
 is removed; strings are judged on the input and never cross documents.
 
-A suffix array groups the positions by their first ``length`` bytes.  Bucket-
-pointer refinement would sort positions and refine buckets recursively by the
-buckets found further along the string.  That is not done here: anchors are
-grouped in three levels, each a table, and one alone in its bucket drops out:
-
-1. *q-gram buckets* (q = length / 2).  A window of ``length`` bytes is
-   represented by one of its q-grams, the leftmost with the least rolling
-   hash.  Equal windows pick the same q-gram at the same place, so only these
-   anchors, about one in q / 2 positions, are bucketed; each anchor owns a
-   run of consecutive windows.  Anchors alone in their bucket are settled.
-2. *context classes*.  Within a bucket, anchors are refined by the bytes of
-   all windows they own.  Classes with two members are settled: all their
-   windows repeat.
-3. *windows*.  What is left (a bucket with several classes) is refined to
-   single windows.  A window is its q-gram with bytes to the left and right of
-   it, so one representative of each class brings these bytes to its bucket;
-   how far two classes agree to either side gives the windows they share.
-   Buckets of over ``FEW`` classes are not compared: their representatives list
-   every window they own and equal windows find each other by grouping.
-
-Each level groups on hashes with counts folded before the shuffle; a large
-group is one row there, and the joins back are split by Spark.  Repeats inside
-one document are folded in the task that reads it.
+A suffix array groups positions by their first ``length`` bytes.  Here it is
+built only as far as that: positions are put into buckets by a q-gram, and
+buckets are refined, round by round, by the buckets that strings at further
+offsets fall into, each round halving the offsets in question and starting from
+the buckets of the round before.  Every round is a written table, and what is
+alone in its bucket drops out of it.
+
+1. *Initial buckets* (q = length / 2).  A window of ``length`` bytes is
+   represented by one of its q-grams, the leftmost with the least rolling hash.
+   Equal windows pick the same q-gram at the same place, so only these anchors,
+   about one in q / 2 positions, are bucketed; each owns a run of consecutive
+   windows.  A window is known by how many bytes of it lie before the q-gram.
+   Anchors of one bucket whose windows are equal throughout form a class, which
+   settles its members and sends one of them on; a bucket of one class is done.
+2. *Refinement.*  A round has, for each bucket, a range of offsets a to b.  All its
+   windows hold the last a bytes before the q-gram and the first
+   length - q - b bytes after it: these two strings and the old bucket name the new
+   one.  Members equal in all bytes that their windows in the range hold form a
+   class again.  What is left, one of each class where a bucket has several, goes
+   on with both halves of the range.  A range of one offset is a single window, so
+   there are log2(q) rounds, whatever the input.
+
+Two strings that agree in fewer bytes than a window needs share a bucket in at
+most one range a round, and equal runs of windows fold into classes, so a round
+has about as many rows as the one before at most.  Nothing is compared pairwise;
+a bucket is never gathered, only counted, and copies fold before the shuffle.
+Strings are named by 128-bit digests, contexts of the first round by two 64-bit
+hashes.
+
+With ``keep_first``, windows stay where they occur first (by id, known ids first,
+then text digest and place) and only later occurrences are removed.
 
 Defined cases: null text counts as empty; documents shorter than ``length``
 keep every byte; rows that repeat (same id, same text) are documents of their
-own, so each loses what they share; null ids are kept; an empty table gives an
-empty result; further columns are ignored.
+own, so each loses what they share (with ``keep_first`` they are one, and keep what
+occurs there first); null ids are kept; an empty table gives an empty result;
+further columns are ignored by the report and carried by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -38,15 +47,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import freed, materialize, row_stamp, small_batches, whole_text
+from .common import checked_broadcast, freed, materialize, prune_by_bloom_filter, row_stamp, small_batches, unused, whole_text
 
 LENGTH = 400
-FEW = 48                         # classes of a bucket that are compared side by side
+_EMIT = 4 << 20                  # bytes of contexts sent at once
 _PLACE = 20                      # low bits of a sort key that hold the place
 _SEGMENT = 1 << 18               # windows handled at once
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -123,10 +132,10 @@ def _long(x: int) -> int:
 _SPANS = "array<struct<lo:int,hi:int>>"
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
+def _anchors(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """id, stamp, gram, context, lo, hi, place: one row per class of anchors in
     a document, owning the windows that start in lo..hi-length.  Rows with a
-    null gram are spans already known to repeat inside the document."""
+    null gram are spans to remove because they repeat inside the document."""
     out = T.StructType([docs.schema[0], docs.schema[1], *(T.StructField(n, T.LongType()) for n in ("gram", "context")),
                         *(T.StructField(n, T.IntegerType()) for n in ("lo", "hi", "place"))])
 
@@ -143,7 +152,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                     for i, j, p, g in zip(first.tolist(), last.tolist(), anchor.tolist(), h.view(np.int64).tolist()):
                         k = (g, _long(xxhash.xxh3_64_intdigest(view[i:j + length], p - i)))
                         if (old := seen.setdefault(k, (i, j + length, p)))[0] != i:
-                            twice += [old[:2], (i, j + length)]
+                            twice += [(i, j + length)] if keep_first else [old[:2], (i, j + length)]
                 for (g, c), (i, j, p) in seen.items():
                     at.append(row), gram.append(g), context.append(c), lo.append(i), hi.append(j), place.append(p)
                 for i, j in _merge(twice):
@@ -156,113 +165,43 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(freed(run), out)
 
 
-def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """id, stamp, w1, w2, lo, hi: the distinct windows, in each document, of the
-    spans listed for it; with null hashes, spans known to repeat inside it."""
-    out = T.StructType([texts.schema[0], texts.schema[1], *(T.StructField(n, T.LongType()) for n in ("w1", "w2")),
-                        *(T.StructField(n, T.IntegerType()) for n in ("lo", "hi"))])
-
-    def run(batches):
-        for b in batches:
-            for row, (text, spans) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                view, seen, twice = memoryview(text.encode("utf-8")), {}, []
-                for i in sorted({i for s in spans for i in range(s["lo"], s["hi"] - length + 1)}):
-                    if (old := seen.setdefault(xxhash.xxh3_128_digest(view[i:i + length]), i)) != i:
-                        twice += [(old, old + length), (i, i + length)]
-                known = _merge(twice)
-                n, m = len(seen), len(known)
-                hashes = np.frombuffer(b"".join(seen), ">i8").astype(np.int64).reshape(-1, 2)
-                lo = np.array([*seen.values(), *(s[0] for s in known)], np.int32)
-                hi = np.array([*(i + length for i in seen.values()), *(s[1] for s in known)], np.int32)
-                at = pa.array(np.full(n + m, row))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at),
-                     *(pa.concat_arrays([pa.array(hashes[:, k].copy()), pa.nulls(m, pa.int64())]) for k in (0, 1)),
-                     pa.array(lo), pa.array(hi)], names=out.names)
-
-    return texts.mapInArrow(freed(run), out)
-
-
-def _sides(texts: DataFrame, length: int) -> DataFrame:
-    """gram, id, stamp, lo, hi, place, core, left, right: for each span listed,
-    the hash of its anchor's q-gram and the bytes on either side of it."""
+def _contexts(texts: DataFrame, length: int) -> DataFrame:
+    """id, stamp, lo, hi, place, gram, core, left, right: for each span listed,
+    a hash of its anchor's q-gram and the bytes on either side of it."""
     q = length // 2
-    out = T.StructType([T.StructField("gram", T.LongType()), texts.schema[0], texts.schema[1],
-                        *(T.StructField(n, T.IntegerType()) for n in ("lo", "hi", "place")),
-                        T.StructField("core", T.LongType()), T.StructField("left", T.BinaryType()),
-                        T.StructField("right", T.BinaryType())])
+    out = T.StructType([texts.schema[0], texts.schema[1], *(T.StructField(n, T.IntegerType()) for n in ("lo", "hi", "place")),
+                        T.StructField("gram", T.LongType()), T.StructField("core", T.LongType()),
+                        T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType())])
+    kinds = [f.type for f in to_arrow_schema(out)][2:]
 
     def run(batches):
         for b in batches:
-            got = []
-            for row, (text, spans) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                raw = text.encode("utf-8")
-                for s in spans:
-                    p = s["place"]
-                    got.append((row, s["gram"], s["lo"], s["hi"], p, _long(xxhash.xxh3_64_intdigest(raw[p:p + q])),
-                                raw[s["lo"]:p], raw[p + q:s["hi"]]))
-            row, gram, lo, hi, place, core, left, right = zip(*got) if got else ((),) * 8
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram, pa.int64()), b.column(0).take(at), b.column(1).take(at),
-                 *(pa.array(x, pa.int32()) for x in (lo, hi, place)), pa.array(core, pa.int64()),
-                 pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=out.names)
+            at, got, size = [], [], 0
+
+            def flush():
+                row = pa.array(at, pa.int64())
+                cols = list(zip(*got)) or [()] * len(kinds)
+                batch = pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row),
+                                                    *(pa.array(c, k) for c, k in zip(cols, kinds))], names=out.names)
+                at.clear(), got.clear()
+                return batch
+
+            texts, lists = b.column(2), b.column(3)
+            for row in range(b.num_rows):                 # one text at a time
+                raw = texts[row].as_py().encode("utf-8")
+                for s in lists[row].as_py():
+                    lo, hi, p = s["lo"], s["hi"], s["place"]
+                    at.append(row)
+                    got.append((lo, hi, p, s["gram"], _long(xxhash.xxh3_64_intdigest(raw[p:p + q])), raw[lo:p], raw[p + q:hi]))
+                    size += hi - lo
+                    if size >= _EMIT:
+                        yield flush()
+                        size = 0
+            yield flush()
 
     return texts.mapInArrow(freed(run), out)
 
 
-def _agreement(strings: list[bytes]) -> np.ndarray:
-    """How many first bytes each two of the strings have in common."""
-    n, width = len(strings), max(map(len, strings)) + 1
-    m = np.full((n, width), -1, np.int16)
-    for k, s in enumerate(strings):
-        m[k, :len(s)] = np.frombuffer(s, np.uint8)
-    lens = np.fromiter(map(len, strings), np.int64, n)
-    out = np.empty((n, n), np.int64)
-    for k in range(n):
-        out[k] = np.minimum((m != m[k]).argmax(axis=1), np.minimum(lens, lens[k]))
-        same = (m == m[k]).all(axis=1)
-        out[k][same] = lens[k]
-    return out
-
-
-def _shared(buckets: DataFrame, length: int) -> DataFrame:
-    """id, stamp, lo, hi: spans of windows that two classes of a bucket share.
-    ``buckets``: one row per bucket, its classes in ``all``."""
-    one = buckets.schema["all"].dataType.elementType
-    out = T.StructType([one["id"], one["stamp"], T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
-    q = length // 2
-
-    def run(batches):
-        for b in batches:
-            got = []
-            for classes in b.column(0).to_pylist():
-                left = _agreement([c["left"][::-1] for c in classes])
-                right = _agreement([c["right"] for c in classes])
-                core = np.array([c["core"] for c in classes])
-                for k, c in enumerate(classes):
-                    # A window that starts o bytes before the anchor needs o equal bytes to
-                    # the left of the q-gram and length - q - o to the right of it.
-                    low = np.maximum(length - q - right[k], c["place"] - (c["hi"] - length))
-                    high = np.minimum(left[k], c["place"] - c["lo"])
-                    ok = (low <= high) & (core == core[k])
-                    ok[k] = False
-                    spans = [(c["place"] - y, c["place"] - x + length) for x, y in zip(low[ok].tolist(), high[ok].tolist())]
-                    got += [(c["id"], c["stamp"], *s) for s in _merge(spans)]
-            cols = list(zip(*got)) if got else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cols, to_arrow_schema(out))], names=out.names)
-
-    return buckets.mapInArrow(freed(run), out)
-
-
-def _prune_by_bloom_filter(spark) -> None:
-    """Let Spark drop, by a Bloom filter made from the smaller side, the texts
-    that a join will not need before it shuffles them, from any size on."""
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", str(1 << 40))
-
-
 def _texts_of(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """id, stamp, text, spans of the documents in ``listed(id, stamp, spans)``.
     Always a shuffled join: texts move once, those not listed stay."""
@@ -271,49 +210,86 @@ def _texts_of(rows: DataFrame, listed: DataFrame) -> DataFrame:
         .select("r.id", "r.stamp", "r.text", "k.spans")
 
 
+_KEYS = ("id", "stamp")
+_WHO = ("id", "stamp", "lo", "hi", "place")
+
+
+def _who(prefix: str = "") -> Column:
+    """A place, ordered by id (known ids first), text digest and byte."""
+    c = {n: F.col(prefix + n) for n in _WHO}
+    return F.struct(c["id"].isNull().alias("none"), *(c[n].alias(n) for n in _WHO))
+
+
+def _digest(*parts: Column) -> Column:
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
+def _refine(state: DataFrame, length: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    """One round.  ``state``: places with a bucket, a range of offsets a to b and
+    their contexts.  Gives the spans that settle, and the state of the next round."""
+    span = length - length // 2
+    last = lambda n: F.substr("left", F.octet_length("left") - n + 1, n)
+    first = lambda n: F.substr("right", F.lit(1), n)                      # noqa: E731
+    a, b = F.col("a"), F.col("b")
+    low = F.greatest(a, F.col("place") - F.col("hi") + length)            # offsets in the range that the place owns
+    high = F.least(b, F.col("place") - F.col("lo"))
+    keyed = state.withColumn("low", low).withColumn("high", high)
+    own = F.encode(F.concat_ws(",", "low", "high"), "utf-8")
+    keyed = keyed.withColumn("to", _digest(F.unhex("bucket"), F.encode(a.cast("string"), "utf-8"), last(a), first(F.lit(span) - b))) \
+        .withColumn("class", _digest(own, last(F.col("high")), first(F.lit(span) - F.col("low"))))
+    one = F.min(F.struct(_who().alias("who"), "left", "right")).alias("one")
+    classes = materialize(keyed.groupBy("to", "class", "a", "b").agg(F.count(F.lit(1)).alias("n"), one), "classes")
+    many = classes.where("n > 1").select("to", "class", F.col("one.who").alias("first"))
+    settled = keyed.join(many.hint("merge"), ["to", "class"])
+    if keep_first:
+        settled = settled.where(~_who().eqNullSafe(F.col("first")))
+    settled = settled.select(*_KEYS, (F.col("place") - F.col("high")).alias("lo"),
+                             (F.col("place") - F.col("low") + length).alias("hi"))
+    several = materialize(classes.groupBy("to").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("to"), "several")
+    half = F.floor((a + b) / 2).cast("int")
+    halves = F.array(F.struct(a.alias("a"), half.alias("b")), F.struct((half + 1).alias("a"), b.alias("b")))
+    on = (classes.join(checked_broadcast(several), "to").where(a < b)
+          .select(*(F.col(f"one.who.{n}").alias(n) for n in _WHO), F.hex("to").alias("bucket"), F.col("one.left").alias("left"),
+                  F.col("one.right").alias("right"), F.explode(halves).alias("r"))
+          .withColumns({"a": F.col("r.a"), "b": F.col("r.b")}).drop("r").where((low <= high)))
+    return settled, on
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   few: int = FEW) -> DataFrame:
+                   keep_first: bool = False) -> DataFrame:
     """id, stamp, spans: byte spans to remove, for each document that has any
     (rows that repeat have one entry).  Spans may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
-    _prune_by_bloom_filter(spark)
+    prune_by_bloom_filter(spark)
     rows = docs.select(F.col(id_col).alias("id"), row_stamp(text_col).alias("stamp"), whole_text(text_col).alias("text"))
-    keys, place = ["id", "stamp"], ["lo", "hi", "place"]
-    anchors = materialize(_anchors(rows, length), "anchors")
-    inside = anchors.where(F.col("gram").isNull()).select(*keys, "lo", "hi")
-
-    # Level 1: buckets with company, and whether all contexts in them are equal.
-    buckets = (anchors.where(F.col("gram").isNotNull()).groupBy("gram")
-               .agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"))
-               .where("n > 1").select("gram", (F.col("c0") == F.col("c1")).alias("settled")))
-    company = materialize(anchors.join(buckets.hint("merge"), "gram"), "company")
-    settled = company.where("settled").select(*keys, "lo", "hi")
-
-    # Level 2 in mixed buckets: classes with two members, and a representative of each class.
-    mixed = company.where("not settled").drop("settled")
-    classes = materialize(mixed.groupBy("gram", "context").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys, *place)).alias("one")), "classes")
-    members = mixed.join(classes.where("n > 1").select("gram", "context").hint("merge"), ["gram", "context"]) \
-        .select(*keys, "lo", "hi")
-    crowd = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
-    one = materialize(classes.select("gram", "one.*").join(crowd.hint("merge"), "gram"), "representatives")
-
-    # Level 3: what the representatives of a bucket share.
-    def listed(which, *what):
-        return materialize(one.where(which).groupBy(*keys).agg(F.collect_list(F.struct(*what)).alias("spans")), "listed")
-
-    sides = _sides(_texts_of(rows, listed(F.col("classes") <= few, "gram", *place)), length)
-    shared = _shared(sides.groupBy("gram").agg(F.collect_list(F.struct(*sides.columns)).alias("all")).select("all"), length)
-    windows = materialize(_windows(_texts_of(rows, listed(F.col("classes") > few, "lo", "hi")), length), "windows")
-    inside_too = windows.where(F.col("w1").isNull()).select(*keys, "lo", "hi")
-    again = windows.where(F.col("w1").isNotNull()).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")) \
-        .where("n > 1").select("w1", "w2")
-    found = windows.join(again.hint("merge"), ["w1", "w2"]).select(*keys, "lo", "hi")
-
-    spans = inside.unionByName(settled).unionByName(members).unionByName(shared).unionByName(inside_too).unionByName(found)
-    return materialize(spans.groupBy(*keys).agg(
-        F.collect_list(F.struct("lo", "hi")).cast(_SPANS).alias("spans")), "spans")
+    anchors = materialize(_anchors(rows, length, keep_first), "anchors")
+    found = [anchors.where(F.col("gram").isNull()).select(*_KEYS, "lo", "hi")]
+
+    # Initial buckets with company, and their classes.
+    named = anchors.where(F.col("gram").isNotNull())
+    shared = named.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    company = materialize(named.join(shared.hint("merge"), "gram"), "company")
+    classes = materialize(company.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(_who()).alias("one")), "classes")
+    members = company.join(classes.where("n > 1").select("gram", "context", F.col("one").alias("first")).hint("merge"), ["gram", "context"])
+    if keep_first:
+        members = members.where(~_who().eqNullSafe(F.col("first")))
+    found.append(members.select(*_KEYS, "lo", "hi"))
+
+    # One of each class, with its contexts, where a bucket has several.
+    several = materialize(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "several")
+    one = classes.join(checked_broadcast(several), "gram").select("gram", "one.*")
+    listed = materialize(one.groupBy(*_KEYS).agg(F.collect_list(F.struct("gram", "lo", "hi", "place")).alias("spans")), "listed")
+    bucket = F.concat(F.lpad(F.hex("gram"), 16, "0"), F.lpad(F.hex("core"), 16, "0")).alias("bucket")
+    state = _contexts(_texts_of(rows, listed), length).select(
+        *_WHO, bucket, "left", "right", F.lit(0).alias("a"), F.lit(length - length // 2).alias("b"))
+    while not (state := materialize(state, "buckets")).isEmpty():
+        settled, state = _refine(state, length, keep_first)
+        found.append(materialize(settled, "settled"))
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    return materialize(spans.groupBy(*_KEYS).agg(F.collect_set(F.struct("lo", "hi")).cast(_SPANS).alias("spans")), "spans")
 
 
 def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left",
@@ -321,10 +297,10 @@ def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str
     """The columns of ``docs`` and _kept (the bytes that stay), _removed,
     _runs; ``how="inner"`` gives only documents that lose something.  With
     ``in_place``, the columns of ``docs`` alone, the text being what is left."""
-    spans = spans.where(F.size("spans") > 0) \
-        .select(F.col("id").alias("_id"), F.col("stamp").alias("_stamp"), F.col("spans").alias("_spans"))
-    same = (row_stamp(docs[text_col]) == F.col("_stamp")) & docs[id_col].eqNullSafe(F.col("_id"))
-    joined = docs.join(spans.hint("merge"), same, how).drop("_id", "_stamp")
+    i, s, list_ = unused(docs, "id", "stamp", "spans")
+    spans = spans.where(F.size("spans") > 0).select(F.col("id").alias(i), F.col("stamp").alias(s), F.col("spans").alias(list_))
+    same = (row_stamp(docs[text_col]) == F.col(s)) & docs[id_col].eqNullSafe(F.col(i))
+    joined = docs.join(spans.hint("merge"), same, how).drop(i, s)
     out = docs.schema if in_place else T.StructType([
         *docs.schema.fields, T.StructField("_kept", T.BinaryType()), T.StructField("_removed", T.LongType()),
         T.StructField("_runs", T.LongType())])
@@ -352,10 +328,10 @@ def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   few: int = FEW) -> DataFrame:
+                   keep_first: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256; one row per document.
     Documents that lose nothing are settled where they are read."""
-    spans = repeated_spans(docs, id_col, text_col, length, few)
+    spans = repeated_spans(docs, id_col, text_col, length, keep_first)
     stamp = row_stamp(text_col).alias("_stamp")
     whole = docs.select(F.col(id_col).alias("id"), stamp, F.octet_length(whole_text(text_col)).cast("long").alias("n_bytes"),
                         F.sha2(whole_text(text_col), 256).alias("sha"))
@@ -368,7 +344,8 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.coalesce("_runs", zero).alias("n_spans"), F.coalesce("_sha", "sha").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   keep_first: bool = False) -> DataFrame:
     """``docs`` with the text that is left; a character that a removal cuts in
     two goes with it.  Documents stay, even when nothing is left of them."""
-    return cut(docs, repeated_spans(docs, id_col, text_col, length), id_col, text_col, in_place=True)
+    return cut(docs, repeated_spans(docs, id_col, text_col, length, keep_first), id_col, text_col, in_place=True)

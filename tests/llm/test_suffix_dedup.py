@@ -19,8 +19,25 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-def report(frame, rows, length, few=suffix_dedup.FEW):
-    got = suffix_dedup.removal_report(frame(rows), length=length, few=few).collect()
+def brute_first(rows, length):
+    """Left of each text when windows stay where they occur first (ids differ)."""
+    raws = [(i, (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, r in sorted(raws, key=lambda x: (x[0] is None, x[0] or 0), reverse=True):
+        for k in range(len(r) - length, -1, -1):
+            first[r[k:k + length]] = (i, k)
+    out = []
+    for i, r in raws:
+        gone = bytearray(len(r))
+        for k in range(len(r) - length + 1):
+            if first[r[k:k + length]] != (i, k):
+                gone[k:k + length] = b"\1" * length
+        out.append((i, bytes(c for c, g in zip(r, gone) if not g)))
+    return out
+
+
+def report(frame, rows, length, keep_first=False):
+    got = suffix_dedup.removal_report(frame(rows), length=length, keep_first=keep_first).collect()
     return sorted((tuple(r) for r in got), key=str)
 
 
@@ -30,8 +47,18 @@ def test_fixture_against_brute_force(frame, texts):
 
 def test_short_strings_against_brute_force(frame, texts):
     rows = texts[:40]
-    for few in (0, 2):                # buckets listed, or some compared side by side
-        assert report(frame, rows, 24, few) == brute(rows, 24)
+    for length in (24, 25, 60):
+        assert report(frame, rows, length) == brute(rows, length)
+
+
+def test_first_places_stay(frame, texts):
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(90))
+    hand = [(1, None), (3, passage), (2, "x" + passage[:50] + "z" + passage[20:]), (4, "a" * 100), (5, "ab" * 60), (None, passage + "!"),
+            (7, passage[10:70] + passage[5:60]), (8, "b" + passage[30:] + "a" * 70)]
+    for rows, length in ((hand, 30), (hand, 31), (texts[:50], 40), (texts, 240)):
+        got = report(frame, rows, length, keep_first=True)
+        want = [(i, hashlib.sha256(k).hexdigest()) for i, k in brute_first(rows, length)]
+        assert sorted(((r[0], r[4]) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_edges(frame):
