@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import groups_of
-from .common import freed, materialize, release_memory, small_batches, whole_text
+from .common import freed, materialize, release_memory, small_batches, unused, whole_text
 
 ROWS, ROW_BYTES = 1200, 32768       # of the training sample
 WINDOW, STRIDE = 32, 26             # words; the stride is that of gradient steps only
@@ -398,13 +398,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """The bounded sample: text and label."""
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic")).where(~held_out("_id")))
-    text = whole_text(docs[text_col])
-    short = docs.where(F.octet_length(text) <= row_bytes)
-    known = materialize(known.join(short.select(F.col(id_col).alias("_id")), "_id", "left_semi"), "labelled")
+    short = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).where(F.octet_length("_text") <= row_bytes)
+    known = materialize(known.join(short.select("_id"), "_id", "left_semi"), "labelled")
     picked = [known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(n) for c, n in ((1, rows), (0, 2 * rows))]
     picked = F.broadcast(picked[0].unionByName(picked[1]))           # at most 3 * rows ids
-    found = (short.join(picked, docs[id_col] == F.col("_id"))
-             .select("_id", "_toxic", text.alias("_text")).distinct().orderBy(F.xxhash64("_id"), "_id", "_text").limit(4 * rows))
+    found = (short.join(picked, "_id").select("_id", "_toxic", "_text").distinct()
+             .orderBy(F.xxhash64("_id"), "_id", "_text").limit(4 * rows))
     return [(r["_text"], r["_toxic"]) for r in found.collect()]
 
 
@@ -446,4 +445,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **bounds) -> DataFrame:
     """``docs`` without those that score 0.5 or more."""
-    return with_scores(docs, fit(docs, labels, text_col=text_col, **bounds), text_col).where("_score < 0.5").drop("_score")
+    score, = unused(docs, "score")
+    net = fit(docs, labels, text_col=text_col, **bounds)
+    return with_scores(docs, net, text_col, score).where(F.col(score) < 0.5).drop(score)
