@@ -38,6 +38,39 @@ def comment_ratio(comment, loc) -> Column:
     return F.when(loc == 0, F.lit(-1.0)).otherwise(comment.cast("double") / loc.cast("double"))
 
 
+# One letter per class of a line.
+LINE_CLASSES = {"b": "blank", "c": "comment", "l": "loc"}
+_CHUNK = 256
+
+
+def line_classes(stripped) -> Column:
+    """The class letter of each stripped line, by the rules of ``line_profile``.
+
+    The state (inside an open block or not) is carried by ``aggregate`` in two
+    levels: letters of up to 256 lines are put together in an inner one, and the
+    outer one joins those, so long texts do not copy their letters line by line."""
+    lines = col_(stripped)
+
+    def step(a, s):
+        starts = s.startswith("/*")
+        ends = s.endswith("*/")
+        line = s.startswith("//")
+        letter = F.when(s == "", "b").when(line | starts | ends | a["open"], "c").otherwise("l")
+        still = F.when(starts & ~ends, True).when(ends & ~starts & ~line, False).otherwise(a["open"])
+        return F.struct(F.concat(a["letters"], letter).alias("letters"), still.alias("open"))
+
+    def chunk(a, k):
+        inner = F.aggregate(F.slice(lines, k * _CHUNK + 1, F.lit(_CHUNK)),
+                            F.struct(F.lit("").alias("letters"), a["open"].alias("open")), step)
+        # One struct, used twice: bound as the only element of an array.
+        return F.transform(F.array(inner), lambda i: F.struct(
+            F.concat(a["letters"], i["letters"]).alias("letters"), i["open"].alias("open")))[0]
+
+    chunks = F.sequence(F.lit(0), ((F.size(lines) - 1) / _CHUNK).cast("int"))
+    done = F.aggregate(chunks, F.struct(F.lit("").alias("letters"), F.lit(False).alias("open")), chunk)
+    return F.when(F.size(lines) > 0, F.slice(F.split(done["letters"], ""), 1, F.size(lines)))
+
+
 def line_profile(code) -> Column:
     """struct<LOC, comment, blank, chars, tokens, comment_per_LOC>.
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.complexity import cyclomatic_complexity
 from ..functions.distance import _similarity, edit_distance, ndiff_distance
 from ..functions.header import header_fields
-from ..functions.lines import PROFILE_FIELDS, comment_ratio, line_profile
+from ..functions.lines import LINE_CLASSES, PROFILE_FIELDS, comment_ratio, line_classes, line_profile
 from ..functions.text import lines_of, py_strip
+from ..session import materialize
+from .ordinals import global_rank
 
 SIDES = ("original", "updated")
 PAIR_METRICS = PROFILE_FIELDS + ("levenshtein_distance", "syntactic_similarity",
@@ -25,25 +27,16 @@ def metric_columns(sides=SIDES, metrics=PAIR_METRICS) -> list[str]:
 def classify_lines(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """One row per line with its class ``blank`` / ``comment`` / ``loc``.
 
-    The open-block state of a line is the last state-changing line before it
-    (``last(..., ignorenulls)`` over the preceding lines of the same text).
-    The window is per text: all of a text's lines come from one row already.
-    """
-    exploded = df.select(*id_cols, F.posexplode(lines_of(text_col)).alias("pos", "line"))
-    s = py_strip(F.col("line"))
-    exploded = exploded.withColumn("_s", s)
-    s = F.col("_s")
-    opens = s.startswith("/*") & ~s.endswith("*/")
-    closes = ~s.startswith("//") & ~s.startswith("/*") & s.endswith("*/")
-    event = F.when(opens, F.lit(True)).when(closes, F.lit(False))
-    w = Window.partitionBy(*id_cols).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    in_block = F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(False))
-    cls = (F.when(s == "", F.lit("blank"))
-           .when(s.startswith("//") | s.startswith("/*") | s.endswith("*/") | in_block,
-                 F.lit("comment"))
-           .otherwise(F.lit("loc")))
-    return exploded.select(*id_cols, "pos", "line", cls.alias("line_class"),
-                           F.when(cls == "loc", F.length(s)).otherwise(0).alias("chars"))
+    The classes of a text's lines are made inside its row (``line_classes``)
+    and the lines come out beside them: no shuffle and no window."""
+    stripped = F.transform(F.col("_lines"), lambda l: py_strip(l))
+    per_text = (df.select(*id_cols, lines_of(text_col).alias("_lines"))
+                .select(*id_cols, "_lines", stripped.alias("_stripped"))
+                .select(*id_cols, "_lines", "_stripped", line_classes("_stripped").alias("_class")))
+    rows = per_text.select(*id_cols, F.posexplode(F.arrays_zip("_lines", "_stripped", "_class")).alias("pos", "_l"))
+    cls = F.element_at(F.create_map(*[F.lit(x) for kv in LINE_CLASSES.items() for x in kv]), F.col("_l._class"))
+    return rows.select(*id_cols, "pos", F.col("_l._lines").alias("line"), cls.alias("line_class"),
+                       F.when(F.col("_l._class") == "l", F.length("_l._stripped")).otherwise(0).alias("chars"))
 
 
 def _profile_cols(text_col: str, prefix: str) -> list:
@@ -51,6 +44,27 @@ def _profile_cols(text_col: str, prefix: str) -> list:
     return [p[f].alias(f"{prefix}_{f}") for f in PROFILE_FIELDS]
 
 
+def dealt_by_cost(pairs: DataFrame, original: str, updated: str, parts: int | None = None) -> DataFrame:
+    """``pairs`` over partitions of about equal cost for work that costs the
+    product of the two lengths.
+
+    Pairs are written with a row number; the numbers, ranked by cost over the
+    cluster, are dealt in turn, so every partition gets its share of the dear and of
+    the cheap ones and loads differ by one pair at most.  Partitions are named
+    outright: hashing them would put two shares into one."""
+    spark = pairs.sparkSession
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("double")
+    written = materialize(pairs.withColumn("_pair", F.monotonically_increasing_id()), "pairs-by-cost")
+    cost = written.select("_pair", (size(original) * size(updated)).alias("_cost"))
+    ranked = global_rank(cost, ["_cost", "_pair"], "_rank")
+    # There and back again, so that the last of a round is not always the dearest.
+    turn, at = F.expr(f"_rank div {parts}"), F.col("_rank") % parts
+    part = F.when(turn % 2 == 0, at).otherwise(F.lit(parts - 1) - at).cast("int")
+    return (written.join(ranked.select("_pair", part.alias("_part")), "_pair")
+            .repartitionById(parts, "_part").drop("_pair", "_part"))
+
+
 def pair_metrics(pairs: DataFrame, original: str = "original_block", updated: str = "updated_code",
                  distance: str = "levenshtein", fold: bool = False) -> DataFrame:
     """Profiles of both sides plus one distance and one similarity, stored
@@ -58,11 +72,7 @@ def pair_metrics(pairs: DataFrame, original: str = "original_block", updated: st
     (E6/E7, the run-based parity distance, Arrow UDF on whole texts).
     """
     if distance == "ndiff":
-        # The Python diff costs about length^2 per pair: spread the pairs
-        # evenly over all tasks (hash of the pair key) before the UDF runs.
-        n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        key = [c for c in ("session_id", "idx") if c in pairs.columns]
-        pairs = pairs.repartition(n, *key) if key else pairs.repartition(n)
+        pairs = dealt_by_cost(pairs, original, updated)
         d = ndiff_distance(original, updated)
     else:
         d = edit_distance(original, updated, fold=fold)

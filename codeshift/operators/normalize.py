@@ -2,8 +2,8 @@
 
 Statistics come from one aggregate: with no key it is a single row attached
 by a broadcast cross join (one row by construction); with a key it is one row
-per key, joined back (AQE broadcasts it when its runtime size is small and
-splits skewed keys otherwise).  No window over the whole table is used.
+per key, written and joined back: broadcast where its bytes allow, so the wide
+rows stay where they are.  No window over the whole table is used.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checked_broadcast, materialize
 from .columns import ID_COLUMNS, numeric_columns
 
 
 def _attach(df: DataFrame, stats: DataFrame, partition_by) -> DataFrame:
     if partition_by:
-        return df.join(stats, list(partition_by), "left")
+        return df.join(checked_broadcast(materialize(stats, "key-stats")), list(partition_by), "left")
     return df.crossJoin(F.broadcast(stats))
 
 

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions.complexity import cyclomatic_complexity
 from ..functions.lines import PROFILE_FIELDS, line_profile
+from ..session import checked_broadcast, materialize
 from .codemetrics import PAIR_METRICS
 from .columns import (CATEGORY_RENAMES, ID_COLUMNS, drop_columns_with, encode_prompts,
                       feature_order, label_prompts, numeric_columns, pair_columns,
                       shorten_names)
 from .extract import clean_prompts
 from .normalize import minmax_normalize
+from .ordinals import quantiles as exact_quantiles
 
 CATEGORY_KEYWORDS = ("pass_rate", "cyclomatic_complexity", "LOC", "comment")
 CATEGORY_DROP = ("min", "max", "mean", "code", "comment_per_LOC")
@@ -61,7 +63,8 @@ def _nunique(df: DataFrame, col: str, name: str) -> DataFrame:
 def add_group_stats(df: DataFrame, key: str = "repo_name", columns=None,
                     stats=("min", "max", "mean"), digits=None) -> DataFrame:
     """``<col>_min/_max/_mean`` of every numeric column per ``key``,
-    attached to each row (grouped aggregate joined back on the key)."""
+    attached to each row: a grouped aggregate, written, and broadcast where its
+    bytes allow, so the wide rows are not shuffled on a handful of keys."""
     cols = columns or [c for c in numeric_columns(df) if c not in ("pass_rate",)]
     fns = {"min": "min({})", "max": "max({})", "mean": "avg({})"}
     aggs = []
@@ -71,8 +74,8 @@ def add_group_stats(df: DataFrame, key: str = "repo_name", columns=None,
             if s == "mean" and digits is not None:
                 v = f"bround({v}, {digits})"
             aggs.append(F.expr(f"{v} AS `{c}_{s}`"))
-    g = df.groupBy(key).agg(*aggs)
-    return df.join(g, key, "left")
+    g = materialize(df.groupBy(key).agg(*aggs), "group-stats")
+    return df.join(checked_broadcast(g), key, "left")
 
 
 def add_pass_rate(df: DataFrame, snippet_count, keys=("repo_name", "prompt_id"),
@@ -81,8 +84,8 @@ def add_pass_rate(df: DataFrame, snippet_count, keys=("repo_name", "prompt_id"),
     keys = list(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     counts, sc = _with_scalar(counts, snippet_count, "_snippets")
-    counts = counts.select(*keys, F.bround((F.col("_n") / sc) * 100, 1).alias(out))
-    return df.join(counts, keys, "left")
+    counts = materialize(counts.select(*keys, F.bround((F.col("_n") / sc) * 100, 1).alias(out)), "pass-rates")
+    return df.join(checked_broadcast(counts), keys, "left")
 
 
 def rescale_pass_rate(df: DataFrame, group_col: str | None = None, col: str = "pass_rate") -> DataFrame:
@@ -124,24 +127,25 @@ def describe(records: DataFrame, columns=None, quantiles: str = "exact",
 
     Inputs are rounded to one decimal first and every statistic again after.
     Long form: one row per statistic, one column per metric (short names).
-    Quartiles use the exact ``percentile`` aggregate (linear interpolation,
-    as pandas); its state is a value->count map, bounded by the distinct
-    rounded values (small for code metrics).  ``quantiles='approx'`` uses
-    ``percentile_approx`` with the given accuracy instead, whose state is a
-    fixed-size sketch, for high-cardinality columns at very large scale.
+    Quartiles (linear interpolation, as pandas) come from counts per column and
+    value over range partitions (``ordinals.quantiles``), so no task holds a
+    column's values.  ``quantiles='approx'`` uses ``percentile_approx`` with the
+    given accuracy instead, whose state is a fixed-size sketch.
     """
     cols = columns or [f"{s}_{m}" for m in PAIR_METRICS for s in ("original", "updated")]
     base = pair_columns(records.selectExpr(*[f"bround(CAST(`{c}` AS DOUBLE), 1) AS `{c}`" for c in cols]))
     base = shorten_names(base, style="describe")
     names = base.columns
-    q_fn = ("percentile({x}, array(0.25, 0.5, 0.75))" if quantiles == "exact"
-            else "percentile_approx({x}, array(0.25, 0.5, 0.75), " + str(int(accuracy)) + ")")
     aggs = []
     for i, c in enumerate(names):
         x = f"`{c}`"
         aggs += [f"CAST(count({x}) AS DOUBLE) AS _c{i}", f"avg({x}) AS _m{i}", f"stddev_samp({x}) AS _s{i}",
-                 f"min({x}) AS _lo{i}", f"{q_fn.format(x=x)} AS _q{i}", f"max({x}) AS _hi{i}"]
+                 f"min({x}) AS _lo{i}", f"max({x}) AS _hi{i}"]
+        if quantiles != "exact":
+            aggs.append(f"percentile_approx({x}, array(0.25, 0.5, 0.75), {int(accuracy)}) AS _q{i}")
     one = base.selectExpr(*aggs)
+    if quantiles == "exact":
+        one = one.crossJoin(F.broadcast(exact_quantiles(base, names, [0.25, 0.5, 0.75])))   # one row each
     stat = {"count": "_c{i}", "mean": "_m{i}", "std": "_s{i}", "min": "_lo{i}", "25%": "_q{i}[0]",
             "50%": "_q{i}[1]", "75%": "_q{i}[2]", "max": "_hi{i}"}
     rows = ", ".join(
@@ -246,6 +250,19 @@ def baseline_row(df: DataFrame, partition_by=None, order_cols=("session_id", "id
     return first.select(*part, *cols)
 
 
+def distinct_texts(df: DataFrame, part: list[str], text: str) -> DataFrame:
+    """Distinct rows of ``part`` and ``text``, grouped by a 128-bit digest of the
+    text and never by the text itself.  The least and the greatest text of a digest
+    are compared: two texts that share one both come out, and a third is an error
+    rather than a lost row."""
+    digest = F.unhex(F.md5(F.col(text).cast("binary"))).alias("_digest")
+    ends = df.select(*part, text, digest).groupBy(*part, "_digest").agg(
+        F.min(text).alias("_least"), F.max(text).alias("_most"), F.size(F.collect_set(F.xxhash64(text))).alias("_kinds"))
+    texts = (F.when(F.col("_kinds") > 2, F.raise_error(F.lit("three texts share a digest")).cast("array<string>"))
+             .when(F.col("_least").eqNullSafe(F.col("_most")), F.array("_least")).otherwise(F.array("_least", "_most")))
+    return ends.select(*part, F.explode(texts).alias(text))
+
+
 def baseline_from_distinct(df: DataFrame, partition_by=None, parity: bool = True,
                            digits=None) -> DataFrame:
     """Means of the line profile over the *distinct* original codes, per
@@ -253,7 +270,7 @@ def baseline_from_distinct(df: DataFrame, partition_by=None, parity: bool = True
     it on single characters and never found a function), else the mean E8
     complexity with unknown as -1."""
     part = _as_list(partition_by)
-    distinct = df.select(*part, "original_code").dropDuplicates()
+    distinct = distinct_texts(df.select(*part, "original_code"), part, "original_code")
     p = line_profile("original_code")
     cc = (F.lit(-1.0) if parity
           else F.coalesce(cyclomatic_complexity("original_code"), F.lit(-1)).cast("double"))

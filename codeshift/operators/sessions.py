@@ -96,10 +96,32 @@ def stored_independent(messages: DataFrame) -> DataFrame:
 
 def build_requests(messages: DataFrame, max_messages: int = CUMULATIVE_MAX_MESSAGES) -> DataFrame:
     """Cumulative requests for short sessions, independent ones for
-    sessions with more than ``max_messages`` instructions."""
-    return (context_cumulative(messages, max_messages)
-            .withColumn("mode", F.lit("cumulative"))
-            .unionByName(context_independent(messages, max_messages).withColumn("mode", F.lit("independent"))))
+    sessions with more than ``max_messages`` instructions.
+
+    Two shuffles by session: one brings a session's number of instructions and
+    its system messages together (partial aggregation first), one brings them
+    to its messages, where a skewed session is split.  Then a short session is
+    gathered, which its few instructions bound, and its histories are made in
+    the row; a user turn of a long session is a group of its own with the
+    system messages beside it, so no long session is ever gathered.
+    """
+    message = F.struct(F.col("idx").alias("pos"), "role", "content")
+    facts = messages.groupBy("session_id").agg(
+        F.count_if(F.col("role") != "assistant").alias("_n"),
+        F.collect_list(F.when(F.col("role") == "system", message)).alias("_system"))
+    joined = messages.join(facts, "session_id")
+    short = F.col("_n") <= max_messages
+    alone = F.when(short, F.lit(None)).otherwise(F.col("idx"))
+    turns = (joined.where(short | (F.col("role") == "user")).withColumn("_alone", alone)
+             .groupBy("session_id", "_alone", "_n", "_system").agg(F.array_sort(F.collect_list(message)).alias("_all")))
+    # (request_idx, messages) of each user turn: all up to it, or itself and the system messages.
+    users = F.filter("_all", lambda m: m["role"] == "user")
+    requests = F.transform(users, lambda u: F.struct(u["pos"].alias("request_idx"), F.when(
+        short, F.filter("_all", lambda m: m["pos"] <= u["pos"])).otherwise(F.concat(F.array(u), F.col("_system"))).alias("all")))
+    mode = F.when(short, F.lit("cumulative")).otherwise(F.lit("independent")).alias("mode")
+    return (turns.select("session_id", mode, F.explode(requests).alias("_r"))
+            .select("session_id", "mode", "_r.request_idx", F.explode("_r.all").alias("_m"))
+            .select("session_id", "request_idx", "_m.pos", "_m.role", "_m.content", "mode"))
 
 
 def escape_messages(df: DataFrame, col: str = "content") -> DataFrame:

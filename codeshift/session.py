@@ -16,6 +16,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join also where a later step groups by the same key: the
+    # extra shuffle it needs is planned only when there is skew.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     # Per-pair work (distances, line profiles) is CPU-heavy and small in
     # bytes: do not let AQE coalesce a small shuffle into one or two tasks.
@@ -32,7 +35,7 @@ DEFAULT_CONF = {
 }
 
 # Only applied when this module starts the JVM (local runs: tests, bench).
-LOCAL_DRIVER_MEMORY = "16g"
+LOCAL_DRIVER_MEMORY = "8g"
 
 
 def build_session(master: str | None = None, app_name: str = "codeshift",
@@ -137,6 +140,22 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+# A side of a join is broadcast only when its written size is below this.
+BROADCAST_LIMIT = 16 << 20
+
+
+def checked_broadcast(df, limit: int = BROADCAST_LIMIT):
+    """``df`` with a broadcast hint when the size the optimizer knows for it is
+    at most ``limit`` bytes, else ``df`` as it is (a shuffled join).  For tables
+    just written, whose size is exact."""
+    from pyspark.sql import functions as F
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # no JVM access (e.g. Spark Connect): the engine decides
+        return df
+    return F.broadcast(df) if size <= limit else df
+
+
 def local_path(p: str) -> str:
     """Strip a ``file:`` scheme for the few local-only helpers (tests)."""
     if p.startswith("file:"):

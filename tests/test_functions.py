@@ -180,3 +180,19 @@ def test_complexity_of_long_texts(spark, text):
 ])
 def test_complexity_of_the_first_function(spark, code, want):
     assert one(spark, [(code,)], "c string", cyclomatic_complexity("c").alias("v"))[0]["v"] == want
+
+
+def test_edit_distance_by_bands(spark):
+    """Equal to the textbook distance however many bands the search needs."""
+    rnd = random.Random(6)
+    rows = [(None, "a"), ("a", None), (None, None), ("", ""), ("", "abc"), ("é", "e"), ("日本語", "日本")]
+    for n, changes in ((40, 3), (200, 10), (300, 120), (250, 250), (600, 1)):
+        a = [rnd.choice("abcdé ") for _ in range(n)]
+        b = list(a)
+        for _ in range(changes):
+            b[rnd.randrange(len(b))] = rnd.choice(["", "x", "yz"])
+        rows.append(("".join(a), "".join(b)))
+        rows.append(("".join(a), "".join(rnd.choice("xyz") for _ in range(n // 2))))
+    got = one(spark, rows, "a string, b string", "a", "b", edit_distance("a", "b").alias("d"))
+    for r in got:
+        assert r["d"] == (None if r["a"] is None or r["b"] is None else levenshtein(r["a"], r["b"])), r

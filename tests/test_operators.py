@@ -239,11 +239,58 @@ def test_chat_json_round_trip_edges(spark, tmp_path):
     from codeshift.sinks.files import write_chat_json
     rows = [(1, 0, "user", "only", "p"), (2, 0, "system", 's"q', ""), (2, 1, "user", "a\nb\t[c]", "p"),
             (2, 2, "assistant", "x,]", "")]
-    out = str(tmp_path / "chats")
+    for layout in ("files", "lines"):
+        out = str(tmp_path / layout)
+        write_chat_json(_messages(spark, rows), out, model="m", run_ts="2024-01-01_10-00", layout=layout)
+        back = src.scan_chat_json(spark, out, layout=layout).select(F.col("session_id").cast("long"), F.col("idx").cast("long"),
+                                                                    "role", "content", "prompt")
+        assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+
+
+def _data_files(path):
+    import pathlib
+    return [f for f in pathlib.Path(path).rglob("part-*") if "_sessions" not in f.parts]
+
+
+def test_transcript_lines_are_as_many_files_as_tasks(spark, tmp_path):
+    """File count does not follow the sessions; places count from 0 whatever the index."""
+    from codeshift.sinks.files import write_chat_json
+    rows = [(s, 7 * i + s, "user", f"{s}/{i}", None) for s in range(200) for i in range(3)]
+    rows += [(1000, 5 * i, "user", str(i), None) for i in range(3000)]
+    out = str(tmp_path / "runs")
     write_chat_json(_messages(spark, rows), out, model="m", run_ts="2024-01-01_10-00")
-    back = src.scan_chat_json(spark, out).select(F.col("session_id").cast("long"), F.col("idx").cast("long"),
-                                                 "role", "content", "prompt")
-    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+    assert 0 < len(_data_files(out)) <= 8
+    back = src.scan_chat_json(spark, out).collect()
+    want = {(str(s), (i - s) // 7 if s < 1000 else i // 5): c for s, i, _, c, _ in rows}
+    assert {(r["session_id"], r["idx"]): r["content"] for r in back} == want and len(back) == len(rows)
+    assert {(r["model"], r["run_ts"]) for r in back} == {("m", "2024-01-01_10-00")}
+
+
+def test_session_turns_parse_like_the_file(spark, tmp_path):
+    from codeshift.sinks.files import write_session_markdown
+    turns = [(s, o, f"\n## User \n```\ncode {o}{x}\n```\nprompt {o}\n") for s in (1, 2, 3) for o, x in ((0, ""), (4, "\n  more"), (9, "\n\n"))]
+    turns += [(4, 2, "\n## User \n```\na\n## User x\nb\n```\np\n"), (4, 3, "\n## User \n```\nz\n```\nlast\n")]
+    df = spark.createDataFrame(turns, "session long, ord long, text string")
+    got = []
+    for layout in ("files", "lines"):
+        out = str(tmp_path / layout)
+        write_session_markdown(df, out, layout=layout)
+        back = src.scan_session_markdown(spark, out, layout=layout)
+        got.append(sorted(tuple(r) for r in back.select(F.col("session").cast("long"), "idx", "role", "content", "prompt").na.fill("").collect()))
+    assert got[0] == got[1] and len(got[0]) == 3 * 4 + 4
+
+
+def test_choosing_a_run_reads_no_text(spark, tmp_path):
+    d = tmp_path / "flat"
+    d.mkdir()
+    for n in ("a_b_2024-01-01_10-00_m.json", "a_b_2024-01-02_10-00_m.json"):
+        (d / n).write_text("[]")
+    names = src.list_files(spark, str(d))
+    plan = names._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and names.count() == 2
+    chosen = src.read_chosen(spark, str(d), names.where(F.col("file_name").contains("01-02")))
+    assert [r["file_name"] for r in chosen.collect()] == ["a_b_2024-01-02_10-00_m.json"]
+    assert src.read_chosen(spark, str(d), names.limit(0)).collect() == []
 
 
 def test_transcript_turns_in_array(spark):
@@ -256,22 +303,20 @@ def test_transcript_turns_in_array(spark):
     assert (r[0]["idx"], r[0]["repo_name"], r[0]["updated_code"], r[0]["original_code"]) == (1, "r", "y;", "x;")
 
 
-def test_dictionary_paths_agree(spark):
+def test_dictionary_by_first_appearance(spark):
     from codeshift.operators.columns import encode_prompts
     from codeshift.operators.ordinals import first_appearance_index
     rnd = random.Random(9)
     rows = [(rnd.randint(0, 30), i, f"p{rnd.randint(0, 40)}") for i in range(400)]
     df = spark.createDataFrame(rows, "session_id long, idx long, prompt string")
-    small = {r["prompt"]: r["o"] for r in first_appearance_index(df, "prompt", ["session_id", "idx"], "o").collect()}
-    large = {r["prompt"]: r["o"] for r in first_appearance_index(df, "prompt", ["session_id", "idx"], "o",
-                                                                  local_limit=0).collect()}
+    got = first_appearance_index(df, "prompt", ["session_id", "idx"], "o")
+    assert got.schema["o"].dataType.simpleString() == "bigint"
     first = {}
     for s, i, p in sorted(rows):
         first.setdefault(p, (s, i))
-    assert small == large == {p: k for k, p in enumerate(sorted(first, key=lambda p: (first[p], p)))}
-    a = {(r["session_id"], r["idx"]): r["prompt_ord"] for r in encode_prompts(df).collect()}
-    b = {(r["session_id"], r["idx"]): r["prompt_ord"] for r in encode_prompts(df, broadcast_limit=0).collect()}
-    assert a == b and len(a) == len(rows)
+    want = {p: k for k, p in enumerate(sorted(first, key=lambda p: (first[p], p)))}
+    assert {r["prompt"]: r["o"] for r in got.collect()} == want
+    assert {(r["session_id"], r["idx"]): r["prompt_ord"] for r in encode_prompts(df).collect()} == {(s, i): want[p] for s, i, p in rows}
 
 
 def test_hot_session_brute_force(spark):
@@ -367,3 +412,99 @@ def test_running_totals_spread_a_hot_session(spark):
         assert all(got[(0, i)] == i for i in range(4000))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_requests_in_two_shuffles(spark):
+    """C6 is C4 for short sessions and C5 for long ones; two shuffles, and none
+    of them by anything but the session."""
+    rnd = random.Random(8)
+    rows = []
+    for sid in range(40):
+        roles = [rnd.choice(["system", "user", "assistant", "user"]) for _ in range(rnd.choice([0, 1, 3, 6, 9, 30]))]
+        rows += [(sid, 3 * i + sid, r, f"{sid}.{i}", "") for i, r in enumerate(roles)]
+    m = _messages(spark, rows)
+    got = ss.build_requests(m)
+    want = ss.context_cumulative(m, 5).withColumn("mode", F.lit("cumulative")).unionByName(
+        ss.context_independent(m, 5).withColumn("mode", F.lit("independent")))
+    assert got.columns == want.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(session_id") == plan.count("Exchange ") == 2, plan
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_classified_lines_without_a_shuffle(spark):
+    """Long texts, where the state passes from one chunk of lines to the next."""
+    rnd = random.Random(5)
+    parts = ["x", "/* y", "z */", "/* w */", "", " ", "// k */", "/* q"]
+    texts = ["\n".join(rnd.choice(parts[:4] * 3 + parts) for _ in range(n)) for n in (1, 255, 256, 257, 1500)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, code string")
+    got = classify_lines(df, ["id"], "code")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    want = []
+    for i, text in enumerate(texts[:-1]):
+        inside = False
+        for k, line in enumerate(text.split("\n")):
+            s = line.strip()
+            if not s:
+                c = "blank"
+            elif s.startswith("//"):
+                c = "comment"
+            elif s.startswith("/*"):
+                c, inside = "comment", inside or not s.endswith("*/")
+            elif s.endswith("*/"):
+                c, inside = "comment", False
+            else:
+                c = "comment" if inside else "loc"
+            want.append((i, k, line, c, len(s) if c == "loc" else 0))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_quantiles_over_ranges(spark):
+    from codeshift.operators.ordinals import quantiles
+    rnd = random.Random(11)
+    cols = {"a": [rnd.gauss(0, 1) for _ in range(999)], "b": [1.0] * 999, "c": [float(rnd.randint(0, 3)) for _ in range(999)],
+            "d": [None] * 999, "e": [None] * 998 + [4.0], "f": [rnd.random() if k % 3 else None for k in range(999)]}
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols)).repartition(5)
+    fractions = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = quantiles(df, list(cols), fractions).first()
+    for k, v in enumerate(cols.values()):
+        want = pd.Series([x for x in v if x is not None], dtype="float64").quantile(fractions).tolist()
+        assert [x if x is not None else float("nan") for x in got[f"_q{k}"]] == pytest.approx(want, nan_ok=True)
+    plan = rp.describe(df, columns=["a", "c"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
+
+
+def test_dear_pairs_are_dealt_by_cost(spark):
+    from codeshift.operators.codemetrics import dealt_by_cost
+    rnd = random.Random(2)
+    sizes = [int(20 * rnd.paretovariate(1.2)) % 3000 + 1 for _ in range(4000)] + [3000] * 12
+    df = spark.createDataFrame([(k, "a" * n, "b" * n) for k, n in enumerate(sizes)], "id int, x string, y string")
+    dealt = dealt_by_cost(df, "x", "y", parts=6)
+    load = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("x").cast("double") * F.length("y")).alias("cost"))
+    costs = sorted(r["cost"] for r in load.collect())
+    assert len(costs) == 6 and costs[-1] < 2 * costs[len(costs) // 2]
+    assert sorted(r["id"] for r in dealt.collect()) == list(range(len(sizes))) and dealt.columns == df.columns
+
+
+def test_group_columns_leave_wide_rows_in_place(spark):
+    df = spark.createDataFrame([(f"r{k % 3}", f"p{k % 2}", k, float(k % 7)) for k in range(60)],
+                               "repo_name string, prompt_id string, original_LOC int, updated_LOC double")
+    for got in (rp.add_group_stats(df), rp.add_pass_rate(df, 10), nz.minmax_normalize(df, partition_by="repo_name")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan, plan
+        assert got.count() == 60
+
+
+def test_distinct_texts_by_digest(spark):
+    rows = [("a", "x"), ("a", "x"), ("b", "x"), (None, "x"), ("a", "é"), ("a", None), ("a", None), ("b", "")]
+    got = rp.distinct_texts(spark.createDataFrame(rows, "k string, t string"), ["k"], "t")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(set(rows), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan and ", t#" not in plan.split("hashpartitioning(")[1].split(")")[0]
+
+
+def test_pair_columns_order(spark):
+    from codeshift.operators.columns import pair_columns
+    df = spark.createDataFrame([(1,) * 8], "updated_b int, z int, original_a int, updated_a int, original_b int, updated_c int, a int, original_d int")
+    assert pair_columns(df).columns == ["z", "updated_c", "a", "original_a", "updated_a", "original_b", "updated_b", "original_d"]
