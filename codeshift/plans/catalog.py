@@ -76,7 +76,7 @@ def q_records_stream(spark, sf):
     Streaming query (available-now trigger) into parquet, read back."""
     from ..streaming.transcripts import start_records_stream
     src_dir, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
-    sinks.write_chat_json(P.messages(spark, sf), src_dir, model="coder-7b-it", run_ts="2024-06-03_17-28")
+    sinks.write_chat_json(P.messages(spark, sf), src_dir, model="coder-7b-it", run_ts="2024-06-03_17-28", layout="files")
     q = start_records_stream(spark, src_dir, out, fold=True)
     q.awaitTermination()
     r = spark.read.parquet(out)
@@ -131,35 +131,95 @@ SESSION_MD_SQL = W(MSG + [
     + ", CAST(NULL AS VARCHAR) FROM u"))
 
 
-@register("parse_session_markdown", SESSION_MD_SQL)
-def q_parse_session_markdown(spark, sf):
-    """Render each conversation's user turns as session markdown (C2 + B1),
-    then parse the files back (A3)."""
-    out = scratch_path(spark, "sessions")
+def _session_turns_of(spark, sf) -> DataFrame:
+    """Each conversation's user turns, rendered."""
+    from ..sources.tables import as_code
     m = P.messages(spark, sf).filter(F.col("role") == "user")
     conv = load_table(spark, sf, "conversations")
-    from ..sources.tables import as_code
     u = m.join(conv.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"),
                            as_code("text").alias("code")), ["session_id", "idx"])
-    turns = u.select(F.col("session_id").alias("session"), F.col("idx").alias("ord"),
-                     ss.render_turn(F.col("code"), F.col("prompt")).alias("text"))
-    sinks.write_session_markdown(turns, out)
-    parsed = src.scan_session_markdown(spark, out)
+    return u.select(F.col("session_id").alias("session"), F.col("idx").alias("ord"),
+                    ss.render_turn(F.col("code"), F.col("prompt")).alias("text"))
+
+
+def _session_round_trip(spark, sf, layout: str) -> DataFrame:
+    out = scratch_path(spark, f"sessions-{layout}")
+    sinks.write_session_markdown(_session_turns_of(spark, sf), out, layout=layout)
+    parsed = src.scan_session_markdown(spark, out, layout=layout)
     return parsed.select(F.col("session").cast("long").alias("session"), F.col("idx").cast("int").alias("idx"),
                          "role", "content", "prompt")
 
 
+@register("parse_session_markdown", SESSION_MD_SQL)
+def q_parse_session_markdown(spark, sf):
+    """Render each conversation's user turns as session markdown (C2 + B1),
+    then parse the files back (A3)."""
+    return _session_round_trip(spark, sf, "files")
+
+
+@register("parse_session_turns", SESSION_MD_SQL)
+def q_parse_session_turns(spark, sf):
+    """The same over turns written as lines, as many files as tasks."""
+    return _session_round_trip(spark, sf, "lines")
+
+
 TRANSCRIPT_SQL = W(O.numbered(MSG), "SELECT CAST(session_id AS BIGINT) AS session_id, CAST(idx AS BIGINT) AS idx, role, content, prompt FROM session_messages")
 
 
+def _messages_back(t: DataFrame) -> DataFrame:
+    return t.select(F.col("session_id").cast("long").alias("session_id"), F.col("idx").cast("long").alias("idx"),
+                    "role", "content", "prompt")
+
+
 @register("scan_chat_json", TRANSCRIPT_SQL)
 def q_scan_chat_json(spark, sf):
-    """Write transcripts as JSON arrays (B2), read them back (A4)."""
+    """Write transcripts as message lines (B2), read them back (A4)."""
     out = scratch_path(spark, "chats")
     sinks.write_chat_json(P.messages(spark, sf), out, model="coder-7b-it", run_ts="2024-06-03_17-28")
-    t = src.scan_chat_json(spark, out)
-    return t.select(F.col("session_id").cast("long").alias("session_id"), F.col("idx").cast("long").alias("idx"),
-                    "role", "content", "prompt")
+    return _messages_back(src.scan_chat_json(spark, out))
+
+
+@register("scan_chat_files", TRANSCRIPT_SQL)
+def q_scan_chat_files(spark, sf):
+    """Export transcripts as one JSON array per session (B2), read them back (A4)."""
+    out = scratch_path(spark, "chat-files")
+    sinks.write_chat_json(P.messages(spark, sf), out, model="coder-7b-it", run_ts="2024-06-03_17-28", layout="files")
+    return _messages_back(src.scan_chat_json(spark, out, layout="files"))
+
+
+LATEST_TRANSCRIPTS_SQL = W(O.numbered(MSG), "SELECT CAST(session_id AS BIGINT) AS session_id, 'coder-7b-it' AS model, "
+                           "CASE WHEN session_id % 3 = 0 THEN '2024-06-04_09-05' ELSE '2024-06-03_17-28' END AS run_ts, "
+                           "CAST(idx AS BIGINT) AS idx, role, "
+                           "CASE WHEN session_id % 3 = 0 THEN upper(role) || ' again' ELSE content END AS content FROM session_messages")
+
+
+def _two_runs(spark, sf, layout: str) -> str:
+    """All sessions in a first run, a third of them in a later one, and a run of another model."""
+    out, m = scratch_path(spark, f"runs-{layout}"), P.messages(spark, sf)
+    sinks.write_chat_json(m, out, model="coder-7b-it", run_ts="2024-06-03_17-28", layout=layout)
+    later = m.where(F.col("session_id") % 3 == 0).withColumn("content", F.concat(F.upper("role"), F.lit(" again")))
+    sinks.write_chat_json(later, out, model="coder-7b-it", run_ts="2024-06-04_09-05", layout=layout)
+    sinks.write_chat_json(later.limit(0), out, model="other", run_ts="2024-07-01_00-00", layout=layout)
+    return out
+
+
+def _latest_columns(df: DataFrame) -> DataFrame:
+    return df.select(F.col("session_id").cast("long").alias("session_id"), F.col("model").cast("string").alias("model"),
+                     F.col("run_ts").cast("string").alias("run_ts"), F.col("idx").cast("long").alias("idx"), "role", "content")
+
+
+@register("latest_transcripts", LATEST_TRANSCRIPTS_SQL)
+def q_latest_transcripts(spark, sf):
+    """The latest run of each session of a model named in part (A6), from the session index."""
+    from .stages import latest_transcripts
+    return _latest_columns(latest_transcripts(spark, _two_runs(spark, sf, "lines"), model="coder"))
+
+
+@register("latest_transcript_files", LATEST_TRANSCRIPTS_SQL)
+def q_latest_transcript_files(spark, sf):
+    """The same from exported files, chosen by name before any is read."""
+    from .stages import latest_transcripts
+    return _latest_columns(latest_transcripts(spark, _two_runs(spark, sf, "files"), model="coder", layout="files"))
 
 
 @register("write_chat_json", W(MSG, "SELECT CAST(session_id AS BIGINT) AS session_id, 'coder-7b-it' AS model, "
@@ -326,6 +386,15 @@ def q_context_independent(spark, sf):
     return ss.context_independent(P.messages(spark, sf))
 
 
+STORED_SQL = W(MSG, f"SELECT session_id, idx, role, CASE WHEN role = 'user' THEN {O.escape('content')} ELSE content END AS content FROM session_messages")
+
+
+@register("stored_independent", STORED_SQL)
+def q_stored_independent(spark, sf):
+    """C5's stored transcript: user contents escaped."""
+    return ss.stored_independent(P.messages(spark, sf)).select("session_id", "idx", "role", "content")
+
+
 @register("build_requests", W(MSG + [INSTR], f"SELECT *, 'cumulative' AS mode FROM ({CUMUL_SQL.format(hi=5)}) "
                                               f"UNION ALL SELECT *, 'independent' FROM ({INDEP_SQL.format(lo=5)})"))
 def q_build_requests(spark, sf):
@@ -633,25 +702,27 @@ def q_build_stage(spark, sf):
 
 @register("encode_prompts", DICT_SQL)
 def q_encode_prompts(spark, sf):
-    return cols.prompt_dictionary(ex.clean_prompts(P.records_table(spark, sf)))
+    d = cols.prompt_dictionary(ex.clean_prompts(P.records_table(spark, sf)))
+    return d.select("prompt", F.col("prompt_ord").cast("int").alias("prompt_ord"))
 
 
 @register("label_prompts", W(SCORED, "SELECT session_id, idx, prompt_ord, prompt_id FROM lab"))
 def q_label_prompts(spark, sf):
     r = ex.clean_prompts(P.records_table(spark, sf))
-    return cols.label_prompts(cols.encode_prompts(r)).select("session_id", "idx", "prompt_ord", "prompt_id")
+    return cols.label_prompts(cols.encode_prompts(r)).select(
+        "session_id", "idx", F.col("prompt_ord").cast("int").alias("prompt_ord"), "prompt_id")
 
 
 PARTIAL_LABELS = {k: v for k, v in cols.PROMPT_LABELS.items() if k != 7}
+PARTIAL_SQL = " ".join(f"WHEN {k} THEN {O.lit(v)}" for k, v in enumerate(O.SQL_LABELS[:7]))
 
 
-@register("label_prompts_partial", W(SCORED, "SELECT session_id, idx, prompt_ord, CASE prompt_ord " + " ".join(
-    f"WHEN {k} THEN {O.lit(v)}" for k, v in PARTIAL_LABELS.items()) + " END AS prompt_id FROM lab"))
+@register("label_prompts_partial", W(SCORED, f"SELECT session_id, idx, prompt_ord, CASE prompt_ord {PARTIAL_SQL} END AS prompt_id FROM lab"))
 def q_label_prompts_partial(spark, sf):
     """G2 with id 7 left out of the label map (FIXTURES): ids without a label give NULL."""
     r = ex.clean_prompts(P.records_table(spark, sf))
     return cols.label_prompts(cols.encode_prompts(r), labels=PARTIAL_LABELS).select(
-        "session_id", "idx", "prompt_ord", "prompt_id")
+        "session_id", "idx", F.col("prompt_ord").cast("int").alias("prompt_ord"), "prompt_id")
 
 
 @register("drop_columns_with", W(REC, "SELECT COLUMNS(lambda c: NOT (c LIKE '%code%' OR c LIKE '%distance%')) FROM records"))

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from ..functions.distance import LETTERS, STAND_INS
 from ..operators.codemetrics import PAIR_METRICS
-from ..operators.columns import PROMPT_LABELS
-from ..operators.extract import BUG_FIX_SENTENCE
 from ..sources.tables import CODE_REWRITES, FUNCTION_HEAD, LEAD_LINES, NEXT_FUNCTION, PYTHON_HEAD, SECOND_BLOCK
 
 # Python's whitespace set in RE2 syntax (same characters as text.PY_WHITESPACE).
@@ -104,13 +102,19 @@ def escape(x: str) -> str:
     return f"replace(replace({x}, {NL}, '\\n'), chr(9), '\\t')"
 
 
+# Fixed values, written out again so that an error on the Spark side would show.
+SQL_LABELS = ["Bugs, Fix", "Rewrite, Efficiency", "Refactor, Readability", "Refactor, CodeBlock", "Improve, SufficientQuality",
+              "Bugs, CodeBlock", "Rewrite, CodeBlock", "Improve, BackwardCompatible"]
+SQL_BUG_FIX = "Given the above C# code your task is to find and fix bugs in it."
+
+
 def label_case(x: str) -> str:
-    whens = " ".join(f"WHEN {k} THEN {lit(v)}" for k, v in PROMPT_LABELS.items())
+    whens = " ".join(f"WHEN {k} THEN {lit(v)}" for k, v in enumerate(SQL_LABELS))
     return f"CASE {x} {whens} END"
 
 
 def clean_prompt(x: str) -> str:
-    return f"replace(replace({x}, {NL}, ''), '```', {lit(BUG_FIX_SENTENCE)})"
+    return f"replace(replace({x}, {NL}, ''), '```', {lit(SQL_BUG_FIX)})"
 
 
 # ------------------------------------------------------------------ CTEs

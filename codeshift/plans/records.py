@@ -14,7 +14,7 @@ from ..operators.codemetrics import assemble_records
 from ..operators.extract import clean_prompts, extract_pairs
 from ..operators.reports import score_records
 from ..operators.sessions import cross_prompts, render_turn
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.tables import code_documents, load_table, session_messages, spread
 
 
@@ -27,29 +27,29 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pairs(messages(spark, sf_dir))
 
 
-def records(spark: SparkSession, sf_dir: str, distance: str = "levenshtein", fold: bool = True,
+def records(spark: SparkSession, sf_dir: str, distance: str = "levenshtein", fold: bool = False,
             include_header: bool = True) -> DataFrame:
-    """Stage 2.  ``fold`` ASCII-folds the texts for the distance only (the
-    cross-engine check counts bytes); metrics use the texts as they are."""
+    """Stage 2.  ``fold`` ASCII-folds the texts for the distance only, for an
+    engine that counts bytes; metrics use the texts as they are."""
     return assemble_records(pairs(spark, sf_dir), include_header=include_header,
                             distance=distance, fold=fold)
 
 
 # Stage outputs already written in this application, keyed by the input
-# folder, the versions (modification time, length) of the files they read,
-# and the parameters.  Like the original tool's stage files: the metric stage
-# runs once and every report reads its output.
+# folder, the versions of the files they read, and the parameters.  Like the
+# original tool's stage files: the metric stage runs once and every report
+# reads its output.
 _STAGES: dict[tuple, str] = {}
 
 
 def _input_versions(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Name, length and modification time of every file of the tables, folded
+    to one number per table, so a file rewritten inside a folder counts."""
     out = []
     for n in names:
-        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{n}.parquet")
-        st = path.getFileSystem(conf).getFileStatus(path)
-        out.append((n, st.getModificationTime(), st.getLen()))
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir.rstrip('/')}/{n}.parquet")
+                 .select("path", "length", "modificationTime"))
+        out.append((n, *files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64(*files.columns))).first()))
     return tuple(out)
 
 
@@ -57,23 +57,24 @@ def stage_output(spark: SparkSession, sf_dir: str, name: str, params: tuple, inp
                  build) -> DataFrame:
     """Write ``build()`` once per application and input version; reuse it."""
     try:
-        key = (spark.sparkContext.applicationId, sf_dir, name, params, _input_versions(spark, sf_dir, inputs))
-    except Exception:  # no JVM access (e.g. Spark Connect): no reuse, write each time
+        application = spark.sparkContext.applicationId
+    except Exception:  # no context (e.g. Spark Connect): no reuse, write each time
         return materialize(build(), name)
-    path = _STAGES.get(key)
-    if path is not None:
+    key = (application, sf_dir, name, params, _input_versions(spark, sf_dir, inputs))
+    if key in _STAGES:
         try:
-            return spark.read.parquet(path)
+            return spark.read.parquet(_STAGES[key])
         except Exception:  # folder gone: rebuild
-            _STAGES.pop(key, None)
-    df = materialize(build(), name)
-    _STAGES[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
-    return df
+            del _STAGES[key]
+    path = scratch_path(spark, name)
+    build().write.mode("overwrite").parquet(path)
+    _STAGES[key] = path
+    return spark.read.parquet(path)
 
 
 def records_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage 2 output (written once): the registered ``records`` query's table."""
-    return stage_output(spark, sf_dir, "records", ("levenshtein", True, True), ("conversations",),
+    return stage_output(spark, sf_dir, "records", ("levenshtein", True), ("conversations",),
                         lambda: records(spark, sf_dir))
 
 
@@ -104,7 +105,8 @@ def prompt_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = clean_prompts(messages(spark, sf_dir).filter(F.col("role") == "user"))
     d = m.select("prompt").distinct()
     from ..operators.ordinals import first_appearance_index
-    return first_appearance_index(d, "prompt", ["prompt"], "prompt_ord")
+    return first_appearance_index(d, "prompt", ["prompt"], "prompt_ord").select(
+        F.col("prompt_ord").cast("int").alias("prompt_ord"), "prompt")
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ Command line::
 
     python -m codeshift.plans.stages sessions SNIPPETS_DIR PROMPTS_FILE OUT_DIR
     python -m codeshift.plans.stages metrics TRANSCRIPTS_DIR OUT_DIR [--model M]
+    python -m codeshift.plans.stages build RECORDS_DIR OUTCOMES_DIR OUT_DIR
     python -m codeshift.plans.stages reports RECORDS_DIR OUT_DIR --design-size N
 """
 
@@ -28,7 +29,7 @@ from ..operators.extract import clean_prompts, extract_pairs, zip_pairs
 from ..operators.ordinals import first_appearance_index
 from ..operators.outcomes import attach_build_outcome, classify_build_log
 from ..operators.sessions import cross_prompts, render_turn
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import checked_broadcast, ensure_checkpoint_dir, materialize
 from ..sinks import files as sinks
 from ..sources import files as src
 
@@ -40,11 +41,12 @@ MAPPING_FILE = "prompt/prompt_mapping.json"
 
 
 def sessions_stage(spark: SparkSession, snippets_path: str, prompts_path: str, out_dir: str,
-                   one_session: bool = False) -> DataFrame:
+                   one_session: bool = False, layout: str = "files") -> DataFrame:
     """Every snippet with every prompt, rendered as user turns and written as
     session markdown.  By default each snippet's turns form one session file
     (``session`` = the snippet's ordinal in file-path order); ``one_session`` writes all turns to a
-    single file as the original tool did (one writer task)."""
+    single file as the original tool did (one writer task).  ``layout="lines"`` writes
+    turns as JSON lines instead, as many files as tasks."""
     ensure_checkpoint_dir(spark)
     snip = src.scan_snippets(spark, snippets_path)
     ords = first_appearance_index(snip, "file_path", ["file_path"], "snippet_ord")
@@ -53,21 +55,30 @@ def sessions_stage(spark: SparkSession, snippets_path: str, prompts_path: str, o
     turns = cross_prompts(snippets, prompts)
     session = F.lit("code_snippets") if one_session else F.col("snippet_ord")
     out = turns.select(session.alias("session"), "ord", render_turn(F.col("snippet"), F.col("prompt")).alias("text"))
-    sinks.write_session_markdown(out, out_dir)
+    sinks.write_session_markdown(out, out_dir, layout=layout)
     return out
 
 
-def latest_transcripts(spark: SparkSession, transcripts_path: str, model: str | None = None) -> DataFrame:
-    """Messages of the latest run per (session, model) from the layout
-    ``model=<m>/run_ts=<yyyy-MM-dd_HH-mm>/session_id=<s>/`` that
-    ``write_chat_json`` produces.  The latest run is a grouped ``max`` joined
-    back (semi join); ``run_ts`` sorts as text because it is zero-padded."""
-    files = src._whole_files(spark, transcripts_path)
-    if model is not None:
-        files = files.filter(F.col("model") == model)
-    latest = files.groupBy("session_id", "model").agg(F.max("run_ts").alias("run_ts"))
-    keep = files.join(latest, ["session_id", "model", "run_ts"], "left_semi")
-    return src.parse_chat_json(keep.select("session_id", "model", "run_ts", "text"))
+def latest_transcripts(spark: SparkSession, transcripts_path: str, model: str | None = None,
+                       layout: str = "lines") -> DataFrame:
+    """Messages of the latest run per (session, model) below
+    ``model=<m>/run_ts=<yyyy-MM-dd_HH-mm>/``, as ``write_chat_json`` writes them.
+    ``run_ts`` sorts as text because it is zero-padded.  ``model``: part of a model's
+    name; runs of other models are pruned by their folder.
+
+    Which runs are the latest is known before any text is read: from the session
+    index (``layout="lines"``), or from the names of the files (``"files"``)."""
+    path = transcripts_path.rstrip("/")
+    named = F.col("model").cast("string").contains(model) if model is not None else F.lit(True)
+    keys = ["session_id", "model", "run_ts"]
+    if layout == "lines":
+        runs = spark.read.parquet(f"{path}/{sinks.SESSION_INDEX}").where(named)
+        latest = materialize(runs.groupBy("session_id", "model").agg(F.max("run_ts").alias("run_ts")), "latest-runs")
+        return (src.scan_chat_json(spark, path).where(named)
+                .join(checked_broadcast(latest), keys, "left_semi").select(*keys, "idx", "role", "content", "prompt"))
+    files = src.list_files(spark, path).where(named)
+    latest = files.groupBy("session_id", "model").agg(F.max_by("path", "run_ts").alias("path"))
+    return src.parse_chat_json(src.read_chosen(spark, path, latest).select(*keys, "text"))
 
 
 def latest_named_transcripts(spark: SparkSession, transcripts_path: str, model: str | None = None,
@@ -75,22 +86,23 @@ def latest_named_transcripts(spark: SparkSession, transcripts_path: str, model:
     """Messages of the latest run per (session, model) from a flat folder of
     files named ``<session>_<yyyy-MM-dd>_<HH-mm>_<model>.json`` (the original
     tool's naming, with ``-`` instead of ``:`` in the time: Hadoop paths
-    cannot hold a colon).  The latest file per (session, model) is A6, joined
-    back on the file name; ``session_id`` is the session name."""
-    files = src._whole_files(spark, transcripts_path)
-    latest = src.latest_runs(files.select("file_name"), exclude_test=exclude_test)
+    cannot hold a colon).  The latest file per (session, model) is A6, chosen by
+    name alone; only those files are read.  ``session_id`` is the session name."""
+    names = src.list_files(spark, transcripts_path)
+    latest = src.latest_runs(names.select("file_name"), exclude_test=exclude_test)
     if model is not None:
         latest = latest.filter(F.col("model").contains(model))
-    keep = files.join(latest.select("file_name", F.col("session").alias("session_id"), "model"), "file_name")
-    return src.parse_chat_json(keep.select("session_id", "model", "file_name", "text"))
+    latest = materialize(latest.select("file_name", F.col("session").alias("session_id"), "model"), "latest-runs")
+    files = src.read_chosen(spark, transcripts_path, names.join(latest, "file_name"))
+    return src.parse_chat_json(files.join(checked_broadcast(latest), "file_name").select("session_id", "model", "file_name", "text"))
 
 
 def metrics_stage(spark: SparkSession, transcripts_path: str, out_path: str, model: str | None = None,
                   include_header: bool = True, distance: str = "levenshtein", fmt: str = "parquet",
-                  layout: str = "folders", pairing: str = "row") -> DataFrame:
+                  layout: str = "lines", pairing: str = "row") -> DataFrame:
     """Transcripts -> pairs -> per-pair metrics -> records, written to
-    ``out_path``; returns the written table.  ``layout='folders'`` reads
-    ``write_chat_json`` output, ``layout='names'`` a flat folder of
+    ``out_path``; returns the written table.  ``layout='lines'`` and ``'files'``
+    read ``write_chat_json`` output, ``'names'`` a flat folder of
     transcript files named as the original tool named them.  Session ids are
     text.  ``pairing='row'`` takes the first block of a user turn and keeps the
     number of its blocks as ``n_user_blocks``; ``'zip'`` pairs all blocks of a
@@ -99,7 +111,7 @@ def metrics_stage(spark: SparkSession, transcripts_path: str, out_path: str, mod
     if layout == "names":
         raw = latest_named_transcripts(spark, transcripts_path, model)
     else:
-        raw = latest_transcripts(spark, transcripts_path, model)
+        raw = latest_transcripts(spark, transcripts_path, model, layout)
     msgs = raw.select(F.col("session_id").cast("string").alias("session_id"), F.col("idx").cast("long").alias("idx"),
                       "role", "content", F.coalesce(F.col("prompt"), F.lit("")).alias("prompt"))
     if pairing == "zip":
@@ -168,9 +180,8 @@ def reports_stage(spark: SparkSession, records: DataFrame, out_dir: str, design_
     return written
 
 
-def main(argv=None) -> None:
-    from ..session import build_session
-
+def main(argv=None, spark: SparkSession | None = None) -> None:
+    """The command line; a session made here is stopped at the end."""
     ap = argparse.ArgumentParser(prog="codeshift.plans.stages")
     sub = ap.add_subparsers(dest="stage", required=True)
     s = sub.add_parser("sessions")
@@ -178,13 +189,21 @@ def main(argv=None) -> None:
     s.add_argument("prompts")
     s.add_argument("out")
     s.add_argument("--one-session", action="store_true")
+    s.add_argument("--layout", default="files", choices=["files", "lines"])
     m = sub.add_parser("metrics")
     m.add_argument("transcripts")
     m.add_argument("out")
     m.add_argument("--model")
     m.add_argument("--distance", default="levenshtein", choices=["levenshtein", "ndiff"])
-    m.add_argument("--layout", default="folders", choices=["folders", "names"])
+    m.add_argument("--layout", default="lines", choices=["lines", "files", "names"])
     m.add_argument("--pairing", default="row", choices=["row", "zip"])
+    b = sub.add_parser("build")
+    b.add_argument("records")
+    b.add_argument("outcomes", help="parquet or JSON lines: session_id, idx and exit_code, log or build_success, test_success")
+    b.add_argument("out")
+    b.add_argument("--layout", default="parquet", choices=["parquet", "lines", "array"])
+    b.add_argument("--outcomes-format", default="parquet", choices=["parquet", "json"])
+    b.add_argument("--format", default="parquet", choices=["parquet", "json"])
     r = sub.add_parser("reports")
     r.add_argument("records")
     r.add_argument("out")
@@ -193,15 +212,28 @@ def main(argv=None) -> None:
     r.add_argument("--layout", default="parquet", choices=["parquet", "lines", "array"])
     r.add_argument("--extended", action="store_true")
     a = ap.parse_args(argv)
-    spark = build_session()
+    own = spark is None
+    if own:
+        from ..session import build_session
+        spark = build_session()
+
+    def records_in() -> DataFrame:
+        if a.layout == "parquet":
+            return spark.read.parquet(a.records)
+        found = src.scan_records(spark, a.records, layout=a.layout)
+        # Records read from JSON arrays are known by file and position.
+        return found if "session_id" in found.columns else found.withColumnsRenamed({"file_name": "session_id", "pos": "idx"})
+
     if a.stage == "sessions":
-        sessions_stage(spark, a.snippets, a.prompts, a.out, one_session=a.one_session)
+        sessions_stage(spark, a.snippets, a.prompts, a.out, one_session=a.one_session, layout=a.layout)
     elif a.stage == "metrics":
         metrics_stage(spark, a.transcripts, a.out, model=a.model, distance=a.distance, layout=a.layout, pairing=a.pairing)
+    elif a.stage == "build":
+        build_stage(spark, records_in(), spark.read.format(a.outcomes_format).load(a.outcomes), a.out, fmt=a.format)
     else:
-        records = spark.read.parquet(a.records) if a.layout == "parquet" else src.scan_records(spark, a.records, layout=a.layout)
-        print(reports_stage(spark, records, a.out, a.design_size, snippet_count=a.snippet_count, extended=a.extended))
-    spark.stop()
+        print(reports_stage(spark, records_in(), a.out, a.design_size, snippet_count=a.snippet_count, extended=a.extended))
+    if own:
+        spark.stop()
 
 
 if __name__ == "__main__":

@@ -1,7 +1,9 @@
 """File sinks.
 
-Writers keep the rows distributed.  A dictionary or a report table is written
-as a single file, streamed row by row.
+Writers keep the rows distributed.  Sessions and transcripts are written as
+lines, one turn or message a line with its session beside it: as many files as
+tasks, splittable, no shuffle by session.  One file per session is an export.  A
+dictionary or a report table is written as a single file, streamed row by row.
 """
 
 from __future__ import annotations
@@ -9,16 +11,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import running_total
+
+LAYOUTS = ("lines", "files")
+
+
+def _check(layout: str) -> None:
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {LAYOUTS}")
+
+
 def write_session_markdown(turns: DataFrame, path: str, session_col: str = "session",
-                           order_col: str = "ord", text_col: str = "text", mode: str = "overwrite") -> None:
-    """B1: one markdown file per session, turns in ``order_col`` order.
-    ``mode="append"`` adds a file to the session's folder, so the turns written
-    before stay.
-
-    One row per turn is written (the text writer ends every row with a
-    newline, so each turn's own final newline is dropped first); rows are
-    clustered by session and sorted, never collected into one value.
+                           order_col: str = "ord", text_col: str = "text", mode: str = "overwrite",
+                           layout: str = "files") -> None:
+    """B1: session markdown, turns in ``order_col`` order.  ``mode="append"``
+    adds to what was written before.
+
+    ``layout="files"``: the export, one markdown file per session.  One row per
+    turn is written (the text writer ends every row with a newline, so each
+    turn's own final newline is dropped first); rows are clustered by session
+    and sorted, never collected into one value.  ``"lines"``: JSON lines
+    ``session, ord, text``, as many files as tasks; ``scan_session_markdown``
+    reads both.
     """
+    _check(layout)
+    if layout == "lines":
+        (turns.select(F.col(session_col).cast("string").alias("session"), F.col(order_col).cast("long").alias("ord"),
+                      F.col(text_col).alias("text")).write.mode(mode).json(path))
+        return
     body = F.regexp_replace(F.col(text_col), r"\n\z", "")
     (turns.select(session_col, order_col, body.alias("value"))
      .repartition(session_col).sortWithinPartitions(session_col, order_col)
@@ -32,24 +52,44 @@ def _partition_value(v: str) -> str:
     return quote(v, safe="-_.")
 
 
+# The sessions of each run, beside its messages: what a reader needs to choose runs.
+# The name begins with "_", so Spark does not take the folder for data.
+SESSION_INDEX = "_sessions"
+
+
 def write_chat_json(messages: DataFrame, path: str, model: str, run_ts: str,
-                    session_col: str = "session_id") -> None:
-    """B2: one transcript file (a JSON array) per session, in the layout
-    ``model=<m>/run_ts=<yyyy-MM-dd_HH-mm>/<session_col>=<s>/``: the name parts
-    of ``<session>_<date>_<time>_<model>.json`` are partition folders.
-
-    A run is written to its own folder, so writing it again replaces only
-    that run and earlier runs stay.  Each message is its own row, framed
-    ``[`` / ``,`` / ``]`` by the session's first and last index (a grouped
-    aggregate joined back), so a session streams through its writer task row
-    by row and is never gathered into one value; the rows form a valid JSON
+                    session_col: str = "session_id", layout: str = "lines") -> None:
+    """B2: the transcripts of one run, below
+    ``model=<m>/run_ts=<yyyy-MM-dd_HH-mm>/``.  A run is written to its own folder,
+    so writing it again replaces only that run and earlier runs stay.
+
+    ``layout="lines"``: JSON lines ``session_id, idx, role, content, prompt``, one
+    message a line, ``idx`` its place in the session (counted in two levels, so a
+    very long session is spread), as many files as tasks.  The session index, one
+    row per session, goes to ``_sessions`` with the same folders.
+
+    ``layout="files"``: the export, one file per session below
+    ``<session_col>=<s>/`` holding a JSON array.  Each message is its own row,
+    framed ``[`` / ``,`` / ``]`` by the session's first and last index, so a
+    session streams through its writer task row by row; the rows form a valid
     array because newlines between elements are whitespace.
     """
+    _check(layout)
+    run = f"model={_partition_value(model)}/run_ts={_partition_value(run_ts)}"
+    run_dir = f"{path.rstrip('/')}/{run}"
+    if layout == "lines":
+        m = messages.select(F.col(session_col).cast("string").alias("session_id"), F.col("idx").cast("long").alias("idx"),
+                            "role", "content", "prompt")
+        placed = running_total(m.withColumn("one", F.lit(1)), ["session_id"], "idx", "one", "place")
+        (placed.select("session_id", F.col("place").alias("idx"), "role", "content", "prompt")
+         .write.mode("overwrite").json(run_dir))
+        (m.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_messages"))
+         .write.mode("overwrite").parquet(f"{path.rstrip('/')}/{SESSION_INDEX}/{run}"))
+        return
     bounds = messages.groupBy(session_col).agg(F.min("idx").alias("_lo"), F.max("idx").alias("_hi"))
     elem = F.to_json(F.struct("role", "content", "prompt"))
     line = F.concat(F.when(F.col("idx") == F.col("_lo"), F.lit("[")).otherwise(F.lit(",")), elem,
                     F.when(F.col("idx") == F.col("_hi"), F.lit("]")).otherwise(F.lit("")))
-    run_dir = f"{path.rstrip('/')}/model={_partition_value(model)}/run_ts={_partition_value(run_ts)}"
     (messages.join(bounds, session_col)
      .select(session_col, "idx", line.alias("value"))
      .repartition(session_col).sortWithinPartitions(session_col, "idx")

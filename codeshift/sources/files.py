@@ -8,11 +8,12 @@ the ``_metadata`` column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import lines_of, py_rstrip
+from ..operators.ordinals import running_total
 
 # The system message prepended to replayed sessions.
 DEFAULT_SYSTEM_PROMPT = ("You are a world-class programmer and a helpful assistant that follows "
@@ -74,7 +75,7 @@ def scan_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_session_markdown(text_df: DataFrame, text_col: str = "text",
-                           system_prompt: str = DEFAULT_SYSTEM_PROMPT) -> DataFrame:
+                           system_prompt: str = DEFAULT_SYSTEM_PROMPT, ends: Column | None = None) -> DataFrame:
     """A3 on a text column: session markdown -> messages.
 
     A line starting ``## User`` opens a user message; the lines after it
@@ -82,12 +83,14 @@ def parse_session_markdown(text_df: DataFrame, text_col: str = "text",
     the first marker is dropped unless there is no marker at all (then it is
     one message without a role).  ``prompt`` is the second-last line of the
     message (the last line for the final one).  Empty messages are skipped.
-    A system message is prepended at ``idx`` 0.
+    A system message is prepended at ``idx`` 0.  ``ends``: whether the end of a
+    text is the end of its session (default: always).
     """
     keys = [c for c in text_df.columns if c != text_col]
     chunks = F.split(F.col(text_col), r"(?m)^## User[^\n]*(\n|\z)", -1)
     n = F.size(chunks)
-    tagged = F.transform(chunks, lambda c, i: F.struct(c.alias("body"), (i == n - 1).alias("last"),
+    ends = F.lit(True) if ends is None else ends
+    tagged = F.transform(chunks, lambda c, i: F.struct(c.alias("body"), ((i == n - 1) & ends).alias("last"),
                                                       (i == 0).alias("pre")))
     # Drop the preamble when a marker exists, and every empty chunk.
     kept = F.filter(tagged, lambda s: (s["body"] != "") & ~(s["pre"] & (n > 1)))
@@ -109,9 +112,33 @@ def parse_session_markdown(text_df: DataFrame, text_col: str = "text",
     return system.unionByName(msgs)
 
 
+def parse_session_turns(turns: DataFrame, system_prompt: str = DEFAULT_SYSTEM_PROMPT) -> DataFrame:
+    """A3 on rows of turns ``(session, ord, text)`` as ``render_turn`` makes them:
+    the messages that the turns of a session, put together, parse to.
+
+    A turn starts with the newline that ends the one before.  With that newline
+    moved back, every turn is parsed alone, so a long session is never one
+    value; only the session's last place and the number of messages before a
+    turn (narrow tables) are joined to it."""
+    last = turns.groupBy("session").agg(F.max("ord").alias("_last"))
+    end = F.col("ord") == F.col("_last")
+    body = F.concat(F.regexp_replace("text", r"\A\n", ""), F.when(end, F.lit("")).otherwise(F.lit("\n")))
+    whole = turns.join(last, "session").select("session", "ord", end.alias("end"), body.alias("text"))
+    parsed = parse_session_markdown(whole, "text", system_prompt, ends=F.col("end")).where("idx > 0")
+    before = running_total(parsed.groupBy("session", "ord").agg(F.count(F.lit(1)).alias("n")), ["session"], "ord", "n", "before")
+    users = parsed.join(before.select("session", "ord", "before"), ["session", "ord"]).select(
+        "session", (F.col("before") + F.col("idx")).cast("int").alias("idx"), "role", "content", "prompt")
+    return users.unionByName(last.select("session", F.lit(0).alias("idx"), F.lit("system").alias("role"),
+                                         F.lit(system_prompt).alias("content"), F.lit(None).cast("string").alias("prompt")))
+
+
 def scan_session_markdown(spark: SparkSession, path: str,
-                          system_prompt: str = DEFAULT_SYSTEM_PROMPT) -> DataFrame:
-    """A3: session markdown file(s) -> ``(file_name, idx, role, content, prompt)``."""
+                          system_prompt: str = DEFAULT_SYSTEM_PROMPT, layout: str = "files") -> DataFrame:
+    """A3: session markdown file(s) -> ``(file_name, idx, role, content, prompt)``,
+    or the rendered turns that ``write_session_markdown(layout="lines")`` wrote ->
+    ``(session, idx, role, content, prompt)``."""
+    if layout == "lines":
+        return parse_session_turns(spark.read.schema("session string, ord long, text string").json(path), system_prompt)
     return parse_session_markdown(_whole_files(spark, path).drop("file_path"), "text", system_prompt)
 
 
@@ -123,9 +150,16 @@ def parse_chat_json(text_df: DataFrame, text_col: str = "text") -> DataFrame:
             .select(*keys, "idx", "_m.role", "_m.content", "_m.prompt"))
 
 
-def scan_chat_json(spark: SparkSession, path: str) -> DataFrame:
-    """A4: transcript JSON files (top-level arrays) -> messages with their
-    index.  ``read.json(multiLine)`` is not used: it loses the position."""
+MESSAGE_LINES = "session_id string, idx long, role string, content string, prompt string"
+
+
+def scan_chat_json(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """A4: the transcripts that ``write_chat_json`` wrote -> messages with their
+    index, ``model`` and ``run_ts``.  ``layout="lines"``: message lines
+    (splittable; text ids).  ``"files"``: files that hold a top-level array;
+    ``read.json(multiLine)`` is not used there: it loses the position."""
+    if layout == "lines":
+        return spark.read.schema(MESSAGE_LINES).json(path)
     return parse_chat_json(_whole_files(spark, path))
 
 
@@ -230,6 +264,19 @@ def latest_runs(names: DataFrame, exclude_test: bool = False, name_col: str = "f
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """File names below ``path`` (contents are not read)."""
-    return (spark.read.format("binaryFile").load(path)
-            .select(F.element_at(F.split(F.col("path"), "/"), -1).alias("file_name"), "path"))
+    """Files below ``path``: name, path and partition columns.  Contents are not read."""
+    df = spark.read.format("binaryFile").load(path)
+    parts = [c for c in df.columns if c not in ("path", "modificationTime", "length", "content")]
+    return df.select(F.element_at(F.split(F.col("path"), "/"), -1).alias("file_name"), "path", *parts)
+
+
+def read_chosen(spark: SparkSession, base: str, chosen: DataFrame) -> DataFrame:
+    """The whole files whose ``path`` is in ``chosen``, and no others.  Their names
+    pass through the driver, as the names of all files of a folder do whenever
+    Spark lists it; contents do not."""
+    paths = [r["path"] for r in chosen.select("path").collect()]
+    if not paths:
+        return _whole_files(spark, base).limit(0)
+    df = spark.read.option("basePath", base).text(paths, wholetext=True)
+    return df.select(*[c for c in df.columns if c != "value"], F.col("_metadata.file_name").alias("file_name"),
+                     F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))

@@ -87,3 +87,50 @@ def test_metrics_stage_named_files(spark, tmp_path):
     kept = stages.latest_named_transcripts(spark, str(d), exclude_test=True)
     assert "coder-latest" in {r["model"] for r in kept.collect()}
     assert by["code_snippets"]["repo_name"] == "rep" and by["code_snippets"]["original_code"] == "int x;"
+
+
+def test_runs_are_chosen_by_part_of_a_model_name(spark, tmp_path):
+    def run(text):
+        return spark.createDataFrame([(s, i, "user", f"{text} {s}.{i}", "") for s in (1, 2) for i in (0, 1)],
+                                     "session_id long, idx long, role string, content string, prompt string")
+    for layout in ("lines", "files"):
+        d = str(tmp_path / layout)
+        write_chat_json(run("old"), d, model="coder-7b-it", run_ts="2024-06-03_17-28", layout=layout)
+        write_chat_json(run("new").where("session_id = 1"), d, model="coder-7b-it", run_ts="2024-06-04_09-05", layout=layout)
+        write_chat_json(run("big"), d, model="coder-13b", run_ts="2024-06-05_09-05", layout=layout)
+        write_chat_json(run("other"), d, model="plain", run_ts="2024-06-06_09-05", layout=layout)
+        got = {(r["model"], str(r["session_id"]), r["content"]) for r in stages.latest_transcripts(spark, d, "7b", layout).collect()}
+        assert got == {("coder-7b-it", "1", "new 1.0"), ("coder-7b-it", "1", "new 1.1"), ("coder-7b-it", "2", "old 2.0"), ("coder-7b-it", "2", "old 2.1")}
+        got = stages.latest_transcripts(spark, d, "coder", layout)
+        assert {r["model"] for r in got.collect()} == {"coder-7b-it", "coder-13b"} and got.count() == 8
+        assert stages.latest_transcripts(spark, d, "none", layout).count() == 0
+
+
+def test_build_command(spark, tmp_path):
+    records, outcomes, out = (str(tmp_path / n) for n in ("records", "outcomes", "out"))
+    P.records(spark, SF).write.parquet(records)
+    (P.records(spark, SF).select("session_id", "idx", F.when(F.col("idx") % 2 == 1, 0).otherwise(1).alias("exit_code"),
+                                 F.lit("Build succeeded.").alias("log")).write.json(outcomes))
+    stages.main(["build", records, outcomes, out, "--outcomes-format", "json"], spark)
+    got = spark.read.parquet(out)
+    assert got.count() == spark.read.parquet(records).count()
+    assert {(r["idx"] % 2, r["build_success"]) for r in got.collect()} <= {(1, 1), (0, 0)}
+
+
+def test_stage_tables_follow_their_input(spark, tmp_path):
+    """A file rewritten inside a folder table makes the stage run again."""
+    folder = tmp_path / "t.parquet"
+    def put(value):
+        spark.range(value, value + 1).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "new"))
+        folder.mkdir(exist_ok=True)
+        part, = (tmp_path / "new").glob("part-*.parquet")
+        (folder / "part-0.parquet").write_bytes(part.read_bytes())
+    def stage():
+        return P.stage_output(spark, str(tmp_path), "follow", (), ("t",), lambda: spark.read.parquet(str(folder))).first()[0]
+    put(5)
+    first = stage()
+    os.utime(folder, (1, 1))
+    assert (first, stage()) == (5, 5)
+    put(6)
+    os.utime(folder, (1, 1))
+    assert stage() == 6
