@@ -6,16 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_, lines_of
+from ..session import checked_broadcast, materialize
 
 # The phrase a successful build log contains.
 BUILD_OK_PHRASE = "Build succeeded"
 
 
+# What ends a line besides a newline.
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def split_lines(text) -> Column:
     """``text.splitlines()``: a final line end opens no further line; '' has none."""
     c = col_(text)
-    ends = F.regexp_replace(c, "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", "\n")
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(ends, r"\n\z", ""), "\n", -1))
+    ends = F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
+    lines = F.split(ends, "\n", -1)
+    return F.when(c == "", F.array().cast("array<string>")).when(
+        ends.endswith("\n"), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
 
 def splice_lines(files: DataFrame, records: DataFrame, base: int = 0, repo_col: str = "repo_name",
@@ -27,7 +34,12 @@ def splice_lines(files: DataFrame, records: DataFrame, base: int = 0, repo_col:
     ``base=0`` reads the header numbers as 0-based slice positions (as the
     original tool did), ``base=1`` as 1-based line numbers.  Line ends are
     kept.  One output row per record whose file is there.
+
+    Which files are asked for is found on names alone, and broadcast where their
+    bytes allow: texts of other files are neither made nor moved.
     """
+    wanted = materialize(records.select(F.col("repo_name").alias(repo_col), F.col("path_to_snippet").alias(path_col)).distinct(), "spliced-files")
+    files = files.join(checked_broadcast(wanted), [repo_col, path_col], "left_semi")
     j = records.select("session_id", "idx", F.col("repo_name").alias(repo_col), F.col("path_to_snippet").alias(path_col),
                        "snippet_line_start", "snippet_line_end", "updated_code").join(
         files.select(repo_col, path_col, text_col), [repo_col, path_col], "inner")
