@@ -180,15 +180,17 @@ class Automaton:
 
 
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
-    """Start word and label of every phrase."""
+    """Start word and label of every phrase, in one pass: blanks are counted
+    from one place to the next."""
     line = b" " + b" ".join(words) + b" "
     out = []
     for phrase, label in PHRASES.items():
         wanted = f" {phrase} ".encode()
-        at = line.find(wanted)
+        at, seen, word = line.find(wanted), 0, 0
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
-            at = line.find(wanted, at + 1)
+            word += line.count(b" ", seen, at)
+            out.append((word, label))
+            seen, at = at, line.find(wanted, at + 1)
     return sorted(out)
 
 

@@ -80,3 +80,12 @@ def test_spans(frame):
     assert got[1].score == 1 and got[1].spans[0].first == 2 and got[1].spans[0].after == 2 + len(licenses.words_of(mit))
     assert 0.8 <= got[2].score < 1 and 0.2 < got[3].score < 0.5 and got[6].score == 0
     assert len(got[7].spans) == 40
+
+
+def test_ten_megabytes_of_one_phrase():
+    """One pass, however many places there are."""
+    import time
+    words = licenses.words_of("mit license " * 830_000)
+    start = time.time()
+    got = licenses.base_places(words)
+    assert time.time() - start < 10 and len(got) == 830_000 and got[-1] == (2 * 829_999, "mit")
