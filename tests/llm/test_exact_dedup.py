@@ -43,6 +43,33 @@ def test_directory_doubles_until_buckets_fit(spark):
     assert all(by[b] + by.get(b ^ 1, 41) > 40 for b in by if b > 1)
 
 
+def test_chains_of_one_key(frame, texts):
+    """Keys that collide: the bytes decide, within the bucket's chain."""
+    rows = EDGES + texts
+    for key in (lambda n: F.length(n).cast("long") % 7, lambda n: F.lit(5).cast("long")):
+        got = exact_dedup.exact_groups(frame(rows), capacity=3, key=key).drop("stamp").collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    docs = frame(rows)
+    keys = exact_dedup.row_keys(docs, "doc_id", "text", lambda n: F.lit(5).cast("long"))
+    slots = exact_dedup.directory(keys.select("key").distinct(), 3).select("cell", "bucket")
+    index = exact_dedup.build_index(docs, slots, "doc_id", "text", lambda n: F.lit(5).cast("long"))
+    chains = sorted(r.chain for r in index.collect())
+    assert chains == list(range(len({r[4] for r in brute(rows)})))
+
+
+def test_rows_find_their_entries_through_the_directory(frame, texts, monkeypatch):
+    """A directory that lacks half of its cells leaves their rows without entries."""
+    whole = exact_dedup.directory
+    want = brute(texts)
+    assert len(exact_dedup.exact_groups(frame(texts), capacity=10).collect()) == len(want)
+    monkeypatch.setattr(exact_dedup, "directory", lambda e, c: whole(e, c).where("cell % 2 = 0"))
+    got = exact_dedup.exact_groups(frame(texts), capacity=10).drop("stamp").collect()
+    assert 0 < len(got) < len(want) and {tuple(r) for r in got} < set(want)
+    monkeypatch.setattr(exact_dedup, "directory", lambda e, c: whole(e, c).withColumn("bucket", F.monotonically_increasing_id()))
+    spread = exact_dedup.exact_groups(frame(texts), capacity=10).drop("stamp").collect()
+    assert {tuple(r) for r in spread} == set(want)       # one bucket a cell: the same groups
+
+
 def test_drop_copies_and_empty(frame):
     f = frame([(1, "same  text"), (2, "same text"), (3, "other"), (None, "other"), (2, "third")])
     left = exact_dedup.drop_copies(f)
