@@ -14,7 +14,13 @@ filled that way.
    of squared fills; it is made in as many pairs of bins as there are.  Raising
    squared fill drains the emptier bin; a bin that gets empty is a sequence
    saved.  Every underfull type is tried against every other.  The search ends
-   when no step helps or the number of bins meets its lower bound, and only then.
+   when no step helps or the number of bins meets its lower bound.
+   So that its work does not grow with the number of documents, it is done in
+   shares: of n pieces, every length gives one in g, g being n over ``SHARE``; the
+   bins found for them are made g times; the few pieces that are left are treated
+   in the same way with a smaller g, the last ones one by one.  Up to ``SHARE``
+   pieces that is the search itself.  Where best fit alone needs no more bins, its
+   types are taken.
 3. Every piece finds its sequence and offset from its rank among the pieces of
    its length.  Ranks are made of two levels (length and block, with a small
    table of block counts), so no task holds all pieces of a length.
@@ -46,6 +52,7 @@ from .common import checked_broadcast, freed, materialize, shuffle_partitions, s
 from .pieces import PieceTable
 
 CAPACITY, END_ID = 2048, 0
+SHARE = 20_000  # pieces searched at once
 
 Type = tuple[int, ...]  # lengths in a bin, longest first
 
@@ -222,6 +229,25 @@ def search(types: Counter, capacity: int = CAPACITY) -> Counter:
     return Counter({t: n for t, n in types.items() if n})
 
 
+def packed_types(lengths: dict[int, int], capacity: int = CAPACITY, share: int = SHARE) -> Counter:
+    """Bin types and their numbers for all pieces, searched in shares.  At most
+    ``share`` and one piece per length more are searched at once, and each round
+    leaves under ``capacity`` / ``share`` of the round before, so rounds are few."""
+    best = best_fit_types(lengths, capacity)
+    if sum(best.values()) * capacity < sum(x * n for x, n in lengths.items()) + capacity:
+        return best                                              # the lower bound is met
+    found: Counter = Counter()
+    left = {x: n for x, n in lengths.items() if n}
+    while left:
+        g = max(1, sum(left.values()) // share)
+        while not any(n >= g for n in left.values()):
+            g = -(-g // 2)
+        for t, n in search(best_fit_types({x: n // g for x, n in left.items() if n >= g}, capacity), capacity).items():
+            found[t] += n * g
+        left = {x: n % g for x, n in left.items() if n % g}
+    return found if sum(found.values()) < sum(best.values()) else best
+
+
 def slots(types: Counter) -> np.ndarray:
     """Rows (length, first rank, first bin, offset), by length and rank: pieces
     of a length with ranks from ``first rank`` on go to bins from ``first bin``
@@ -375,7 +401,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, order_by: tuple[str, ...] =
     rows = rows.withColumn("_block", F.pmod(F.xxhash64(*(order_by or rows.columns)), F.lit(blocks)).cast("int"))
     counts = materialize(rows.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("n")), "lengths")
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
-    table = slots(search(best_fit_types(lengths, capacity), capacity))
+    table = slots(packed_types(lengths, capacity))                # bounded by the shares searched
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     first = materialize(counts.select("length", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first")), "ranks")
     within = Window.partitionBy("length", "_block").orderBy(*(order_by or rows.columns))

@@ -132,3 +132,32 @@ def test_search_ends_where_no_step_helps():
     for i, a in enumerate(underfull):
         for b in underfull[i if types[a] > 1 else i + 1:]:
             assert not improves(a, b, 2048), (a, b)
+
+
+def test_search_in_shares_places_all_and_ends():
+    """Work does not grow with the number of pieces; the gap to the bound is small."""
+    import time
+    rng = np.random.default_rng(5)
+    for n, lo, hi, gap in ((5_000_000, 200, 500, 0.001), (1_000_000, 200, 500, 0.001), (300_000, 20, 900, 0.001), (5_000_000, 500, 900, 0.06)):
+        lengths = Counter(rng.integers(lo, hi + 1, n).tolist())
+        start = time.time()
+        types = packing.packed_types(lengths)
+        assert time.time() - start < 60
+        placed = Counter()
+        for t, k in types.items():
+            assert sum(t) <= 2048 and k > 0
+            for x in t:
+                placed[x] += k
+        bound = -(-sum(x * k for x, k in lengths.items()) // 2048)
+        assert placed == lengths and sum(types.values()) <= bound * (1 + gap) + 1
+        assert sum(types.values()) <= sum(packing.best_fit_types(lengths).values())
+
+
+def test_few_pieces_are_searched_as_a_whole():
+    rng = np.random.default_rng(6)
+    for lo, hi in ((300, 900), (600, 1100), (1, 2048)):
+        lengths = Counter(rng.integers(lo, hi + 1, 900).tolist())
+        whole = packing.search(packing.best_fit_types(lengths))
+        assert sum(packing.packed_types(lengths).values()) == sum(whole.values())
+    assert packing.packed_types({}) == Counter() and packing.packed_types({2048: 3}) == Counter({(2048,): 3})
+    assert packing.packed_types({7: 5}, share=1) == Counter({(7,) * 5: 1})
