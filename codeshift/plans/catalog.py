@@ -581,6 +581,23 @@ def q_ndiff_properties(spark, sf):
                     s.eqNullSafe(F.lit(1.0) - F.try_divide(F.col("d").cast("double"), longest.cast("double"))).alias("similarity_follows"))
 
 
+KNOWN_PAIRS = ["k AS (SELECT conv_id, turn, text AS a, (conv_id + turn) % 4 AS kind, turn % 5 + 1 AS n FROM conversations)"]
+
+
+@register("ndiff_known_pairs", W(KNOWN_PAIRS, "SELECT conv_id, turn, CAST(CASE kind WHEN 2 THEN 0 WHEN 3 THEN greatest(length(a), n) ELSE n END AS BIGINT) AS distance, "
+                                 "CASE WHEN kind = 2 AND a = '' THEN NULL WHEN kind = 2 THEN 1.0::DOUBLE WHEN kind = 3 THEN 0.0::DOUBLE "
+                                 "ELSE 1.0::DOUBLE - n::DOUBLE / (length(a) + n) END AS similarity FROM k"))
+def q_ndiff_known_pairs(spark, sf):
+    """E6/E7 where the diff is known: a run of a character that the text lacks comes
+    after it, before it or in its place, or nothing changes."""
+    c = load_table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
+    run = F.repeat(F.lit("\ue000"), (F.col("turn") % 5 + 1).cast("int"))
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    b = F.when(kind == 0, F.concat("a", run)).when(kind == 1, F.concat(run, "a")).when(kind == 2, F.col("a")).otherwise(run)
+    d = cm.dealt_by_cost(c.withColumn("b", b), "a", "b").withColumn("distance", ndiff_distance("a", "b"))
+    return d.select("conv_id", "turn", "distance", syntactic_similarity("a", "b", distance=F.col("distance")).alias("similarity"))
+
+
 @register("cyclomatic_complexity", W(DOCS, f"SELECT doc_id, {O.decision_points('code')} AS decision_points, "
                                            f"{O.complexity('code')} AS complexity FROM docs"))
 def q_cyclomatic_complexity(spark, sf):
