@@ -4,16 +4,21 @@ Words are ``[^\x20\x09-\x0D]+``.  Every text gets counts (words, code points in
 words, symbols, repeated lines, repeated words) and, from these, a few ratios
 in which junk stands out.  A rule rejects a text whose ratio is beyond a cutoff.
 
-Cutoffs are not chosen by hand.  Per stratum (language) and rule there is a
-fixed list of candidates, and the labelled good documents tell how many of
-them each would reject.  A candidate is valid when the exact binomial tail
-rules out, at level ``delta`` divided by the number of all tests (Bonferroni),
-that it rejects more than ``alpha`` divided by the number of rules of all good
-documents of the stratum.  With probability 1 - delta all chosen cutoffs keep
-their promise at once, so at most a share ``alpha`` of the good documents of
-any stratum is rejected by the rules together.  The strictest valid candidate
-is used; a stratum with too few labels to prove anything gets no rule.  The
-base checks (under 50 words; over half of the words repeated) come on top.
+Cutoffs are not chosen by hand.  Per rule there is a fixed list of candidates.
+The labelled good documents of a stratum (language) are dealt to two halves by a
+digest of their id.  The first half only orders: the steps of all rules, each a
+rule taking its next stricter candidate, are put into one path, those that reject
+the fewest first.  The second half tests the path from its beginning: after each
+step, the exact binomial tail must rule out, at level ``delta`` divided by the
+number of strata (Bonferroni), that all rules together reject more than ``alpha`` of
+the good documents of the stratum.  The path was fixed before these rows were
+looked at and testing stops at the first step that fails, so the steps of a
+stratum need no further correction (fixed-sequence testing).  With probability
+1 - delta no stratum loses more than a share ``alpha`` of its good documents.  A rule
+that rejects good documents comes late in the path and does not hold up the
+others; a stratum with too few labels (under about 460 in its second half at
+1 %, 5 % and five strata) gets no rule.  The base checks (under 50 words; over half
+of the words repeated) come on top.
 
 The repeated three-word windows of a text are found by sorting: window hashes
 and places share one number, so windows whose hash bits meet are neighbours
@@ -34,7 +39,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import checked_broadcast, materialize, whole_text
 
 MIN_WORDS, WINDOW = 50, 3
 ALPHA, DELTA = 0.01, 0.05
@@ -152,26 +157,56 @@ def _tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(terms, acc, lambda a, j: add(a, j.cast("double")), lambda a: F.exp(F.least(a["sum"], F.lit(0.0))))
 
 
+def first_half(id_col: Column) -> Column:
+    """Whether a labelled document belongs to the half that orders the steps."""
+    return F.substring(F.md5(id_col.cast("string")), 1, 1) < "8"
+
+
+def _steps(rules: dict) -> list[tuple[str, str, int, float]]:
+    """rule, ratio, how strict (0: loosest), cutoff of every step."""
+    return [(rule, ratio, i, c) for rule, (ratio, cs) in rules.items() for i, c in enumerate(reversed(cs))]
+
+
+def paths(explored: DataFrame, strata: DataFrame, rules: dict = RULES) -> DataFrame:
+    """stratum and, per step, its place in the stratum's path.  Stricter steps of a
+    rule reject no less, so they come later; where equal many are rejected, looser
+    steps come first."""
+    steps = _steps(rules)
+    counts = explored.groupBy("stratum").agg(*(
+        F.count_if(F.col(ratio) > c).alias(f"k{j}") for j, (_, ratio, _, c) in enumerate(steps)))
+    known = strata.alias("s").join(counts.alias("c"), F.col("s.stratum").eqNullSafe(F.col("c.stratum")), "left")
+    order = F.array_sort(F.array(*(F.struct(F.coalesce(F.col(f"c.k{j}"), F.lit(0)).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j"))
+                                   for j, (_, _, i, _) in enumerate(steps))))
+    placed = known.select(F.col("s.stratum").alias("stratum"), F.transform(order, lambda x: x["j"]).alias("path"))
+    return placed.select("stratum", *((F.array_position("path", j) - 1).alias(f"at{j}") for j in range(len(steps))))
+
+
 def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, rules: dict = RULES) -> DataFrame:
-    """stratum and one column per rule: the strictest valid cutoff, or null.
-    ``labelled``: features of the labelled good documents that pass the base."""
-    share = alpha / len(rules)
-    counts = labelled.groupBy("stratum").agg(F.count(F.lit(1)).cast("double").alias("n"), *(
-        F.sum((F.col(ratio) > c).cast("long")).cast("double").alias(f"{rule}_{i}")
-        for rule, (ratio, cs) in rules.items() for i, c in enumerate(cs)))
-    tests = sum(len(cs) for _, cs in rules.values())
-    # Strata count as tests too; their number is known only from the table.
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    level = F.lit(delta) / (F.lit(tests) * F.col("strata"))
-
-    def valid(rule: str, i: int) -> Column:
-        k = F.col(f"{rule}_{i}")
-        return (k <= F.col("n") * share) & F.coalesce(_tail(k, F.col("n"), share) <= level, F.lit(False))
-
-    # ``strata`` is a single row.
-    return counts.join(F.broadcast(strata)).select("stratum", *(
-        F.coalesce(*(F.when(valid(rule, i), F.lit(c)) for i, c in enumerate(cs))).alias(rule)
-        for rule, (_, cs) in rules.items()))
+    """stratum and one column per rule: the strictest cutoff that the path reached,
+    or null.  ``labelled``: features of the labelled good documents that pass the
+    base, and ``explore``: whether they belong to the first half."""
+    steps = _steps(rules)
+    tested = labelled.where(~F.col("explore"))
+    # One row per stratum from here on.
+    sizes = tested.groupBy("stratum").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    placed = materialize(paths(labelled.where("explore"), sizes.select("stratum"), rules), "paths")
+    on = tested.alias("t").join(checked_broadcast(placed).alias("p"), F.col("t.stratum").eqNullSafe(F.col("p.stratum")))
+    # The step from which a document is rejected; null where none rejects it.
+    falls = F.least(*(F.when(F.col(f"t.{ratio}") > c, F.col(f"p.at{j}")) for j, (_, ratio, _, c) in enumerate(steps)), F.lit(None).cast("long"))
+    lost = on.select(F.col("t.stratum").alias("stratum"), falls.alias("falls")).groupBy("stratum").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *(F.count_if(F.col("falls") <= j).cast("double").alias(f"k{j}") for j in range(len(steps))))
+    strata = sizes.agg(F.count(F.lit(1)).alias("strata"))
+    level = F.lit(delta) / F.col("strata")
+    fails = F.array(*(~((F.col(f"k{j}") <= F.col("n") * alpha) & F.coalesce(_tail(F.col(f"k{j}"), F.col("n"), alpha) <= level, F.lit(False)))
+                      for j in range(len(steps))))
+    first = F.array_position(fails, True)
+    reached = lost.join(F.broadcast(strata)).select(                       # ``strata`` is a single row
+        "stratum", F.when(first > 0, first - 1).otherwise(F.lit(len(steps))).alias("reached"))
+    both = reached.alias("r").join(checked_broadcast(placed).alias("p"), F.col("r.stratum").eqNullSafe(F.col("p.stratum")))
+    strictest = {rule: [F.when(F.col(f"p.at{j}") < F.col("r.reached"), F.lit(c)) for j, (name, _, _, c) in reversed(list(enumerate(steps)))
+                        if name == rule] for rule in rules}
+    return both.select(F.col("r.stratum").alias("stratum"), *(F.coalesce(*cs).alias(rule) for rule, cs in strictest.items()))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
@@ -180,7 +215,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = materialize(features(docs, id_col, text_col, stratum_col), "features")
     good = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
             .groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).where("_quality = 1").select("_id"))
-    holdout = rows.join(good, rows["id"] == good["_id"], "left_semi").where(~F.col("base_failed"))
+    holdout = rows.join(good, rows["id"] == good["_id"], "left_semi").where(~F.col("base_failed")) \
+        .withColumn("explore", first_half(F.col("id")))
     chosen = materialize(cutoffs(holdout, alpha, delta, rules), "cutoffs")
     r, c = rows.alias("r"), chosen.alias("c")
     fails = {rule: F.coalesce(F.col(f"r.{ratio}") > F.col(f"c.{rule}"), F.lit(False)) for rule, (ratio, _) in rules.items()}

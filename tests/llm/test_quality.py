@@ -61,33 +61,63 @@ def test_binomial_tail_is_exact(spark):
 RULES = {"a": ("symbol_ratio", (0.1, 0.3)), "b": ("mark_ratio", (0.5,))}
 
 
+def path_cutoffs(rows, rules, alpha, delta):
+    """The method on plain rows (stratum, ratios by name, explore)."""
+    steps = [(rule, ratio, i, c) for rule, (ratio, cs) in rules.items() for i, c in enumerate(reversed(cs))]
+    strata = {s for s, _, explore in rows if not explore}
+    out = {}
+    for s in strata:
+        first, second = ([r for t, r, e in rows if t == s and e == half] for half in (True, False))
+        path = sorted(range(len(steps)), key=lambda j: (sum(r[steps[j][1]] > steps[j][3] for r in first), steps[j][2], j))
+        now, n = {}, len(second)
+        for j in path:
+            rule, ratio, _, c = steps[j]
+            then = {**now, rule: (ratio, c)}
+            k = sum(any(r[x] > y for x, y in then.values()) for r in second)
+            if k > n * alpha or tail(k, n, alpha) > delta / len(strata):
+                break
+            now = then
+        out[s] = {rule: now[rule][1] if rule in now else None for rule in rules}
+    return out
+
+
 def test_cutoffs_keep_their_promise(spark):
+    """A rule that rejects good documents does not hold up the others; few labels prove nothing."""
     rng = random.Random(1)
-    rows = [(lang, 0.2 if rng.random() < share else 0.0, 1.0 if rng.random() < 0.3 else 0.0)
-            for lang, n, share in (("many", 9000, 0.0005), ("often", 9000, 0.05), ("few", 40, 0.0), (None, 9000, 0.0))
+    rows = [(lang, {"symbol_ratio": rng.choice([0.2, 0.4]) if rng.random() < share else 0.0, "mark_ratio": 1.0 if rng.random() < 0.3 else 0.0},
+             rng.random() < 0.5)
+            for lang, n, share in (("many", 3000, 0.002), ("often", 3000, 0.05), ("few", 300, 0.0), (None, 1500, 0.0), ("none", 40, 0.5))
             for _ in range(n)]
-    table = spark.createDataFrame(rows, "stratum string, symbol_ratio double, mark_ratio double")
-    got = {r.stratum: (r.a, r.b) for r in quality.cutoffs(table, 0.01, 0.05, RULES).collect()}
-    for lang, (a, b) in got.items():
-        n = sum(r[0] == lang for r in rows)
-        want = None
-        for c in (0.1, 0.3):
-            k = sum(r[0] == lang and r[1] > c for r in rows)
-            if want is None and k <= n * 0.005 and tail(k, n, 0.005) <= 0.05 / (3 * 4):
-                want = c
-        assert a == want and b is None
-    assert got["many"][0] == 0.1 and got["often"][0] == 0.3 and got["few"][0] is None and got[None][0] == 0.1
+    rules = {"a": ("symbol_ratio", (0.1, 0.3, 0.5)), "b": ("mark_ratio", (0.5, 1.5))}
+    table = spark.createDataFrame([(s, r["symbol_ratio"], r["mark_ratio"], e) for s, r, e in rows],
+                                  "stratum string, symbol_ratio double, mark_ratio double, explore boolean")
+    got = {r.stratum: {"a": r.a, "b": r.b} for r in quality.cutoffs(table, 0.01, 0.05, rules).collect()}
+    assert got == path_cutoffs(rows, rules, 0.01, 0.05)
+    assert got["many"] == {"a": 0.1, "b": 1.5} and got["often"] == {"a": 0.5, "b": 1.5} and got[None] == {"a": 0.1, "b": 1.5}
+    assert set(got["few"].values()) == set(got["none"].values()) == {None}
+    for s, cuts in got.items():                       # no more than alpha of the tested rows is lost
+        second = [r for t, r, e in rows if t == s and not e]
+        assert sum(any(c is not None and r[rules[k][0]] > c for k, c in cuts.items()) for r in second) <= 0.01 * len(second)
+
+
+def test_false_rejection_stays_below_alpha(spark):
+    """Over many draws at the worst true share, a wrong promise is as rare as delta says."""
+    rng = random.Random(3)
+    rows = [(f"s{d}", 1.0 if rng.random() < 0.02 else 0.0, 0.0, rng.random() < 0.5) for d in range(60) for _ in range(900)]
+    table = spark.createDataFrame(rows, "stratum string, symbol_ratio double, mark_ratio double, explore boolean")
+    got = quality.cutoffs(table, 0.02 - 1e-9, 0.05 * 60, {"a": ("symbol_ratio", (0.5,))}).collect()
+    assert sum(r.a is not None for r in got) <= 9     # 5 % of 60 strata, and chance
 
 
 def test_verdicts(spark, frame):
     clean = " ".join(f"word{i}" for i in range(60))
     junk = " ".join(f"word{i}#$" for i in range(60))
-    rows = [(i, clean + f" n{i}") for i in range(1, 700)] + [(1000 + i, junk + f" j{i}") for i in range(20)] + [(None, junk), (2000, "few words"), (2000, None)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 700)] + [(i, 1, None) for i in range(1, 5)] + [(1000, 0, 0), (1001, None, 1), (None, 1, 1)],
+    rows = [(i, clean + f" n{i}") for i in range(1, 1400)] + [(2000 + i, junk + f" j{i}") for i in range(20)] + [(None, junk), (3000, "few words"), (3000, None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 1400)] + [(i, 1, None) for i in range(1, 5)] + [(2000, 0, 0), (2001, None, 1), (None, 1, 1)],
                                    "doc_id long, quality int, toxic int")
-    got = quality.verdicts(frame(rows), labels, alpha=0.04, rules=RULES).collect()
+    got = quality.verdicts(frame(rows), labels, alpha=0.01, rules=RULES).collect()
     assert len(got) == len(rows)
-    assert all(r.kept == (r.doc_id is not None and r.doc_id < 1000) for r in got)
-    assert {r.base_failed for r in got if r.doc_id == 2000} == {True}
+    assert all(r.kept == (r.doc_id is not None and r.doc_id < 2000) for r in got)
+    assert {r.base_failed for r in got if r.doc_id == 3000} == {True}
     assert all(r.kept for r in quality.verdicts(frame(rows[:50]), labels.limit(0)).collect())
     assert quality.verdicts(frame([]), labels).collect() == []
