@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freed, small_batches, whole_text
+from .common import freed, small_batches, whole_text, worker_cache
 from .pieces import PieceTable, gather
 
 
@@ -191,7 +191,7 @@ class Codec:
         return gather(self._bytes, self._at, self._len, ids).tobytes()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str], Codec] = worker_cache("bpe")
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             ids = [i.astype("<u4").tobytes() for g in groups_of(b.column(1).to_pylist()) for i in c.encode_batch(g)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
-    return rows.mapInArrow(freed(run), T.StructType([rows.schema["id"], T.StructField("ids", T.BinaryType())])) \
+    return rows.mapInArrow(freed(run, "bpe"), T.StructType([rows.schema["id"], T.StructField("ids", T.BinaryType())])) \
         .withColumnRenamed("id", id_col)
 
 
@@ -242,7 +242,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
             raw = [c.decode(np.frombuffer(i, "<u4")) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], names=["id", "ids", "bytes"])
 
-    return rows.mapInArrow(freed(run), T.StructType([*rows.schema.fields, T.StructField("bytes", T.BinaryType())])) \
+    return rows.mapInArrow(freed(run, "bpe"), T.StructType([*rows.schema.fields, T.StructField("bytes", T.BinaryType())])) \
         .withColumnRenamed("id", id_col)
 
 
@@ -266,4 +266,4 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     out = T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()),
                         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return rows.mapInArrow(freed(run), out).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(freed(run, "bpe"), out).withColumnRenamed("id", id_col)

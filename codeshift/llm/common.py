@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeshift.session import ensure_checkpoint_dir, materialize, scratch_path
 
 __all__ = ["documents", "whole_text", "row_stamp", "checked_broadcast", "small_batches", "freed", "release_memory",
-           "keep_one", "prune_by_bloom_filter", "unused", "materialize", "scratch_path", "shuffle_partitions", "table"]
+           "keep_one", "prune_by_bloom_filter", "unused", "worker_cache", "Scratch", "materialize", "scratch_path", "shuffle_partitions", "table"]
 
 # A side is broadcast only when its (written, hence exactly known) size is below this.
 BROADCAST_LIMIT = 16 << 20
@@ -51,7 +51,7 @@ def row_stamp(text: str | Column) -> Column:
     return F.xxhash64(whole_text(text))
 
 
-def small_batches(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, max_bytes: int = 2 << 20) -> None:
     """Cap Arrow batches by bytes, so a run of very long texts cannot fill a
     Python worker.  Results do not depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
@@ -65,10 +65,28 @@ def release_memory() -> None:
         trim(0)
 
 
-def freed(run):
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A dictionary that lives in a worker from task to task of the operators
+    whose ``freed`` names it; a task of any other operator empties it."""
+    return _CACHES.setdefault(name, {})
+
+
+def empty_caches(but: str | None = None) -> None:
+    for name, cache in _CACHES.items():
+        if name != but:
+            cache.clear()
+
+
+def freed(run, cache: str | None = None):
     """``run`` (over Arrow batches) that hands memory it no longer uses back to
-    the system when its task ends: workers are kept for later tasks."""
+    the system: workers are kept for later tasks.  What other operators have
+    left in the worker goes first, except in ``cache``."""
     def task(batches):
+        empty_caches(cache)
+        pa.set_memory_pool(pa.system_memory_pool())     # freed buffers can be handed back
         try:
             yield from run(batches)
         finally:
@@ -80,6 +98,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Scratch:
+    """Tables written on the way of one operator, below the shared checkpoint
+    folder.  A table is dropped once what was made of it is written itself, so an
+    operator leaves only what its result still reads."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._written = spark, []
+
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        path = scratch_path(self._spark, name)
+        df.write.options(**options).parquet(path)
+        self._written.append((table := self._spark.read.parquet(path), path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        try:
+            jvm, conf = self._spark.sparkContext._jvm, self._spark.sparkContext._jsc.hadoopConfiguration()
+        except Exception:  # no JVM access (e.g. Spark Connect): the tables stay
+            return
+        for table, path in [w for w in self._written if any(w[0] is t for t in tables)]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+            self._written = [w for w in self._written if w[0] is not table]
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """``df`` with a broadcast hint when the size the optimizer knows for it is
     at most ``limit`` bytes; otherwise ``df`` as it is (a shuffled join).  Use

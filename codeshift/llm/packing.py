@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import groups_of
-from .common import checked_broadcast, freed, materialize, shuffle_partitions, small_batches, whole_text
+from .common import checked_broadcast, freed, materialize, shuffle_partitions, small_batches, whole_text, worker_cache
 from .pieces import PieceTable
 
 CAPACITY, END_ID = 2048, 0
@@ -357,7 +357,7 @@ class Words:
 
 
 _GROUP = 1 << 21  # characters tokenised together
-_WORDS: dict[str, Words] = {}
+_WORDS: dict[str, Words] = worker_cache("packing")
 
 
 def words(path: str) -> Words:
@@ -390,7 +390,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 zip(out.fields[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *cols], names=out.names)
 
-    return rows.mapInArrow(freed(run), out)
+    return rows.mapInArrow(freed(run, "packing"), out)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, order_by: tuple[str, ...] = ()) -> DataFrame:
