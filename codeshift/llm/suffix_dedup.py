@@ -19,8 +19,9 @@ alone in its bucket drops out of it.
    settles its members and sends one of them on; a bucket of one class is done.
 2. *Refinement.*  A round has, for each bucket, a range of offsets a to b.  All its
    windows hold the last a bytes before the q-gram and the first
-   length - q - b bytes after it: these two strings and the old bucket name the new
-   one.  Members equal in all bytes that their windows in the range hold form a
+   length - q - b bytes after it.  The old bucket stands for what the wider range
+   before had of these; the string at the offsets that are new has an identifier
+   of its own (its digest), and the two name the new bucket.  Members equal in all bytes that their windows in the range hold form a
    class again.  What is left, one of each class where a bucket has several, goes
    on with both halves of the range.  A range of one offset is a single window, so
    there are log2(q) rounds, whatever the input.
@@ -52,12 +53,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checked_broadcast, freed, materialize, prune_by_bloom_filter, row_stamp, small_batches, unused, whole_text
+from .common import Scratch, checked_broadcast, freed, materialize, prune_by_bloom_filter, row_stamp, small_batches, unused, whole_text
 
 LENGTH = 400
 _EMIT = 4 << 20                  # bytes of contexts sent at once
 _PLACE = 20                      # low bits of a sort key that hold the place
-_SEGMENT = 1 << 18               # windows handled at once
+_SEGMENT = 1 << 17               # windows handled at once
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -224,35 +225,39 @@ def _digest(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
-def _refine(state: DataFrame, length: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """One round.  ``state``: places with a bucket, a range of offsets a to b and
-    their contexts.  Gives the spans that settle, and the state of the next round."""
+def _refine(state: DataFrame, length: int, keep_first: bool, made: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """One round.  ``state``: places with a bucket, a range of offsets a to b, the
+    range a0 to b0 of the round before and their contexts.  Gives the spans that
+    settle, the state of the next round, and the tables that both are read from."""
     span = length - length // 2
     last = lambda n: F.substr("left", F.octet_length("left") - n + 1, n)
+    new_left = F.substr("left", F.octet_length("left") - F.col("a") + 1, F.col("a") - F.col("a0"))
+    new_right = F.substr("right", F.lit(span + 1) - F.col("b0"), F.col("b0") - F.col("b"))
     first = lambda n: F.substr("right", F.lit(1), n)                      # noqa: E731
     a, b = F.col("a"), F.col("b")
     low = F.greatest(a, F.col("place") - F.col("hi") + length)            # offsets in the range that the place owns
     high = F.least(b, F.col("place") - F.col("lo"))
     keyed = state.withColumn("low", low).withColumn("high", high)
     own = F.encode(F.concat_ws(",", "low", "high"), "utf-8")
-    keyed = keyed.withColumn("to", _digest(F.unhex("bucket"), F.encode(a.cast("string"), "utf-8"), last(a), first(F.lit(span) - b))) \
+    further = _digest(F.encode(F.concat_ws(",", "a", "b"), "utf-8"), new_left, new_right)
+    keyed = keyed.withColumn("to", _digest(F.unhex("bucket"), further)) \
         .withColumn("class", _digest(own, last(F.col("high")), first(F.lit(span) - F.col("low"))))
     one = F.min(F.struct(_who().alias("who"), "left", "right")).alias("one")
-    classes = materialize(keyed.groupBy("to", "class", "a", "b").agg(F.count(F.lit(1)).alias("n"), one), "classes")
+    classes = made.table(keyed.groupBy("to", "class", "a", "b").agg(F.count(F.lit(1)).alias("n"), one), "classes")
     many = classes.where("n > 1").select("to", "class", F.col("one.who").alias("first"))
     settled = keyed.join(many.hint("merge"), ["to", "class"])
     if keep_first:
         settled = settled.where(~_who().eqNullSafe(F.col("first")))
     settled = settled.select(*_KEYS, (F.col("place") - F.col("high")).alias("lo"),
                              (F.col("place") - F.col("low") + length).alias("hi"))
-    several = materialize(classes.groupBy("to").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("to"), "several")
+    several = made.table(classes.groupBy("to").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("to"), "several")
     half = F.floor((a + b) / 2).cast("int")
     halves = F.array(F.struct(a.alias("a"), half.alias("b")), F.struct((half + 1).alias("a"), b.alias("b")))
     on = (classes.join(checked_broadcast(several), "to").where(a < b)
           .select(*(F.col(f"one.who.{n}").alias(n) for n in _WHO), F.hex("to").alias("bucket"), F.col("one.left").alias("left"),
-                  F.col("one.right").alias("right"), F.explode(halves).alias("r"))
-          .withColumns({"a": F.col("r.a"), "b": F.col("r.b")}).drop("r").where((low <= high)))
-    return settled, on
+                  F.col("one.right").alias("right"), a.alias("a0"), b.alias("b0"), F.explode(halves).alias("r"))
+          .withColumns({"a": F.col("r.a"), "b": F.col("r.b")}).drop("r").where(low <= high))
+    return settled, on, [classes, several]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -262,34 +267,45 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     prune_by_bloom_filter(spark)
+    made = Scratch(spark)
     rows = docs.select(F.col(id_col).alias("id"), row_stamp(text_col).alias("stamp"), whole_text(text_col).alias("text"))
-    anchors = materialize(_anchors(rows, length, keep_first), "anchors")
-    found = [anchors.where(F.col("gram").isNull()).select(*_KEYS, "lo", "hi")]
+    anchors = made.table(_anchors(rows, length, keep_first), "anchors")
+    found = [made.table(anchors.where(F.col("gram").isNull()).select(*_KEYS, "lo", "hi"), "inside")]
 
     # Initial buckets with company, and their classes.
     named = anchors.where(F.col("gram").isNotNull())
     shared = named.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    company = materialize(named.join(shared.hint("merge"), "gram"), "company")
-    classes = materialize(company.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(_who()).alias("one")), "classes")
+    company = made.table(named.join(shared.hint("merge"), "gram"), "company")
+    made.drop(anchors)
+    classes = made.table(company.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(_who()).alias("one")), "classes")
     members = company.join(classes.where("n > 1").select("gram", "context", F.col("one").alias("first")).hint("merge"), ["gram", "context"])
     if keep_first:
         members = members.where(~_who().eqNullSafe(F.col("first")))
-    found.append(members.select(*_KEYS, "lo", "hi"))
+    found.append(made.table(members.select(*_KEYS, "lo", "hi"), "members"))
+    made.drop(company)
 
     # One of each class, with its contexts, where a bucket has several.
-    several = materialize(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "several")
+    several = made.table(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "several")
     one = classes.join(checked_broadcast(several), "gram").select("gram", "one.*")
-    listed = materialize(one.groupBy(*_KEYS).agg(F.collect_list(F.struct("gram", "lo", "hi", "place")).alias("spans")), "listed")
+    listed = made.table(one.groupBy(*_KEYS).agg(F.collect_list(F.struct("gram", "lo", "hi", "place")).alias("spans")), "listed")
+    made.drop(classes, several)
     bucket = F.concat(F.lpad(F.hex("gram"), 16, "0"), F.lpad(F.hex("core"), 16, "0")).alias("bucket")
-    state = _contexts(_texts_of(rows, listed), length).select(
-        *_WHO, bucket, "left", "right", F.lit(0).alias("a"), F.lit(length - length // 2).alias("b"))
-    while not (state := materialize(state, "buckets")).isEmpty():
-        settled, state = _refine(state, length, keep_first)
-        found.append(materialize(settled, "settled"))
+    state = made.table(_contexts(_texts_of(rows, listed), length).select(
+        *_WHO, bucket, "left", "right", *(F.lit(0).alias(n) for n in ("a0", "a")),
+        *(F.lit(length - length // 2).alias(n) for n in ("b0", "b"))), "buckets")
+    made.drop(listed)
+    while not state.isEmpty():
+        settled, on, used = _refine(state, length, keep_first, made)
+        found.append(made.table(settled, "settled"))
+        on = made.table(on, "buckets")
+        made.drop(state, *used)
+        state = on
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
-    return materialize(spans.groupBy(*_KEYS).agg(F.collect_set(F.struct("lo", "hi")).cast(_SPANS).alias("spans")), "spans")
+    spans = materialize(spans.groupBy(*_KEYS).agg(F.collect_set(F.struct("lo", "hi")).cast(_SPANS).alias("spans")), "spans")
+    made.drop(state, *found)
+    return spans
 
 
 def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left",

@@ -46,11 +46,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checked_broadcast, freed, materialize, prune_by_bloom_filter, scratch_path, small_batches, whole_text
+from .common import Scratch, checked_broadcast, freed, materialize, prune_by_bloom_filter, small_batches, whole_text
 
 WINDOW = 20
 ROWS, CELLS = 2, 8           # rows of the sketch, counters per window in each
 BITS = 22                    # a block has two to this power counters
+_CHUNK = 8 << 20             # bytes of text in a chunk
 _WORDS = 500_000             # words known at once
 _RNG = np.random.Generator(np.random.PCG64(13))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -148,7 +149,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, chunk, id, n_words, words (joined by one blank); written."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, _CHUNK)
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     out = T.StructType([T.StructField("row", T.LongType()), T.StructField("chunk", T.LongType()), rows.schema["id"],
                         T.StructField("n_words", T.LongType()), T.StructField("words", T.StringType())])
@@ -162,9 +163,8 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [pa.array((chunk << 20) + np.arange(n)), pa.array(np.full(n, chunk)), b.column(0),
                  pa.array(map(len, words), pa.int64()), pa.array(map(b" ".join, words), pa.binary()).cast(pa.string())], names=out.names)
 
-    path = scratch_path(docs.sparkSession, "chunks")
-    rows.mapInArrow(freed(run), out).write.option("compression", "zstd").parquet(path)   # whole texts: as small as can be
-    return docs.sparkSession.read.parquet(path)
+    # Whole texts: as small as can be.
+    return Scratch(docs.sparkSession).table(rows.mapInArrow(freed(run), out), "chunks", compression="zstd")
 
 
 def partition_sketches(table: DataFrame, window: int, blocks: int, bits: int = BITS) -> DataFrame:
@@ -309,17 +309,18 @@ def repeated_spans(table: DataFrame, window: int = WINDOW, bits: int = BITS) ->
     total = table.agg(F.sum(F.greatest(F.col("n_words") - (window - 1), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-total * CELLS >> bits))
     repeated = merged(partition_sketches(table, window, blocks, bits), bits)
-    found = materialize(candidates(table, repeated, window, blocks, bits), "candidates")
+    made = Scratch(table.sparkSession)
+    found = made.table(candidates(table, repeated, window, blocks, bits), "candidates")
     settled = found.where(F.col("w1").isNull()).select("row", "lo", "hi")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("lo").alias("lo"))
     kind = ["least", "w1", "w2"]
 
     # Equal stretches against the first of them; which buckets hold several kinds.
-    kinds = materialize(found.where(F.col("w1").isNotNull()).groupBy(*kind)
+    kinds = made.table(found.where(F.col("w1").isNotNull()).groupBy(*kind)
                         .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "stretches")
-    several = materialize(kinds.groupBy("least").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("least"), "several")
-    kinds = kinds.join(checked_broadcast(several.withColumn("mixed", F.lit(True))), "least", "left").where("n > 1 OR mixed")
-    judged = materialize(found.join(kinds.select(*kind, "first", "mixed").hint("merge"), kind)
+    several = made.table(kinds.groupBy("least").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("least"), "several")
+    asked = kinds.join(checked_broadcast(several.withColumn("mixed", F.lit(True))), "least", "left").where("n > 1 OR mixed")
+    judged = made.table(found.join(asked.select(*kind, "first", "mixed").hint("merge"), kind)
                          .select("row", "id", "lo", "hi", (place > F.col("first")).alias("late"), "mixed"), "judged")
     late = judged.where("late").select("row", "lo", "hi")
 
@@ -327,13 +328,16 @@ def repeated_spans(table: DataFrame, window: int = WINDOW, bits: int = BITS) ->
     listed = judged.where("NOT late AND mixed").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")) \
         .where(F.size("spans") > 0)
     texts = table.select("row", "id", "words").join(listed.hint("merge"), "row")
-    windows = materialize(_windows(texts, window), "windows")
+    made.drop(kinds, several)
+    windows = made.table(_windows(texts, window), "windows")
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")) \
         .where("n > 1").select("w1", "w2", "first")
     later = windows.join(again.hint("merge"), ["w1", "w2"]).where(place > F.col("first")) \
         .select("row", "lo", (F.col("lo") + window).alias("hi"))
-    return materialize(settled.unionByName(late).unionByName(later).groupBy("row")
+    spans = materialize(settled.unionByName(late).unionByName(later).groupBy("row")
                        .agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "word-spans")
+    made.drop(found, judged, windows)
+    return spans
 
 
 def cut(table: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:

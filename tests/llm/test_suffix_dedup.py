@@ -94,3 +94,14 @@ def test_empty_table_and_text_left(frame):
     left = suffix_dedup.remove_repeats(frame(rows), length=10)
     assert left.columns == frame(rows).columns
     assert {r.doc_id: r.text for r in left.collect()} == {1: "üend", 2: "Ende", 3: ""}
+
+
+def test_tables_on_the_way_are_dropped(spark, frame, texts):
+    import os
+
+    from codeshift.session import ensure_checkpoint_dir, local_path
+    folder = local_path(ensure_checkpoint_dir(spark))
+    before = set(os.listdir(folder))
+    spans = suffix_dedup.repeated_spans(frame(texts[:60]), length=60)
+    left = {n.split("-")[1] for n in set(os.listdir(folder)) - before}
+    assert left == {"spans"} and spans.count() > 0
