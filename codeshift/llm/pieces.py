@@ -20,7 +20,7 @@ def gather(flat: np.ndarray, at: np.ndarray, lens: np.ndarray, rows: np.ndarray)
     return flat[np.repeat(at[rows] - (ends - n), n) + np.arange(total)]
 
 
-class _Rows(dict):
+class Rows(dict):
     """Piece -> row; a piece not met before gets the next row and is noted."""
 
     def __init__(self):
@@ -42,7 +42,7 @@ class PieceTable:
         self._clear()
 
     def _clear(self) -> None:
-        self._row = _Rows()
+        self._row = Rows()
         self._len = np.zeros(0, np.int64)
         self._at = np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)

@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from .bpe import groups_of
 from .common import freed, materialize, release_memory, small_batches, unused, whole_text
+from .pieces import Rows
 
 ROWS, ROW_BYTES = 1200, 32768       # of the training sample
 WINDOW, STRIDE = 32, 26             # words; the stride is that of gradient steps only
@@ -49,6 +50,8 @@ VOCABULARY, GRAMS = 8192, 16384
 SIZES = (3, 5)                      # of character grams
 BATCH, DRAWN, STEPS = 32, 40, 250     # texts a step, windows of a text, steps
 
+KNOWN = 100_000                     # words whose gate inputs a task keeps
+
 _TAIL = b"\x03" * (max(SIZES) - 2)
 
 # ASCII letters and digits, and all other characters, make words.
@@ -116,7 +119,12 @@ class Network:
             part = words[s:s + step]
             for codes, at in grams(part):
                 n = np.diff(np.append(at, len(codes)))
-                out[s:s + len(part)] += np.add.reduceat(self.weights["chars"][codes], at, axis=0) / np.sqrt(n)[:, None]
+                for k in np.unique(n).tolist():              # words with equally many grams, gram by gram
+                    mine = np.flatnonzero(n == k)
+                    total = self.weights["chars"][codes[at[mine]]]
+                    for j in range(1, k):
+                        total += self.weights["chars"][codes[at[mine] + j]]
+                    out[s + mine] += total / np.float32(np.sqrt(k))
             out[s:s + len(part)] += self.weights["word"][[self.vocabulary.get(w, 0) for w in part]]
         return out
 
@@ -199,13 +207,13 @@ class Network:
         g["inputs"] = per_word @ w["w"].T
         return g
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        """Scores of whole texts."""
+    def score(self, texts: list[str], known: GateInputs | None = None) -> np.ndarray:
+        """Scores of whole texts; ``known`` keeps gate inputs from call to call."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        split = [words_of(t) for t in texts]
-        rows = index_words(split)
-        best = self.highest(self.projected(self.inputs(list(rows))), *lay_out(split, rows))
+        known = known or GateInputs(self)
+        laid = lay_out([words_of(t) for t in texts], known.fresh())
+        best = self.highest(known.all(), *laid)
         return _sigmoid(self.scale * best.astype(np.float64) + self.shift)
 
     def highest(self, projected: np.ndarray, line: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -220,47 +228,78 @@ class Network:
         Neighbours read the same words one step apart, so the gate inputs of a
         step are a slice of the line's; arrays hold a window per column."""
         w, h2 = self.weights, 2 * HIDDEN
-        half = np.repeat(np.array([0.5, 1], np.float32), [2 * h2, h2])   # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
-        p, u = projected * half, w["u"] * half
+        # sigmoid(x) = (1 + tanh(x / 2)) / 2: gates and the candidate's share of the state come halved.
+        half, one = np.float32(0.5), np.float32(1)
+        p, u = projected * np.repeat(np.array([0.5, 1], np.float32), [2 * h2, h2]), w["u"] * half
         sides = [(cols, mine, np.ascontiguousarray(u[mine][:, cols].T), order) for cols, mine, order in (
             (np.flatnonzero(_FORWARD), slice(0, HIDDEN), range(WINDOW)),
             (np.flatnonzero(~_FORWARD), slice(HIDDEN, h2), range(WINDOW - 1, -1, -1)))]
-        aw, ab = np.ascontiguousarray(w["aw"].T), w["ab"][:, None]
+        look, ab = np.ascontiguousarray(np.column_stack((w["aw"], w["o"])).T), w["ab"][:, None]
         out = np.empty(len(line) - WINDOW + 1, np.float32)
         for s in range(0, len(out), step):
             b = min(step, len(out) - s)
             part = line[s:s + b + WINDOW - 1]
             x = p[part].T
             states = np.empty((WINDOW, h2, b), np.float32)
+            gates = np.empty((3 * HIDDEN, b), np.float32)
+            zr, z, r, c = gates[:2 * HIDDEN], gates[:HIDDEN], gates[HIDDEN:2 * HIDDEN], gates[2 * HIDDEN:]
             for cols, mine, side, order in sides:
                 given = np.ascontiguousarray(x[cols])
                 h = np.zeros((HIDDEN, b), np.float32)
-                gates = np.empty((3 * HIDDEN, b), np.float32)
-                zr, c = gates[:2 * HIDDEN], gates[2 * HIDDEN:]
                 for k in order:
                     np.matmul(side, h, out=gates)
                     zr += given[:2 * HIDDEN, k:k + b]
                     np.tanh(zr, out=zr)
-                    zr *= 0.5
-                    zr += 0.5
-                    c *= zr[HIDDEN:]
+                    r *= c
+                    c += r
                     c += given[2 * HIDDEN:, k:k + b]
                     np.tanh(c, out=c)
                     c -= h
-                    c *= zr[:HIDDEN]
+                    z += one
+                    c *= z
+                    c *= half
                     h = np.add(h, c, out=states[k, mine])
-            a = np.matmul(aw, states)
+            seen = np.matmul(look, states)                   # attention's input and the logistic unit's, in one go
+            a, gain = seen[:, :ATTENTION], seen[:, ATTENTION]
             a += ab
             share = np.matmul(w["av"], np.tanh(a, out=a))
-            pad = np.lib.stride_tricks.sliding_window_view(part == len(projected) - 1, b)
-            share[pad] = -1e9
-            share = np.exp(share - share.max(axis=0))
-            share /= share.sum(axis=0)
-            share[:, pad.all(axis=0)] = 0        # a window without words pools to zero
-            out[s:s + b] = (share * np.matmul(w["o"], states)).sum(axis=0) + w["ob"][0]
+            pad = part == len(projected) - 1
+            if pad.any():
+                pad = np.lib.stride_tricks.sliding_window_view(pad, b)
+                share[pad] = -1e9
+                share -= share.max(axis=0)
+                np.exp(share, out=share)
+                share[:, pad.all(axis=0)] = 0                # a window without words pools to zero
+            else:
+                share -= share.max(axis=0)
+                np.exp(share, out=share)
+            gain *= share
+            out[s:s + b] = gain.sum(axis=0) / np.maximum(share.sum(axis=0), np.float32(1e-30)) + w["ob"][0]
         return out
 
 
+class GateInputs:
+    """Gate inputs of the words met so far, worked out once per word; beyond
+    ``KNOWN`` words the table starts anew, so memory stays bounded."""
+
+    def __init__(self, net: Network):
+        self.net, self.rows = net, Rows()
+        self.table = np.zeros((0, 6 * HIDDEN), np.float32)
+
+    def fresh(self) -> Rows:
+        """Rows by word: those of words not met before are given out as they are asked for."""
+        if len(self.rows) > KNOWN:
+            self.__init__(self.net)
+        return self.rows
+
+    def all(self) -> np.ndarray:
+        """The table, with the words met since; its last row is padding."""
+        new = self.net.projected(self.net.inputs(self.rows.new))
+        self.rows.new = []
+        self.table = np.concatenate((self.table[:-1], new))
+        return self.table
+
+
 # Columns of the gate inputs: update, reset, candidate; each forward then backward.
 _FORWARD = np.tile(np.repeat([True, False], HIDDEN), 3)
 _BLOCKS = (np.repeat([True, False], HIDDEN)[:, None] == _FORWARD).astype(np.float32)
@@ -277,9 +316,10 @@ def lay_out(split: list[list[bytes]], rows: dict[bytes, int]) -> tuple[np.ndarra
     lens = np.fromiter(map(len, split), np.int64, len(split))
     room = np.maximum(lens, WINDOW)
     begin = np.cumsum(room) - room
-    line = np.full(int(room.sum()), len(rows), np.int32)
+    line = np.full(int(room.sum()), -1, np.int32)
     for at, s in zip(begin.tolist(), split):
         line[at:at + len(s)] = np.fromiter(map(rows.__getitem__, s), np.int32, len(s))
+    line[line < 0] = len(rows)
     return line, begin, room - WINDOW + 1
 
 
@@ -418,27 +458,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 _GROUP = 1 << 20  # characters scored together
 
 
-def with_scores(docs: DataFrame, net: Network, text_col: str = "text", name: str = "_score") -> DataFrame:
-    """``docs`` and a score from 0 to 1; every window of the whole text counts."""
+def with_scores(docs: DataFrame, net: Network, text_col: str = "text", name: str = "_score",
+                columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (default: all) and a score from 0 to 1; every window
+    of the whole text counts."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
+    keep = [docs.columns.index(c) for c in columns or docs.columns]
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
+        known = GateInputs(sent.value)
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
-            scores = [sent.value.score(g) for g in groups_of(texts, _GROUP)]
+            scores = [sent.value.score(g, known) for g in groups_of(texts, _GROUP)]
             scores = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=out.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(scores, pa.float64())], names=out.names)
 
-    out = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    out = T.StructType([*(docs.schema[k] for k in keep), T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(freed(run), out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """id, held_out, score, predicted; one row per document."""
     net = fit(docs, labels, id_col, text_col, **bounds)
-    scored = with_scores(docs.select(id_col, text_col), net, text_col)
+    scored = with_scores(docs.select(id_col, text_col), net, text_col, columns=[id_col])
     return scored.select(id_col, held_out(id_col).alias("held_out"), F.col("_score").alias("score"),
                          (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 

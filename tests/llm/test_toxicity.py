@@ -140,3 +140,38 @@ def test_sample_is_filled_from_short_texts(spark, frame):
     assert all(len(t) <= 100 and c == int(t.split()[1]) % 2 for t, c in got)
     only_long = [(i, t if i % 2 == 0 else "long " * 100) for i, t in rows]
     assert {r.score for r in tox.toxicity(frame(only_long), labels, row_bytes=100).collect()} == {0.0}
+
+
+def test_scores_of_the_table_against_a_plain_scorer(spark):
+    """The whole query, and every window of every text on its own."""
+    from codeshift.llm import queries
+    from codeshift.llm.common import documents, table
+    sf = "/root/testdata/sf0.001"
+    docs = documents(spark, sf)
+    net = tox.fit(docs, table(spark, sf, "labels"))
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        words = tox.words_of(r.text)
+        rows = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        line = [rows[w] for w in words] + [len(rows)] * max(0, tox.WINDOW - len(words))
+        windows = np.array([line[k:k + tox.WINDOW] for k in range(len(line) - tox.WINDOW + 1)])
+        projected = net.projected(net.inputs(list(rows)))
+        best = max(float(net.logits(projected, windows[s:s + 4096]).max()) for s in range(0, len(windows), 4096))
+        want[r.doc_id] = 1 / (1 + np.exp(-(net.scale * best + net.shift)))
+    got = queries.op9_toxicity(spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-4)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.predicted == int(r.score >= 0.5)
+
+
+def test_gate_inputs_start_anew(monkeypatch):
+    """Few words kept, many met: scores are as with all of them kept."""
+    net = tox.train(["bad awful words here " * 3, "nice calm words here " * 3] * 30, [1, 0] * 30)
+    texts = [f"word{k} bad thing{k % 7} calm " * 20 for k in range(40)]
+    whole = net.score(texts)
+    monkeypatch.setattr(tox, "KNOWN", 9)
+    known = tox.GateInputs(net)
+    parts = np.concatenate([net.score(texts[k:k + 3], known) for k in range(0, 40, 3)])
+    assert np.allclose(whole, parts, atol=1e-5) and len(known.rows) < 30
