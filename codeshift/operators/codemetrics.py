@@ -72,7 +72,8 @@ def pair_metrics(pairs: DataFrame, original: str = "original_block", updated: st
     (E6/E7, the run-based parity distance, Arrow UDF on whole texts).
     """
     if distance == "ndiff":
-        pairs = dealt_by_cost(pairs, original, updated)
+        if not pairs.isStreaming:               # a micro-batch keeps the partitions of its files
+            pairs = dealt_by_cost(pairs, original, updated)
         d = ndiff_distance(original, updated)
     else:
         d = edit_distance(original, updated, fold=fold)

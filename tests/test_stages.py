@@ -134,3 +134,14 @@ def test_stage_tables_follow_their_input(spark, tmp_path):
     put(6)
     os.utime(folder, (1, 1))
     assert stage() == 6
+
+
+def test_stream_with_the_run_distance(spark, tmp_path):
+    from codeshift.streaming.transcripts import start_records_stream
+    msgs = P.messages(spark, SF).where("session_id < 6")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_chat_json(msgs, src, model="m", run_ts="2024-06-03_17-28", layout="files")
+    start_records_stream(spark, src, out, distance="ndiff").awaitTermination()
+    got = spark.read.parquet(out).select("session_id", "updated_code", "original_levenshtein_distance")
+    want = assemble_records(extract_pairs(msgs), distance="ndiff").select("session_id", "updated_code", "original_levenshtein_distance")
+    assert sorted(map(tuple, got.withColumn("session_id", F.col("session_id").cast("long")).collect())) == sorted(map(tuple, want.collect()))
