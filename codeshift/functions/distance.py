@@ -22,13 +22,14 @@ BAND, GROWTH = 32, 4
 
 def _banded(a: Column, b: Column) -> Column:
     """Levenshtein distance by growing bands.  A band of t costs length times t
-    and gives -1 when the distance is beyond it, so the search costs about length
-    times distance; the last band is the longer text, which always suffices."""
+    and gives -1 when the distance is beyond it, so near texts cost about length
+    times distance.  Bands of over an eighth of the longer text would save little and
+    are left out; the last one is the longer text itself, which always suffices."""
     both = F.array(F.struct(a.alias("a"), b.alias("b")))  # worked out once, named by the lambda
 
     def search(s):
         longest = F.greatest(F.length(s["a"]), F.length(s["b"]))
-        steps = F.filter(F.array(*[F.lit(BAND * GROWTH ** k) for k in range(8)]), lambda t: t < longest)
+        steps = F.filter(F.array(*[F.lit(BAND * GROWTH ** k) for k in range(8)]), lambda t: t * 8 <= longest)
         found = F.aggregate(F.concat(steps, F.array(longest)), F.lit(-1), lambda d, t: F.when(d >= 0, d).otherwise(
             F.call_function("levenshtein", s["a"], s["b"], t)))
         return F.when(s["a"].isNotNull() & s["b"].isNotNull(), found)
