@@ -226,43 +226,60 @@ class Network:
     def line_logits(self, projected: np.ndarray, line: np.ndarray, step: int = 2048) -> np.ndarray:
         """``logits`` of the windows at every position of ``line`` (word rows).
         Neighbours read the same words one step apart, so the gate inputs of a
-        step are a slice of the line's; arrays hold a window per column."""
+        step are a slice of the line's; arrays hold a window per column.
+
+        Numpy's exponential takes half the time of its hyperbolic tangent, so gates
+        are 1 / (1 + exp(-x)) and states are kept as g = (1 + h) / 2, whose candidate
+        is such a gate too; a row of ones beside g holds the constants that it brings."""
         w, h2 = self.weights, 2 * HIDDEN
-        # sigmoid(x) = (1 + tanh(x / 2)) / 2: gates and the candidate's share of the state come halved.
-        half, one = np.float32(0.5), np.float32(1)
-        p, u = projected * np.repeat(np.array([0.5, 1], np.float32), [2 * h2, h2]), w["u"] * half
-        sides = [(cols, mine, np.ascontiguousarray(u[mine][:, cols].T), order) for cols, mine, order in (
+        one = np.float32(1)
+        sign = np.repeat(np.array([-1, -2], np.float32), [2 * h2, h2])
+        of_states = lambda m: np.vstack((2 * m, -m.sum(axis=0))).T  # noqa: E731, what m makes of h, of g and one
+        sides = [(cols, np.ascontiguousarray(of_states((w["u"] * sign)[mine][:, cols])), order) for cols, mine, order in (
             (np.flatnonzero(_FORWARD), slice(0, HIDDEN), range(WINDOW)),
             (np.flatnonzero(~_FORWARD), slice(HIDDEN, h2), range(WINDOW - 1, -1, -1)))]
-        look, ab = np.ascontiguousarray(np.column_stack((w["aw"], w["o"])).T), w["ab"][:, None]
+        seen_by = np.column_stack((w["aw"] * np.float32(-2), w["o"]))
+        look = np.hstack([of_states(seen_by[:HIDDEN]), of_states(seen_by[HIDDEN:])])
+        look[:ATTENTION, -1] -= 2 * w["ab"]
+        p, av = projected * sign, 2 * w["av"]
         out = np.empty(len(line) - WINDOW + 1, np.float32)
+        size = min(step, len(out))
+        # Written anew for every run of windows: states (the last row of a side is one), gates, what is seen of the states.
+        room = [np.ones((WINDOW, 2, HIDDEN + 1, size), np.float32), np.empty((3 * HIDDEN, size), np.float32),
+                np.empty((WINDOW, ATTENTION + 1, size), np.float32)]
+        begin = np.ones((HIDDEN + 1, size), np.float32)
+        begin[:HIDDEN] = 0.5
         for s in range(0, len(out), step):
             b = min(step, len(out) - s)
+            if b < size:
+                room, begin, size = [r[..., :b].copy() for r in room], begin[:, :b].copy(), b
             part = line[s:s + b + WINDOW - 1]
             x = p[part].T
-            states = np.empty((WINDOW, h2, b), np.float32)
-            gates = np.empty((3 * HIDDEN, b), np.float32)
+            states, gates, seen = room
             zr, z, r, c = gates[:2 * HIDDEN], gates[:HIDDEN], gates[HIDDEN:2 * HIDDEN], gates[2 * HIDDEN:]
-            for cols, mine, side, order in sides:
-                given = np.ascontiguousarray(x[cols])
-                h = np.zeros((HIDDEN, b), np.float32)
-                for k in order:
-                    np.matmul(side, h, out=gates)
-                    zr += given[:2 * HIDDEN, k:k + b]
-                    np.tanh(zr, out=zr)
-                    r *= c
-                    c += r
-                    c += given[2 * HIDDEN:, k:k + b]
-                    np.tanh(c, out=c)
-                    c -= h
-                    z += one
-                    c *= z
-                    c *= half
-                    h = np.add(h, c, out=states[k, mine])
-            seen = np.matmul(look, states)                   # attention's input and the logistic unit's, in one go
-            a, gain = seen[:, :ATTENTION], seen[:, ATTENTION]
-            a += ab
-            share = np.matmul(w["av"], np.tanh(a, out=a))
+            with np.errstate(over="ignore"):             # exp(-x) may be infinite, its gate is 0 then
+                for side, (cols, u, order) in enumerate(sides):
+                    given = np.ascontiguousarray(x[cols])
+                    g = begin
+                    for k in order:
+                        np.matmul(u, g, out=gates)
+                        zr += given[:2 * HIDDEN, k:k + b]
+                        np.exp(zr, out=zr)
+                        zr += one
+                        c /= r
+                        c += given[2 * HIDDEN:, k:k + b]
+                        np.exp(c, out=c)
+                        c += one
+                        np.divide(one, c, out=c)
+                        c -= g[:HIDDEN]
+                        c /= z
+                        np.add(g[:HIDDEN], c, out=states[k, side, :HIDDEN])
+                        g = states[k, side]
+                np.matmul(look, states.reshape(WINDOW, -1, b), out=seen)  # attention's input and the logistic unit's, in one go
+                a, gain = seen[:, :ATTENTION], seen[:, ATTENTION]
+                np.exp(a, out=a)
+            a += one
+            share = np.matmul(av, np.divide(one, a, out=a))              # but for a constant, the same for all words
             pad = part == len(projected) - 1
             if pad.any():
                 pad = np.lib.stride_tricks.sliding_window_view(pad, b)

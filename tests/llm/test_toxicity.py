@@ -175,3 +175,17 @@ def test_gate_inputs_start_anew(monkeypatch):
     known = tox.GateInputs(net)
     parts = np.concatenate([net.score(texts[k:k + 3], known) for k in range(0, 40, 3)])
     assert np.allclose(whole, parts, atol=1e-5) and len(known.rows) < 30
+
+
+def test_gates_far_outside_the_usual_range_score_like_the_plain_scorer():
+    net = tox.Network.fresh({}, 3)
+    for k in ("w", "u", "aw"):
+        net.weights[k] *= np.float32(60)
+    rng = np.random.default_rng(4)
+    projected = net.projected(rng.standard_normal((50, tox.DIM)).astype(np.float32) * 3)
+    line = rng.integers(0, 50, 300)
+    windows = np.lib.stride_tricks.sliding_window_view(line, tox.WINDOW)
+    with np.errstate(all="raise", under="ignore"):
+        got = net.line_logits(projected, line, step=64)
+    assert np.isfinite(got).all()
+    assert np.median(np.abs(got - net.logits(projected, windows))) < 1e-3
