@@ -47,8 +47,20 @@ def _record_json_fields() -> list[T.StructField]:
 RECORD_JSON_SCHEMA = T.StructType(_record_json_fields())
 
 
+def list_by_core(spark: SparkSession) -> None:
+    """Let a listing of many folders or files be as many tasks as keep all cores
+    busy.  Spark's own number is a task a folder, up to 10,000; with a folder per
+    session, starting the tasks takes most of the time."""
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # no context (e.g. Spark Connect): the engine decides
+        return
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * cores))
+
+
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file; partition columns of the folder layout are kept."""
+    list_by_core(spark)
     df = spark.read.text(path, wholetext=True)
     return df.select(*[c for c in df.columns if c != "value"],
                      F.col("_metadata.file_name").alias("file_name"),
@@ -265,6 +277,7 @@ def latest_runs(names: DataFrame, exclude_test: bool = False, name_col: str = "f
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Files below ``path``: name, path and partition columns.  Contents are not read."""
+    list_by_core(spark)
     df = spark.read.format("binaryFile").load(path)
     parts = [c for c in df.columns if c not in ("path", "modificationTime", "length", "content")]
     return df.select(F.element_at(F.split(F.col("path"), "/"), -1).alias("file_name"), "path", *parts)
@@ -274,6 +287,7 @@ def read_chosen(spark: SparkSession, base: str, chosen: DataFrame) -> DataFrame:
     """The whole files whose ``path`` is in ``chosen``, and no others.  Their names
     pass through the driver, as the names of all files of a folder do whenever
     Spark lists it; contents do not."""
+    list_by_core(spark)
     paths = [r["path"] for r in chosen.select("path").collect()]
     if not paths:
         return _whole_files(spark, base).limit(0)

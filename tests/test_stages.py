@@ -145,3 +145,17 @@ def test_stream_with_the_run_distance(spark, tmp_path):
     got = spark.read.parquet(out).select("session_id", "updated_code", "original_levenshtein_distance")
     want = assemble_records(extract_pairs(msgs), distance="ndiff").select("session_id", "updated_code", "original_levenshtein_distance")
     assert sorted(map(tuple, got.withColumn("session_id", F.col("session_id").cast("long")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_listing_many_folders_takes_as_many_tasks_as_keep_the_cores_busy(spark, tmp_path):
+    from codeshift.sources.files import list_files
+    most = 4 * spark.sparkContext.defaultParallelism
+    for n in range(most + 40):
+        (tmp_path / f"session_id={n}").mkdir()
+        (tmp_path / f"session_id={n}" / "part-0.txt").write_text("[]")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    files = list_files(spark, str(tmp_path))
+    tracker = spark.sparkContext.statusTracker()
+    stages_ = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages_ and max(tracker.getStageInfo(s).numTasks for s in stages_) <= most
+    assert files.count() == most + 40
