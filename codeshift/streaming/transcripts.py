@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.codemetrics import assemble_records
 from ..operators.extract import turns_to_pairs
 from ..session import ensure_checkpoint_dir, scratch_path
-from ..sources.files import MESSAGE_SCHEMA
+from ..sources.files import MESSAGE_SCHEMA, list_by_core
 
 
 RUN_KEYS = ("model", "run_ts")
@@ -58,6 +58,7 @@ def session_from_path(path_col: str = "file_path") -> Column:
 
 
 def read_transcript_stream(spark: SparkSession, in_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    list_by_core(spark)
     return (spark.readStream.format("text").option("wholetext", True)
             .option("maxFilesPerTrigger", max_files_per_trigger).option("recursiveFileLookup", True)
             .load(in_dir).select("value", F.col("_metadata.file_path").alias("file_path")))

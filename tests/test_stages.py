@@ -159,3 +159,11 @@ def test_listing_many_folders_takes_as_many_tasks_as_keep_the_cores_busy(spark,
     stages_ = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     assert stages_ and max(tracker.getStageInfo(s).numTasks for s in stages_) <= most
     assert files.count() == most + 40
+
+
+def test_a_stream_of_files_lists_them_in_as_many_tasks_as_keep_the_cores_busy(spark, tmp_path):
+    from codeshift.streaming.transcripts import read_transcript_stream
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.unset(key)
+    read_transcript_stream(spark, str(tmp_path))
+    assert int(spark.conf.get(key)) <= 4 * spark.sparkContext.defaultParallelism
