@@ -77,8 +77,8 @@ def latest_transcripts(spark: SparkSession, transcripts_path: str, model: str |
         return (src.scan_chat_json(spark, path).where(named)
                 .join(checked_broadcast(latest), keys, "left_semi").select(*keys, "idx", "role", "content", "prompt"))
     files = src.list_files(spark, path).where(named)
-    latest = files.groupBy("session_id", "model").agg(F.max_by("path", "run_ts").alias("path"))
-    return src.parse_chat_json(src.read_chosen(spark, path, latest).select(*keys, "text"))
+    latest = files.groupBy("session_id", "model").agg(F.max("run_ts").alias("run_ts"), F.max_by("path", "run_ts").alias("path"))
+    return src.parse_chat_json(src.read_chosen(spark, path, latest, tuple(keys)).select(*keys, "text"))
 
 
 def latest_named_transcripts(spark: SparkSession, transcripts_path: str, model: str | None = None,

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import on_disk, write_folders
 from ..operators.ordinals import running_total
 
 LAYOUTS = ("lines", "files")
@@ -72,7 +73,8 @@ def write_chat_json(messages: DataFrame, path: str, model: str, run_ts: str,
     ``<session_col>=<s>/`` holding a JSON array.  Each message is its own row,
     framed ``[`` / ``,`` / ``]`` by the session's first and last index, so a
     session streams through its writer task row by row; the rows form a valid
-    array because newlines between elements are whitespace.
+    array because newlines between elements are whitespace.  On a disk the tasks
+    write the files themselves (``write_folders``); elsewhere Spark's writer does.
     """
     _check(layout)
     run = f"model={_partition_value(model)}/run_ts={_partition_value(run_ts)}"
@@ -90,9 +92,12 @@ def write_chat_json(messages: DataFrame, path: str, model: str, run_ts: str,
     elem = F.to_json(F.struct("role", "content", "prompt"))
     line = F.concat(F.when(F.col("idx") == F.col("_lo"), F.lit("[")).otherwise(F.lit(",")), elem,
                     F.when(F.col("idx") == F.col("_hi"), F.lit("]")).otherwise(F.lit("")))
-    (messages.join(bounds, session_col)
-     .select(session_col, "idx", line.alias("value"))
-     .repartition(session_col).sortWithinPartitions(session_col, "idx")
+    rows = messages.join(bounds, session_col).select(session_col, "idx", line.alias("value"))
+    folder = on_disk(messages.sparkSession, run_dir)
+    if folder:
+        write_folders(rows, session_col, "idx", "value", folder)
+        return
+    (rows.repartition(session_col).sortWithinPartitions(session_col, "idx")
      .select(session_col, "value")
      .write.mode("overwrite").partitionBy(session_col).text(run_dir))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..folders import list_folders, on_disk, read_files
 from ..functions.text import lines_of, py_rstrip
 from ..operators.ordinals import running_total
 
@@ -277,20 +278,25 @@ def latest_runs(names: DataFrame, exclude_test: bool = False, name_col: str = "f
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Files below ``path``: name, path and partition columns.  Contents are not read."""
+    listed = list_folders(spark, path)
+    if listed is not None:
+        return listed
     list_by_core(spark)
     df = spark.read.format("binaryFile").load(path)
     parts = [c for c in df.columns if c not in ("path", "modificationTime", "length", "content")]
     return df.select(F.element_at(F.split(F.col("path"), "/"), -1).alias("file_name"), "path", *parts)
 
 
-def read_chosen(spark: SparkSession, base: str, chosen: DataFrame) -> DataFrame:
-    """The whole files whose ``path`` is in ``chosen``, and no others.  Their names
-    pass through the driver, as the names of all files of a folder do whenever
+def read_chosen(spark: SparkSession, base: str, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Name and text of the whole files whose ``path`` is in ``chosen``, and no others,
+    with its partition columns ``keys``.  On a disk tasks open them.  Elsewhere their
+    names pass through the driver, as the names of all files of a folder do whenever
     Spark lists it; contents do not."""
+    if on_disk(spark, base):
+        return read_files(chosen, keys, 4 * spark.sparkContext.defaultParallelism)
     list_by_core(spark)
     paths = [r["path"] for r in chosen.select("path").collect()]
     if not paths:
-        return _whole_files(spark, base).limit(0)
+        return _whole_files(spark, base).limit(0).select(*keys, "file_name", "text")
     df = spark.read.option("basePath", base).text(paths, wholetext=True)
-    return df.select(*[c for c in df.columns if c != "value"], F.col("_metadata.file_name").alias("file_name"),
-                     F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    return df.select(*keys, F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))

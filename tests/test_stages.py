@@ -2,6 +2,7 @@
 
 import json
 import os
+from hashlib import sha512
 
 import pytest
 from pyspark.sql import Window
@@ -12,6 +13,7 @@ from codeshift.operators.extract import extract_pairs
 from codeshift.plans import records as P
 from codeshift.plans import stages
 from codeshift.sinks.files import write_chat_json
+from codeshift.sources.files import list_files, read_chosen, scan_chat_json
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -167,3 +169,89 @@ def test_a_stream_of_files_lists_them_in_as_many_tasks_as_keep_the_cores_busy(sp
     spark.conf.unset(key)
     read_transcript_stream(spark, str(tmp_path))
     assert int(spark.conf.get(key)) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def _sessions(spark, sessions, text="t"):
+    return spark.createDataFrame([(s, i, "user", f"{text} {s}.{i}\nß", "") for s in sessions for i in (0, 1, 2)],
+                                 "session_id string, idx long, role string, content string, prompt string")
+
+
+ODD = ["a/b", "x=1", "50%", "ü b", "", "7", "c'd", "q?"]
+
+
+def test_a_run_of_files_is_written_by_its_tasks_as_spark_writes_it(spark, tmp_path):
+    d, run = str(tmp_path / "runs"), tmp_path / "runs/model=m/run_ts=2024-06-03_17-28"
+    write_chat_json(_sessions(spark, ["gone", "7"], "old"), d, model="m", run_ts="2024-06-03_17-28", layout="files")
+    write_chat_json(_sessions(spark, ODD), d, model="m", run_ts="2024-06-03_17-28", layout="files")
+    spark.createDataFrame([(s, "v") for s in ODD], "session_id string, value string").write.partitionBy("session_id").text(str(tmp_path / "spark"))
+    folders = lambda p: sorted(f.name for f in p.iterdir() if f.is_dir())
+    assert folders(run) == folders(tmp_path / "spark")
+    assert (run / "_SUCCESS").exists() and [f.name for f in run.parent.iterdir()] == [run.name]
+    for folder in (f for f in run.iterdir() if f.is_dir()):
+        file, = folder.iterdir()                        # no checksum beside it: that costs processes
+        assert [m["content"][:2] for m in json.loads(file.read_text())] == ["t "] * 3
+    want = {(s or None, i, f"t {s}.{i}\nß") for s in ODD for i in (0, 1, 2)}
+    assert {(r["session_id"], r["idx"], r["content"]) for r in scan_chat_json(spark, d, layout="files").collect()} == want
+    write_chat_json(_sessions(spark, []), d, model="m", run_ts="2024-06-03_17-28", layout="files")
+    assert [f.name for f in run.iterdir()] == ["_SUCCESS"]
+
+
+def test_a_run_that_fails_leaves_the_old_one(spark, tmp_path):
+    d = str(tmp_path / "runs")
+    write_chat_json(_sessions(spark, ["1", "2"]), d, model="m", run_ts="2024-06-03_17-28", layout="files")
+    broken = _sessions(spark, ["1", "3"]).withColumn("content", F.when(F.col("session_id") == "3", F.raise_error(F.lit("no"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="no"):
+        write_chat_json(broken, d, model="m", run_ts="2024-06-03_17-28", layout="files")
+    assert {r["session_id"] for r in scan_chat_json(spark, d, layout="files").collect()} == {1, 2}
+    assert [f.name for f in (tmp_path / "runs/model=m").iterdir()] == ["run_ts=2024-06-03_17-28"]
+
+
+@pytest.mark.parametrize("sessions", [["1", "2", "30"], ["1", "-4294967296"], ["007", "x"], ["a", "b"], ["1.5", "2"], ["2024-01-01"],
+                                      ["1", ""], ["nan", "1"], ["a%2Fb", "T12"], ["2024-01-01_10-00"]])
+def test_files_are_listed_as_spark_lists_them(spark, tmp_path, sessions):
+    for n, s in enumerate(sessions):
+        f = tmp_path / f"model=m-{n}" / f"session_id={s or '__HIVE_DEFAULT_PARTITION__'}"
+        f.mkdir(parents=True)
+        for name, text in (("part-0.txt", "x"), ("empty.txt", ""), (".hidden", "x"), ("_hidden", "x")):
+            (f / name).write_text(text)
+    (tmp_path / "_hidden").mkdir()
+    want = spark.read.format("binaryFile").load(str(tmp_path)).drop("modificationTime", "length", "content")
+    got = list_files(spark, str(tmp_path))
+    assert got.select(*want.columns).dtypes == want.dtypes and got.columns[0] == "file_name"
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert {r["file_name"] for r in got.collect()} == {"part-0.txt"}
+
+
+def test_chosen_files_are_opened_by_tasks(spark, tmp_path):
+    """Names of files do not pass through the driver: nothing runs until the result is read."""
+    for n in range(40):
+        (tmp_path / f"session_id={n}").mkdir()
+        (tmp_path / f"session_id={n}" / "part 0%.txt").write_bytes(f"text {n}\n\xff".encode("latin-1"))
+    chosen = list_files(spark, str(tmp_path)).where("session_id % 2 = 0")
+    spark.sparkContext.setJobGroup("chosen", "chosen")
+    got = read_chosen(spark, str(tmp_path), chosen, ("session_id",))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("chosen")
+    want = spark.read.text(str(tmp_path), wholetext=True).where("session_id % 2 = 0").select(
+        "session_id", F.lit("part 0%.txt").alias("file_name"), F.col("value").alias("text"))
+    rows = lambda df: sorted(map(tuple, df.withColumn("text", F.hex("text")).collect()))
+    assert got.dtypes == want.dtypes and rows(got) == rows(want) and len(rows(got)) == 20
+
+
+def test_a_session_is_one_file_where_a_join_deals_it_to_several_tasks(spark, tmp_path):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        m = spark.range(0, 6000, 1, 6).select(F.when(F.col("id") % 10 < 8, 1).otherwise(F.col("id")).alias("session_id"), F.col("id").alias("idx"),
+                                              F.lit("user").alias("role"), F.sha2(F.col("id").cast("string"), 512).alias("content"), F.lit("").alias("prompt"))
+        write_chat_json(m, str(tmp_path), model="m", run_ts="2024-06-03_17-28", layout="files")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    folders = [f for f in (tmp_path / "model=m/run_ts=2024-06-03_17-28").iterdir() if f.is_dir()]
+    assert len(folders) == 1201 and all(len(list(f.iterdir())) == 1 for f in folders)
+    file, = (tmp_path / "model=m/run_ts=2024-06-03_17-28/session_id=1").iterdir()
+    assert [m["content"] for m in json.loads(file.read_text())] == [sha512(str(n).encode()).hexdigest() for n in range(6000) if n % 10 < 8]
