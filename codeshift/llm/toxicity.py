@@ -30,6 +30,7 @@ row; an empty table gives an empty result; further columns do no harm.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -216,17 +217,40 @@ class Network:
         best = self.highest(known.all(), *laid)
         return _sigmoid(self.scale * best.astype(np.float64) + self.shift)
 
-    def highest(self, projected: np.ndarray, line: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """The largest logit of each text over its windows at every word."""
-        if not len(begin):
-            return np.zeros(0, np.float32)
-        found = np.append(self.line_logits(projected, line), np.float32(-np.inf))
-        return np.maximum.reduceat(found, np.stack((begin, begin + count), axis=1).ravel())[::2]
+    def highest(self, projected: np.ndarray, line: np.ndarray, begin: np.ndarray, count: np.ndarray, step: int = 2048) -> np.ndarray:
+        """The largest logit of each text over its windows at every word.
+
+        Texts of like length lie side by side, word by word, so no window that spans
+        two of them is worked out; long ones, with few such windows, end to end."""
+        best = np.full(len(begin), -np.inf, np.float32)
+        block = self.window_logits(projected)
+        order = np.argsort(-count, kind="stable")
+        long = order[:np.count_nonzero(count > step // 4)]
+        if len(long):
+            room = count[long] + WINDOW - 1
+            at = np.cumsum(room) - room
+            found = np.append(_along(block, np.concatenate([line[b:b + n] for b, n in zip(begin[long], room)]), step), np.float32(-np.inf))
+            best[long] = np.maximum.reduceat(found, np.stack((at, at + count[long]), axis=1).ravel())[::2]
+        k = len(long)
+        while k < len(order):
+            n = int(count[order[k]])
+            beside = order[k:k + max(1, min(step // n, 2 * step // (n + WINDOW - 1)))]
+            words = begin[beside] + np.arange(n + WINDOW - 1)[:, None]
+            found = block(line[np.minimum(words, len(line) - 1)])
+            found[np.arange(n)[:, None] >= count[beside]] = -np.inf
+            best[beside] = found.max(axis=0)
+            k += len(beside)
+        return best
 
     def line_logits(self, projected: np.ndarray, line: np.ndarray, step: int = 2048) -> np.ndarray:
-        """``logits`` of the windows at every position of ``line`` (word rows).
-        Neighbours read the same words one step apart, so the gate inputs of a
-        step are a slice of the line's; arrays hold a window per column.
+        """``logits`` of the windows at every position of ``line`` (word rows)."""
+        return _along(self.window_logits(projected), line, step)
+
+    def window_logits(self, projected: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from word rows, a text per column, to the ``logits`` of the windows
+        at every position but the last ``WINDOW - 1``.  Windows that begin side by side
+        read side by side at every step, so the gate inputs of a step are a slice of the
+        block's; arrays hold a window per column.
 
         Numpy's exponential takes half the time of its hyperbolic tangent, so gates
         are 1 / (1 + exp(-x)) and states are kept as g = (1 + h) / 2, whose candidate
@@ -235,6 +259,7 @@ class Network:
         one = np.float32(1)
         sign = np.repeat(np.array([-1, -2], np.float32), [2 * h2, h2])
         of_states = lambda m: np.vstack((2 * m, -m.sum(axis=0))).T  # noqa: E731, what m makes of h, of g and one
+        # Either direction: its columns of the gate inputs, weights of its states, order of words.
         sides = [(cols, np.ascontiguousarray(of_states((w["u"] * sign)[mine][:, cols])), order) for cols, mine, order in (
             (np.flatnonzero(_FORWARD), slice(0, HIDDEN), range(WINDOW)),
             (np.flatnonzero(~_FORWARD), slice(HIDDEN, h2), range(WINDOW - 1, -1, -1)))]
@@ -242,32 +267,32 @@ class Network:
         look = np.hstack([of_states(seen_by[:HIDDEN]), of_states(seen_by[HIDDEN:])])
         look[:ATTENTION, -1] -= 2 * w["ab"]
         p, av = projected * sign, 2 * w["av"]
-        out = np.empty(len(line) - WINDOW + 1, np.float32)
-        size = min(step, len(out))
-        # Written anew for every run of windows: states (the last row of a side is one), gates, what is seen of the states.
-        room = [np.ones((WINDOW, 2, HIDDEN + 1, size), np.float32), np.empty((3 * HIDDEN, size), np.float32),
-                np.empty((WINDOW, ATTENTION + 1, size), np.float32)]
-        begin = np.ones((HIDDEN + 1, size), np.float32)
-        begin[:HIDDEN] = 0.5
-        for s in range(0, len(out), step):
-            b = min(step, len(out) - s)
-            if b < size:
-                room, begin, size = [r[..., :b].copy() for r in room], begin[:, :b].copy(), b
-            part = line[s:s + b + WINDOW - 1]
+        sizes = (WINDOW * 2 * (HIDDEN + 1), 3 * HIDDEN, WINDOW * (ATTENTION + 1), HIDDEN + 1)
+        room = [np.empty(0, np.float32)] * len(sizes)
+
+        def block(part: np.ndarray) -> np.ndarray:
+            texts, part = part.shape[1], part.ravel()
+            b = len(part) - (WINDOW - 1) * texts
+            if len(room[-1]) < sizes[-1] * b:
+                room[:] = [np.empty(n * b, np.float32) for n in sizes]
+            # Written anew for every block: states (the last row of a side is one), gates, what is seen of the states.
+            states, gates, seen, begin = (r[:n * b].reshape(-1, b) for r, n in zip(room, sizes))
+            states, seen = states.reshape(WINDOW, 2, HIDDEN + 1, b), seen.reshape(WINDOW, ATTENTION + 1, b)
+            states[:, :, HIDDEN], begin[HIDDEN], begin[:HIDDEN] = 1, 1, 0.5
             x = p[part].T
-            states, gates, seen = room
             zr, z, r, c = gates[:2 * HIDDEN], gates[:HIDDEN], gates[HIDDEN:2 * HIDDEN], gates[2 * HIDDEN:]
             with np.errstate(over="ignore"):             # exp(-x) may be infinite, its gate is 0 then
                 for side, (cols, u, order) in enumerate(sides):
                     given = np.ascontiguousarray(x[cols])
                     g = begin
                     for k in order:
+                        now = slice(k * texts, k * texts + b)
                         np.matmul(u, g, out=gates)
-                        zr += given[:2 * HIDDEN, k:k + b]
+                        zr += given[:2 * HIDDEN, now]
                         np.exp(zr, out=zr)
                         zr += one
                         c /= r
-                        c += given[2 * HIDDEN:, k:k + b]
+                        c += given[2 * HIDDEN:, now]
                         np.exp(c, out=c)
                         c += one
                         np.divide(one, c, out=c)
@@ -282,7 +307,7 @@ class Network:
             share = np.matmul(av, np.divide(one, a, out=a))              # but for a constant, the same for all words
             pad = part == len(projected) - 1
             if pad.any():
-                pad = np.lib.stride_tricks.sliding_window_view(pad, b)
+                pad = np.lib.stride_tricks.sliding_window_view(pad, b)[::texts]
                 share[pad] = -1e9
                 share -= share.max(axis=0)
                 np.exp(share, out=share)
@@ -291,8 +316,14 @@ class Network:
                 share -= share.max(axis=0)
                 np.exp(share, out=share)
             gain *= share
-            out[s:s + b] = gain.sum(axis=0) / np.maximum(share.sum(axis=0), np.float32(1e-30)) + w["ob"][0]
-        return out
+            return (gain.sum(axis=0) / np.maximum(share.sum(axis=0), np.float32(1e-30)) + w["ob"][0]).reshape(-1, texts)
+
+        return block
+
+
+def _along(block: Callable[[np.ndarray], np.ndarray], line: np.ndarray, step: int) -> np.ndarray:
+    """What ``block`` finds at every position of ``line``, ``step`` windows at a time."""
+    return np.concatenate([block(line[s:s + step + WINDOW - 1, None])[:, 0] for s in range(0, len(line) - WINDOW + 1, step)])
 
 
 class GateInputs:

@@ -189,3 +189,25 @@ def test_gates_far_outside_the_usual_range_score_like_the_plain_scorer():
         got = net.line_logits(projected, line, step=64)
     assert np.isfinite(got).all()
     assert np.median(np.abs(got - net.logits(projected, windows))) < 1e-3
+
+
+def test_short_texts_lie_side_by_side(monkeypatch):
+    """Windows that span two texts are not worked out; every other one is."""
+    rng = np.random.default_rng(5)
+    net = tox.Network.fresh({}, seed=2)
+    lens = [*rng.integers(33, 80, 300), *rng.integers(0, 33, 40), 513, 544, 2079, 2080, 5000]
+    split = [[b"w%d" % k for k in rng.integers(0, 90, n)] for n in lens]
+    rows = tox.index_words(split)
+    projected = net.projected(net.inputs(list(rows)))
+    line, begin, count = tox.lay_out(split, rows)
+    want = [net.logits(projected, np.lib.stride_tricks.sliding_window_view(line[b:b + n + tox.WINDOW - 1], tox.WINDOW)).max() for b, n in zip(begin, count)]
+    worked, made = [], tox.Network.window_logits
+
+    def counted(self, projected):
+        block = made(self, projected)
+        return lambda part: worked.append((found := block(part)).size) or found
+
+    monkeypatch.setattr(tox.Network, "window_logits", counted)
+    assert np.allclose(net.highest(projected, line, begin, count), want, atol=2e-6)
+    spanning = len(line) - tox.WINDOW + 1 - count.sum()      # of texts end to end
+    assert 0 <= sum(worked) - count.sum() < spanning / 2
