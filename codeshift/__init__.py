@@ -9,6 +9,7 @@ Layers:
   pair extraction, record assembly, outcomes, column shaping, normalisation,
   reports).
 * ``codeshift.sources`` / ``codeshift.sinks`` - file and table readers / writers.
+* ``codeshift.folders`` - a file per session on a disk: written, listed and read by tasks.
 * ``codeshift.plans``      - the three stages end to end plus the query catalog.
 * ``codeshift.streaming``  - the stateless part of record building on a stream.
 """
